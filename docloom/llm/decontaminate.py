@@ -6,7 +6,8 @@ to its whole window, compared word by word with the benchmark's windows. Items o
 length, and keep the hash of all their words.
 
 Empty cases: null or wordless texts have no windows; items with a null item_id take no part, rows that repeat an item_id
-count as one item; a null doc_id is answered row by row like any other; an empty benchmark leaves all documents clean.
+count as one item; a null doc_id is answered row by row like any other; an empty benchmark leaves all documents clean;
+columns named like the new ones are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def bounded(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, text, n_words, n_hit (words in occurrences of windows), item_ids (of the items that occur)."""
+    """docs with n_words, n_hit (words in occurrences of windows) and item_ids (of the items that occur)."""
     known = windows_of(items, window)
     lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # `window` of them at most
     marks = {}
@@ -78,9 +79,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         hit = at.join(bounded(marks[n]), "mark", "left_semi").select("doc_id", F.struct(F.lit(n).alias("n"), F.col("at")).alias("hit"))
         found = hit if found is None else found.unionByName(hit)
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]  # doc_id may repeat
-    whole = source.select(*key, "text", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids")]
+    old, back = [F.col(c).alias(f"old_{i}") for i, c in enumerate(kept)], [F.col(f"old_{i}").alias(c) for i, c in enumerate(kept)]
+    text = F.col("text").cast("string")
+    whole = docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), *old, F.size(word_array(text)).cast("long").alias("n_words"))
     if found is None:
-        return whole.select("doc_id", "text", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+        return whole.select(*back, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
 
     def tried(h: Column) -> Column:
         """The hit's window. It names w twice, else the optimizer moves the splitting of the text into this function."""
@@ -104,4 +108,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         lambda s: s["n"],
     )
     checked = whole.join(sure, F.col("doc_id").eqNullSafe(F.col("sure_id")) & (F.col("text_hash") == F.col("sure_hash")), "left")
-    return checked.select("doc_id", "text", "n_words", covered.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return checked.select(*back, "n_words", covered.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))

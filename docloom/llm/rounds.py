@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text for each chunk and bucket; up to SPREAD of them are smaller where the input is small.
-CHUNK_BYTES, BUCKET_BYTES, SPREAD, SMALL_BYTES = 4_000_000, 16_000_000, 48, 100_000
+CHUNK_BYTES, BUCKET_BYTES, SPREAD, SMALL_BYTES = 4_000_000, 8_000_000, 48, 100_000
 MAIL = "receiver int, sender int, body binary"
 MAIL_ARROW = pa.schema([("receiver", pa.int32()), ("sender", pa.int32()), ("body", pa.binary())])
 NO_ID = np.iinfo(np.int64).max
@@ -57,11 +57,12 @@ def ids(table: pa.Table) -> np.ndarray:
     return pc.fill_null(table["doc_id"], NO_ID).to_numpy().astype(np.int64)
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """docs as (doc_id, text, chunk), and the numbers of chunks and buckets."""
+def dealt(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int, int]:
+    """docs as (doc_id, text, columns to keep, chunk), and the numbers of chunks and buckets."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     chunks, buckets = (max(1, min(SPREAD, size // SMALL_BYTES), -(-size // most)) for most in (CHUNK_BYTES, BUCKET_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = [F.col(c).alias(f"kept_column_{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")), int(chunks), int(buckets)
 
 
@@ -73,9 +74,14 @@ def two_rounds(
     answer_again: Callable[[list], list],
     decide: Callable[[pa.Table, list, int], pa.Table],
     schema: str,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """ask -> answer -> ask_again -> answer_again -> decide; a letter to a receiver below 0 returns to its sender unread."""
-    rows, _, buckets = dealt(docs)
+    """ask -> answer -> ask_again -> answer_again -> decide; a letter to a receiver below 0 returns to its sender unread.
+
+    Columns of docs named in `keep` are handed to the result, beside those that decide gives.
+    """
+    keep = keep or []
+    rows, _, buckets = dealt(docs, keep)
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         return ask(in_order(table), key[0].as_py(), buckets)
@@ -92,11 +98,17 @@ def two_rounds(
         return ask_again(in_order(table), letters(got), key[0].as_py(), buckets)
 
     def last(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-        return decide(in_order(table), letters(got), buckets)
+        table = in_order(table)
+        out = decide(table, letters(got), buckets)
+        for c in (c for c in table.column_names if c.startswith("kept_column_")):
+            out = out.append_column(c, table[c])
+        return out
 
     by_chunk = rows.groupBy("chunk")
     asked = by_chunk.applyInArrow(first, MAIL)
     answered = asked.groupBy("receiver").applyInArrow(back(answer), MAIL)
     asked = by_chunk.cogroup(answered.groupBy("receiver")).applyInArrow(second, MAIL)
     answered = asked.groupBy("receiver").applyInArrow(back(answer_again), MAIL)
-    return by_chunk.cogroup(answered.groupBy("receiver")).applyInArrow(last, schema)
+    extra = "".join(f", kept_column_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    decided = by_chunk.cogroup(answered.groupBy("receiver")).applyInArrow(last, schema + extra)
+    return decided.withColumnsRenamed({f"kept_column_{i}": c for i, c in enumerate(keep)})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rounds import bucket_of, ids, mail, split_at, two_rounds
-from .textbytes import BYTE_VALUE, cover, spans_hash, text_bytes, windows_hash, words
+from .textbytes import BYTE_VALUE, U, cover, doc_blocks, spans_hash, text_bytes, windows_hash, words
 
 BLOCK, SPAN = 10, 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -30,8 +30,12 @@ class Words:
 
     def __init__(self, table: pa.Table) -> None:
         self.data, self.offsets = text_bytes(table["text"])
-        self.starts, self.ends, self.doc = words(self.data, self.offsets)
-        self.value = spans_hash(BYTE_VALUE[self.data], self.starts, self.ends)
+        found = [(np.zeros(0, U), np.zeros(0, np.int64))]
+        for a, b in doc_blocks(self.offsets):
+            part, cuts = self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
+            starts, ends, doc = words(part, cuts)
+            found.append((spans_hash(BYTE_VALUE[part], starts, ends), doc + a))
+        self.value, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
         self.first = np.searchsorted(self.doc, np.arange(len(self.offsets)))  # of each document's words
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:

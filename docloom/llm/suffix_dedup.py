@@ -4,8 +4,8 @@
    windows name equal pieces; only pieces that two documents hold go on.
 2. Around such a piece lie the windows that name it, a segment of at most 2 * width - seed bytes. Segments go to the
    bucket of their piece. There each of two shards sorts its own distinct segments' suffixes into a Burrows-Wheeler
-   transform; the transforms are merged by refining their interleave, one symbol of depth a pass, noting where a pass
-   first tells neighbours apart (their common prefix). After `width` passes the intervals without such a cut are the
+   transform; the transforms are merged by refining their interleave, two symbols of depth a pass, noting where a pass
+   first tells neighbours apart (their common prefix). At depth `width` the intervals without such a cut are the
    repeated strings, and the least doc_id in an interval is where the string starts first.
 3. Every window that starts in a smaller doc_id as well is removed, overlaps included.
 
@@ -21,24 +21,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rounds import NO_ID, bucket_of, ids, mail, split_at, two_rounds
-from .textbytes import BYTE_VALUE, U, cover, runs, spans_hash, text_bytes, windows_hash
+from .textbytes import BYTE_VALUE, U, cover, doc_blocks, runs, spans_hash, text_bytes, windows_hash
 
-SEED, WIDTH, BLOCK_SYMBOLS, PLACE_BITS = 32, 50, 200_000, 28
+SEED, WIDTH, BLOCK_SYMBOLS, PLACE_BITS = 24, 50, 150_000, 28
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
 
 
 class Pieces:
-    """Where the windows of a chunk name the same piece: first window, number of windows, hash of the piece, document."""
+    """Where the windows of a chunk name the same piece: first window, number of windows, hash of the piece and of the bytes, document."""
 
     def __init__(self, table: pa.Table, seed: int, width: int) -> None:
         self.data, self.offsets = text_bytes(table["text"])
-        if len(self.data) >= 1 << PLACE_BITS:
-            raise ValueError(f"a chunk holds over {1 << PLACE_BITS} bytes")
-        self.value = BYTE_VALUE[self.data]
-        h = windows_hash(self.value, seed)
-        if len(self.data) < width:
-            self.first, self.count, self.hash, self.doc = (np.zeros(0, t) for t in (np.int64, np.int64, U, np.int64))
-            return
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))]
+        for a, b in doc_blocks(self.offsets):
+            at = int(self.offsets[a])
+            first, count, named, whole, doc = self._block(self.data[at : self.offsets[b]], self.offsets[a : b + 1] - at, seed, width)
+            found.append((first + at, count, named, whole, doc + a))
+        self.first, self.count, self.hash, self.whole, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    @staticmethod
+    def _block(data: np.ndarray, offsets: np.ndarray, seed: int, width: int) -> tuple[np.ndarray, ...]:
+        if len(data) >= 1 << PLACE_BITS:
+            raise ValueError(f"a text holds over {1 << PLACE_BITS} bytes")
+        if len(data) < width:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, U, U, np.int64))
+        value = BYTE_VALUE[data]
+        h = windows_hash(value, seed)
         least = h >> U(PLACE_BITS) << U(PLACE_BITS) | np.arange(len(h), dtype=U)
         span, pieces = 1, width - seed + 1
         while span * 2 <= pieces:
@@ -47,14 +55,17 @@ class Pieces:
         if span < pieces:
             least = np.minimum(least[: span - pieces], least[pieces - span :])
         named = (least & U((1 << PLACE_BITS) - 1)).astype(np.int64)
-        doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
-        inside = doc[: len(named)] == doc[width - 1 :]
+        inside = np.zeros(len(named) + 1, dtype=np.int32)
+        whole = offsets[:-1][np.diff(offsets) >= width]
+        np.add.at(inside, whole, 1)
+        np.add.at(inside, offsets[1:][np.diff(offsets) >= width] - width + 1, -1)
+        inside = np.cumsum(inside[:-1]) > 0
         fresh = inside.copy()
         fresh[1:] &= ~(inside[:-1] & (named[1:] == named[:-1]))
-        self.first = np.flatnonzero(fresh)
+        first = np.flatnonzero(fresh)
         before = np.concatenate([[0], np.cumsum(inside)])
-        self.count = before[np.append(self.first[1:], len(named))] - before[self.first] if len(self.first) else np.zeros(0, np.int64)
-        self.hash, self.doc = h[named[self.first]], doc[self.first]
+        count = before[np.append(first[1:], len(named))] - before[first] if len(first) else np.zeros(0, np.int64)
+        return first, count, h[named[first]], spans_hash(value, first, first + count + width - 1), np.searchsorted(offsets, first, side="right") - 1
 
 
 def gather(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -66,7 +77,7 @@ def gather(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The suffixes of some segments, sorted to `width` symbols, and the symbol before each (0 ends a segment, then it starts anew)."""
+    """The suffixes of some segments, sorted to `width` symbols, and the one and the two symbols before each (0 ends a segment, then it starts anew)."""
 
     def __init__(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, width: int) -> None:
         total = length + 1
@@ -87,28 +98,29 @@ class Shard:
             at = jump[at]
         for key in reversed(keys):
             order = order[np.argsort(key[order], kind="stable")]
-        self.order, self.bwt = order, symbols[before[order]]
+        last = before[order]
+        self.order, self.bwt, self.bwt2 = order, symbols[last], pair[before[last]]
 
 
 def merge(a: Shard, b: Shard, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the merged suffixes: row (a's rows, then b's), and the number of the interval whose `width` symbols agree."""
-    both = np.concatenate([a.bwt, b.bwt])
-    n, split = len(both), len(a.bwt)
+    one, two = np.concatenate([a.bwt, b.bwt]), np.concatenate([a.bwt2, b.bwt2])
+    n, split = len(one), len(a.bwt)
     side = np.zeros(n, dtype=bool)
     side[split:] = True
     interval, place = np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
 
     def rows() -> np.ndarray:
         upto = np.cumsum(side, dtype=np.int32)
-        return np.where(side, split + upto - 1, place - upto)
+        return np.where(side, upto + np.int32(split - 1), place - upto)
 
-    for _ in range(width):
-        symbol = both[rows()]
-        order = np.argsort(symbol, kind="stable")
+    # a pass by the symbol before sorts suffixes by one symbol more, a pass by the two before by two more
+    for symbols in [one] * (width % 2) + [two] * (width // 2):
+        symbol = symbols[rows()]
+        order = np.argsort(symbol, kind="stable").astype(np.int32)
         side, symbol, old = side[order], symbol[order], interval[order]
-        cut = np.zeros(n, dtype=np.int32)
-        cut[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        np.cumsum(cut, out=interval)
+        cut = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
+        np.cumsum(cut, out=interval[1:])
     return rows(), interval
 
 
@@ -142,8 +154,11 @@ def least_starts(data: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np
     return out
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """For each document: bytes, bytes and runs removed, and what is left (as text, without the halves of cut characters)."""
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, as_text: bool = False) -> DataFrame:
+    """For each document: bytes, bytes and runs removed, and what is left.
+
+    With as_text, also kept_text, without the halves of cut characters, and the columns of docs other than the new ones.
+    """
     if not 2 <= seed <= width:
         raise ValueError("a window must hold a piece")
 
@@ -170,9 +185,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     def segments(p: Pieces, hit: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Of the pieces that hit: their indices, each one's number among the distinct segments; of these the first piece and bucket, in order."""
         at = np.flatnonzero(hit)
-        first, count = p.first[at], p.count[at]
-        name = np.stack([p.hash[at], spans_hash(p.value, first, first + count + width - 1)], axis=1)
-        order = np.lexsort((np.arange(len(at)), name[:, 1], name[:, 0]))
+        name = np.stack([p.hash[at], p.whole[at]], axis=1)
+        order = np.lexsort((name[:, 1], name[:, 0]))
         fresh = np.ones(len(at), dtype=bool)
         fresh[1:] = (name[order][1:] != name[order][:-1]).any(axis=1)
         number = np.empty(len(at), np.int64)
@@ -206,7 +220,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
         count = count.astype(np.int64)
         length = count + width - 1
         first = np.cumsum(length) - length
-        whole = spans_hash(BYTE_VALUE[data], first, first + length)
+        own = [np.cumsum(n) - n for n in np.split(length, np.cumsum(sizes)[:-1])]
+        whole = np.concatenate([spans_hash(BYTE_VALUE[x[2][3]], a, np.append(a[1:], len(x[2][3]))) for x, a in zip(letters, own, strict=True)])
         order = np.lexsort((doc, whole, name))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (name[order][1:] != name[order][:-1]) | (whole[order][1:] != whole[order][:-1])
@@ -244,10 +259,14 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
         inner = p.offsets[1:-1][(p.offsets[1:-1] > 0) & (p.offsets[1:-1] < len(gone))]
         extra = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
         spans = np.bincount(cell, minlength=len(doc)) + np.bincount(np.searchsorted(p.offsets, extra, side="right") - 1, minlength=len(doc))
-        kept = [p.data[a:b][~gone[a:b]].tobytes() for a, b in zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True)]
+        left = p.data[~gone].tobytes()
+        ends = (p.offsets - upto[p.offsets]).tolist()
+        kept = [left[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        texts = [x.decode(errors="ignore") for x in kept] if as_text else [None] * len(kept)
         return pa.Table.from_arrays(
-            [table["doc_id"].cast(pa.int64()), pa.array(np.diff(p.offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") for x in kept], pa.string())],
+            [table["doc_id"].cast(pa.int64()), pa.array(np.diff(p.offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"],
         )
 
-    return two_rounds(docs, ask, answer, ask_again, answer_again, decide, SCHEMA)
+    new = {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"}
+    return two_rounds(docs, ask, answer, ask_again, answer_again, decide, SCHEMA, [c for c in docs.columns if c not in new] if as_text else [])

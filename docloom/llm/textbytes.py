@@ -106,3 +106,12 @@ def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, starts + width, -1)
     return np.cumsum(step)[:n] > 0
+
+
+def doc_blocks(offsets: np.ndarray, size: int = 128_000):
+    """Ranges (a, b) of consecutive texts of about `size` bytes together; a longer text is alone."""
+    a, last = 0, len(offsets) - 1
+    while a < last:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield a, b
+        a = b

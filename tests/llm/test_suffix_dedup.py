@@ -39,9 +39,10 @@ def make(seed, letters, n):
 def test_against_brute_force(spark):
     for seed, letters in ((1, "abcdefghijklmnop éßñ"), (2, "ab")):
         rows = make(seed, letters, 150)
-        got = suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+        got = suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), as_text=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "source", "chunk").collect()
         want = brute(rows, 50)
         assert {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in got} == want
+        assert all(r[6:] == ("s", "x") for r in got)
         assert all(bytes(r[4]).decode(errors="ignore") == r[5] for r in got)
         assert sum(x[1] for x in want.values()) > 2000
 
