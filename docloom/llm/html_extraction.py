@@ -336,6 +336,8 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[str]:
         before = [f() for f, share in ((head, 0.5), (menu, 0.7), (notice, 0.25), (advert, 0.4), (sidebar, 0.2), (form, 0.15)) if rng.random() < share]
         after = [f() for f, share in ((advert, 0.2), (comments, 0.35), (sidebar, 0.3), (form, 0.15), (menu, 0.15), (notice, 0.1), (foot, 0.8)) if rng.random() < share]
         rng.shuffle(before)
+        if rng.random() < 0.08:  # nothing but the article
+            before, after = [], []
         middle = "".join([*before, article, *after])
         if rng.random() < 0.3:
             middle = f"<div{rng.choice(('', ' id=page', ' class=wrapper', ' class=container'))}>{middle}</div>"
