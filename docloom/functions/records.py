@@ -38,7 +38,7 @@ def top_mean(scores: Column, n: int = 3) -> Column:
 
 def answer_confidence(scores: Column, density: Column) -> Column:
     """From the best scores and the citation density; 0.5 without either."""
-    relevance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (top_mean(scores) + 5) / 10))
+    relevance = F.when(F.size(scores) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (top_mean(scores) + 5) / 10)))
     cited = F.when(density > 0, F.least(F.lit(1.0), density / 3))
     both = F.when(relevance.isNotNull() & cited.isNotNull(), (relevance + cited) / 2).otherwise(F.coalesce(relevance, cited, F.lit(0.5)))
     return F.bround(both, 2)

@@ -97,7 +97,7 @@ PARTS = {"docx": r"^word/document\.xml$", "pptx": r"^ppt/slides/slide\d+\.xml$",
 def rtf(files: DataFrame) -> DataFrame:
     """Text of RTF without its control words."""
     raw = F.decode("content", "ISO-8859-1")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\\par[d]?\b", "\n"), r"\\'[0-9a-fA-F]{2}|\\[a-zA-Z]+-?\d* ?|[{}]", ""), r"\n{2,}", "\n")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\\pard?\b ?", "\n"), r"\\'[0-9a-fA-F]{2}|\\[a-zA-Z]+-?\d* ?|[{}]", ""), r"\n{2,}", "\n")
     return files.select("path", F.trim(text).alias("text"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
