@@ -246,3 +246,15 @@ def ownership(user: str | None, material_ids: list[str] | None = None, notebook:
 def owned(owner: Column, user: str, strict: bool = True) -> Column:
     """the row is the user's; without strict, rows of nobody pass as well."""
     return owner == user if strict else owner.isNull() | (owner == "") | (owner == user)
+
+
+def organic_results(raw: Column) -> Column:
+    """Title, link and snippet of each result of a search service's answer, with empty defaults."""
+    parsed = F.from_json(raw, "organic_results array<struct<title:string,link:string,snippet:string>>")["organic_results"]
+    items = F.transform(parsed, lambda r: F.struct(*[F.coalesce(r[k], F.lit("")).alias(k) for k in ("title", "link", "snippet")]))
+    return F.coalesce(items, F.array().cast("array<struct<title:string,link:string,snippet:string>>"))
+
+
+def distinct_tools(steps: Column, used: Column) -> Column:
+    """Names of tools from both lists, once each, without empty ones."""
+    return F.filter(F.array_union(steps, used), lambda x: F.coalesce(x, F.lit("")) != "")

@@ -182,8 +182,8 @@ def human_size(c: Column) -> Column:
     """Bytes as B, KB or MB."""
     return (
         F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-        .when(c < 1024 * 1024, F.concat(F.format_string("%.1f", c / 1024), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.1f", c / 1048576), F.lit(" MB")))
+        .when(c < 1024 * 1024, F.concat(F.format_string("%.1f", F.bround(c / 1024, 1)), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", F.bround(c / 1048576, 1)), F.lit(" MB")))
     )
 
 

@@ -124,3 +124,42 @@ def export(session: DataFrame, chapters: DataFrame, segments: DataFrame, bookmar
     out = nested(out, doubts, key, ["paused_at_segment"], "doubts", ["paused_at_segment", "question", "answer"])
     meta = [c for c in session.columns]
     return out.select(key, F.to_json(F.struct(F.struct(*meta).alias("session_metadata"), "chapters", "segments", "doubts")).alias("json"))
+
+
+def children_of(rows: DataFrame, parents: DataFrame, on: str, where: Column) -> DataFrame:
+    """Rows whose parent satisfies a condition."""
+    return rows.join(parents.filter(where).select(on), on, "left_semi")
+
+
+def with_ancestors(rows: DataFrame, *links: tuple[DataFrame, str]) -> DataFrame:
+    """Rows with their parent's columns, and the parent's parent's, along (table, key) links."""
+    for table, key in links:
+        rows = rows.join(table, key)
+    return rows
+
+
+def zipped(left: DataFrame, right: DataFrame, by: str, order: str, how: str = "inner") -> DataFrame:
+    """Rows of both sides that stand at the same place of their group."""
+    place = lambda t: t.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).drop(order)
+    return place(left).join(place(right), [by, "place"], how)
+
+
+def merged(*results: DataFrame) -> DataFrame:
+    """Results of several searches one after the other, marked by their number."""
+    marked = [r.withColumn("angle", F.lit(i)) for i, r in enumerate(results)]
+    out = marked[0]
+    for r in marked[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def missing_from(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows that weren't chosen, repeats counted."""
+    return rows.exceptAll(chosen)
+
+
+def drafts(materials: DataFrame, notebook: str = "notebook_id", wanted: str | None = "draft") -> DataFrame:
+    """materials of one notebook, of none (draft), or all (None)."""
+    if wanted is None:
+        return materials
+    return materials.filter(F.col(notebook).isNull() if wanted == "draft" else F.col(notebook) == wanted)

@@ -736,3 +736,132 @@ def _(spark, d):
 @register("q_template", "SELECT item_id, 'Q: ' || text || ' (' || item_id || ')' AS prompt FROM benchmark")
 def _(spark, d):
     return t(spark, d, "benchmark").select("item_id", text.filled_template("Q: {{question}} ({{id}})", {"id": F.col("item_id").cast("string"), "question": F.col("text")}).alias("prompt"))
+
+
+@register("q_drafts", "SELECT doc_id FROM documents WHERE nullif(lang, 'fr') IS NULL ORDER BY doc_id DESC")
+def _(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("notebook_id"))
+    return sessions.drafts(rows).select("doc_id").orderBy(F.desc("doc_id"))
+
+
+@register("q_children_of_owner", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 7)")
+def _(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return sessions.children_of(rows, t(spark, d, "orders"), "o_orderkey", F.col("o_custkey") == 7).select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber")
+
+
+@register("q_owner_chain", "SELECT l_orderkey, l_linenumber, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND l_quantity > 45")
+def _(spark, d):
+    rows = t(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    orders = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    found = sessions.with_ancestors(rows, (orders, "o_orderkey"), (t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"))
+    return found.filter("c_mktsegment = 'BUILDING'").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "c_name")
+
+
+@register("q_zip_by_place", "SELECT u.conv_id, u.k::INT AS place, u.text AS question, a.text AS answer FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE role = 'user') u JOIN (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.k = a.k")
+def _(spark, d):
+    side = lambda role, name: t(spark, d, "conversations").filter(F.col("role") == role).select("conv_id", "turn", F.col("text").alias(name))
+    return sessions.zipped(side("user", "question"), side("assistant", "answer"), "conv_id", "turn")
+
+
+@register("q_union_of_angles", "SELECT doc_id, 0 AS angle FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'de'")
+def _(spark, d):
+    rows = t(spark, d, "documents")
+    return sessions.merged(rows.filter("source = 'src1'").select("doc_id"), rows.filter("lang = 'de'").select("doc_id"))
+
+
+@register("q_difference", "SELECT source, lang FROM documents EXCEPT ALL SELECT source, lang FROM documents WHERE n_chars > 1000")
+def _(spark, d):
+    rows = t(spark, d, "documents")
+    return sessions.missing_from(rows.select("source", "lang"), rows.filter("n_chars > 1000").select("source", "lang"))
+
+
+@register("q_source_counts", "SELECT source, count(*)::BIGINT AS n FROM documents GROUP BY source")
+def _(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("q_text_by_source", "SELECT source, string_agg(left(text, 50), chr(10) || '---' || chr(10) ORDER BY doc_id) AS joined FROM documents GROUP BY source")
+def _(spark, d):
+    rows = t(spark, d, "documents").select("source", F.struct("doc_id", F.substring("text", 1, 50).alias("head")).alias("x"))
+    return rows.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["head"]), "\n---\n").alias("joined"))
+
+
+@register("q_upload_checks", "SELECT event_id, CASE WHEN size > 26214400 THEN 'too large' WHEN size = 0 THEN 'empty' WHEN ext = '.exe' THEN 'blocked extension' WHEN ext = '.x' THEN 'blocked type' END AS problem FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id * 10000 END AS size, ['.pdf', '.exe', '.x'][event_id % 3 + 1] AS ext FROM events)")
+def _(spark, d):
+    k = (F.col("event_id") % 3).cast("int")
+    name, mime = F.get(F.array(F.lit("a.pdf"), F.lit("B.EXE"), F.lit("c.x")), k), F.get(F.array(F.lit("application/pdf"), F.lit("x"), F.lit("application/x-sh")), k)
+    size = F.when(F.col("event_id") % 7 == 0, 0).otherwise(F.col("event_id") * 10000)
+    return t(spark, d, "events").select("event_id", records.upload_problem(name, size, mime, (".exe",), ("application/x-sh",)).alias("problem"))
+
+
+@register("q_valid_items", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS n FROM events")
+def _(spark, d):
+    raw = F.when(F.col("event_id") % 2 == 0, '[{"q": "a", "o": ["1", "2"]}, {"q": null, "o": ["1", "2"]}, {"q": "c", "o": ["1"]}]').otherwise('[{"q": "a", "o": ["1", "2"]}, {"q": "b", "o": ["1", "2", "3"]}]')
+    items = records.valid_items(raw, "array<struct<q:string,o:array<string>>>", lambda x: x["q"].isNotNull() & F.size(x["o"]).between(2, 6))
+    return t(spark, d, "events").select("event_id", F.size(items).alias("n"))
+
+
+@register("q_half_open_month", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'")
+def _(spark, d):
+    first, following = records.month_bounds(F.lit("2024-01-15").cast("date"))
+    return t(spark, d, "events").filter((F.col("ts") >= first) & (F.col("ts") < following)).select("event_id")
+
+
+@register("q_search_terms", r"SELECT item_id, trim(left(text, 20)) || ' notes' AS text_part, 'pdf' AS file_type FROM benchmark WHERE left(text, 20) NOT LIKE '%  %' AND left(text, 20) NOT LIKE '%' || chr(10) || '%'")
+def _(spark, d):
+    head = F.substring("text", 1, 20)
+    rows = t(spark, d, "benchmark").filter(~head.contains("  ") & ~head.contains("\n"))
+    found = records.search_terms(F.concat(head, F.lit(" filetype:PDF notes")))
+    return rows.select("item_id", found["text"].alias("text_part"), found["file_type"].alias("file_type"))
+
+
+@register("q_distinct_tools", "SELECT event_id, CASE event_type WHEN 'view' THEN 'rag' ELSE 'rag,' || event_type END AS tools FROM events")
+def _(spark, d):
+    steps, used = F.array(F.lit("rag"), F.lit("")), F.array(F.when(F.col("event_type") == "view", F.lit("rag")).otherwise(F.col("event_type")))
+    return t(spark, d, "events").select("event_id", F.array_join(records.distinct_tools(steps, used), ",").alias("tools"))
+
+
+@register("q_source_names", "SELECT l.doc_id, coalesce(d.source, 'Source-' || left(l.doc_id::VARCHAR, 8)) AS name FROM labels l LEFT JOIN (SELECT doc_id, nullif(source, 'src1') AS source FROM documents) d USING (doc_id)")
+def _(spark, d):
+    names = t(spark, d, "documents").select("doc_id", F.nullif("source", F.lit("src1")).alias("name"))
+    return t(spark, d, "labels").join(names, "doc_id", "left").select("doc_id", records.named_or_id(F.col("name"), F.col("doc_id").cast("string")).alias("name"))
+
+
+@register("q_kth_equal", "SELECT a.event_id AS left_id, b.event_id AS right_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id = 1) a JOIN (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id = 2) b ON a.event_type = b.event_type AND a.k = b.k")
+def _(spark, d):
+    side = lambda user, name: t(spark, d, "events").filter(F.col("user_id") == user).select("event_type", F.col("event_id").alias(name))
+    return sessions.k_th_equal(side(1, "left_id"), side(2, "right_id"), "event_type", "left_id", "right_id").select("left_id", "right_id")
+
+
+@register("q_markdown_tables", "SELECT n_nationkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS md FROM nation")
+def _(spark, d):
+    rows = F.array(F.array(F.lit("key"), F.lit("name")), F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit("cut")), F.array(F.lit(""), F.lit("")))
+    return t(spark, d, "nation").select("n_nationkey", text.markdown_table(rows, escape=True).alias("md"))
+
+
+@register("q_plain_context", "SELECT conv_id, string_agg('---- SOURCE ' || k || ' ----' || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id")
+def _(spark, d):
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t(spark, d, "conversations").groupBy("conv_id").agg(texts.alias("texts")).select("conv_id", retrieve.plain_context(F.col("texts")).alias("context"))
+
+
+@register("q_lead_summary", r"SELECT doc_id, CASE WHEN len(s) <= 4 THEN text ELSE array_to_string(s[1:4], ' ') || ' …' END AS summary FROM (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.lead_summary(F.col("text")).alias("summary"))
+
+
+@register("q_word_repeat_top", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 3")
+def _(spark, d):
+    return sessions.first_n(t(spark, d, "documents").select("lang", "doc_id", "n_chars"), "lang", [F.desc("n_chars"), F.col("doc_id")], 3).select("lang", "doc_id")
+
+
+@register("q_web_results", "SELECT page_id, 'https://e.org/' || page_id AS link FROM pages")
+def _(spark, d):
+    html = F.concat(F.lit('<a class="result__a" href="//x?uddg=https%3A%2F%2Fe.org%2F'), F.col("page_id").cast("string"), F.lit('&r=1">t</a>'))
+    return t(spark, d, "pages").select("page_id", F.explode(records.search_results(html)).alias("link"))
+
+
+@register("q_nul_free", "SELECT doc_id, text FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.without_nulls(F.concat(F.lit("\u0000"), F.col("text"))).alias("text"))
