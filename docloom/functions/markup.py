@@ -29,8 +29,8 @@ def sections_of(text: str) -> list[tuple[str | None, int, str]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("title", "string").add("level", "integer").add("content", "string")))
 def heading_sections(text: pd.Series) -> pd.Series:
-    """T03"""
-    return text.map(lambda t: [{"title": a, "level": b, "content": c} for a, b, c in sections_of(t or "")])
+    """T03; null for null."""
+    return text.map(lambda t: None if t is None else [{"title": a, "level": b, "content": c} for a, b, c in sections_of(t)])
 
 
 def blocks_of(text: str) -> list[str]:

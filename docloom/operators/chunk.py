@@ -26,10 +26,11 @@ def section_chunks(title: Column, content: Column, semantic: bool) -> Column:
     return F.transform(pieces, lambda t: F.struct(title.cast("string").alias("title"), t.alias("text")))
 
 
-def quality(chunks: DataFrame, key: str, order: str = "pos") -> DataFrame:
-    """good chunks; where a document has none, its best three by letters among those over 50 characters."""
+def quality(chunks: DataFrame, key: str, order: str = "pos", always: Column | None = None) -> DataFrame:
+    """good chunks, and those of `always`; where a document has none, its best three by letters among those over 50 characters."""
     doc = Window.partitionBy(key)
-    marked = chunks.withColumn("good", good_chunk(F.col("text"))).withColumn("long", F.length("text") > 50)
+    good = good_chunk(F.col("text")) if always is None else good_chunk(F.col("text")) | always
+    marked = chunks.withColumn("good", good).withColumn("long", F.length("text") > 50)
     marked = marked.withColumn("any_good", F.max("good").over(doc))
     best = Window.partitionBy(key, "long").orderBy(F.desc(alpha_ratio(F.col("text"))), order)
     marked = marked.withColumn("place", F.row_number().over(best))
@@ -37,15 +38,16 @@ def quality(chunks: DataFrame, key: str, order: str = "pos") -> DataFrame:
 
 
 def chunk(docs: DataFrame, key: str = "doc_id", structured: Column | None = None, semantic: bool = True) -> DataFrame:
-    """Key, chunk_index, total_chunks, section_title, text. Documents marked `structured` are cut at their === lines."""
+    """Key, chunk_index, total_chunks, section_title, text. Documents marked `structured` are cut at their === lines.
+
+    One scan and one shuffle by key; only texts with headings go through Python.
+    """
     source = docs.select(key, F.col("text"), (structured if structured is not None else F.lit(False)).alias("structured"))
-    headed = has_heading(F.col("text"))
-    plain = source.filter(~F.col("structured") & ~headed).select(key, section_chunks(F.lit(None), F.col("text"), semantic).alias("chunks"))
-    tables = source.filter("structured").select(key, structured_chunks(F.col("text")).alias("chunks"))
-    marked = source.filter(~F.col("structured") & headed).select(key, heading_sections("text").alias("sections"))
-    marked = marked.select(key, F.flatten(F.transform("sections", lambda s: section_chunks(s["title"], s["content"], semantic))).alias("chunks"))
-    prose = plain.unionByName(marked).select(key, F.posexplode("chunks").alias("pos", "c")).select(key, "pos", "c.*")
-    rows = quality(prose, key).unionByName(tables.select(key, F.posexplode("chunks").alias("pos", "c")).select(key, "pos", "c.*"))
+    source = source.withColumn("sections", heading_sections(F.when(~F.col("structured") & has_heading(F.col("text")), F.col("text"))))
+    marked = F.flatten(F.transform("sections", lambda s: section_chunks(s["title"], s["content"], semantic)))
+    chunks = F.when(F.col("structured"), structured_chunks(F.col("text"))).when(F.col("sections").isNotNull(), marked).otherwise(section_chunks(F.lit(None), F.col("text"), semantic))
+    rows = source.select(key, "structured", F.posexplode(chunks).alias("pos", "c")).select(key, "structured", "pos", "c.*")
+    rows = quality(rows, key, always=F.col("structured"))
     order = Window.partitionBy(key).orderBy("pos")
     return rows.select(
         key,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.records import cosine, named_or_id, sigmoid
 from ..functions.text import lead_summary, token_count
 
-FINAL, MOST_PER_SOURCE, CUT = 10, 3, 50_000
+FINAL, MOST_PER_SOURCE, CUT, QUERIES_SENT = 10, 3, 50_000, 10_000
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, key: str = "vec_id") -> DataFrame:
@@ -25,9 +25,11 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
 def top_k_of(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] | None = None, key: str = "vec_id") -> DataFrame:
     """For each (query_id, query) the k most similar rows, or k of each group of `per`.
 
-    Queries are a small stated set; each partition of vectors keeps only its best k of a query before the shuffle.
+    Queries are a stated set, broadcast if it is small; each task keeps only its best k of a query before the shuffle (Spark
+    limits a ranked window's groups early).
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
+    asked = F.broadcast(queries) if queries.limit(QUERIES_SENT + 1).count() <= QUERIES_SENT else queries
+    pairs = vectors.crossJoin(asked).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
     groups = ["query_id", *(per or [])]
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("similarity"), key))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("query")
