@@ -73,9 +73,9 @@ def count_models(docs: DataFrame, good: DataFrame) -> tuple[Model, Model]:
             data, offsets = text_bytes(batch.column(0))
             side = np.array([0 if g else 1 for g in batch.column(1).to_pylist()], np.int64)
             for word, pair, doc, context in numbers(data, offsets):
-                for k in (0, 1):
-                    mine = side[doc] == k
-                    table[k] += np.bincount(np.concatenate([word[mine], VOCABULARY + pair[mine], VOCABULARY + PAIRS + context[mine]]), minlength=size)
+                base = side[doc] * size
+                for start, number in ((0, word), (VOCABULARY, pair), (VOCABULARY + PAIRS, context)):
+                    np.add.at(table.reshape(-1), base + start + number, 1)
         if table.any():
             group = TaskContext.get().partitionId() % GROUPS
             for s in range(SLICES):
