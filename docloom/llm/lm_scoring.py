@@ -65,7 +65,9 @@ def count_models(docs: DataFrame, good: DataFrame) -> tuple[Model, Model]:
     """Target and background model from docs (doc_id, text) and the doc_ids of the target."""
     size = VOCABULARY + PAIRS + VOCABULARY + 1
     edges = np.linspace(0, size, SLICES + 1).astype(np.int64)
-    marked = docs.select("doc_id", "text").join(good.select("doc_id").distinct().withColumn("good", F.lit(True)), "doc_id", "left").select(F.col("text").cast("string").alias("text"), "good")
+    # merged at every size: the target's ids grow with the corpus, so they are never broadcast
+    target = good.select("doc_id").distinct().withColumn("good", F.lit(True)).hint("merge")
+    marked = docs.select("doc_id", "text").join(target, "doc_id", "left").select(F.col("text").cast("string").alias("text"), "good")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, size), np.int64)
