@@ -1,116 +1,122 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background model of the same order, smoothing and hashed vocabulary are counted over the whole corpus: the
+A target and a background bigram model with the same order, smoothing and vocabulary are counted over the whole corpus: the
 target over documents that the labels call good, the background over all others. A document's score is the mean over its
 words of (target loss - background loss): below 0, the target model expects it better.
 
-Words are ASCII-lower-cased and hashed to `VOCABULARY` numbers, pairs of words to `PAIRS`; so the models have a fixed size
-however large the corpus, every word is counted, and only the summed tables (a few MB) reach the driver. Each task sums
-its own documents; tables are summed slice by slice, in two steps, so that no task gets a part from every other task.
+Words are ASCII-lower-cased. The vocabulary is every distinct word of the corpus, and every word, context and pair of words
+has its exact count on either side, so the tables grow with the corpus; they never leave the executors. Each chunk of
+documents sends the counts of its distinct words, contexts and pairs to the buckets of their 64-bit hashes; a bucket adds
+them up over all chunks and returns the sums that the chunk asked for, with its share of the corpus' totals. A word that
+fills the corpus costs one entry for each chunk.
 
 Empty cases: a null or blank text has no words and losses of 0; null labels or doc_ids count as background; without target
-documents the target model is the smoothing alone; extra columns are ignored; an empty table gives an empty result.
+documents the target model is the smoothing alone; rows that repeat a doc_id are scored each by itself; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .rounds import bucket_of, mail, one_round
 from .textbytes import BYTE_VALUE, U, mix, spans_hash, text_bytes, words
 
-VOCABULARY, PAIRS, SLICES, GROUPS = 1 << 17, 1 << 20, 32, 16
 SHARE, SMOOTHING, START = 0.7, 0.1, 0x5BD1E995
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-
-
-def numbers(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For some consecutive texts at a time: word numbers, pair numbers, text of each word, first word of each pair (or VOCABULARY)."""
-    a, last = 0, len(offsets) - 1
-    while a < last:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 300_000, side="right")) - 1)
-        part, cuts = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-        starts, ends, doc = words(part, cuts)
-        h = spans_hash(BYTE_VALUE[part], starts, ends)
-        before = np.concatenate([np.full(1, START, U), h[:-1]])[: len(h)]
-        first = np.diff(doc, prepend=-1) != 0
-        before[first] = START
-        word = (h % U(VOCABULARY)).astype(np.int64)
-        context = np.concatenate([np.full(1, VOCABULARY), word[:-1]])[: len(h)]
-        context[first] = VOCABULARY
-        yield word, (mix(h ^ before * U(0x9E3779B97F4A7C15)) % U(PAIRS)).astype(np.int64), doc + a, context
-        a = b
-
-
-@dataclass
-class Model:
-    word: np.ndarray  # counts of word numbers
-    pair: np.ndarray  # counts of pair numbers
-    context: np.ndarray  # times each word number (or the start) comes before another word
-
-    def loss(self, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """-log of the interpolated probability of each word."""
-        alone = (self.word[word] + SMOOTHING) / (self.word.sum() + SMOOTHING * VOCABULARY)
-        seen = self.context[context]
-        return -np.log((1 - SHARE) * alone + SHARE * np.where(seen > 0, np.minimum(self.pair[pair], seen) / np.maximum(seen, 1), alone))
-
-
-def count_models(docs: DataFrame, good: DataFrame) -> tuple[Model, Model]:
-    """Target and background model from docs (doc_id, text) and the doc_ids of the target."""
-    size = VOCABULARY + PAIRS + VOCABULARY + 1
-    edges = np.linspace(0, size, SLICES + 1).astype(np.int64)
-    # merged at every size: the target's ids grow with the corpus, so they are never broadcast
-    target = good.select("doc_id").distinct().withColumn("good", F.lit(True)).hint("merge")
-    marked = docs.select("doc_id", "text").join(target, "doc_id", "left").select(F.col("text").cast("string").alias("text"), "good")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, size), np.int64)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            side = np.array([0 if g else 1 for g in batch.column(1).to_pylist()], np.int64)
-            for word, pair, doc, context in numbers(data, offsets):
-                base = side[doc] * size
-                for start, number in ((0, word), (VOCABULARY, pair), (VOCABULARY + PAIRS, context)):
-                    np.add.at(table.reshape(-1), base + start + number, 1)
-        if table.any():
-            group = TaskContext.get().partitionId() % GROUPS
-            for s in range(SLICES):
-                yield pa.RecordBatch.from_pydict({"slice": [s], "grp": [group], "counts": [table[:, edges[s] : edges[s + 1]].tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("grp", pa.int32()), ("counts", pa.binary())]))
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"slice": table["slice"][:1], "grp": table["grp"][:1], "counts": pa.array([total.tobytes()], pa.binary())}, schema=pa.schema([("slice", pa.int32()), ("grp", pa.int32()), ("counts", pa.binary())]))
-
-    kind = "slice int, grp int, counts binary"
-    parts = marked.mapInArrow(count, kind).groupBy("slice", "grp").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind)
-    total = np.zeros((2, size), np.int64)
-    for row in parts.collect():  # SLICES rows: the summed tables, of fixed size
-        total[:, edges[row["slice"]] : edges[row["slice"] + 1]] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
-    cut = (VOCABULARY, VOCABULARY + PAIRS)
-    return tuple(Model(*np.split(t, cut)) for t in total)
-
-
-def score(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """doc_id, n_tokens, target_loss and background_loss (means over words), score (their difference)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            n = len(offsets) - 1
-            tokens, loss = np.zeros(n, np.int64), np.zeros((2, n))
-            for word, pair, doc, context in numbers(data, offsets):
-                tokens += np.bincount(doc, minlength=n)
-                for k in (0, 1):
-                    loss[k] += np.bincount(doc, weights=sent.value[k].loss(word, pair, context), minlength=n)
-            loss /= np.maximum(tokens, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """64-bit counts, their lowest bytes first, so that the many empty upper bytes compress away."""
+    return counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+class Grams:
+    """A chunk's documents as numbers: for each token its distinct word, context and pair."""
+
+    def __init__(self, table: pa.Table) -> None:
+        mark = table["mark"].to_numpy(zero_copy_only=False).astype(bool)
+        self.docs = table.filter(pa.array(~mark))
+        known = table.filter(pa.array(mark))["doc_id"].combine_chunks().drop_null()
+        good = pc.is_in(self.docs["doc_id"], value_set=known).to_numpy(zero_copy_only=False).astype(bool)
+        data, offsets = text_bytes(self.docs["text"])
+        data = LOWER[data]
+        starts, ends, self.doc = words(data, offsets)
+        parts, at = [np.zeros(0, U)], 0
+        while at < len(starts):  # hashes of some words at a time: the byte values take eight times the text
+            upto = max(at + 1, int(np.searchsorted(ends, starts[at] + 300_000, side="right")))
+            low = starts[at]
+            parts.append(spans_hash(BYTE_VALUE[data[low : ends[upto - 1]]], starts[at:upto] - low, ends[at:upto] - low))
+            at = upto
+        h = np.concatenate(parts)
+        vocabulary, word = np.unique(h, return_inverse=True)
+        n, first = len(vocabulary), np.diff(self.doc, prepend=-1) != 0
+        context = np.concatenate([np.full(1, n), word[:-1]])[: len(word)]
+        context[first] = n  # the start of a text
+        pairs, pair = np.unique(context * (n + 1) + word, return_inverse=True)
+        before = np.append(vocabulary, U(START))
+        keys = np.concatenate([mix(vocabulary, 1), mix(before, 2), mix(before[pairs // (n + 1)] * U(0x9E3779B97F4A7C15) ^ vocabulary[pairs % (n + 1)], 3)]) if n else np.zeros(0, U)
+        self.token = (word, context + n, pair + 2 * n + 1)  # numbers of each token's word, context and pair among keys
+        side = good[self.doc]
+        self.counts = [sum(np.bincount(x[side == wanted], minlength=len(keys)) for x in self.token).astype(np.int64) for wanted in (True, False)]
+        self.is_word = np.arange(len(keys)) < n
+        self.keys = keys
+
+    def dealt(self, buckets: int) -> list[np.ndarray]:
+        """The numbers of the keys of each bucket."""
+        bucket = bucket_of(self.keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+
+
+def cross_entropy_difference(docs: DataFrame, good: DataFrame, share: float = SHARE, smoothing: float = SMOOTHING) -> DataFrame:
+    """For each of docs (doc_id, text): n_tokens, target_loss and background_loss (means over words), score (their difference).
+
+    good: doc_ids of the target's documents.
+    """
+
+    def ask(table: pa.Table, chunk: int, buckets: int) -> pa.Table:
+        g = Grams(table)
+        return mail([(b, chunk, (g.keys[x], np.packbits(g.is_word[x]), *(packed(c[x]) for c in g.counts))) for b, x in enumerate(g.dealt(buckets))])
+
+    def answer(letters: list) -> list:
+        """Each key's counts of the whole corpus; the bucket's words by side, and the number of distinct words."""
+        sizes = [len(x[2][0]) for x in letters]
+        keys, number = np.unique(np.concatenate([x[2][0] for x in letters]), return_inverse=True)
+        is_word = np.zeros(len(keys), bool)
+        is_word[number] = np.concatenate([np.unpackbits(x[2][1], count=n).astype(bool) for x, n in zip(letters, sizes, strict=True)])
+        sums = []
+        for k in (2, 3):
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, number, np.concatenate([unpacked(x[2][k]) for x in letters]))
+            sums.append(total)
+        whole = (*(int(s[is_word].sum()) for s in sums), int(is_word.sum()))
+        cuts = np.cumsum([0, *sizes])
+        return [(x[1], x[0], (whole, *(packed(s[number[a:b]]) for s in sums))) for x, a, b in zip(letters, cuts[:-1], cuts[1:], strict=True)]
+
+    def decide(table: pa.Table, got: list, buckets: int) -> pa.Table:
+        g = Grams(table)
+        n, where = g.docs.num_rows, g.dealt(buckets)
+        counts = np.zeros((2, len(g.keys)), np.int64)
+        for _, bucket, (_, *sums) in got:
+            for k in (0, 1):
+                counts[k][where[bucket]] = unpacked(sums[k])
+        *tokens, distinct = (sum(x[2][0][k] for x in got) for k in range(3))
+        length, loss = np.bincount(g.doc, minlength=n), []
+        word, context, pair = g.token
+        for k in (0, 1):
+            alone = (counts[k][word] + smoothing) / (tokens[k] + smoothing * max(distinct, 1))
+            seen = counts[k][context]
+            p = (1 - share) * alone + share * np.where(seen > 0, counts[k][pair] / np.maximum(seen, 1), alone)
+            loss.append(np.bincount(g.doc, weights=-np.log(p), minlength=n) / np.maximum(length, 1))
+        return pa.Table.from_arrays([g.docs["doc_id"], pa.array(length), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return one_round(docs, good, ask, answer, decide, SCHEMA)

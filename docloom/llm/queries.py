@@ -93,7 +93,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 def remainder(folds: int) -> Column:
@@ -131,7 +131,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.count_models(docs, table(spark, sf_dir, "labels").filter("quality = 1")))
+    return lm_scoring.cross_entropy_difference(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

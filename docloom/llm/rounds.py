@@ -1,4 +1,4 @@
-"""Two rounds of question and answer between groups of documents ("chunks") and hash ranges ("buckets").
+"""Rounds of question and answer between groups of documents ("chunks") and hash ranges ("buckets").
 
 A chunk holds about CHUNK_BYTES of text, dealt by doc_id. In each round every chunk asks every bucket about the distinct
 hashes it holds (one packed row for each pair, so a key that fills the corpus counts once for each chunk), and each bucket
@@ -66,6 +66,41 @@ def dealt(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int, int]:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")), int(chunks), int(buckets)
 
 
+def back(kind: Callable[[list], list]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A bucket's replies to the letters it got; a letter to a receiver below 0 returns to its sender unread."""
+
+    def reply(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return pa.Table.from_arrays([table["sender"], table["receiver"], table["body"]], schema=MAIL_ARROW)
+        return mail(kind(letters(table)))
+
+    return reply
+
+
+def one_round(
+    docs: DataFrame,
+    marked: DataFrame,
+    ask: Callable[[pa.Table, int, int], pa.Table],
+    answer: Callable[[list], list],
+    decide: Callable[[pa.Table, list, int], pa.Table],
+    schema: str,
+) -> DataFrame:
+    """ask -> answer -> decide. The doc_ids of `marked` go to the chunks of their documents, as rows whose `mark` is true."""
+    rows, chunks, buckets = dealt(docs, [])
+    marks = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).cast("int").alias("chunk"))
+    rows = rows.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)))
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        return ask(in_order(table), key[0].as_py(), buckets)
+
+    def last(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+        return decide(in_order(table), letters(got), buckets)
+
+    by_chunk = rows.groupBy("chunk")
+    answered = by_chunk.applyInArrow(first, MAIL).groupBy("receiver").applyInArrow(back(answer), MAIL)
+    return by_chunk.cogroup(answered.groupBy("receiver")).applyInArrow(last, schema)
+
+
 def two_rounds(
     docs: DataFrame,
     ask: Callable[[pa.Table, int, int], pa.Table],
@@ -76,7 +111,7 @@ def two_rounds(
     schema: str,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """ask -> answer -> ask_again -> answer_again -> decide; a letter to a receiver below 0 returns to its sender unread.
+    """ask -> answer -> ask_again -> answer_again -> decide.
 
     Columns of docs named in `keep` are handed to the result, beside those that decide gives.
     """
@@ -86,14 +121,6 @@ def two_rounds(
     def first(key: tuple, table: pa.Table) -> pa.Table:
         return ask(in_order(table), key[0].as_py(), buckets)
 
-    def back(kind: Callable[[list], list]) -> Callable[[tuple, pa.Table], pa.Table]:
-        def reply(key: tuple, table: pa.Table) -> pa.Table:
-            if key[0].as_py() < 0:
-                return pa.Table.from_arrays([table["sender"], table["receiver"], table["body"]], schema=MAIL_ARROW)
-            return mail(kind(letters(table)))
-
-        return reply
-
     def second(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         return ask_again(in_order(table), letters(got), key[0].as_py(), buckets)
 

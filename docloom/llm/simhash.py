@@ -45,16 +45,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row for each row of docs; fp is the fingerprint's 64 bits as a signed number."""
+    """(doc_id, fp, text_hash): one row for each row of docs; fp is the fingerprint's 64 bits as a signed number."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             raw = data.tobytes()
             fps = [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(each, "doc_id long, fp long, text_hash long")
 
 
 def block_keys(radius: int) -> list[tuple[int, int]]:
@@ -157,11 +158,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFr
 
 
 def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to)."""
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to), text_hash (tells rows of one doc_id apart)."""
     spark = docs.sparkSession
     each = cut(spark, fingerprints(docs, shingle))
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("id"))
     named = distinct.filter("id IS NOT NULL")
     label = components(spark, links(named, radius))
     groups = distinct.join(label, "id", "left").select("fp", F.coalesce("label", "id").alias("component_id"))
-    return each.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")

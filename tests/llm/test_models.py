@@ -5,12 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import html_extraction as hx
 from docloom.llm import language_id, lm_scoring, toxicity
 from docloom.llm.queries import op5_toxicity, op7_language_id, op10_html_extraction
-from docloom.llm.textbytes import BYTE_VALUE, U, mix, spans_hash
+from docloom.llm.textbytes import U, mix
 from docloom.llm.vector_search import Tree, distances, nearest
 
 SF = "/root/testdata/sf0.01"
@@ -88,39 +89,51 @@ def test_lm_scores_against_a_loop(spark):
     rows = [(i, " ".join(rng.choice("abcdef" if i % 2 else "defghi") + rng.choice("xyZ") for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(100, None), (101, " "), (None, "ax by")]
     good = {i for i in range(1, 40, 2)}
     d = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, score string").repartition(3)
-    models = lm_scoring.count_models(d, spark.createDataFrame([(i,) for i in good] + [(1,), (None,)], "doc_id long"))
-    got = {r.doc_id: r for r in lm_scoring.score(d, models).collect()}
-
-    def keys(text):
-        out, before, context = [], lm_scoring.START, lm_scoring.VOCABULARY
-        for w in re.findall(r"[^ \t-\r]+", text or ""):
-            raw = np.frombuffer(w.lower().encode(), np.uint8)
-            h = int(spans_hash(BYTE_VALUE[raw], np.array([0]), np.array([len(raw)]))[0])
-            pair = int(mix(np.array([h ^ (before * 0x9E3779B97F4A7C15) % (1 << 64)], U))[0] % U(lm_scoring.PAIRS))
-            out.append((h % lm_scoring.VOCABULARY, pair, context))
-            before, context = h, h % lm_scoring.VOCABULARY
-        return out
+    targets = spark.createDataFrame([(i,) for i in good] + [(1,), (None,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(d, targets).collect()}
+
+    def tokens(text):
+        found = [w.lower() for w in re.findall(r"[^ \t-\r]+", text or "")]
+        return [(w, (before, w), (before,)) for before, w in zip([None, *found], found)]
 
     counts = [[{}, {}, {}] for _ in range(2)]
     for doc_id, text in rows:
-        for key in keys(text):
-            for table, k in zip(counts[0 if doc_id in good else 1], key, strict=True):
+        for token in tokens(text):
+            for table, k in zip(counts[0 if doc_id in good else 1], token, strict=True):
                 table[k] = table.get(k, 0) + 1
+    vocabulary = len(set(counts[0][0]) | set(counts[1][0]))
 
-    def loss(side, key):
+    def loss(side, token):
         w, p, c = counts[side]
-        alone = (w.get(key[0], 0) + lm_scoring.SMOOTHING) / (sum(w.values()) + lm_scoring.SMOOTHING * lm_scoring.VOCABULARY)
-        seen = c.get(key[2], 0)
-        return -math.log((1 - lm_scoring.SHARE) * alone + lm_scoring.SHARE * (min(p.get(key[1], 0), seen) / seen if seen else alone))
+        alone = (w.get(token[0], 0) + lm_scoring.SMOOTHING) / (sum(w.values()) + lm_scoring.SMOOTHING * vocabulary)
+        seen = c.get(token[2], 0)
+        return -math.log((1 - lm_scoring.SHARE) * alone + lm_scoring.SHARE * (p.get(token[1], 0) / seen if seen else alone))
 
     for doc_id, text in rows:
-        k = keys(text)
+        k = tokens(text)
         want = [sum(loss(side, x) for x in k) / max(len(k), 1) for side in (0, 1)]
         r = got[doc_id]
         assert r.n_tokens == len(k) and [r.target_loss, r.background_loss] == pytest.approx(want) and r.score == pytest.approx(want[0] - want[1])
     scored = [r for i, r in got.items() if i is not None and i < 60 and r.n_tokens > 5]
     assert np.mean([r.score for r in scored if r.doc_id % 2]) < np.mean([r.score for r in scored if not r.doc_id % 2])
-    assert lm_scoring.score(d.limit(0), models).count() == 0
+
+
+def test_lm_edges(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "y"), (None, "c " * 200_000, "z"), (3, "c a", None)], "doc_id long, text string, score string")
+    none, some = spark.createDataFrame([], "doc_id long"), spark.createDataFrame([(1,), (77,), (None,)], "doc_id long")
+    assert lm_scoring.cross_entropy_difference(docs.limit(0), some).count() == 0
+    assert lm_scoring.cross_entropy_difference(docs, none).count() == 5
+    got = sorted((r.doc_id or 0, r.n_tokens, round(r.score, 9)) for r in lm_scoring.cross_entropy_difference(docs, some).collect())
+    assert [x[:2] for x in got] == [(0, 200_000), (1, 2), (1, 2), (2, 0), (3, 2)]
+    assert got[1] == got[2] and got[1][2] < 0 < got[0][2] and got[3][2] == 0
+
+
+def test_lm_tables_grow_with_the_corpus():
+    def keys(n):
+        t = pa.table({"doc_id": pa.array([1]), "text": [" ".join(f"w{i}" for i in range(n))], "mark": [False]})
+        return len(lm_scoring.Grams(t).keys)
+
+    assert keys(1000) == 3001 and keys(5000) == 15001
 
 
 def test_vectors_against_brute_force(spark):
