@@ -20,8 +20,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group, that with the least doc_id (one row of it, if rows repeat); without a doc_id all stay."""
-    first = simhash(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = simhash(docs.select("doc_id", "text")).filter("doc_id = component_id")
+    first = first.groupBy(F.col("doc_id").alias("first_id")).agg(F.min("text_hash").alias("first_text"))
+    # between, not equal: the join's only key is doc_id, so dropDuplicates needs no second shuffle
+    own = (F.col("doc_id") == F.col("first_id")) & F.xxhash64("text").between(F.col("first_text"), F.col("first_text"))
+    named = docs.filter("doc_id IS NOT NULL").join(first, own, "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
