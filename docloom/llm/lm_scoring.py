@@ -6,9 +6,10 @@ words of (target loss - background loss): below 0, the target model expects it b
 
 Words are ASCII-lower-cased. The vocabulary is every distinct word of the corpus, and every word, context and pair of words
 has its exact count on either side, so the tables grow with the corpus; they never leave the executors. Each chunk of
-documents sends the counts of its distinct words, contexts and pairs to the buckets of their 64-bit hashes; a bucket adds
-them up over all chunks and returns the sums that the chunk asked for, with its share of the corpus' totals. A word that
-fills the corpus costs one entry for each chunk.
+documents sends the counts of its distinct words, contexts and pairs to the buckets of their hashes (a key is known by its
+bucket and 48 more bits); a bucket adds them up over all chunks and returns the sums that the chunk asked for. A word that
+fills the corpus costs one entry for each chunk. All words together are one more key; the driver gets only the number of
+distinct words.
 
 Empty cases: a null or blank text has no words and losses of 0; null labels or doc_ids count as background; without target
 documents the target model is the smoothing alone; rows that repeat a doc_id are scored each by itself; extra columns are
@@ -17,26 +18,58 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .rounds import bucket_of, mail, one_round
-from .textbytes import BYTE_VALUE, U, mix, spans_hash, text_bytes, words
+from .rounds import bucket_of, mail, one_round, split_at
+from .textbytes import BYTE_VALUE, U, doc_blocks, mix, spans_hash, text_bytes, words
 
-SHARE, SMOOTHING, START = 0.7, 0.1, 0x5BD1E995
+SHARE, SMOOTHING = 0.7, 0.1
+#: Keys of the start of a text and of all words.
+START, ALL = U(0x5BD1E995), U(0x2545F4914F6CDD1D)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """64-bit counts, their lowest bytes first, so that the many empty upper bytes compress away."""
-    return counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(numbers: np.ndarray) -> tuple[int, bytes]:
+    """64-bit numbers, their bytes of equal weight together, so that small ones compress well."""
+    planes = numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers), pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(body: tuple[int, bytes]) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(body[1], 8 * body[0], "zstd"), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, some at a time: the byte values take eight times the text."""
+    parts, at = [np.zeros(0, U)], 0
+    while at < len(starts):
+        low, upto = starts[at], max(at + 1, int(np.searchsorted(ends, starts[at] + 300_000, side="right")))
+        parts.append(spans_hash(BYTE_VALUE[data[low : ends[upto - 1]]], starts[at:upto] - low, ends[at:upto] - low))
+        at = upto
+    return np.concatenate(parts)
+
+
+def vocabulary_size(docs: DataFrame) -> int:
+    """Number of distinct words of the corpus."""
 
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, U)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in doc_blocks(offsets, 2_000_000):
+                part = LOWER[data[offsets[a] : offsets[b]]]
+                known = np.union1d(known, word_hashes(part, *words(part, offsets[a : b + 1] - offsets[a])[:2]))
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64))], names=["word"])
 
-def unpacked(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(distinct, "word long").distinct().count()
 
 
 class Grams:
@@ -50,31 +83,24 @@ class Grams:
         data, offsets = text_bytes(self.docs["text"])
         data = LOWER[data]
         starts, ends, self.doc = words(data, offsets)
-        parts, at = [np.zeros(0, U)], 0
-        while at < len(starts):  # hashes of some words at a time: the byte values take eight times the text
-            upto = max(at + 1, int(np.searchsorted(ends, starts[at] + 300_000, side="right")))
-            low = starts[at]
-            parts.append(spans_hash(BYTE_VALUE[data[low : ends[upto - 1]]], starts[at:upto] - low, ends[at:upto] - low))
-            at = upto
-        h = np.concatenate(parts)
+        h = word_hashes(data, starts, ends)
         vocabulary, word = np.unique(h, return_inverse=True)
         n, first = len(vocabulary), np.diff(self.doc, prepend=-1) != 0
         context = np.concatenate([np.full(1, n), word[:-1]])[: len(word)]
         context[first] = n  # the start of a text
         pairs, pair = np.unique(context * (n + 1) + word, return_inverse=True)
-        before = np.append(vocabulary, U(START))
-        keys = np.concatenate([mix(vocabulary, 1), mix(before, 2), mix(before[pairs // (n + 1)] * U(0x9E3779B97F4A7C15) ^ vocabulary[pairs % (n + 1)], 3)]) if n else np.zeros(0, U)
-        self.token = (word, context + n, pair + 2 * n + 1)  # numbers of each token's word, context and pair among keys
+        before = np.append(vocabulary, START)
+        keys = [mix(vocabulary, 1), mix(before, 2), mix(before[pairs // (n + 1)] * U(0x9E3779B97F4A7C15) ^ vocabulary[pairs % (n + 1)], 3), np.full(1, ALL)]
+        self.keys = np.concatenate(keys) if n else np.zeros(0, U)
+        self.token = (word, context + n, pair + 2 * n + 1, np.full(len(word), len(self.keys) - 1))  # keys of each token's word, context, pair and of all words
         side = good[self.doc]
-        self.counts = [sum(np.bincount(x[side == wanted], minlength=len(keys)) for x in self.token).astype(np.int64) for wanted in (True, False)]
-        self.is_word = np.arange(len(keys)) < n
-        self.keys = keys
+        self.counts = [sum(np.bincount(x[side == wanted], minlength=len(self.keys)) for x in self.token).astype(np.int64) for wanted in (True, False)]
 
-    def dealt(self, buckets: int) -> list[np.ndarray]:
-        """The numbers of the keys of each bucket."""
-        bucket = bucket_of(self.keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+    def dealt(self, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, numbers of its keys, their 48 bits in rising order)."""
+        bucket, low = bucket_of(self.keys, buckets), (self.keys & U((1 << 48) - 1)).astype(np.int64)
+        order = np.lexsort((low, bucket))
+        return [(b, order[s], low[order[s]]) for b, s in split_at(bucket[order])] if len(order) else []
 
 
 def cross_entropy_difference(docs: DataFrame, good: DataFrame, share: float = SHARE, smoothing: float = SMOOTHING) -> DataFrame:
@@ -82,38 +108,34 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, share: float = SH
 
     good: doc_ids of the target's documents.
     """
+    distinct = vocabulary_size(docs)
 
     def ask(table: pa.Table, chunk: int, buckets: int) -> pa.Table:
         g = Grams(table)
-        return mail([(b, chunk, (g.keys[x], np.packbits(g.is_word[x]), *(packed(c[x]) for c in g.counts))) for b, x in enumerate(g.dealt(buckets))])
+        return mail([(b, chunk, (packed(np.diff(low, prepend=0)), *(packed(c[x]) for c in g.counts))) for b, x, low in g.dealt(buckets)])
 
     def answer(letters: list) -> list:
-        """Each key's counts of the whole corpus; the bucket's words by side, and the number of distinct words."""
-        sizes = [len(x[2][0]) for x in letters]
-        keys, number = np.unique(np.concatenate([x[2][0] for x in letters]), return_inverse=True)
-        is_word = np.zeros(len(keys), bool)
-        is_word[number] = np.concatenate([np.unpackbits(x[2][1], count=n).astype(bool) for x, n in zip(letters, sizes, strict=True)])
+        """Each key's counts of the whole corpus."""
+        cuts = np.cumsum([0, *(x[2][0][0] for x in letters)])
+        keys, number = np.unique(np.concatenate([np.cumsum(unpacked(x[2][0])) for x in letters]), return_inverse=True)
         sums = []
-        for k in (2, 3):
+        for k in (1, 2):
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, number, np.concatenate([unpacked(x[2][k]) for x in letters]))
             sums.append(total)
-        whole = (*(int(s[is_word].sum()) for s in sums), int(is_word.sum()))
-        cuts = np.cumsum([0, *sizes])
-        return [(x[1], x[0], (whole, *(packed(s[number[a:b]]) for s in sums))) for x, a, b in zip(letters, cuts[:-1], cuts[1:], strict=True)]
+        return [(x[1], x[0], tuple(packed(s[number[a:b]]) for s in sums)) for x, a, b in zip(letters, cuts[:-1], cuts[1:], strict=True)]
 
     def decide(table: pa.Table, got: list, buckets: int) -> pa.Table:
         g = Grams(table)
-        n, where = g.docs.num_rows, g.dealt(buckets)
+        n, where = g.docs.num_rows, {b: x for b, x, _ in g.dealt(buckets)}
         counts = np.zeros((2, len(g.keys)), np.int64)
-        for _, bucket, (_, *sums) in got:
+        for _, bucket, sums in got:
             for k in (0, 1):
                 counts[k][where[bucket]] = unpacked(sums[k])
-        *tokens, distinct = (sum(x[2][0][k] for x in got) for k in range(3))
         length, loss = np.bincount(g.doc, minlength=n), []
-        word, context, pair = g.token
+        word, context, pair, every = g.token
         for k in (0, 1):
-            alone = (counts[k][word] + smoothing) / (tokens[k] + smoothing * max(distinct, 1))
+            alone = (counts[k][word] + smoothing) / (counts[k][every] + smoothing * distinct)
             seen = counts[k][context]
             p = (1 - share) * alone + share * np.where(seen > 0, counts[k][pair] / np.maximum(seen, 1), alone)
             loss.append(np.bincount(g.doc, weights=-np.log(p), minlength=n) / np.maximum(length, 1))

@@ -133,7 +133,7 @@ def test_lm_tables_grow_with_the_corpus():
         t = pa.table({"doc_id": pa.array([1]), "text": [" ".join(f"w{i}" for i in range(n))], "mark": [False]})
         return len(lm_scoring.Grams(t).keys)
 
-    assert keys(1000) == 3001 and keys(5000) == 15001
+    assert keys(1000) == 3002 and keys(5000) == 15002  # words, contexts and the start, pairs, all words
 
 
 def test_vectors_against_brute_force(spark):
