@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -172,10 +173,15 @@ def json_repair(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(quoted, r'"\s*\n\s*"', '",\n"'), r",(\s*[}\]])", "$1")
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def robust_json(c: Column) -> Column:
     """A variant by the first of: as it is, cleaned, its block, its block repaired; null if all fail."""
-    clean = json_clean(c)
-    return F.coalesce(F.try_parse_json(c), F.try_parse_json(clean), F.try_parse_json(json_block(clean)), F.try_parse_json(json_repair(json_block(clean))))
+    in_block = lambda block: F.coalesce(F.try_parse_json(block), F.try_parse_json(json_repair(block)))
+    return F.coalesce(F.try_parse_json(c), _with(json_clean(c), lambda clean: F.coalesce(F.try_parse_json(clean), _with(json_block(clean), in_block))))
 
 
 def valid_items(raw: Column, schema: str, valid) -> Column:
