@@ -42,7 +42,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What training reads: documents with their words taken and first position, in the order of positions."""
+    """What training reads: a row for each reading of a document, with its position and words, in the order of positions."""
     return in_training_order(mix(docs))
 
 

@@ -4,8 +4,8 @@ Sizes are words. Source weights share the total; no source takes more than `most
 goes to the others by weight. Each source's weight follows a schedule of (time, multiplier) knots over training time
 [0, 1], scaled to a mean of one, so that the schedule shapes when a source is read and not how much. A document's place in
 its source's running demand (documents in the order of a hash, as often as the target asks) is inverted through the
-integral of the schedule: that is its training position, and the mix is range-sorted by it. The document at which a source
-reaches its target gives only the words still wanted.
+integral of the schedule: that is its training position, and the mix is range-sorted by it. Each reading of a document has a
+position of its own. The document at which a source reaches its target gives only the words still wanted.
 
 Running sums never put one source into one task: documents fall into `SLICES` slices by hash, slices are summed over the
 source, and only a slice's documents are ordered together.
@@ -68,11 +68,12 @@ def position(share: Column, rank: Column, schedules: tuple = SCHEDULES) -> Colum
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, schedules: tuple = SCHEDULES) -> DataFrame:
-    """Every document with size, source_size, target, taken and its first training position (null if it isn't taken).
+    """Every document with size, source_size, target, taken, its first training position (null if it isn't taken) and readings.
 
-    Columns of docs stay, but for those named like the new ones.
+    Readings are (position, words), one for each time that the document is read. Columns of docs stay, but for those named
+    like the new ones or `words`.
     """
-    new = {"size", "source_size", "target", "taken", "position"}
+    new = {"size", "source_size", "target", "taken", "position", "readings", "words"}
     kept = [c for c in docs.columns if c not in new]
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     old = [F.col(c).alias(f"old_{i}") for i, c in enumerate(kept)]
@@ -91,10 +92,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     part = lambda turn: F.greatest(F.lit(0), F.least(F.col("size"), wanted - F.col("start") - F.col("source_size") * turn))
     taken = sum((part(turn) for turn in range(1, most)), part(0))
     placed = placed.withColumn("taken", taken.cast("long"))
-    where = F.when(F.col("taken") > 0, position(F.least(F.col("start") / F.col("target"), F.lit(1.0)), F.col("rank"), schedules))
-    return placed.select(*[F.col(f"old_{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "taken", where.alias("position"))
+    where = lambda turn: position(F.least((F.col("start") + F.col("source_size") * turn) / F.col("target"), F.lit(1.0)), F.col("rank"), schedules)
+    each = F.array(*[F.when(part(turn) > 0, F.struct(where(turn).alias("position"), part(turn).cast("long").alias("words"))) for turn in range(most)])
+    placed = placed.withColumns({"position": F.when(F.col("taken") > 0, where(0)), "readings": F.filter(each, lambda x: x.isNotNull())})
+    return placed.select(*[F.col(f"old_{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "taken", "position", "readings")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """The taken documents, range-sorted by position."""
-    return mixed.filter("taken > 0").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    """The readings of the taken documents with their own position and words, range-sorted by position."""
+    others = [F.col(f"`{c}`") for c in mixed.columns if c not in ("position", "readings")]
+    read = mixed.filter("taken > 0").select(*others, F.inline("readings"))
+    return read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

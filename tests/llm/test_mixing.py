@@ -69,6 +69,24 @@ def test_positions_invert_the_schedule(spark):
         assert len(first) / len(mine) == pytest.approx(half, abs=0.02)
 
 
+def test_every_reading_has_its_place(spark):
+    """A small heavy source is read three times, all through its schedule."""
+    data = [(i, "w " * 10, "en", "a", "x", 1) for i in range(100)] + [(1000 + i, "w " * 10, "en", s, "x", 1) for i in range(400) for s in "bc"]
+    mixed = mix(spark.createDataFrame(data, SCHEMA))
+    docs, read = mixed.collect(), in_training_order(mixed).collect()
+    assert {r["taken"] for r in docs if r["source"] == "a"} == {MOST * 10}
+    assert sum(r["words"] for r in read) == sum(r["taken"] for r in docs)
+    for s, knots in zip("abc", SCHEDULES, strict=True):
+        mine = [r for r in read if r["source"] == s]
+        words, upto = sum(r["words"] for r in mine), 0.0
+        for (t0, m0), (t1, m1) in zip(knots, knots[1:], strict=False):  # every part of the time has the schedule's share of words
+            upto += (t1 - t0) * (m0 + m1) / 2
+            assert sum(r["words"] for r in mine if r["position"] < t1) / words == pytest.approx(upto, abs=0.01)
+        assert sum(r["words"] for r in mine if r["position"] < 0.5) / words == pytest.approx({"a": 0.625, "b": 0.5, "c": 0.375}[s], abs=0.01)
+        firsts = [r["position"] for r in docs if r["source"] == s and r["taken"]]
+        assert sorted(r["position"] for r in mine)[: len(firsts)] == sorted(firsts)
+
+
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r["taken"] for r in mix(spark.createDataFrame([(1, None, None, "a", "x", 1)], SCHEMA)).collect()] == [0]
