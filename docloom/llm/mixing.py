@@ -103,3 +103,9 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     others = [F.col(f"`{c}`") for c in mixed.columns if c not in ("position", "readings")]
     read = mixed.filter("taken > 0").select(*others, F.inline("readings"))
     return read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Every document once, range-sorted by its first position; those that aren't taken come last."""
+    by = [F.col("position").asc_nulls_last(), F.col("doc_id").asc()]
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import html_extraction, language_id, lm_scoring
 from . import toxicity as tox
 from .decontaminate import decontaminate
-from .mixing import mix
+from .mixing import in_order, mix
 from .simhash import simhash
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -54,7 +54,8 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = in_order(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP2_SQL = r"""

@@ -87,6 +87,17 @@ def test_every_reading_has_its_place(spark):
         assert sorted(r["position"] for r in mine)[: len(firsts)] == sorted(firsts)
 
 
+def test_query_follows_the_positions(spark):
+    from docloom.llm.queries import op2_mixing
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    where = {r["doc_id"]: r["position"] for r in mix(docs.select("doc_id", "text", "source")).collect()}
+    got = [where[r["doc_id"]] for r in op2_mixing(spark, sf).collect()]
+    taken = [p for p in got if p is not None]
+    assert len(got) == docs.count() and taken == sorted(taken) == got[: len(taken)]
+
+
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r["taken"] for r in mix(spark.createDataFrame([(1, None, None, "a", "x", 1)], SCHEMA)).collect()] == [0]
