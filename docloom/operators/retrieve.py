@@ -22,17 +22,23 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
     return rows.withColumn("similarity", cosine(F.col("embedding"), asked)).orderBy(F.desc("similarity"), key).limit(max(1, k))
 
 
-def top_k_of(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] | None = None, key: str = "vec_id") -> DataFrame:
+def top_k_of(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] | None = None, key: str = "vec_id", sent: int = QUERIES_SENT) -> DataFrame:
     """For each (query_id, query) the k most similar rows, or k of each group of `per`.
 
-    Queries are a stated set, broadcast if it is small; each task keeps only its best k of a query before the shuffle (Spark
-    limits a ranked window's groups early).
+    Queries are broadcast in blocks of about `sent` at most, dealt by hash of query_id; each task keeps only its best k of a
+    query before the shuffle (Spark limits a ranked window's groups early).
     """
-    asked = F.broadcast(queries) if queries.limit(QUERIES_SENT + 1).count() <= QUERIES_SENT else queries
-    pairs = vectors.crossJoin(asked).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
+    n = queries.count()
+    blocks = 1 if n <= sent else -(-2 * n // sent)  # half full on average, since a hash doesn't deal evenly
     groups = ["query_id", *(per or [])]
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("similarity"), key))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("query")
+    found = None
+    for block in range(blocks):
+        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        pairs = vectors.crossJoin(F.broadcast(asked)).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
+        best = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("query")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def select_diverse(relevance: np.ndarray, vectors: np.ndarray, k: int, share: float) -> list[int]:

@@ -363,3 +363,31 @@ def test_sinks(spark, tmp_path):
     assert {r.page_num: r.route for r in route.collect()} == {1: "text", 2: "ocr"}
     asked = readers.structured_call(spark.createDataFrame([("p",)], "prompt string"), lambda s: s.map(lambda x: '{"a":1}' if "valid JSON" in x else "no"), "prompt", records.robust_json)
     assert asked.select(F.to_json("parsed")).first()[0] == '{"a":1}'
+
+
+# ---- searches over query sets that grow
+def test_queries_go_in_blocks(spark):
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, i % 3, [rng.random() for _ in range(6)]) for i in range(120)], "vec_id long, label int, embedding array<double>")
+    asked = v.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for per in (None, ["label"]):
+        at_once, blocks = (retrieve.top_k_of(asked, v, 5, per=per, sent=n).select("query_id", "label", "vec_id", "rank") for n in (30, 4))
+        assert sorted(at_once.collect()) == sorted(blocks.collect()) and at_once.count() == 30 * (15 if per else 5)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") >= 8
+
+
+def test_mmr_asks_for_every_20th_vector(spark):
+    from docloom.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, vectors = [r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=float)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = {ids[q]: {ids[i] for i in np.lexsort((ids, -(unit @ unit[q])))[:30]} for q in range(len(ids)) if ids[q] % 20 == 0}
+    got = {}  # a query is its own first pick; after that all values are 0 but for rounding, so the order isn't compared
+    for r in sorted(QUERIES["q_mmr"](spark, sf).collect(), key=lambda r: r.pick):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == near.keys() and len(near) == len(ids) / 20
+    for q, picks in got.items():
+        assert picks[0] == q and len(set(picks)) == 8 and set(picks) <= near[q]
