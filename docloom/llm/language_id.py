@@ -1,11 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of lower-cased 1- to 3-grams come from at most `per_language` documents of each language (chosen by a hash of their
-doc_id); the matrix of log probabilities has a fixed number of columns and is broadcast. Scoring gathers and sums it in
-numpy over whole texts.
+Counts of lower-cased 1- to 3-grams come from a sample of about `per_language` documents of each language (those with the
+least 64-bit hashes of doc_id); the matrix of log probabilities has a fixed number of columns and is broadcast. At most
+`most_languages` values of lang are learned, those with most documents, so that a column full of misspelt codes can
+neither fill the driver nor the broadcast. Scoring gathers and sums the matrix in numpy over whole texts.
 
 Empty cases: a null text, or one without a letter, is `und` with score 0, and so is every text when nothing can be learned;
-documents with null lang or text teach nothing; columns named lang_pred or score are replaced, all others stay.
+documents with null lang or text teach nothing; equal likelihoods go to the language first by code point; rows that repeat
+(or lack) a doc_id are predicted each by itself; texts of any length are read whole; an empty table gives an empty result;
+columns named lang_pred or score are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -15,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import U, mix
 
-ORDERS, BUCKETS, PER_LANGUAGE, SMOOTHING, PORTION = (1, 2, 3), 1 << 16, 4_000, 0.5, 500_000
+ORDERS, BUCKETS, PER_LANGUAGE, MOST_LANGUAGES, SMOOTHING, PORTION = (1, 2, 3), 1 << 16, 4_000, 200, 0.5, 500_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -52,15 +55,13 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (mix(value[inside], n) % U(BUCKETS)).astype(np.int64), doc[: len(value)][inside]
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages and their log probabilities (languages x BUCKETS) from (doc_id, text, lang)."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # one row for each class
-    if not sizes:
-        return [], np.zeros((0, BUCKETS))
-    share: Column = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, int(1_000_000 * per_language / n)))).otherwise(share)
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    # a language's documents with the least hashes: a bound on the hash, never none of them, however many there are
+    bound = F.when(F.col("count") <= per_language, F.lit((1 << 63) - 1)).otherwise((F.lit(float(per_language)) / F.col("count") * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
+    bounds = sizes.select("lang", bound.alias("bound"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,8 +74,10 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
                 found = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(total[found])], names=["lang", "feature", "n"])
 
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS rows at most
+    # coalesce: without doc_id, by text
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
+    sample = usable.join(F.broadcast(bounds), "lang").filter(hashed <= F.col("bound")).select("text", "lang")
+    counts = sample.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # most_languages x BUCKETS rows at most
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     table[np.searchsorted(langs, counts["lang"]), counts["feature"]] += counts["n"]

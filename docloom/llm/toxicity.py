@@ -1,11 +1,17 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's score is a logistic function of a bias, the weights of its terms and the products of their factors for every
-pair of terms, so that a pair can say more than its two terms. It is fitted to at most `per_class` labelled documents of
-each class (chosen by a hash of doc_id), over the `TERMS` hashed terms that tell the classes apart best in that sample.
+pair of terms, so that a pair can say more than its two terms. It is fitted to a sample of the labelled documents, about
+`per_class` of each class (those with the least 64-bit hashes of doc_id). Every hashed term that `LEAST_DOCS` of the
+sample's documents hold, and whose chi-square with the class is at least `EVIDENCE` (chance in one of a thousand terms), has a
+weight and factors. So has a term without such an effect of its own that has it among the documents that hold one of the
+others: it can matter in a pair. There is no cap on the number of terms.
 
 Empty cases: a null or wordless text scores the bias alone; labels that are null or of unknown documents teach nothing;
-without labels of both classes every score is 0; columns named score or predicted are replaced, all others stay.
+without labels of both classes every score is 0; an empty table of documents gives an empty result; rows that repeat (or
+lack) a doc_id are scored each by itself, and each of them teaches; of labels that contradict each other the higher holds;
+a text of any length is read whole, a term counts once in it; columns named score or predicted are replaced, all others
+stay.
 """
 
 from __future__ import annotations
@@ -16,12 +22,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import text_bytes
 
-PER_CLASS, HASHED, TERMS, FACTORS, LEAST_DOCS, ROUNDS = 6_000, 1 << 20, 2_048, 4, 5, 150
+PER_CLASS, HASHED, FACTORS, LEAST_DOCS, EVIDENCE, ROUNDS = 6_000, 1 << 20, 4, 5, 10.83, 150
 #: ASCII letters in lower case, digits and bytes from 128 stay; all other bytes part terms.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -58,24 +64,31 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
+def telling(at: np.ndarray, doc: np.ndarray, y: np.ndarray, among: np.ndarray, terms: int) -> np.ndarray:
+    """Which terms tell the classes apart in the documents `among`, by the chi-square of their two-by-two tables."""
+    here = among[doc]
+    seen = np.bincount(at[here], minlength=terms)
+    toxic = np.bincount(at[here], weights=y[doc[here]], minlength=terms)
+    n = among.sum()
+    rate = y[among].mean() if n else 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = (toxic - seen * rate) ** 2 / (seen * rate * (1 - rate)) * n / (n - seen)
+    return (seen >= LEAST_DOCS) & (seen < n) & (np.nan_to_num(chi, posinf=0.0) >= EVIDENCE)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 1) -> Machine:
     """Full-batch Adam on the weighted logistic loss; `weight` undoes the sampling of classes."""
     term, doc = flat(rows)
     ids, at = np.unique(term, return_inverse=True)
-    seen, toxic = np.bincount(at, minlength=len(ids)), np.bincount(at, weights=y[doc], minlength=len(ids))
-    n, n1 = len(rows), y.sum()
-    # chi-square of each term with the class
-    expected = seen * n1 / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((seen >= LEAST_DOCS) & (seen < n), (toxic - expected) ** 2 * n / (expected * (1 - n1 / n) * (n - seen)) * n / 1.0, 0)
-    best = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    best = best[chi[best] > 0]
+    n = len(rows)
+    alone = telling(at, doc, y, np.ones(n, dtype=bool), len(ids))
+    beside = np.bincount(doc, weights=alone[at], minlength=n) > 0
+    best = np.flatnonzero(alone | telling(at, doc, y, beside, len(ids)))
     keep = np.isin(at, best)
     at, doc = np.searchsorted(best, at[keep]), doc[keep]
     rng = np.random.default_rng(seed)
     m = Machine(ids[best], 0.0, np.zeros(len(best)), rng.normal(0, 0.05, (len(best), FACTORS)))
-    grads = lambda: [np.zeros(()), np.zeros(len(best)), np.zeros((len(best), FACTORS))]
-    first, second = grads(), grads()
+    first, second = ([np.zeros(()), np.zeros(len(best)), np.zeros((len(best), FACTORS))] for _ in range(2))
     weight = weight / weight.sum()
     for step in range(1, ROUNDS + 1):
         raw, sums = m.raw(at, doc, n)
@@ -84,27 +97,30 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 1
         g_w = np.bincount(at, weights=e, minlength=len(best)) + 1e-4 * m.weight
         pull = e[:, None] * (sums[doc] - m.factor[at])
         g_v = np.stack([np.bincount(at, weights=pull[:, k], minlength=len(best)) for k in range(FACTORS)], axis=1) + 1e-3 * m.factor
+        moves = []
         for k, g in enumerate((err.sum(), g_w, g_v)):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            move = 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-            if k == 0:
-                m.bias -= float(move)
-            elif k == 1:
-                m.weight -= move
-            else:
-                m.factor -= move
+            moves.append(0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8))
+        m.bias -= float(moves[0])
+        m.weight -= moves[1]
+        m.factor -= moves[2]
     return m
 
 
+def share_of(hashed: Column, wanted: int, of: int) -> Column:
+    """Whether a 64-bit hash is among the least ones that make `wanted` of `of` rows; never none of them, however many there are."""
+    return hashed <= F.lit(-(1 << 63) + min((1 << 64) - 1, (wanted << 64) // max(of, 1)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine | None:
     """From docs (doc_id, text) and labels (doc_id, toxic)."""
     usable = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("toxic") == 1, F.lit(int(1e6 * min(1, per_class / sizes[1])))).otherwise(F.lit(int(1e6 * min(1, per_class / sizes[0]))))
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)  # about per_class rows of each class at most
+    hashed = F.xxhash64("doc_id")
+    sample = usable.filter(F.when(F.col("toxic") == 1, share_of(hashed, per_class, sizes[1])).otherwise(share_of(hashed, per_class, sizes[0])))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +130,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
     taught = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = sorted(taught.mapInArrow(read, "doc_id long, toxic int, terms array<int>").collect(), key=lambda r: (r[0], r[2]))
-    y = np.array([r[1] for r in rows], dtype=float)
-    if len(set(y)) < 2:
+    got = taught.mapInArrow(read, "doc_id long, toxic int, terms array<int>").toArrow()
+    if len(set(got["toxic"].to_pylist())) < 2:
         return None
+    rows = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["terms"].to_pylist(), strict=True))
+    y = np.array([r[1] for r in rows], dtype=float)
     rate = np.array([min(1, per_class / sizes[k]) for k in (0, 1)])
     return fit([np.array(r[2], dtype=np.int64) for r in rows], y, 1 / rate[y.astype(int)])
 
