@@ -2,7 +2,8 @@
 
 A target and a background bigram model with the same order, smoothing and vocabulary are counted over the whole corpus: the
 target over documents that the labels call good, the background over all others. A document's score is the mean over its
-words of (target loss - background loss): below 0, the target model expects it better.
+words of (target loss - background loss): below 0, the target model expects it better. Its own words are left out of the
+counts of the model that counted them, so that a document is judged by what all others hold.
 
 Words are ASCII-lower-cased. The vocabulary is every distinct word of the corpus, and every word, context and pair of words
 has its exact count on either side, so the tables grow with the corpus; they never leave the executors. Each chunk of
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rounds import bucket_of, mail, one_round, split_at
-from .textbytes import BYTE_VALUE, U, doc_blocks, mix, spans_hash, text_bytes, words
+from .textbytes import U, doc_blocks, mix, text_bytes, word_hashes, words
 
 SHARE, SMOOTHING = 0.7, 0.1
 #: Keys of the start of a text and of all words.
@@ -36,27 +37,18 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def packed(numbers: np.ndarray) -> tuple[int, bytes]:
-    """64-bit numbers, their bytes of equal weight together, so that small ones compress well."""
+def packed(numbers: np.ndarray) -> np.ndarray:
+    """64-bit numbers as bytes: how many, then their bytes of equal weight together, so that small ones compress well."""
     planes = numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(numbers), pa.compress(planes, "zstd", asbytes=True)
+    return np.frombuffer(len(numbers).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True), np.uint8)
 
 
-def unpacked(body: tuple[int, bytes]) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(body[1], 8 * body[0], "zstd"), np.uint8).reshape(8, -1)
+def unpacked(body: np.ndarray) -> np.ndarray:
+    size = int.from_bytes(body[:4].tobytes(), "little")
+    planes = np.frombuffer(pa.decompress(body[4:].tobytes(), 8 * size, "zstd"), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words, some at a time: the byte values take eight times the text."""
-    parts, at = [np.zeros(0, U)], 0
-    while at < len(starts):
-        low, upto = starts[at], max(at + 1, int(np.searchsorted(ends, starts[at] + 300_000, side="right")))
-        parts.append(spans_hash(BYTE_VALUE[data[low : ends[upto - 1]]], starts[at:upto] - low, ends[at:upto] - low))
-        at = upto
-    return np.concatenate(parts)
-
-
 def vocabulary_size(docs: DataFrame) -> int:
     """Number of distinct words of the corpus."""
 
@@ -72,6 +64,12 @@ def vocabulary_size(docs: DataFrame) -> int:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(distinct, "word long").distinct().count()
 
 
+def own_times(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in its document."""
+    _, number, times = np.unique(doc * (int(key.max()) + 1 if len(key) else 1) + key, return_inverse=True, return_counts=True)
+    return times[number]
+
+
 class Grams:
     """A chunk's documents as numbers: for each token its distinct word, context and pair."""
 
@@ -92,6 +90,7 @@ class Grams:
         before = np.append(vocabulary, START)
         keys = [mix(vocabulary, 1), mix(before, 2), mix(before[pairs // (n + 1)] * U(0x9E3779B97F4A7C15) ^ vocabulary[pairs % (n + 1)], 3), np.full(1, ALL)]
         self.keys = np.concatenate(keys) if n else np.zeros(0, U)
+        self.side = good
         self.token = (word, context + n, pair + 2 * n + 1, np.full(len(word), len(self.keys) - 1))  # keys of each token's word, context, pair and of all words
         side = good[self.doc]
         self.counts = [sum(np.bincount(x[side == wanted], minlength=len(self.keys)) for x in self.token).astype(np.int64) for wanted in (True, False)]
@@ -116,8 +115,9 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, share: float = SH
 
     def answer(letters: list) -> list:
         """Each key's counts of the whole corpus."""
-        cuts = np.cumsum([0, *(x[2][0][0] for x in letters)])
-        keys, number = np.unique(np.concatenate([np.cumsum(unpacked(x[2][0])) for x in letters]), return_inverse=True)
+        held = [np.cumsum(unpacked(x[2][0])) for x in letters]
+        cuts = np.cumsum([0, *map(len, held)])
+        keys, number = np.unique(np.concatenate(held), return_inverse=True)
         sums = []
         for k in (1, 2):
             total = np.zeros(len(keys), np.int64)
@@ -133,11 +133,15 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, share: float = SH
             for k in (0, 1):
                 counts[k][where[bucket]] = unpacked(sums[k])
         length, loss = np.bincount(g.doc, minlength=n), []
-        word, context, pair, every = g.token
+        word, context, pair, _ = g.token
+        # without the document's own words: what others wrote must have made them likely
+        own_word, own_context, own_pair = (own_times(x, g.doc) for x in (word, context, pair))
         for k in (0, 1):
-            alone = (counts[k][word] + smoothing) / (counts[k][every] + smoothing * distinct)
-            seen = counts[k][context]
-            p = (1 - share) * alone + share * np.where(seen > 0, counts[k][pair] / np.maximum(seen, 1), alone)
+            mine = g.side[g.doc] == (k == 0)
+            every = counts[k][-1] if n and len(g.keys) else 0
+            alone = (counts[k][word] - mine * own_word + smoothing) / (every - mine * length[g.doc] + smoothing * distinct)
+            seen = counts[k][context] - mine * own_context
+            p = (1 - share) * alone + share * np.where(seen > 0, (counts[k][pair] - mine * own_pair) / np.maximum(seen, 1), alone)
             loss.append(np.bincount(g.doc, weights=-np.log(p), minlength=n) / np.maximum(length, 1))
         return pa.Table.from_arrays([g.docs["doc_id"], pa.array(length), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 

@@ -55,7 +55,8 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = in_order(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    last = F.round(F.try_element_at("readings", F.lit(-1))["position"], 6)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.size("readings").cast("long").alias("n_readings"), last.alias("last_position"))
 
 
 OP2_SQL = r"""
@@ -66,12 +67,19 @@ WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''
                   sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS op FROM w),
      l AS (SELECT *, ((SELECT sum(source_size) FROM s) - below)::DOUBLE / op AS level FROM f),
      a AS (SELECT *, level * weight >= lim AS full_up FROM l),
-     t AS (SELECT source, source_size, CASE WHEN full_up THEN lim::DOUBLE ELSE (SELECT level FROM a WHERE NOT full_up ORDER BY below LIMIT 1) * weight END AS target FROM a),
-     p AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS wanted,
+     t AS (SELECT source, source_size, rank, CASE WHEN full_up THEN lim::DOUBLE ELSE (SELECT level FROM a WHERE NOT full_up ORDER BY below LIMIT 1) * weight END AS target FROM a),
+     p AS (SELECT doc_id, size, source_size, target, t.rank, floor(target + 0.5)::BIGINT AS wanted,
                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - start - source_size))
-       + greatest(0, least(size, wanted - start - 2 * source_size)))::BIGINT AS taken FROM p
+           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+     r AS (SELECT *, greatest(0, least(size, wanted - start)) AS r0, greatest(0, least(size, wanted - start - source_size)) AS r1,
+                  greatest(0, least(size, wanted - start - 2 * source_size)) AS r2 FROM p),
+     n AS (SELECT *, (r0 > 0)::BIGINT + (r1 > 0)::BIGINT + (r2 > 0)::BIGINT AS n_readings FROM r),
+     -- positions: the share of the source's demand, inverted through the integral of its falling, steady or rising rate
+     x AS (SELECT *, CASE WHEN n_readings > 0 THEN least(start / target, 1.0) END AS f, CASE WHEN n_readings > 0 THEN least((start + (n_readings - 1) * source_size) / target, 1.0) END AS l FROM n)
+SELECT doc_id, size, source_size, target, (r0 + r1 + r2)::BIGINT AS taken, n_readings,
+       round(CASE rank % 3 WHEN 0 THEN (1.5 - sqrt(2.25 - 2 * f)) WHEN 1 THEN f ELSE (sqrt(0.25 + 2 * f) - 0.5) END, 6) AS position,
+       round(CASE rank % 3 WHEN 0 THEN (1.5 - sqrt(2.25 - 2 * l)) WHEN 1 THEN l ELSE (sqrt(0.25 + 2 * l) - 0.5) END, 6) AS last_position
+FROM x
 """
 
 
@@ -140,6 +148,26 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS x,
+                  octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+     -- texts in parts of 256 bytes and 49 more: a long string is slow to index
+     c AS (SELECT r, o, n, regexp_extract_all(x, '.{1,512}') AS c FROM d WHERE n > 0),
+     parts AS MATERIALIZED (SELECT r, o, n, unnest(range(0, len(c))) AS k, unnest(list_transform(list_zip(c, c[2:]), lambda z: z[1] || coalesce(z[2][:98], ''))) AS part FROM c),
+     w AS (SELECT r, o, 256 * k + j AS i, substr(part, 2 * j + 1, 100) AS s FROM (SELECT r, o, k, n, part, unnest(range(0, 256)) AS j FROM parts) WHERE 256 * k + j + 50 <= n),
+     f AS (SELECT s, min(o) AS first_o FROM w GROUP BY s HAVING min(o) < max(o)),
+     gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM w JOIN f USING (s) WHERE o > first_o),
+     spans AS (SELECT r, count(*) AS n_removed, count(*) FILTER (i - 1 <> before) AS n_spans
+               FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -9) AS before FROM gone) GROUP BY r),
+     left_over AS (SELECT r, string_agg(b, '' ORDER BY i) AS k
+              FROM (SELECT r, 256 * k + j AS i, substr(part, 2 * j + 1, 2) AS b FROM (SELECT r, k, n, part, unnest(range(0, 256)) AS j FROM parts SEMI JOIN gone USING (r)) WHERE 256 * k + j < n)
+              ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_removed IS NULL THEN x ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN left_over USING (r)
+"""
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extraction.extract(table(spark, sf_dir, "pages"), html_extraction.learn())
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -150,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_vector_search": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_vector_search": OP6_SQL, "op9_suffix_dedup": OP9_SQL}

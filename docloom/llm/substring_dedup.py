@@ -3,11 +3,13 @@
 Every document is a reference: its non-overlapping blocks of `block` words are the index, and every rolling window of
 `block` words of every document probes it. A repeat of `span` >= 2 * block - 1 words holds a whole block of the other copy,
 so both copies of it have a probe that hits. Hits are extended to whole spans: each window of `span` words around a hit is
-looked up by its 64-bit hash, and overlapping removed windows join to maximal repeats.
+looked up by two independent hashes of its words, 128 bits together, and overlapping removed windows join to maximal
+repeats.
 
 Empty cases: a null or blank text has no words and keeps none; a null doc_id counts as larger than all others and stays
-null; rows that repeat a doc_id are taken as one document's copies, of which none is earlier than the other unless it
-comes first by text; extra columns are ignored; an empty table gives an empty result.
+null; of windows that read the same in rows with one doc_id (or none) all but one go; of windows in one document the
+earliest stays; a text may be of any length up to Arrow's 2 GB, its words are hashed some at a time; extra columns are
+ignored, also those named like the new ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rounds import bucket_of, ids, mail, split_at, two_rounds
-from .textbytes import BYTE_VALUE, U, cover, doc_blocks, spans_hash, text_bytes, windows_hash, words
+from .textbytes import SECOND, U, cover, doc_blocks, least_of_equals, mix, text_bytes, windows_hash, word_hashes, words
 
 BLOCK, SPAN = 10, 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -34,7 +36,7 @@ class Words:
         for a, b in doc_blocks(self.offsets):
             part, cuts = self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
             starts, ends, doc = words(part, cuts)
-            found.append((spans_hash(BYTE_VALUE[part], starts, ends), doc + a))
+            found.append((word_hashes(part, starts, ends), doc + a))
         self.value, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
         self.first = np.searchsorted(self.doc, np.arange(len(self.offsets)))  # of each document's words
 
@@ -73,26 +75,28 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, span: int = SPAN) -> Da
         distinct, number = np.unique(np.concatenate([x[2][0] for x in letters]), return_inverse=True)
         times = np.bincount(number, minlength=len(distinct)) + np.bincount(number, weights=flags[0], minlength=len(distinct))
         hit = ((times > 1) & (np.bincount(number, weights=flags[1], minlength=len(distinct)) > 0))[number]
-        return [(x[1], x[0], np.packbits(part)) for x, part in zip(letters, np.split(hit, np.cumsum(sizes)[:-1]), strict=True)]
+        return [(x[1], x[0], (np.packbits(part),)) for x, part in zip(letters, np.split(hit, np.cumsum(sizes)[:-1]), strict=True)]
 
-    def entries(w: Words, near: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of `span` words about hits; each one's number among the distinct; of the distinct: first occurrence, hash, bucket in order."""
+    def entries(w: Words, near: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of `span` words about hits; each one's number among the distinct; of the distinct: first occurrence, two hashes, bucket in order."""
         at, h = w.windows(span)
         keep = near[at]
         at, h = at[keep], h[keep]
-        distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
-        bucket = bucket_of(distinct, buckets)
+        other = windows_hash(mix(w.value, 9), span, SECOND)[at]
+        number, first = least_of_equals(h, other)
+        bucket = bucket_of(h[first], buckets)
         order = np.lexsort((first, bucket))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return at, back[number], first[order], distinct[order], bucket[order]
+        first = first[order]
+        return at, back[number], first, h[first], other[first], bucket[order]
 
     def ask_again(table: pa.Table, got: list, chunk: int, buckets: int) -> pa.Table:
         w = Words(table)
         at, distinct, number, *_ = _probes(w, block, buckets)
         hit = np.zeros(len(distinct), dtype=bool)
         where = dict(split_at((distinct >> np.uint64(32)).astype(np.int32)))
-        for _, bucket, bits in got:
+        for _, bucket, (bits,) in got:
             s = where[bucket]
             hit[s] = np.unpackbits(bits, count=s.stop - s.start)
         hits = np.zeros(len(w.value) + span + 1, np.int32)
@@ -100,28 +104,28 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, span: int = SPAN) -> Da
         total = np.cumsum(hits)
         n = len(w.value)
         near = (total[span - block + 1 : n + span - block + 1] - total[:n]) > 0  # a hit starts in [p, p + span - block]
-        at, _, first_at, h, bucket = entries(w, near, buckets)
+        at, _, first_at, h, other, bucket = entries(w, near, buckets)
         doc = ids(table)[w.doc[at[first_at]]]
-        out = [(b, chunk, (h[s], doc[s])) for b, s in split_at(bucket)]
-        return mail([*out, (-1 - chunk, chunk, np.packbits(near))])
+        out = [(b, chunk, (h[s], other[s], doc[s])) for b, s in split_at(bucket)]
+        return mail([*out, (-1 - chunk, chunk, (np.packbits(near),))])
 
     def answer_again(letters: list) -> list:
         """A bit for each distinct window of a chunk: a chunk with a smaller doc_id has it too."""
         sizes = [len(x[2][0]) for x in letters]
-        h, doc = (np.concatenate([x[2][k] for x in letters]) for k in (0, 1))
-        order = np.lexsort((doc, h))
+        h, other, doc = (np.concatenate([x[2][k] for x in letters]) for k in range(3))
+        order = np.lexsort((doc, other, h))
         later = np.zeros(len(h), dtype=bool)
-        later[order[1:]] = h[order[1:]] == h[order[:-1]]
-        return [(x[1], x[0], np.packbits(part)) for x, part in zip(letters, np.split(later, np.cumsum(sizes)[:-1]), strict=True)]
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+        return [(x[1], x[0], (np.packbits(part),)) for x, part in zip(letters, np.split(later, np.cumsum(sizes)[:-1]), strict=True)]
 
     def decide(table: pa.Table, got: list, buckets: int) -> pa.Table:
         w = Words(table)
         n, own = len(w.value), [x for x in got if x[1] < 0]
-        near = np.unpackbits(own[0][2], count=n).astype(bool)
-        at, number, first_at, _, bucket = entries(w, near, buckets)
+        near = np.unpackbits(own[0][2][0], count=n).astype(bool)
+        at, number, first_at, _, _, bucket = entries(w, near, buckets)
         later = np.zeros(len(first_at), dtype=bool)
         where = dict(split_at(bucket))
-        for _, b, bits in (x[:3] for x in got if x[1] >= 0):
+        for _, b, (bits,) in (x for x in got if x[1] >= 0):
             later[where[b]] = np.unpackbits(bits, count=where[b].stop - where[b].start)
         drop = later[number]
         repeat = np.ones(len(at), dtype=bool)

@@ -7,10 +7,14 @@
    transform; the transforms are merged by refining their interleave, two symbols of depth a pass, noting where a pass
    first tells neighbours apart (their common prefix). At depth `width` the intervals without such a cut are the
    repeated strings, and the least doc_id in an interval is where the string starts first.
-3. Every window that starts in a smaller doc_id as well is removed, overlaps included.
+3. A piece about which very many texts differ (a template's line) would make one group of all its segments. Chunks say
+   which pieces have over `VARIED` segments in them; such a piece, or one of over `CROWD` chunks, is dealt on: its windows
+   go to the buckets of their own hashes and meet there by 128 bits of hash, so that the group spreads over all buckets.
+4. Every window that starts in a smaller doc_id as well is removed, overlaps included.
 
 Empty cases: null text counts as empty; a null doc_id counts as larger than all others and stays null; rows that repeat a
-doc_id don't remove each other's bytes; texts shorter than `width` keep all; extra columns are ignored; an empty table
+doc_id don't remove each other's bytes; texts shorter than `width` keep all; a text may be of any length up to Arrow's
+2 GB, it is read in slices of `SLICE` bytes; extra columns are ignored, also those named like the new ones; an empty table
 gives an empty result.
 """
 
@@ -21,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rounds import NO_ID, bucket_of, ids, mail, split_at, two_rounds
-from .textbytes import BYTE_VALUE, U, cover, doc_blocks, runs, spans_hash, text_bytes, windows_hash
+from .textbytes import BYTE_VALUE, SECOND, U, cover, doc_blocks, least_of_equals, mix, runs, spans_hash, text_bytes, windows_hash
 
-SEED, WIDTH, BLOCK_SYMBOLS, PLACE_BITS = 24, 50, 150_000, 28
+SEED, WIDTH, BLOCK_SYMBOLS, PLACE_BITS, SLICE, VARIED, CROWD = 24, 50, 150_000, 28, 1_000_000, 16, 1_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
 
 
@@ -34,15 +38,17 @@ class Pieces:
         self.data, self.offsets = text_bytes(table["text"])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))]
         for a, b in doc_blocks(self.offsets):
-            at = int(self.offsets[a])
-            first, count, named, whole, doc = self._block(self.data[at : self.offsets[b]], self.offsets[a : b + 1] - at, seed, width)
-            found.append((first + at, count, named, whole, doc + a))
+            at, end = int(self.offsets[a]), int(self.offsets[b])
+            if b - a == 1 and end - at > SLICE:  # slices of one long text: each window starts in one of them
+                cuts = [(x, min(end, x + SLICE + width - 1)) for x in range(at, end - width + 1, SLICE)]
+                parts = [(x, self._block(self.data[x:y], np.array([0, y - x]), seed, width)) for x, y in cuts]
+            else:
+                parts = [(at, self._block(self.data[at:end], self.offsets[a : b + 1] - at, seed, width))]
+            found += [(first + x, count, named, whole, doc + a) for x, (first, count, named, whole, doc) in parts]
         self.first, self.count, self.hash, self.whole, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
 
     @staticmethod
     def _block(data: np.ndarray, offsets: np.ndarray, seed: int, width: int) -> tuple[np.ndarray, ...]:
-        if len(data) >= 1 << PLACE_BITS:
-            raise ValueError(f"a text holds over {1 << PLACE_BITS} bytes")
         if len(data) < width:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, U, U, np.int64))
         value = BYTE_VALUE[data]
@@ -76,6 +82,17 @@ def gather(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(first - begins, length)
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows at rising starts, some at a time."""
+    found, at = [(np.zeros(0, U), np.zeros(0, U))], 0
+    while at < len(starts):
+        upto = int(np.searchsorted(starts, starts[at] + SLICE, side="right"))
+        value, own = BYTE_VALUE[data[starts[at] : starts[upto - 1] + width]], starts[at:upto] - starts[at]
+        found.append((spans_hash(value, own, own + width), spans_hash(mix(value, 9), own, own + width, SECOND)))
+        at = upto
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 class Shard:
     """The suffixes of some segments, sorted to `width` symbols, and the one and the two symbols before each (0 ends a segment, then it starts anew)."""
 
@@ -172,15 +189,22 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, as_text:
         low, high = np.full(len(distinct), NO_ID), np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(low, number, doc[p.doc])
         np.maximum.at(high, number, doc[p.doc])
-        return mail([(b, chunk, (distinct[s].astype(np.uint32), np.packbits((low != high)[s]))) for b, s in split_at((distinct >> U(32)).astype(np.int32))])
+        _, one = least_of_equals(p.hash, p.whole)
+        varied = np.bincount(number[one], minlength=len(distinct)) > VARIED
+        return mail(
+            [(b, chunk, (distinct[s].astype(np.uint32), np.packbits((low != high)[s]), np.packbits(varied[s]))) for b, s in split_at((distinct >> U(32)).astype(np.int32))]
+        )
 
     def answer(letters: list) -> list:
-        """A bit for each piece: two documents or more hold it."""
+        """Two bits for each piece: two documents or more hold it; its windows are to be dealt on."""
         sizes = [len(x[2][0]) for x in letters]
         distinct, number = np.unique(np.concatenate([x[2][0] for x in letters]), return_inverse=True)
-        many = np.concatenate([np.unpackbits(x[2][1], count=n) for x, n in zip(letters, sizes, strict=True)])
-        times = np.bincount(number, minlength=len(distinct)) + np.bincount(number, weights=many, minlength=len(distinct))
-        return [(x[1], x[0], np.packbits(part)) for x, part in zip(letters, np.split((times > 1)[number], np.cumsum(sizes)[:-1]), strict=True)]
+        many, varied = (np.concatenate([np.unpackbits(x[2][k], count=n) for x, n in zip(letters, sizes, strict=True)]) for k in (1, 2))
+        chunks = np.bincount(number, minlength=len(distinct))
+        several = chunks + np.bincount(number, weights=many, minlength=len(distinct)) > 1
+        spread = several & ((np.bincount(number, weights=varied, minlength=len(distinct)) > 0) | (chunks > CROWD))
+        parts = (np.split(x[number], np.cumsum(sizes)[:-1]) for x in (several, spread))
+        return [(x[1], x[0], (np.packbits(a), np.packbits(b))) for x, a, b in zip(letters, *parts, strict=True)]
 
     def segments(p: Pieces, hit: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Of the pieces that hit: their indices, each one's number among the distinct segments; of these the first piece and bucket, in order."""
@@ -198,30 +222,54 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, as_text:
         back[order] = np.arange(len(order))
         return at, back[number], source[order], bucket[order]
 
+    def windows(p: Pieces, spread: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """Starts of the windows of spread pieces, each one's number among the distinct; of these, in order of buckets: first start, hashes, bucket."""
+        starts = gather(p.first[spread], p.count[spread])
+        h, other = window_hashes(p.data, starts, width)
+        number, one = least_of_equals(h, other)
+        bucket = bucket_of(h[one], buckets)
+        order = np.lexsort((one, bucket))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        one = one[order]
+        return starts, back[number], starts[one], h[one], other[one], bucket[order]
+
     def ask_again(table: pa.Table, got: list, chunk: int, buckets: int) -> pa.Table:
         p = Pieces(table, seed, width)
         distinct, number = asked(p, buckets)
-        hit, where = np.zeros(len(distinct), dtype=bool), dict(split_at((distinct >> U(32)).astype(np.int32)))
+        said, where = np.zeros((2, len(distinct)), dtype=bool), dict(split_at((distinct >> U(32)).astype(np.int32)))
         for _, bucket, bits in got:
-            hit[where[bucket]] = np.unpackbits(bits, count=where[bucket].stop - where[bucket].start)
-        hit = hit[number]
-        _, _, source, bucket = segments(p, hit, buckets)
-        doc = ids(table)[p.doc[source]]
-        out = []
+            for k in (0, 1):
+                said[k][where[bucket]] = np.unpackbits(bits[k], count=where[bucket].stop - where[bucket].start)
+        hit, spread = said[:, number]
+        _, _, source, bucket = segments(p, hit & ~spread, buckets)
+        doc = ids(table)
+        of_bucket = {}
         for b, s in split_at(bucket):
             first, count = p.first[source[s]], p.count[source[s]]
-            out.append((b, chunk, (p.hash[source[s]].astype(np.uint32), count.astype(np.uint16), doc[s], p.data[gather(first, count + width - 1)])))
-        return mail([*out, (-1 - chunk, chunk, np.packbits(hit))])
+            of_bucket[b] = (p.hash[source[s]].astype(np.uint32), count.astype(np.uint16), doc[p.doc[source[s]]], p.data[gather(first, count + width - 1)])
+        _, _, start, h, other, bucket = windows(p, spread, buckets)
+        holder = doc[np.searchsorted(p.offsets, start, side="right") - 1]
+        none = (np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        dealt_on = {b: (h[s], other[s], holder[s]) for b, s in split_at(bucket)}
+        unspread = (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
+        out = [(b, chunk, (*of_bucket.get(b, none), *dealt_on.get(b, unspread))) for b in sorted({*of_bucket, *dealt_on})]
+        return mail([*out, (-1 - chunk, chunk, (np.packbits(hit), np.packbits(spread)))])
 
     def answer_again(letters: list) -> list:
-        """A bit for each window of a chunk's distinct segments: it starts in a document before the segment's own."""
+        """A bit for each window of a chunk's distinct segments, and for each window dealt on: it starts in a document before its own as well."""
         sizes = [len(x[2][0]) for x in letters]
+        h, other, holder = (np.concatenate([x[2][k] for x in letters]) for k in (4, 5, 6))
+        number, one = least_of_equals(h, other)
+        least = np.full(len(one), NO_ID)
+        np.minimum.at(least, number, holder)
+        dealt_on = np.split(least[number] < holder, np.cumsum([len(x[2][4]) for x in letters])[:-1])
         name, count, doc, data = (np.concatenate([x[2][k] for x in letters]) for k in range(4))
         count = count.astype(np.int64)
         length = count + width - 1
         first = np.cumsum(length) - length
         own = [np.cumsum(n) - n for n in np.split(length, np.cumsum(sizes)[:-1])]
-        whole = np.concatenate([spans_hash(BYTE_VALUE[x[2][3]], a, np.append(a[1:], len(x[2][3]))) for x, a in zip(letters, own, strict=True)])
+        whole = np.concatenate([spans_hash(BYTE_VALUE[x[2][3]], a, np.append(a[1:], len(x[2][3]))[: len(a)]) for x, a in zip(letters, own, strict=True)])
         order = np.lexsort((doc, whole, name))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (name[order][1:] != name[order][:-1]) | (whole[order][1:] != whole[order][:-1])
@@ -234,23 +282,30 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, as_text:
         earlier = least[gather(begins[number], count)] < np.repeat(doc, count)
         windows = [int(x[2][1].sum(dtype=np.int64)) for x in letters]
         assert sum(sizes) == len(doc)
-        return [(x[1], x[0], np.packbits(part)) for x, part in zip(letters, np.split(earlier, np.cumsum(windows)[:-1]), strict=True)]
+        parts = zip(letters, np.split(earlier, np.cumsum(windows)[:-1]), dealt_on, strict=True)
+        return [(x[1], x[0], (np.packbits(a), np.packbits(b))) for x, a, b in parts]
 
     def decide(table: pa.Table, got: list, buckets: int) -> pa.Table:
         p, doc = Pieces(table, seed, width), ids(table)
-        own = next(x[2] for x in got if x[1] < 0)
-        at, number, source, bucket = segments(p, np.unpackbits(own, count=len(p.first)).astype(bool), buckets)
+        hit, spread = (np.unpackbits(x, count=len(p.first)).astype(bool) for x in next(x[2] for x in got if x[1] < 0))
+        at, number, source, bucket = segments(p, hit & ~spread, buckets)
         count = p.count[source]
         begins, earlier = np.cumsum(count) - count, np.zeros(int(count.sum()), dtype=bool)
         where = dict(split_at(bucket))
+        window, place, begin, _, _, their_bucket = windows(p, spread, buckets)
+        before, where_on = np.zeros(len(begin), dtype=bool), dict(split_at(their_bucket))
         for _, b, bits in (x for x in got if x[1] >= 0):
-            n = int(count[where[b]].sum())
-            start = int(begins[where[b].start])
-            earlier[start : start + n] = np.unpackbits(bits, count=n)
+            if b in where:
+                n, start = int(count[where[b]].sum()), int(begins[where[b].start])
+                earlier[start : start + n] = np.unpackbits(bits[0], count=n)
+            if b in where_on:
+                before[where_on[b]] = np.unpackbits(bits[1], count=where_on[b].stop - where_on[b].start)
         starts = gather(p.first[at], p.count[at])
         drop = earlier[gather(begins[number], p.count[at])]
         drop |= np.repeat(doc[p.doc[at]] > doc[p.doc[source]][number], p.count[at])
-        gone = cover(starts[drop], width, len(p.data))
+        holder = lambda places: doc[np.searchsorted(p.offsets, places, side="right") - 1]
+        on = before[place] | (holder(window) > holder(begin)[place])
+        gone = cover(np.concatenate([starts[drop], window[on]]), width, len(p.data))
         first, end = runs(gone)
         cell = np.searchsorted(p.offsets, first, side="right") - 1
         upto = np.concatenate([[0], np.cumsum(gone)])

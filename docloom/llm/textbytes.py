@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE, INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+#: Two odd bases of rolling hashes: with both, a window is known by 128 bits.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -39,22 +40,42 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Polynomial hashes of values[starts[i]:ends[i]], mixed; values are 64-bit numbers."""
     n = len(values)
     total = np.zeros(n + 1, dtype=U)
-    np.cumsum(values * powers(BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, n + 1)[starts])
+    np.cumsum(values * powers(base, n), out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts])
 
 
-def windows_hash(values: np.ndarray, width: int) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, some at a time: the byte values take eight times the text."""
+    parts, at = [np.zeros(0, U)], 0
+    while at < len(starts):
+        low, upto = starts[at], max(at + 1, int(np.searchsorted(ends, starts[at] + 300_000, side="right")))
+        parts.append(spans_hash(BYTE_VALUE[data[low : ends[upto - 1]]], starts[at:upto] - low, ends[at:upto] - low))
+        at = upto
+    return np.concatenate(parts)
+
+
+def windows_hash(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Mixed hashes of every window of `width` consecutive values."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
     total = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * powers(BASE, len(values)), out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(INVERSE, n))
+    np.cumsum(values * powers(base, len(values)), out=total[1:])
+    return mix((total[width:] - total[:-width]) * powers(pow(base, -1, 1 << 64), n))
+
+
+def least_of_equals(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 128-bit hashes: each one's number among the distinct, and the first index at which each of the distinct stands."""
+    order = np.lexsort((second, first))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return number, order[fresh]
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U))

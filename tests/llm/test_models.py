@@ -103,15 +103,18 @@ def test_lm_scores_against_a_loop(spark):
                 table[k] = table.get(k, 0) + 1
     vocabulary = len(set(counts[0][0]) | set(counts[1][0]))
 
-    def loss(side, token):
-        w, p, c = counts[side]
+    def loss(side, token, own):
+        """Without the document's own tokens on its own side."""
+        table = [{k: n - (own.count(k) if own else 0) for k, n in t.items()} for t, own in zip(counts[side], own, strict=True)]
+        w, p, c = table
         alone = (w.get(token[0], 0) + lm_scoring.SMOOTHING) / (sum(w.values()) + lm_scoring.SMOOTHING * vocabulary)
         seen = c.get(token[2], 0)
         return -math.log((1 - lm_scoring.SHARE) * alone + lm_scoring.SHARE * (p.get(token[1], 0) / seen if seen else alone))
 
     for doc_id, text in rows:
         k = tokens(text)
-        want = [sum(loss(side, x) for x in k) / max(len(k), 1) for side in (0, 1)]
+        own = [list(x) for x in zip(*k, strict=True)] if k else [[], [], []]
+        want = [sum(loss(side, x, own if (doc_id in good) == (side == 0) else [[], [], []]) for x in k) / max(len(k), 1) for side in (0, 1)]
         r = got[doc_id]
         assert r.n_tokens == len(k) and [r.target_loss, r.background_loss] == pytest.approx(want) and r.score == pytest.approx(want[0] - want[1])
     scored = [r for i, r in got.items() if i is not None and i < 60 and r.n_tokens > 5]
