@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pipeline_io import checkpoint_folder
+
 
 def cut(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's shared folder; where none is set (as in tests), one under the warehouse."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    """checkpoint() in the folder that all executors share."""
+    checkpoint_folder(spark)
     return frame.checkpoint()
 
 

@@ -9,8 +9,14 @@ whole page is found bottom-up.
 The trees are fitted to pages that are generated here with their right answer (`training_pages`), a bounded set whose
 layouts vary in tags, class names, order and noise; no page of the input teaches anything.
 
-Empty cases: null or blank html gives an empty text; markup that never closes is closed where it must end; columns other
-than page_id, url and html are ignored; an empty table gives an empty result.
+Elements whose content may be part of a sentence or stands for a picture (math, svg, object, canvas, audio, video) are
+read through like any inline element; only raw text that is no text of the page is passed over (scripts, styles, templates,
+the title, text fields). Elements nested deeper than `DEPTH` belong to the one at that depth. Reading a page takes time in
+proportion to its length, whatever its markup.
+
+Empty cases: null or blank html gives an empty text; markup that never closes is closed where it must end, and a `<` that
+begins no tag is text; pages may be of any length; rows that repeat a page_id, or have none, are read each by itself;
+columns other than page_id, url and html are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +34,21 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
 
-TRAINING_PAGES, SEED = 700, 11
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
+TRAINING_PAGES, SEED, DEPTH = 700, 11, 512
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Fixed values of the HTML standard: elements that flow inside a line, that have no content, whose content is raw text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math meter object output picture progress q rp rt ruby s samp slot small span strike strong sub sup svg time tt u var video wbr".split())
+#: Fixed values of the MathML and SVG standards: elements within those.
+INLINE |= frozenset("annotation maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics circle clippath defs desc ellipse g line lineargradient mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas audio video select title".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
-KINDS = (("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th"), ("article",), ("main",), ("section",), ("div", "center"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button"), ("figure", "figcaption"), ("body", "html"))
+KINDS = (("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th"), ("article",), ("main",), ("section",), ("div", "center"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "select"), ("figure", "figcaption"), ("body", "html"))
 #: Parts of class, id and role tokens, by what they usually mark.
 TOKENS = (
     ("ad", "ads", "advert", "advertisement", "adbox", "sponsor", "sponsored", "promo", "promoted", "banner", "adslot"),
@@ -55,6 +67,45 @@ FEATURES = 2 * len(KINDS) + 2 * len(TOKENS) + 20
 END = re.compile(r"[.!?](?:\s|$)")
 
 
+class Tags:
+    """Tags and comments by where they start. A quote that never closes is met once only, so that hostile markup costs no more than its length."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last, self.plain, self.dead = source, source.rfind(">"), True, set()
+
+    def at(self, start: int) -> tuple[str, str, str, int] | None:
+        """("/" of an end tag, name or nothing for a comment, attributes, where it ends); None if no tag starts there."""
+        if self.source.startswith(("<!", "<?"), start):
+            if start > self.last and not self.source.startswith("<!--", start):
+                return None
+            return "", "", "", COMMENT.match(self.source, start).end()
+        m = TAG_START.match(self.source, start)
+        if m is None or start > self.last:
+            return None
+        if self.plain:
+            whole = TAG.match(self.source, start)
+            if whole is not None:
+                return whole[1], whole[2].lower(), whole[3], whole.end()
+            self.plain = False  # from here on step by step
+        end = self._end(m.end())
+        return m[1], m[2].lower(), self.source[m.end() : end - 1], end
+
+    def _end(self, at: int) -> int:
+        """After the first > outside quotes; if those don't close, after the first > at all."""
+        x, passed = at, []
+        while True:
+            m = STOP.search(self.source, x)
+            if m is not None and m[0] == ">":
+                return m.end()
+            other = -1 if m is None or m.start() in self.dead else self.source.find(m[0], m.end())
+            if m is not None:
+                passed.append(m.start())
+            if other < 0:
+                self.dead.update(passed)
+                return self.source.find(">", at) + 1
+            x = other + 1
+
+
 class Page:
     """Nodes of a page: tag, tokens, parent, and its blocks of text in order."""
 
@@ -95,6 +146,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, link, end = [0], 0, 0, len(source)
+        nested, endless = Counter(), set()  # open elements by tag; raw elements without an end tag
+        tags = Tags(source)
 
         def text(piece: str) -> None:
             if piece:
@@ -104,29 +157,40 @@ class Page:
                     self._links += len(piece)
 
         def close(names: set[str], stop: frozenset[str] | set[str]) -> None:
+            if not any(nested[x] for x in names):
+                return
             for k in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[k]] in names:
                     self._flush(stack[-1])
+                    nested.subtract(self.tag[n] for n in stack[k:])
                     del stack[k:]
                     return
                 if self.tag[stack[k]] in stop:
                     return
 
         while at < end:
-            m = TOKEN.search(source, at)
-            if m is None:
+            start = source.find("<", at)
+            if start < 0:
                 text(source[at:])
                 break
-            text(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if name is None:
+            found = tags.at(start)
+            if found is None:
+                text(source[at : start + 1])
+                at = start + 1
+                continue
+            text(source[at:start])
+            closing, name, attributes, at = found
+            if not name:
                 continue
-            name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if name in RAW:
-                if not closing and not attributes.endswith("/"):
-                    shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    at = shut.end() if shut else end
+                if not closing and not attributes.endswith("/") and name not in endless:
+                    shut = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(source, at)
+                    if shut is not None:
+                        at = shut.end()
+                    elif name in ("script", "style"):
+                        at = end
+                    else:
+                        endless.add(name)
                 continue
             if name in INLINE:
                 link = link + 1 if name == "a" and not closing else max(0, link - 1) if name == "a" else link
@@ -147,7 +211,9 @@ class Page:
                 close({"p"}, CLOSES_P - {"p"} | {"li", "td", "th", "body"})
             if name in ENDS_SAME:
                 close(ENDS_SAME[name], {"ul", "ol", "dl", "table", "select"} - ENDS_SAME[name])
-            self._open(name, attributes, stack)
+            if len(stack) < DEPTH:
+                self._open(name, attributes, stack)
+                nested[name] += 1
         self._flush(stack[-1])
 
     def features(self) -> np.ndarray:
@@ -218,7 +284,6 @@ class Page:
         """Which nodes are in the article: states 0 around, 1 in, 2 cut out, that never go back on the way down."""
         n = len(self.tag)
         own = np.stack([np.zeros(n), odds, np.zeros(n)], axis=1)
-        own[np.array(self.hidden), 1] = -50
         best = own.copy()
         choice = np.zeros((n, 3), np.int64)
         for i in range(n - 1, 0, -1):

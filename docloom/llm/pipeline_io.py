@@ -1,13 +1,25 @@
-"""Where a pipeline writes what its stages hand on."""
+"""Where operators and pipelines write what their steps hand on."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a folder of this machine in local mode (as in tests), and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset (as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stages-{uuid.uuid4().hex}"
+    """A new folder under it."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"

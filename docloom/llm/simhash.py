@@ -7,10 +7,14 @@ a search follows only edges within the radius. The trees of a task are built and
 are dealt out rather than broadcast, since a broadcast tree of all fingerprints would grow with the corpus.
 
 A pair of blocks that very many fingerprints share is dealt in parts: part i is built once and the parts j >= i search it.
-Each task keeps a spanning forest of the links it finds, and the forests are joined to components.
+The number of tasks follows the number of fingerprints, and a task reads its trees one portion after the other. Each task
+keeps a spanning forest of the links it finds, and the forests are joined to components.
 
 Empty cases: null text counts as empty; texts of 1 to 3 words have one shingle; texts without words have fingerprint zero
-and are linked like any other; a null doc_id stays null and names no component unless its group has no other id.
+and are linked like any other; a null doc_id stays null and names no component unless its group has no other id; equal
+texts have one fingerprint and cost one search, however many there are; rows that repeat a doc_id are rows of their own,
+whose groups are one if their fingerprints link; a text is read whole, however long; columns other than doc_id and text are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .components import components, cut
 from .textbytes import text_bytes
 
-SHINGLE, RADIUS, PART = 4, 4, 2_000
+SHINGLE, RADIUS, PART, TASK_ROWS, PORTION = 4, 4, 2_000, 500_000, 200_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -45,17 +49,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, text_hash): one row for each row of docs; fp is the fingerprint's 64 bits as a signed number."""
+    """(doc_id, fp, row_hash): one row for each row of docs; fp is the fingerprint's 64 bits as a signed number."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             raw = data.tobytes()
             fps = [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "row_hash"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(each, "doc_id long, fp long, text_hash long")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_hash")).mapInArrow(each, "doc_id long, fp long, row_hash long")
 
 
 def block_keys(radius: int) -> list[tuple[int, int]]:
@@ -127,6 +131,21 @@ def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np
     return moved, label[moved]
 
 
+def whole_trees(batches: Iterator[pa.RecordBatch], portion: int = PORTION) -> Iterator[pa.Table]:
+    """Rows in the order of `tree`, about `portion` at a time and never a part of a tree."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= portion:
+            table = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(table["tree"].to_numpy(), table["tree"][-1].as_py()))  # where the last tree begins
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
     """Edges (a, b) between ids of (id, fp) that connect whatever a chain of links within the radius connects."""
     masks = block_keys(radius)
@@ -140,29 +159,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFr
     sent = sent.select("id", "fp", F.xxhash64("k", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), (F.col("own") <= F.col("other")).alias("built"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = [b for b in batches if b.num_rows]
-        if not full:
-            return
-        table = pa.Table.from_batches(full)
-        ids, fps, tree = (table[c].to_numpy() for c in ("id", "fp", "tree"))
-        built = table["built"].to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        ids, fps, tree, built = ids[order], fps[order].view(np.uint64), tree[order], built[order]
-        keep = np.flatnonzero(built)
-        forest = Forest(fps[keep], tree[keep])
-        distinct, number = np.unique(ids, return_inverse=True)
-        a, b = spanning(((number[q], number[keep[node]]) for q, node in forest.near(fps, tree, radius)), len(distinct))
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[a]), pa.array(distinct[b])], names=["a", "b"])
-
-    return sent.repartition("tree").mapInArrow(search, "a long, b long")
+        for table in whole_trees(batches):
+            ids, fps, tree = (table[c].to_numpy() for c in ("id", "fp", "tree"))
+            built = table["built"].to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            ids, fps, tree, built = ids[order], fps[order].view(np.uint64), tree[order], built[order]
+            keep = np.flatnonzero(built)
+            forest = Forest(fps[keep], tree[keep])
+            distinct, number = np.unique(ids, return_inverse=True)
+            a, b = spanning(((number[q], number[keep[node]]) for q, node in forest.near(fps, tree, radius)), len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[a]), pa.array(distinct[b])], names=["a", "b"])
+
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * len(masks) // TASK_ROWS)
+    return sent.repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(search, "a long, b long")
 
 
 def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to), text_hash (tells rows of one doc_id apart)."""
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to); also group_key, which tells groups apart even where doc_id doesn't, and row_hash (of doc_id and text)."""
     spark = docs.sparkSession
     each = cut(spark, fingerprints(docs, shingle))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    named = distinct.filter("id IS NOT NULL")
-    label = components(spark, links(named, radius))
-    groups = distinct.join(label, "id", "left").select("fp", F.coalesce("label", "id").alias("component_id"))
-    return each.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    label = components(spark, links(distinct.select(F.col("fp").alias("id"), "fp"), radius)).withColumnRenamed("id", "fp")
+    groups = distinct.join(label, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("group_key"))
+    names = groups.groupBy("group_key").agg(F.min("first_id").alias("component_id"))
+    groups = groups.join(names, "group_key").select("fp", "group_key", "component_id")
+    return each.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_key", "row_hash")

@@ -1,23 +1,29 @@
 """Approximate nearest neighbours with vantage-point trees.
 
-Vectors are dealt to shards of about `SHARD_ROWS`; each shard is a tree whose nodes halve their vectors by the distance
-from a vantage point. A half is skipped when the triangle inequality puts all of it further away than the k-th best so far
-divided by `factor`: factor 1 gives exact results, larger factors skip more. Queries meet the shards in blocks of
-`QUERY_ROWS`, and each query's best of all shards are ranked at the end.
+`SCOUTS` of the vectors (those with the least hashes of vec_id) go to all tasks. The first of them are pivots, one for each
+`SHARD_ROWS` vectors; every vector belongs to the shard of its nearest pivot, whose ball reaches to its farthest member. A
+query's k-th nearest scout bounds how far it has to look, and it is sent only to shards whose balls come that near. Each
+shard is a tree whose nodes halve their vectors by the distance from a vantage point; a half is skipped when the triangle
+inequality puts all of it further away than the k-th best so far divided by `factor`: factor 1 gives exact results, larger
+factors skip more. Queries meet a shard in blocks of about `QUERY_ROWS`, and each query's best of all shards are ranked at
+the end.
 
 Empty cases: vectors that are null, zero, empty, or hold null or non-finite components take no part, nor does a null
-vec_id; only vectors of the same length are compared; rows with the query's own vec_id are not its candidates; ties go to
-the smaller vec_id; extra columns are ignored; an empty table gives an empty result.
+vec_id; only vectors of the same length are compared; rows with the query's own vec_id are not its candidates; rows that
+repeat a vec_id are candidates each by itself, but of queries that repeat one only that with the least vector asks; ties go
+to the smaller vec_id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS, LEAF, K = 20_000, 5_000, 128, 10
+SHARD_ROWS, QUERY_ROWS, SCOUTS, LEAF, K = 20_000, 5_000, 1_000, 256, 10
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,6 +35,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of rows of a and rows of b by one matrix product, and how much they may be wrong by rounding."""
+    size = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)
+    return size - 2 * (a @ b.T), 1e-12 * size
+
+
 class Tree:
     """A vantage-point tree over rows of `points`, with integer `names`."""
 
@@ -46,28 +58,50 @@ class Tree:
         near, far = order[:half], order[half:]
         return vantage, d[near[-1]], d[far[0]], self._grow(rows[near], rng), self._grow(rows[far], rng)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Names and distances of the k nearest of each query (infinite where there are fewer), without its own name."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Names and distances of the k nearest of each query (infinite where there are fewer), without its own name.
+
+        within: what lies further away than this need not be found.
+        """
         best = np.full((len(queries), k), np.inf)
         name = np.full((len(queries), k), np.iinfo(np.int64).max)
+        within = np.full(len(queries), np.inf) if within is None else within
+
+        def leaf(rows: np.ndarray, q: np.ndarray) -> None:
+            with np.errstate(over="ignore", invalid="ignore"):
+                about, slack = rough(queries[q], self.points[rows])
+                mine = self.names[rows] == own[q][:, None]
+                about[mine] = np.inf
+                most = np.minimum(best[q, k - 1], within[q]) ** 2 * (1 + 1e-12)
+                if len(rows) > k:
+                    most = np.minimum(most, np.partition(about + slack, k - 1, axis=1)[:, k - 1])
+                # not "<=": what can't be compared is looked at as well
+                i, j = np.nonzero(~(about - slack > most[:, None]) & ~mine)
+            if not len(i):
+                return
+            d = np.zeros(len(i))
+            for c in range(queries.shape[1]):  # components are added in order, as a plain sum would
+                step = queries[q[i], c] - self.points[rows[j], c]
+                d += step * step
+            some = np.unique(i)
+            who = np.concatenate([np.repeat(some, k), i])
+            all_d, all_n = np.concatenate([best[q[some]].ravel(), np.sqrt(d)]), np.concatenate([name[q[some]].ravel(), self.names[rows[j]]])
+            order = np.lexsort((all_n, all_d, who))
+            first = np.searchsorted(who[order], some)[:, None] + np.arange(k)
+            best[q[some]], name[q[some]] = all_d[order[first]], all_n[order[first]]
 
         def visit(node: tuple, q: np.ndarray) -> None:
             if not len(q):
                 return
             if len(node) == 1:
-                found = distances(queries[q], self.points[node[0]])
-                who = np.broadcast_to(self.names[node[0]], found.shape)
-                found = np.where(who == own[q][:, None], np.inf, found)
-                all_d, all_n = np.hstack([best[q], found]), np.hstack([name[q], np.where(np.isinf(found), np.iinfo(np.int64).max, who)])
-                order = np.lexsort((all_n, all_d), axis=1)[:, :k]
-                best[q], name[q] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_n, order, 1)
+                leaf(node[0], q)
                 return
             vantage, inner, outer, near, far = node
             d = distances(queries[q], self.points[vantage][None])[:, 0]
             closer = d - inner <= outer - d
             visit(near, q[closer])
             visit(far, q[~closer])
-            reach = best[q, k - 1] / factor + 1e-12
+            reach = np.minimum(best[q, k - 1], within[q]) / factor + 1e-9
             visit(far, q[closer & (outer - d <= reach)])
             visit(near, q[~closer & (d - inner <= reach)])
 
@@ -75,6 +109,46 @@ class Tree:
         return name, best
 
 
+class Scouts:
+    """The scouts of each length of vector, and the radii of the balls about the first of them, the pivots."""
+
+    def __init__(self, rows: list[tuple[int, list[float]]], shards: int) -> None:
+        self.shards, self.radius = shards, {}
+        self.names, self.points = {}, {}
+        for dim in {len(v) for _, v in rows}:
+            some = [r for r in rows if len(r[1]) == dim]
+            self.names[dim], self.points[dim] = np.array([r[0] for r in some]), np.array([r[1] for r in some])
+
+    def home(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's shard, and its distance from the pivot; shard 0 where no pivot has its length."""
+        dim = vectors.shape[1]
+        if dim not in self.points:
+            return np.zeros(len(vectors), np.int64), np.full(len(vectors), np.inf)
+        pivots = self.points[dim][: self.shards]
+        shard = rough(vectors, pivots)[0].argmin(axis=1)
+        return shard, np.sqrt(((vectors - pivots[shard]) ** 2).sum(axis=1))
+
+    def reached(self, query: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of query (by number) and shard to look into, and how far each query has to look."""
+        dim = query.shape[1]
+        if dim not in self.points:
+            return np.arange(len(query)), np.zeros(len(query), np.int64), np.full(len(query), np.inf)
+        with np.errstate(over="ignore", invalid="ignore"):
+            d2, slack = rough(query, self.points[dim])
+            high, low = np.sqrt(np.maximum(d2 + slack, 0)), np.sqrt(np.maximum(d2 - slack, 0))
+            high[(self.names[dim] == own[:, None]) | np.isnan(high)] = np.inf
+            within = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k else np.full(len(query), np.inf)
+            radius = np.array([self.radius.get((dim, s), -np.inf) for s in range(min(self.shards, len(self.names[dim])))])
+            q, shard = np.nonzero(~(low[:, : len(radius)] - radius > within[:, None] / factor + 1e-9) & (radius >= 0))
+        return q, shard, within
+
+
+def matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """The vectors of these rows, all of one length."""
+    some = column.take(pa.array(rows))
+    return np.array(some.flatten()).reshape(len(rows), -1)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = 1.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (distance) for queries and vectors (vec_id, embedding)."""
 
@@ -83,10 +157,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
         clean = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         return clean.filter(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
 
-    points, asked = usable(vectors), usable(queries)
-    shards, blocks = (-(-n // most) or 1 for n, most in ((points.count(), SHARD_ROWS), (asked.count(), QUERY_ROWS)))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    spark, points = vectors.sparkSession, usable(vectors)
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    n, blocks = points.count(), -(-asked.count() // QUERY_ROWS) or 1
+    shards = max(1, min(SCOUTS, -(-n // SHARD_ROWS)))
+    parts = -(-n // (shards * SHARD_ROWS)) or 1  # of a shard, where there are more vectors than SCOUTS shards hold
+    first = points.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SCOUTS).toArrow()
+    scouts = Scouts(list(zip(first["vec_id"].to_pylist(), first["embedding"].to_pylist(), strict=True)), shards)
+    sent = spark.sparkContext.broadcast(scouts)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, shard, far = batch.column(2).to_numpy(), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                shard[rows], far[rows] = sent.value.home(matrix(batch.column(1), rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(far)], names=["vec_id", "embedding", "dim", "shard", "far"])
+
+    dealt = points.mapInArrow(homes, "vec_id long, embedding array<double>, dim int, shard int, far double")
+    radii = dealt.groupBy("dim", "shard").agg(F.max("far").alias("far")).filter("far < double('inf')")
+    scouts.radius = {(r[0], r[1]): r[2] * (1 + 1e-9) for r in radii.collect()}  # SCOUTS rows for each length of vector that scouts have
+    sent_with_radii = spark.sparkContext.broadcast(scouts)
+
+    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, own = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                q, shard, within = sent_with_radii.value.reached(matrix(batch.column(1), rows), own[rows], k, factor)
+                at = pa.array(rows[q])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(shard.astype(np.int32)), pa.array(within[q])], names=["vec_id", "embedding", "dim", "shard", "within"]
+                )
+
+    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
+    points = dealt.drop("far").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.select("vec_id", "embedding", "dim").mapInArrow(routes, "vec_id long, embedding array<double>, dim int, shard int, within double")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(table: pa.Table, wanted: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -94,12 +201,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
             side = lambda t: (t["vec_id"].to_numpy(), np.array(t["embedding"].combine_chunks().flatten()).reshape(t.num_rows, -1))
             (names, rows), (own, q) = side(table), side(wanted)
             order = np.argsort(names, kind="stable")
-            name, d = Tree(rows[order], names[order]).search(q, own, k, factor)
+            name, d = Tree(rows[order], names[order]).search(q, own, k, factor, wanted["within"].to_numpy() * (1 + 1e-9))
             full = np.isfinite(d)
             out = {"query_id": np.broadcast_to(own[:, None], d.shape)[full], "vec_id": name[full], "score": d[full]}
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    by = ["dim", "shard", "block"]
+    by = ["dim", "shard", "part", "block"]
     found = points.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

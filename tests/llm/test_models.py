@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import html_extraction as hx
 from docloom.llm import language_id, lm_scoring, toxicity
@@ -214,3 +215,120 @@ def test_extract_edges(spark):
     got = {r.page_id: r.text for r in hx.extract(pages, model).collect()}
     assert got[1] == "" and got[2] == "" and "Hello" in got[None] and "no" not in got[None].split()
     assert hx.extract(pages.limit(0), model).count() == 0
+
+
+def test_text_that_stands_in_odd_elements_is_kept():
+    model = hx.learn()
+    story = "<p>The river rose by two metres in the night, and the town had little time to act.</p>" * 3
+    for inner in ("<audio src=x>", "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "<object><object>inner</object></object>", "<canvas>chart</canvas>", "<svg><text>axis</text></svg>", "<title>", "<textarea>", "<video controls>"):
+        page = f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>High water</h1>{story}<p>So {inner} it was, in the end, as all had said.</p>{story}</article><footer>(c)</footer></body>"
+        text = hx.main_texts([page], model)[0]
+        assert text.count("The river rose") == 6 and "it was, in the end" in text, inner
+        for word in re.findall(r">(\w+|=)<", inner):
+            assert word in text.split() or word in text, inner
+
+
+def test_pages_of_other_layouts():
+    """Hand-made, not from the generator: a table layout, nested divisions without names, headings and lists."""
+    model = hx.learn()
+    story = [f"Paragraph number {i} tells at some length, with commas and all, what happened on the day of the fair." for i in range(6)]
+    menu = "".join(f"<a href=/{x}>{x}</a> " for x in ("Home", "News", "Sport", "Weather", "Contact"))
+    table = f"<body><table><tr><td colspan=2><div class=menu>{menu}</div></td></tr><tr><td><div id=sidebar><ul><li><a href=/a>Older</a></li><li><a href=/b>Newer</a></li></ul></div></td><td><div id=content>{''.join(f'<p>{x}</p>' for x in story)}</div></td></tr></table></body>"
+    divisions = f"<body><div><div class=navbar>{menu}</div><div><div class=post><h1>The fair</h1>{''.join(f'<div><p>{x}</p></div>' for x in story)}</div></div><div class=footer>Copyright</div></div></body>"
+    for page in (table, divisions):
+        text = hx.main_texts([page], model)[0]
+        assert all(x in text for x in story) and "Weather" not in text and "Copyright" not in text
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for piece in ('<a "', "<a '>\"", '<a "x\'>', "<", "<!", "<!--", "<div>", "<title>", "<p><td>", "</section>", "&amp"):
+        hx.Page(piece * (300_000 // len(piece)))
+    hx.Page("<section><td>" + "<div>" * 50_000 + "</section>" * 50_000)
+    assert time.perf_counter() - began < 40
+
+
+def test_decoding_against_all_assignments():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for page in ("<body><div><nav><p>a</p></nav><p>b</p></div></body>", "<ul><li>a<li>b</ul><p>c", "<div><div><p>a</p></div></div>"):
+        p = hx.Page(page)
+        n = len(p.tag)
+        for _ in range(30):
+            odds = rng.normal(size=n) * 3
+            keep = p.decode(odds)
+            value = lambda kept: sum(odds[i] for i in range(1, n) if kept[i])
+            best = max(sum(odds[i] for i in range(1, n) if s[i] == 1) for s in product((0, 1, 2), repeat=n) if s[0] == 0 and all(s[i] >= s[p.parent[i]] for i in range(1, n)))
+            assert value(keep) == pytest.approx(best)
+
+
+def test_samples_are_never_empty(spark):
+    """Class sizes of any order leave a sample: a share of 10**10 rows is small, not none."""
+    hashes = spark.range(1000).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"), "id").select(F.xxhash64("id", "k").alias("h"))
+    assert 50 < hashes.filter(toxicity.share_of(F.col("h"), 10**7, 10**10)).count() < 200
+    assert hashes.filter(toxicity.share_of(F.col("h"), 6_000, 10**10)).count() < 5
+    assert hashes.filter(toxicity.share_of(F.col("h"), 6_000, 6_000)).count() == 100_000
+    docs = spark.createDataFrame([(i, "mot et mot" if i % 2 else "word and word", "fr" if i % 2 else "en") for i in range(400)], "doc_id long, text string, lang string")
+    langs, _ = language_id.learn(docs, per_language=20)
+    assert langs == ["en", "fr"]
+    assert language_id.learn(docs, most_languages=1)[0] == ["en"]
+
+
+def test_toxicity_score_term_by_term(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(12)) + (" idiot they" if i % 5 == 0 else " they")) for i in range(300)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 = 0) toxic")
+    m = toxicity.learn(docs, labels)
+    place = {int(t): k for k, t in enumerate(m.ids)}
+    for r in toxicity.toxicity(docs, m).collect():
+        at = [place[t] for t in toxicity.terms(r.text.encode()) if t in place]
+        raw = m.bias + sum(m.weight[i] for i in at) + sum(float(m.factor[i] @ m.factor[j]) for a, i in enumerate(at) for j in at[a + 1 :])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-raw))) and r.predicted == (r.score >= 0.5)
+
+
+def test_language_scores_gram_by_gram(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    langs, log_p = language_id.learn(docs)
+    for r in language_id.identify(docs.select("doc_id", "text"), langs, log_p).collect():
+        total = np.zeros(len(langs))
+        for feature, _ in language_id.grams([r.text or ""]):
+            for f in feature.tolist():
+                total += log_p[:, f]
+        assert r.lang_pred == (langs[int(total.argmax())] if re.search(r"[^\W\d_]", r.text or "") else "und")
+
+
+def test_repeated_query_rows_and_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8)) * 4
+    x = centres[rng.integers(30, size=3000)] + 0.1 * rng.normal(size=(3000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.filter("vec_id % 100 = 0")
+    import docloom.llm.vector_search as vs
+
+    old, vs.SHARD_ROWS = vs.SHARD_ROWS, 200
+    try:
+        got = vs.nearest(vectors, asked.unionByName(asked)).collect()
+    finally:
+        vs.SHARD_ROWS = old
+    assert len(got) == 30 * 10 and len({(r.query_id, r.vec_id) for r in got}) == 300
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = np.sort(d)[:10]
+        assert sorted(r.score for r in got if r.query_id == q) == pytest.approx(want.tolist())
+
+
+def test_pivots_send_queries_to_few_shards():
+    from docloom.llm.vector_search import Scouts
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 8)) * 10
+    x = np.concatenate([c + 0.1 * rng.normal(size=(60, 8)) for c in centres])
+    scouts = Scouts(list(enumerate(x[rng.permutation(len(x))[:600]].tolist())), 20)
+    shard, far = scouts.home(x)
+    scouts.radius = {(8, s): far[shard == s].max() for s in set(shard.tolist())}
+    q, _, _ = scouts.reached(x[::10], np.full(120, -1), 10, 1.0)
+    assert len(q) < 0.5 * 120 * 20
