@@ -13,36 +13,59 @@ from docloom.llm.simhash import simhash
 from docloom.llm.suffix_dedup import suffix_dedup
 
 
+LEAST_SURE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: null texts and texts without a letter go."""
-    return identify(docs, *learn(docs)).filter("lang_pred <> 'und'").select(*docs.columns)
+    """Documents that have a language: those go whose text is null or has no letter, or whose likeliest language has not even half the posterior.
+
+    Where nothing can be learned (no lang in any row, an empty table), every text with a letter stays. Rows that repeat, and
+    texts of any length, are judged each by itself.
+    """
+    langs, log_p = learn(docs)
+    if not langs:
+        return docs.filter(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
+    clash = {c: f"kept_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(clash), langs, log_p).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in clash.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that with the least doc_id (one row of it, if rows repeat); without a doc_id all stay."""
-    first = simhash(docs.select("doc_id", "text")).filter("doc_id = component_id")
-    first = first.groupBy(F.col("doc_id").alias("first_id")).agg(F.min("text_hash").alias("first_text"))
-    # between, not equal: the join's only key is doc_id, so dropDuplicates needs no second shuffle
-    own = (F.col("doc_id") == F.col("first_id")) & F.xxhash64("text").between(F.col("first_text"), F.col("first_text"))
-    named = docs.filter("doc_id IS NOT NULL").join(first, own, "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One document of each SimHash group stays: that with the least doc_id (without one only if none has any), then the least hash of its text.
+
+    Groups are of texts, so that unlike rows of one doc_id stay both, and documents without doc_id are compared like others;
+    of rows that repeat both doc_id and text one stays. Texts without words, null ones too, are one group.
+    """
+    marked = simhash(docs.select("doc_id", "text"))
+    first = marked.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")).alias("first"))
+    own = docs.withColumn("row_hash_of_first", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    # the join's only key comes first among those of dropDuplicates, which needs no second shuffle therefore
+    kept = own.join(first.select(F.col("first.row_hash").alias("row_hash_of_first")), "row_hash_of_first", "left_semi")
+    return kept.dropDuplicates(["row_hash_of_first", "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that earlier ones hold too; those with nothing but white space left go."""
+    """Documents without the bytes that earlier ones hold too; those with nothing but white space left go.
+
+    Halves of cut characters go as well, and n_chars follows the text. A text from which nothing was removed stays as it is,
+    also a null or blank one; rows that repeat a doc_id don't remove each other's bytes.
+    """
     found = suffix_dedup(docs, as_text=True)
     found = found.withColumn("n_chars", F.length("kept_text").cast("long")).withColumn("text", F.col("kept_text"))
     return found.filter("n_removed = 0 OR text RLIKE '\\\\S'").select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and wordless texts have none, with an empty benchmark all stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).filter("n_hit = 0").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What training reads: a row for each reading of a document, with its position and words, in the order of positions."""
+    """What training reads: a row for each reading of a document, with its position and words, in the order of positions.
+
+    Documents without words are never read; a null source is a source of its own; an empty table gives an empty mix.
+    """
     return in_training_order(mix(docs))
 
 
