@@ -8,11 +8,30 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import OVERLAP, TARGET
+
 HEADING = re.compile(r"^(#{1,4})\s+(.+)$", re.M)
-FENCE, RULE, LIST = re.compile(r"(`{3,}|~{3,})"), re.compile(r"[-*_]{3,}\s*$"), re.compile(r"\s*(?:[-*+]|\d+[.)]) ")
+FENCE = re.compile(r"`{3,}|~{3,}")
+#: Classes of lines, the first that matches holds.
+LINES = [
+    (letter, re.compile(pattern))
+    for letter, pattern in (
+        ("t", r"\s*\||[\s:]*-{3,}"),
+        ("b", r"\s*$"),
+        ("h", r"\s*#{1,6}\s"),
+        ("r", r"\s*[-*_]{3,}\s*$"),
+        ("q", r"\s*>"),
+        ("l", r"\s*(?:[-*+]|\d+[.)]) "),
+        ("m", r"\s{2,}"),
+        ("p", r""),
+    )
+]
+#: Blocks as runs of line classes: text goes on over one blank line, quotes and lists over any number of them to more of their kind.
+BLOCK = re.compile(r"fi*|t+|r|[hmp](?:b?p)*|q(?:b*q|p)*|l(?:b*[lm]|p)*")
 SKIPPED = frozenset("script style nav header footer aside iframe noscript form".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -33,66 +52,29 @@ def heading_sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"title": a, "level": b, "content": c} for a, b, c in sections_of(t)])
 
 
-def blocks_of(text: str) -> list[str]:
-    """Markdown blocks that can stand alone: fences, tables, headings, rules, quotes, lists and paragraphs stay whole."""
-    out: list[str] = []
-    block: list[tuple[str, str]] = []  # (kind, line)
-    fence = ""
-
-    def flush() -> None:
-        whole = "\n".join(line for _, line in block).strip()
-        if whole:
-            out.append(whole)
-        block.clear()
-
-    def kinds() -> set[str]:
-        return {k for k, _ in block} - {"blank"}
-
-    for line in text.split("\n"):
+def line_classes(lines: list[str]) -> str:
+    """A letter for each line: f opens a fence and i lies in it, t table, h heading, r rule, q quote, l list item, m indented, b blank, p text."""
+    out, fence = [], ""
+    for line in lines:
         bare = line.strip()
         mark = FENCE.match(bare)
         if fence:
-            block.append(("fence", line))
-            if mark and bare[0] == fence and not bare.strip(fence):
+            out.append("i")
+            if mark and set(bare) == {fence}:
                 fence = ""
-                flush()
-            continue
-        if mark:
-            if kinds():
-                flush()
+        elif mark:
+            out.append("f")
             fence = bare[0]
-            block.append(("fence", line))
-            continue
-        if bare.startswith("|") or re.match(r"[\s:]*-{3,}", bare):
-            if block and kinds() != {"table"}:
-                flush()
-            block.append(("table", line))
-            continue
-        if "table" in kinds():
-            flush()
-        if not bare:
-            block.append(("blank", line))
-        elif re.match(r"#{1,6}\s", bare):
-            flush()
-            block.append(("heading", line))
-        elif RULE.match(bare):
-            flush()
-            out.append(bare)
-        elif bare.startswith(">"):
-            if kinds() and "quote" not in kinds():
-                flush()
-            block.append(("quote", line))
-        elif LIST.match(line) or re.match(r"\s{2,}", line):
-            if kinds() and "list" not in kinds():
-                flush()
-            block.append(("list" if LIST.match(line) else "more", line))
         else:
-            blanks = next((n for n, (k, _) in enumerate(reversed(block)) if k != "blank"), len(block))
-            if blanks >= 2 or (blanks and kinds() & {"list", "quote"}):
-                flush()
-            block.append(("text", line))
-    flush()
-    return out
+            out.append(next(letter for letter, pattern in LINES if pattern.match(line)))
+    return "".join(out)
+
+
+def blocks_of(text: str) -> list[str]:
+    """Markdown blocks that can stand alone: fences, tables, headings with their text, rules, quotes, lists and paragraphs."""
+    lines = text.split("\n")
+    found = ("\n".join(lines[m.start() : m.end()]).strip() for m in BLOCK.finditer(line_classes(lines)))
+    return [block for block in found if block]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -218,3 +200,27 @@ def email_text(content: pd.Series) -> pd.Series:
         return "\n".join([*head, "", text.strip()])
 
     return content.map(read)
+
+
+def packs_of(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Sentences packed up to `size` characters; the last ones of a pack, up to `overlap` characters, begin the next as well."""
+    out, begin, held = [], 0, 0
+    for i, part in enumerate(parts):
+        if i > begin and held + len(part) > size:
+            out.append(" ".join(parts[begin:i]))
+            least, begin, held = begin, i, 0
+            while begin > least and held + len(parts[begin - 1]) <= overlap:
+                begin -= 1
+                held += len(parts[begin])
+        held += len(part)
+    return out + [" ".join(parts[begin:])] if parts else out
+
+
+def packed(parts: Column, size: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """T06; null for null."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pack(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else packs_of(list(x), size, overlap))
+
+    return pack(parts)

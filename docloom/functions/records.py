@@ -264,3 +264,8 @@ def organic_results(raw: Column) -> Column:
 def distinct_tools(steps: Column, used: Column) -> Column:
     """Names of tools from both lists, once each, without empty ones."""
     return F.filter(F.array_union(steps, used), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def suggestions(found: Column, most: int = 5) -> Column:
+    """The first different suggestions, stripped, without empty ones."""
+    return F.slice(F.array_distinct(F.filter(F.transform(found, stripped), lambda x: F.coalesce(x, F.lit("")) != "")), 1, most)

@@ -50,35 +50,6 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
-def packed(parts: Column, size: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """Sentences packed up to `size` characters; a new pack starts with the last ones of up to `overlap` characters."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("size"))
-
-    def carried(cur: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("keep"), F.lit(0).alias("size"), F.lit(True).alias("open"))
-
-        def step(s: Column, x: Column) -> Column:
-            fits = s["open"] & (s["size"] + F.length(x) <= overlap)
-            return F.struct(
-                F.when(fits, F.concat(F.array(x), s["keep"])).otherwise(s["keep"]).alias("keep"),
-                F.when(fits, s["size"] + F.length(x)).otherwise(s["size"]).alias("size"),
-                fits.alias("open"),
-            )
-
-        return F.aggregate(F.reverse(cur), start, step)
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["size"] + F.length(x) > size) & (F.size(s["cur"]) > 0)
-        carry = carried(s["cur"])
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["done"]).alias("done"),
-            F.concat(F.when(full, carry["keep"]).otherwise(s["cur"]), F.array(x)).alias("cur"),
-            (F.when(full, carry["size"]).otherwise(s["size"]) + F.length(x)).alias("size"),
-        )
-
-    return F.aggregate(parts, state, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["done"]))
-
-
 def sentence_windows(parts: Column, window: int = 3, step: int = 2) -> Column:
     """Windows of `window` sentences, `step` apart."""
     starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts), F.lit(step))).otherwise(F.array().cast("array<int>"))
@@ -90,14 +61,6 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n\n", -1), stripped), lambda p: p != "")
 
 
-def paragraph_chunks(p: Column, semantic: bool = True) -> Column:
-    """One paragraph's chunks by its size."""
-    found = sentences(p)
-    middle = F.when(F.size(found) <= 3, F.array(p)).otherwise(sentence_windows(found)) if semantic else F.array(p)
-    large = F.when(F.size(found) == 0, F.array(p)).otherwise(packed(found))
-    return F.when(F.length(p) <= TARGET, F.array(p)).when(F.length(p) <= LIMIT, middle).otherwise(large)
-
-
 def good_chunk(c: Column) -> Column:
     """long enough, and enough letters."""
     return (F.length(c) >= LEAST_CHARS) & (F.length(stripped(c)) >= LEAST_CHARS) & (alpha_ratio(c) >= LEAST_ALPHA)
@@ -244,6 +207,15 @@ def slide_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"""(?i)<[a-z]+[^>]*\bclass=["'](?:[^"']*\s)?slide(?:\s[^"']*)?["']"""))
 
 
+def slides(c: Column) -> Column:
+    """Array of (title, text, html) of the elements of class slide, each up to the next one."""
+    start = r"""(?i)<[a-z]+[^>]*\bclass=["'](?:[^"']*\s)?slide(?:\s[^"']*)?["']"""
+    parts = F.split(F.regexp_replace(c, start, "\u0001$0"), "\u0001", -1)
+    found = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    title = lambda x: stripped(F.regexp_replace(F.regexp_extract(x, r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>", 1), r"<[^>]+>", ""))
+    return F.transform(found, lambda x: F.struct(title(x).alias("title"), html_strip(x).alias("text"), x.alias("html")))
+
+
 def markdown_table(rows: Column, escape: bool = False) -> Column:
     """Array of rows (arrays of cells) as a Markdown table; rows are padded or cut to the header's width."""
     width = F.size(rows[0])

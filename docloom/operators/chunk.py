@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markup import heading_sections
-from ..functions.text import alpha_ratio, good_chunk, has_heading, paragraph_chunks, paragraphs, stripped
+from ..functions.markup import heading_sections, packed
+from ..functions.text import LIMIT, TARGET, alpha_ratio, good_chunk, has_heading, paragraphs, sentence_windows, sentences, stripped
 
 
 def structured_chunks(text: Column) -> Column:
@@ -21,9 +21,13 @@ def structured_chunks(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).when(stripped(text) != "", whole).otherwise(F.slice(whole, 1, 0))
 
 
-def section_chunks(title: Column, content: Column, semantic: bool) -> Column:
-    pieces = F.flatten(F.transform(paragraphs(content), lambda p: paragraph_chunks(p, semantic)))
-    return F.transform(pieces, lambda t: F.struct(title.cast("string").alias("title"), t.alias("text")))
+def paragraph_chunks(rows: DataFrame, semantic: bool = True) -> DataFrame:
+    """Rows with a paragraph p and its pieces, by its size; only sentences of large paragraphs go through Python."""
+    rows = rows.withColumn("found", F.when(F.length("p") > TARGET, sentences(F.col("p"))))
+    few = F.size("found") <= 3
+    middle = F.when(few, F.array("p")).otherwise(sentence_windows(F.col("found"))) if semantic else F.array("p")
+    rows = rows.withColumn("packs", packed(F.when((F.length("p") > LIMIT) & (F.size("found") > 0), F.col("found"))))
+    return rows.withColumn("pieces", F.when(F.length("p") <= TARGET, F.array("p")).when(F.length("p") <= LIMIT, middle).otherwise(F.coalesce("packs", F.array("p")))).drop("found", "packs")
 
 
 def quality(chunks: DataFrame, key: str, order: str = "pos", always: Column | None = None) -> DataFrame:
@@ -40,13 +44,21 @@ def quality(chunks: DataFrame, key: str, order: str = "pos", always: Column | No
 def chunk(docs: DataFrame, key: str = "doc_id", structured: Column | None = None, semantic: bool = True) -> DataFrame:
     """Key, chunk_index, total_chunks, section_title, text. Documents marked `structured` are cut at their === lines.
 
-    One scan and one shuffle by key; only texts with headings go through Python.
+    One scan and one shuffle by key; only texts with headings and sentences of large paragraphs go through Python.
     """
     source = docs.select(key, F.col("text"), (structured if structured is not None else F.lit(False)).alias("structured"))
-    source = source.withColumn("sections", heading_sections(F.when(~F.col("structured") & has_heading(F.col("text")), F.col("text"))))
-    marked = F.flatten(F.transform("sections", lambda s: section_chunks(s["title"], s["content"], semantic)))
-    chunks = F.when(F.col("structured"), structured_chunks(F.col("text"))).when(F.col("sections").isNotNull(), marked).otherwise(section_chunks(F.lit(None), F.col("text"), semantic))
-    rows = source.select(key, "structured", F.posexplode(chunks).alias("pos", "c")).select(key, "structured", "pos", "c.*")
+    source = source.withColumn("headed", heading_sections(F.when(~F.col("structured") & has_heading(F.col("text")), F.col("text"))))
+    section = lambda title, text: F.struct(title.cast("string").alias("title"), text.alias("content"))
+    tables = F.transform(structured_chunks(F.col("text")), lambda x: section(x["title"], x["text"]))
+    headed = F.transform("headed", lambda x: section(x["title"], x["content"]))
+    found = F.when(F.col("structured"), tables).when(F.col("headed").isNotNull(), headed).otherwise(F.array(section(F.lit(None), F.col("text"))))
+    rows = source.select(key, "structured", F.posexplode(found).alias("section", "s"))
+    whole = F.when(F.col("structured"), F.array("s.content")).otherwise(paragraphs(F.col("s.content")))
+    rows = rows.select(key, "structured", "section", F.col("s.title").alias("title"), F.posexplode(whole).alias("paragraph", "p"))
+    rows = paragraph_chunks(rows, semantic)
+    pieces = F.when(F.col("structured"), F.array("p")).otherwise(F.col("pieces"))
+    rows = rows.select(key, "structured", "title", "section", "paragraph", F.posexplode(pieces).alias("piece", "text"))
+    rows = rows.select(key, "structured", F.struct("section", "paragraph", "piece").alias("pos"), "title", "text")
     rows = quality(rows, key, always=F.col("structured"))
     order = Window.partitionBy(key).orderBy("pos")
     return rows.select(

@@ -26,29 +26,62 @@ def null_counts(rows: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame) -> DataFrame:
-    """Column, stat, value (as text) for every column: one aggregation of all numeric statistics, one small count per text column.
+    """Column, stat, value (as text) for every column.
 
-    Numeric columns have count, mean, std, min, exact quartiles and max; others count, unique, top (first by name of equals) and freq.
+    Numeric columns have count, mean, std, min, exact quartiles and max; others count, unique, top (first by name of equals)
+    and freq. One aggregation gives what needs no order. The rest works on the distinct values of all columns together,
+    (column, value, times), counted by one shuffle: quartiles are read from running counts over them (`ranked_quartiles`),
+    top and freq from one group for each column. No buffer holds a column's values.
     """
     wanted: list[Column] = []
+    numbers, texts = [f for f in rows.schema if _numeric(f)], [f for f in rows.schema if not _numeric(f)]
     for f in rows.schema:
         c = F.when(~missing(f), F.col(f"`{f.name}`"))
         stats = {"count": F.count(c)}
         if _numeric(f):
             x = c.cast("double")
             stats |= {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
-            stats |= {f"{int(q * 100)}%": F.percentile(x, q) for q in QUARTERS}
-        else:
-            stats |= {"unique": F.count_distinct(c)}
         wanted += [F.struct(F.lit(f.name).alias("column"), F.lit(k).alias("stat"), v.cast("string").alias("value")) for k, v in stats.items()]
     out = rows.agg(F.array(*wanted).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    for f in (f for f in rows.schema if not _numeric(f)):
-        counts = rows.filter(~missing(f)).groupBy(F.col(f"`{f.name}`").cast("string").alias("v")).count()
-        top = counts.agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("top"), F.max("count").cast("string").alias("freq"))
-        out = out.unionByName(top.select(F.lit(f.name).alias("column"), F.explode(F.create_map(F.lit("top"), "top", F.lit("freq"), "freq")).alias("stat", "value")))
+    if numbers:
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~missing(f), F.col(f"`{f.name}`").cast("double")).alias("v")) for f in numbers])
+        counts = rows.select(F.inline(pairs)).filter("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("times"))
+        quartiles = ranked_quartiles(counts)
+        empty = rows.sparkSession.createDataFrame([(f.name, f"{int(q * 100)}%") for f in numbers for q in QUARTERS], "column string, stat string")
+        out = out.unionByName(empty.join(quartiles, ["column", "stat"], "left"))
+    if texts:
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.when(~missing(f), F.col(f"`{f.name}`").cast("string")).alias("v")) for f in texts])
+        counts = rows.select(F.inline(pairs)).groupBy("column", "v").agg(F.count("*").alias("times"))
+        there = F.col("v").isNotNull()
+        best = counts.groupBy("column").agg(
+            F.count("v").cast("string").alias("unique"), F.min_by("v", F.when(there, F.struct(-F.col("times"), F.col("v")))).alias("top"), F.max(F.when(there, F.col("times"))).cast("string").alias("freq")
+        )
+        out = out.unionByName(best.select("column", F.explode(F.create_map(F.lit("unique"), "unique", F.lit("top"), "top", F.lit("freq"), "freq")).alias("stat", "value")))
     return out
 
 
+def ranked_quartiles(counts: DataFrame, slices: int = 1024) -> DataFrame:
+    """column, stat, value: exact quartiles, between ranks in proportion, of (column, v, times).
+
+    Values fall into slices between each column's least and greatest; only the slices are summed over a column, and only the
+    slices that hold a wanted rank are ordered value by value.
+    """
+    ends = counts.groupBy("column").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("times").alias("n"))
+    slot = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * slices), F.lit(slices - 1)).cast("int")
+    dealt = counts.join(F.broadcast(ends), "column").withColumn("slot", slot)  # a row for each column
+    sums = dealt.groupBy("column", "slot", "n").agg(F.sum("times").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("column").orderBy("slot"))  # `slices` rows
+    asked = F.explode(F.array(*[F.struct(F.lit(f"{int(q * 100)}%").alias("stat"), F.lit(q).alias("q"), F.lit(up).alias("up")) for q in QUARTERS for up in (0, 1)]))
+    rank = lambda: F.least(F.floor(F.col("a.q") * (F.col("n") - 1)) + F.col("a.up"), F.col("n") - 1)
+    sums = sums.withColumn("upto", upto).withColumn("a", asked).withColumn("rank", rank()).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("held")))
+    place = F.sum("times").over(Window.partitionBy("column", "slot", "stat", "up").orderBy("v"))
+    found = dealt.select("column", "slot", "v", "times").join(F.broadcast(sums.select("column", "slot", "n", "rank", F.col("upto") - F.col("held"), "a.*").toDF("column", "slot", "n", "rank", "before", "stat", "q", "up")), ["column", "slot"])
+    found = found.withColumn("end", F.col("before") + place).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("times")))
+    both = found.groupBy("column", "stat", "q", "n").agg(F.min_by("v", "up").alias("a"), F.max_by("v", "up").alias("b"))
+    part = F.col("q") * (F.col("n") - 1) - F.floor(F.col("q") * (F.col("n") - 1))
+    return both.select("column", "stat", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part).cast("string").alias("value"))
+
+
 def shape(rows: DataFrame) -> DataFrame:
     """Rows, columns."""
     return rows.agg(F.count("*").alias("rows"), F.lit(len(rows.columns)).alias("columns"))

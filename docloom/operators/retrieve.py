@@ -79,21 +79,32 @@ def rerank(candidates: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Ser
 def balanced(rows: DataFrame, by: str | None = None, source: str = "material_id", score: str = "score", order: str = "pos", final: int = FINAL, most: int = MOST_PER_SOURCE) -> DataFrame:
     """Each source's best row first, then their next ones by score, `final` rows in all, ordered by score.
 
-    A single source is only cut. The result has the column `place`.
+    A single source is only cut. The result has the column `place`. First every source is cut to the `final` rows that can
+    matter at most (a group-limited window, whose groups are sources, so that no task sees all rows); the rest is done on
+    these few rows for each source.
     """
     groups = [by] if by else []
     mine = Window.partitionBy(*groups, source).orderBy(order)
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    ranked = rows.withColumn("own_rank", F.row_number().over(mine))
-    ranked = ranked.withColumn("one", F.min(source).over(whole).eqNullSafe(F.max(source).over(whole)))
+    first = rows.withColumn("own_rank", F.row_number().over(mine)).filter(F.col("own_rank") <= max(final, most))
+    sources = first.groupBy(*groups).agg(F.min(source).eqNullSafe(F.max(source)).alias("one"))
+    ranked = first.join(F.broadcast(sources), by) if by else first.crossJoin(F.broadcast(sources))  # a row for each group
     ranked = ranked.filter(F.col("one") | (F.col("own_rank") <= most))
-    least = F.when(F.col("one"), F.lit(0)).otherwise((F.col("own_rank") > 1).cast("int"))
-    fill = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))).orderBy(least, F.when(F.col("one"), F.lit(0.0)).otherwise(-F.col(score)), order)
-    kept = ranked.withColumn("fill", F.row_number().over(fill))
-    firsts = F.sum((F.col("own_rank") == 1).cast("int")).over(whole)
-    kept = kept.withColumn("firsts", firsts).filter((F.col("fill") <= final) | (~F.col("one") & (F.col("own_rank") == 1)))
-    last = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))).orderBy(F.desc(score), order)
-    return kept.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= final).drop("own_rank", "one", "fill", "firsts")
+    later = F.when(F.col("one"), F.lit(0)).otherwise((F.col("own_rank") > 1).cast("int"))
+    value = F.when(F.col("one"), F.lit(0.0)).otherwise(-F.col(score))
+    # every source's first row stays in the running; of the others at most `final`, found by a top-n
+    if by:
+        fill = F.row_number().over(Window.partitionBy(by).orderBy(later, value, order))
+        kept = ranked.withColumn("fill", fill).filter((F.col("fill") <= final) | (~F.col("one") & (F.col("own_rank") == 1)))
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), order))
+        return kept.withColumn("place", place).filter(F.col("place") <= final).drop("own_rank", "one", "fill")
+    firsts = ranked.filter(~F.col("one") & (F.col("own_rank") == 1)).orderBy(F.desc(score), order).limit(final)
+    others = ranked.orderBy(later, value, order).limit(final)
+    n_firsts = ranked.filter(~F.col("one") & (F.col("own_rank") == 1)).agg(F.count("*").alias("n_firsts"))
+    # where there are `final` sources or more, only firsts can be among the best; else the fill holds all firsts
+    both = firsts.withColumn("first", F.lit(True)).unionByName(others.withColumn("first", F.lit(False))).crossJoin(F.broadcast(n_firsts))
+    few = both.filter(F.col("first") == (F.col("n_firsts") > final)).drop("first", "n_firsts")
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(score), order))  # 2 * final rows at most
+    return few.withColumn("place", place).filter(F.col("place") <= final).drop("own_rank", "one")
 
 
 def within_budget(rows: DataFrame, budget: int, by: str, score: str = "score", order: str = "pos") -> DataFrame:

@@ -163,3 +163,19 @@ def drafts(materials: DataFrame, notebook: str = "notebook_id", wanted: str | No
     if wanted is None:
         return materials
     return materials.filter(F.col(notebook).isNull() if wanted == "draft" else F.col(notebook) == wanted)
+
+
+def in_index_order(results: DataFrame, by: str, index: str) -> DataFrame:
+    """Results that came in any order, by group and index; the sort is a range partitioning."""
+    return results.repartitionByRange(by, index).sortWithinPartitions(by, index)
+
+
+def ready_prefix(segments: DataFrame, by: str, index: str, done: str) -> DataFrame:
+    """ST06: of each group the segments that can be played already, up to the first that isn't done."""
+    upto = F.min(F.when(~F.coalesce(F.col(done), F.lit(False)), F.col(index))).over(Window.partitionBy(by))
+    return segments.withColumn("first_gap", upto).filter(F.col("first_gap").isNull() | (F.col(index) < F.col("first_gap"))).drop("first_gap")
+
+
+def without_status(rows: DataFrame, status: str, excluded: list[str]) -> DataFrame:
+    """Rows whose status isn't one of these; unknown ones stay."""
+    return rows.filter(~F.coalesce(F.col(status).isin(*excluded), F.lit(False)))

@@ -12,9 +12,12 @@ def upserted(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str, key: str = "material_id") -> None:
-    """Texts by material; ids that could leave the folder are refused."""
-    safe = texts.filter(F.col(key).rlike(r"^[A-Za-z0-9_-]+$"))
-    safe.write.mode("append").parquet(path)
+    """Texts by material. An id that could leave the folder, or none, stops the write with an error before anything is written."""
+    safe = F.coalesce(F.col(key).cast("string").rlike(r"^[A-Za-z0-9_-]+$"), F.lit(False))
+    bad = texts.filter(~safe).select(F.col(key).cast("string")).head(3)
+    if bad:
+        raise ValueError(f"unsafe values of {key}: {[r[0] for r in bad]}")
+    texts.write.mode("append").parquet(path)
 
 
 def write_records(rows: DataFrame, path: str) -> None:

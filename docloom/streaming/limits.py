@@ -6,7 +6,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,15 +37,30 @@ def _prepared(requests: DataFrame) -> DataFrame:
 
 
 def limited(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """ST01, ST02 in batch: (key, kind, request_id, ts) with the decision on each request. A key's own log is read in order."""
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "request_id"], kind="stable")
-        log = Log(limits[rows["kind"].iloc[0]])
-        rows[["allowed", "remaining", "retry_after"]] = [log.ask(t) for t in rows["at"]]
-        return rows
-
-    return _prepared(requests).groupBy("key", "kind").applyInPandas(decide, OUT)
+    """ST01, ST02 in batch: (key, kind, request_id, ts) with the decision on each request.
+
+    A log is empty after a pause of a whole window, so a key's requests are cut there, and no run knows of another. Spark
+    sorts each task's runs by time, and the task reads them batch by batch; it keeps one log, of `limit` times at most.
+    Pauses are found by Spark's spilling window, so a key with very many requests costs time but no memory.
+    """
+    order = Window.partitionBy("key", "kind").orderBy("at", "request_id")
+    rows = _prepared(requests).withColumn("pause", (F.col("at") - F.lag("at").over(order) >= WINDOW_US).cast("long"))
+    rows = rows.withColumn("run", F.coalesce(F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    dealt = rows.drop("pause").sortWithinPartitions("key", "kind", "at", "request_id")  # the window has dealt them by key already
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, now = Log(0), None
+        for batch in batches:
+            said = []
+            for key, kind, at, run in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "at", "run")), strict=True):
+                if (key, kind, run) != now:
+                    log, now = Log(limits[kind]), (key, kind, run)
+                said.append(log.ask(at))
+            answers = zip(*said, strict=True) if said else ((), (), ())
+            columns = [pa.array(x, t) for x, t in zip(answers, (pa.bool_(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "kind", "request_id", "at")), *columns], names=[x.split()[0] for x in OUT.split(", ")])
+
+    return dealt.mapInArrow(decide, OUT)
 
 
 class Limiter(StatefulProcessor):

@@ -349,7 +349,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/r").count() == 2
     (tmp_path / "x.json").write_text(sinks.records_with_header(rows, "c", "id").first().json)
     assert [r.id for r in readers.exported_records(spark, f"{tmp_path}/x.json").collect()] == ["a", "b"]
-    sinks.write_texts(spark.createDataFrame([("ok-1", "t"), ("../x", "t")], "material_id string, text string"), f"{tmp_path}/t")
+    ids = spark.createDataFrame([("ok-1", "t"), ("../x", "t"), (None, "t")], "material_id string, text string")
+    for bad in (ids, ids.filter("material_id IS NULL")):
+        with pytest.raises(ValueError, match="unsafe"):
+            sinks.write_texts(bad, f"{tmp_path}/t")
+    sinks.write_texts(ids.filter("material_id = 'ok-1'"), f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 1
     sinks.write_table(rows, f"{tmp_path}/p", ["id"])
     sinks.append(rows, f"{tmp_path}/log")
