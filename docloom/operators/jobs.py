@@ -85,5 +85,7 @@ def agent_runs(steps: DataFrame, by: str = "run_id", order: str = "step") -> Dat
         new = F.struct(iterations.alias("iterations"), calls.alias("calls"), tokens.alias("tokens"), F.when(give_up, F.lit(0)).otherwise(failures).alias("failures"), (s["skipped"] + give_up.cast("int")).alias("skipped"), state.alias("state"))
         return F.when(on, new).otherwise(s)
 
+    # no run goes beyond ITERATIONS steps: only these are gathered
+    steps = steps.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("nth") <= ITERATIONS)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, F.col("tokens").cast("int").alias("tokens"), "ok"))), lambda x: F.struct(x["tokens"].alias("tokens"), x["ok"].alias("ok")))
     return steps.groupBy(by).agg(F.aggregate(ordered, start, step).alias("run")).select(by, "run.*")

@@ -91,7 +91,7 @@ def _(spark, d):
     return retrieve.balanced(rows).select("material_id", "pos", "score", "place")
 
 
-@register("q_rerank")
+@register("q_rerank", "SELECT * FROM (SELECT conv_id AS query_id, turn::INT AS rank, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn)::INT AS place FROM (SELECT *, (contains(text, 'the')::INT + contains(text, 'and')::INT + contains(text, 'of')::INT) / 3 AS score FROM conversations)) WHERE place <= 3")
 def _(spark, d):
     rows = t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank"), F.lit("the and of").alias("question"), "text")
     share = lambda q, x: x.map(lambda s: sum(w in s for w in ("the", "and", "of")) / 3)  # noqa: E731  a stub scorer
@@ -204,9 +204,17 @@ def _(spark, d):
     return usage.stage_times(rows, "value", ["retrieval", "llm"]).select("event_id", r6("other").alias("other"))
 
 
-@register("q_health", "SELECT CASE WHEN bool_and(event_type = 'ok') THEN 'ok' WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'degraded' END AS status FROM events")
+STATES = "CASE event_type WHEN 'error' THEN 'slow' ELSE 'ok' END"
+
+
+@register("q_health", f"SELECT CASE WHEN bool_and(s = 'ok') THEN 'ok' WHEN bool_or(s = 'error') THEN 'error' ELSE 'degraded' END AS status FROM (SELECT {STATES} AS s FROM events)")
 def _(spark, d):
-    return usage.health(t(spark, d, "events").withColumn("state", F.col("event_type")))
+    return usage.health(t(spark, d, "events").withColumn("state", F.when(F.col("event_type") == "error", "slow").otherwise("ok")))
+
+
+@register("q_health_of_clicks", "SELECT CASE WHEN bool_and(s = 'ok') THEN 'ok' WHEN bool_or(s = 'error') THEN 'error' ELSE 'degraded' END AS status FROM (SELECT 'ok' AS s FROM events WHERE event_type = 'click')")
+def _(spark, d):
+    return usage.health(t(spark, d, "events").filter("event_type = 'click'").withColumn("state", F.lit("ok")))
 
 
 @register("q_connections", "SELECT count(*)::BIGINT AS connections, count(DISTINCT user_id)::BIGINT AS users FROM events")
@@ -236,17 +244,36 @@ def _(spark, d):
 
 @register(
     "q_chunk_quality",
-    r"""WITH c AS (SELECT source, doc_id, text, length(text) >= 100 AND length(trim(text, E' \t\n\r')) >= 100 AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) >= 0.1 AS good,
-            length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) AS alpha FROM documents WHERE length(text) < 130),
-     m AS (SELECT *, bool_or(good) OVER (PARTITION BY source) AS any_good, row_number() OVER (PARTITION BY source, length(text) > 50 ORDER BY alpha DESC, doc_id) AS place FROM c)
-SELECT source, doc_id FROM m WHERE good OR (NOT any_good AND length(text) > 50 AND place <= 3)""",
+    r"""WITH c AS (SELECT source || '-' || (length(text) < 130)::INT AS bin, doc_id, text, length(text) >= 100 AND length(trim(text, E' \t\n\r')) >= 100 AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) / greatest(length(text), 1) >= 0.1 AS good,
+            length(regexp_replace(text, '[^\p{L}]', '', 'g')) / greatest(length(text), 1) AS alpha FROM documents),
+     m AS (SELECT *, bool_or(good) OVER (PARTITION BY bin) AS any_good, row_number() OVER (PARTITION BY bin, length(text) > 50 ORDER BY alpha DESC, doc_id) AS place FROM c)
+SELECT bin, doc_id FROM m WHERE good OR (NOT any_good AND length(text) > 50 AND place <= 3)""",
 )
 def _(spark, d):
-    rows = t(spark, d, "documents").filter(F.length("text") < 130).select("source", "doc_id", "text")
-    return chunk.quality(rows, "source", "doc_id").select("source", "doc_id")
+    short = (F.length("text") < 130).cast("int").cast("string")  # short texts in bins of their own, so that some bins have no good one
+    rows = t(spark, d, "documents").select(F.concat("source", F.lit("-"), short).alias("bin"), "doc_id", "text")
+    return chunk.quality(rows, "bin", "doc_id").select("bin", "doc_id")
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-@register("q_chunks")
+@register(
+    "q_chunks",
+    f"""WITH RECURSIVE par AS (SELECT doc_id, k, {STRIP.format("p")} AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS k FROM documents)),
+     cut AS (SELECT doc_id, k, p, list_filter(list_transform({SENTENCES.format("p")}, lambda x: {STRIP.format("x")}), lambda x: x <> '') AS s FROM par WHERE p <> ''),
+     l AS (SELECT *, list_transform(s, lambda x, i: list_sum(list_transform(s[1:i], lambda y: length(y)))::BIGINT) AS cum FROM cut WHERE length(p) > 3200 AND len(s) > 0),
+     packs AS (SELECT doc_id, k, 1::BIGINT AS c, coalesce(list_filter(range(2, len(s) + 1), lambda i: cum[i] > 2000)[1], len(s) + 1) AS e FROM l
+               UNION ALL SELECT doc_id, k, c2, coalesce(list_filter(range(e + 1, len(s) + 1), lambda i: cum[i] - cum[c2] + length(s[c2]) > 2000)[1], len(s) + 1)
+               FROM (SELECT l.doc_id, l.k, e, s, cum, list_filter(range(c, e + 1), lambda b: cum[e - 1] - cum[b] + length(s[b]) <= 600)[1] AS c2 FROM packs JOIN l ON l.doc_id = packs.doc_id AND l.k = packs.k WHERE e <= len(s))),
+     pieces AS (SELECT doc_id, k, 0::BIGINT AS i, p AS text FROM cut WHERE length(p) <= 2000 OR (length(p) <= 3200 AND len(s) <= 3) OR len(s) = 0
+                UNION ALL SELECT doc_id, k, i, array_to_string(s[i * 2 + 1 : i * 2 + 3], ' ') FROM (SELECT doc_id, k, s, unnest(range(0, (len(s) + 1) // 2)) AS i FROM cut WHERE length(p) BETWEEN 2001 AND 3200 AND len(s) > 3)
+                UNION ALL SELECT doc_id, k, e AS i, array_to_string(s[c : e - 1], ' ') FROM packs JOIN l USING (doc_id, k)),
+     q AS (SELECT *, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(text) AS alpha, length({STRIP.format("text")}) >= 100 AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(text) >= 0.1 AS good FROM pieces WHERE text <> ''),
+     m AS (SELECT *, bool_or(good) OVER (PARTITION BY doc_id) AS any_good, row_number() OVER (PARTITION BY doc_id, length(text) > 50 ORDER BY alpha DESC, k, i) AS place FROM q)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INT AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, NULL::VARCHAR AS section_title, text
+FROM m WHERE good OR (NOT any_good AND length(text) > 50 AND place <= 3)""",
+)
 def _(spark, d):
     return chunk.chunk(t(spark, d, "documents"))
 
@@ -257,9 +284,9 @@ def _(spark, d):
     return chunk.chunk(rows)
 
 
-@register("q_semantic_windows", f"SELECT doc_id, i::INT AS i, array_to_string(s[i * 2 + 1 : i * 2 + 3], ' ') AS part FROM (SELECT doc_id, s, unnest(range(0, (len(s) + 1) // 2)) AS i FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents WHERE n_chars BETWEEN 500 AND 1500))")
+@register("q_semantic_windows", f"SELECT doc_id, i::INT AS i, array_to_string(s[i * 2 + 1 : i * 2 + 3], ' ') AS part FROM (SELECT doc_id, s, unnest(range(0, (len(s) + 1) // 2)) AS i FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents))")
 def _(spark, d):
-    rows = t(spark, d, "documents").filter("n_chars BETWEEN 500 AND 1500")
+    rows = t(spark, d, "documents")
     return rows.select("doc_id", F.posexplode(text.sentence_windows(F.split("text", text.SENTENCE_GAP, -1))).alias("i", "part"))
 
 
@@ -274,12 +301,24 @@ def _(spark, d):
     return profile.frequent(lines, ["doc_id"], "line", 5, 60)
 
 
-@register("q_clean_noise")
+@register(
+    "q_clean_noise",
+    f"""WITH l AS (SELECT doc_id, line, pos, {STRIP.format("line")} AS bare FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+     k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, bare) AS times FROM l) WHERE bare = '' OR length(bare) > 60 OR times <= 5),
+     b AS (SELECT * FROM (SELECT *, coalesce(lag(bare) OVER (PARTITION BY doc_id ORDER BY pos), '') AS before FROM k) WHERE bare <> '' OR before <> '')
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS clean FROM documents LEFT JOIN b USING (doc_id) GROUP BY doc_id""",
+)
 def _(spark, d):
     return layout.without_noise(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-@register("q_clean_lines")
+@register(
+    "q_clean_lines",
+    f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[^\\P{{C}}\\n\\t]', '', 'g'), '[ \\t]+', ' ', 'g'), chr(10)) AS ls FROM documents),
+     l AS (SELECT doc_id, pos, {STRIP.format("line")} AS line FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM p)),
+     k AS (SELECT doc_id, pos, string_split(line, ' ') AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY pos) AS nth FROM l) WHERE nth = 1 AND line <> '')
+SELECT doc_id, string_agg(array_to_string(list_filter(w, lambda x, i: i = 1 OR lower(x) <> lower(w[i - 1])), ' '), chr(10) ORDER BY pos) AS clean FROM k GROUP BY doc_id""",
+)
 def _(spark, d):
     return layout.clean_lines(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
@@ -337,6 +376,22 @@ def _(spark, d):
     return t(spark, d, "pages").select("page_id", F.posexplode(heading_sections(page_text("html")["structured"])).alias("pos", "s")).select("page_id", "pos", "s.*")
 
 
+@register("q_heading_sections", "SELECT doc_id, unnest([0, 1, 2])::INT AS pos, unnest([NULL, 'Part ' || source, 'B']) AS title, unnest([0, 2, 4])::INT AS level, unnest(['intro', replace(text, '#', ''), lang || chr(10) || '##### not one']) AS content FROM documents".replace("replace(text, '#', '')", STRIP.format("replace(text, '#', '')")))
+def _(spark, d):
+    marked = F.concat(F.lit("intro\n## Part "), "source", F.lit("  \n\n"), F.replace("text", F.lit("#"), F.lit("")), F.lit("\n#### B\n"), F.coalesce("lang", F.lit("")), F.lit("\n##### not one"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(heading_sections(marked)).alias("pos", "s")).select("doc_id", "pos", "s.*")
+
+
+MD = ["Para {x}\nline two\n\nnext para", "- a\n- b\n\n  - c\n1. {x}", "last, after a blank", "> q\n\n> q2\nlazy", "```py\n# {x}\n\n- y\n```", "| h | {x} |\n|---|---|", "***", "# Title\ntext\n\nmore", "## Next"]
+
+
+@register("q_mixed_blocks", "SELECT event_id, unnest(range(0, 9))::INT AS pos, unnest([" + ", ".join("replace('" + m.replace("{x}", "' || event_type || '") + "', 'zz', '')" for m in MD) + "]) AS block FROM events")
+def _(spark, d):
+    gaps = ["\n\n\n", "\n\n", "\n", "\n", "\n", "\n", "\n", "\n\n\n", "\n"]
+    whole = F.concat(*[F.replace(F.lit(m + gap), F.lit("{x}"), F.col("event_type")) for m, gap in zip(MD, gaps, strict=True)])
+    return t(spark, d, "events").select("event_id", F.posexplode(markdown_blocks(whole)).alias("pos", "block"))
+
+
 @register("q_adjacent_words", "SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: i = 1 OR lower(x) <> lower(w[i - 1])), ' ') AS words FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
 def _(spark, d):
     rows = t(spark, d, "conversations").withColumn("w", F.split("text", " ", -1))
@@ -531,16 +586,18 @@ def _(spark, d):
     return sessions.speakers(rows, "conv_id", "turn", ("user", "assistant")).select("conv_id", "turn", "segment_index", "speaker")
 
 
-@register("q_numbered_names", "SELECT event_id, CASE WHEN k = 0 THEN event_type ELSE event_type || '_' || k END AS unique_name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k FROM events WHERE user_id = 1)")
+@register("q_numbered_names", "SELECT event_id, CASE WHEN k = 0 THEN name ELSE name || '_' || k END AS unique_name FROM (SELECT event_id, event_type || user_id AS name, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS k FROM events)")
 def _(spark, d):
-    return sessions.numbered_names(t(spark, d, "events").filter("user_id = 1"), "event_type", "event_id").select("event_id", "unique_name")
+    rows = t(spark, d, "events").withColumn("name", F.concat("event_type", F.col("user_id").cast("string")))
+    return sessions.numbered_names(rows, "name", "event_id").select("event_id", "unique_name")
 
 
-@register("q_word_overlap", "SELECT c.conv_id, c.turn, round(len(list_intersect(list_distinct(string_split(c.text, ' ')), list_distinct(string_split(b.text, ' ')))) / len(list_distinct(string_split(c.text, ' '))), 6) AS ratio FROM conversations c, (SELECT text FROM benchmark WHERE item_id = 0) b")
+@register("q_word_overlap", "SELECT c.conv_id, c.turn, round(len(list_intersect(list_distinct(string_split(c.text, ' ')), list_distinct(string_split(b.text, ' ')))) / len(list_distinct(string_split(c.text, ' '))), 6) AS ratio FROM conversations c JOIN benchmark b ON b.item_id = (c.conv_id + c.turn) % (SELECT count(*) FROM benchmark)")
 def _(spark, d):
-    asked = t(spark, d, "benchmark").filter("item_id = 0").first()["text"]
-    words = F.split(F.lit(asked), " ", -1)
-    return t(spark, d, "conversations").select("conv_id", "turn", r6(records.overlap_ratio(F.split("text", " ", -1), words)).alias("ratio"))
+    b = t(spark, d, "benchmark")
+    turns = t(spark, d, "conversations").crossJoin(F.broadcast(b.agg(F.count("*").alias("n"))))  # one row
+    pairs = turns.withColumn("item_id", (F.col("conv_id") + F.col("turn")) % F.col("n")).join(b.select("item_id", F.col("text").alias("asked")), "item_id")
+    return pairs.select("conv_id", "turn", r6(records.overlap_ratio(F.split("text", " ", -1), F.split("asked", " ", -1))).alias("ratio"))
 
 
 @register("q_array_overlap", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role IN ('system', 'tool'))")
@@ -549,11 +606,10 @@ def _(spark, d):
     return rows.filter(F.arrays_overlap(F.array_union("roles", F.array(F.lit("none"))), F.array(F.lit("system"), F.lit("tool")))).select("conv_id")
 
 
-@register("q_conversation_search", "SELECT conv_id FROM conversations WHERE turn = (SELECT min(turn) FROM conversations) AND (contains('new conversation', 'the') OR contains(lower(text), 'the'))")
+@register("q_conversation_search", "SELECT conv_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k = 1 AND (contains('new conversation', 'the') OR contains(lower(text), 'the'))")
 def _(spark, d):
-    c = t(spark, d, "conversations")
-    first = c.agg(F.min("turn").alias("m"))
-    return c.join(F.broadcast(first), c.turn == first.m).filter(records.mentions(F.lit(None).cast("string"), F.col("text"), F.lit("The"))).select("conv_id")
+    previews = sessions.first_n(t(spark, d, "conversations"), "conv_id", ["turn"], 1)
+    return previews.filter(records.mentions(F.lit(None).cast("string"), F.col("text"), F.lit("The"))).select("conv_id")
 
 
 @register("q_conversation_rows", "SELECT conv_id AS session_id, turn, 0 AS part, 'user' AS role, text FROM conversations UNION ALL SELECT conv_id, turn, 1, 'assistant', 're: ' || text FROM conversations")
@@ -596,7 +652,15 @@ def _(spark, d):
     return jobs.delete_where(t(spark, d, "events"), (F.col("user_id") == 3) & (F.col("event_type") == "view")).select("event_id")
 
 
-@register("q_agent_runs")
+@register(
+    "q_agent_runs",
+    """WITH RECURSIVE e AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, floor(value)::INT AS tokens, event_type <> 'error' AS ok FROM events),
+     n AS (SELECT run_id, 0::BIGINT AS k, 0 AS tokens, 0 AS failures, 0 AS skipped, 'running' AS state FROM e WHERE k = 1
+           UNION ALL SELECT n.run_id, e.k, n.tokens + e.tokens, CASE WHEN e.ok OR n.failures = 2 THEN 0 ELSE n.failures + 1 END, n.skipped + (NOT e.ok AND n.failures = 2)::INT,
+                            CASE WHEN e.k >= 10 THEN 'call limit' WHEN n.tokens + e.tokens >= 12000 THEN 'token limit' WHEN e.k >= 7 THEN 'iteration limit' ELSE 'running' END
+           FROM n JOIN e ON e.run_id = n.run_id AND e.k = n.k + 1 WHERE n.state = 'running')
+SELECT run_id, k::INT AS iterations, k::INT AS calls, tokens, failures, skipped, state FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY k DESC) AS last FROM n) WHERE last = 1""",
+)
 def _(spark, d):
     rows = t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.floor("value").alias("tokens"), (F.col("event_type") != "error").alias("ok"))
     return jobs.agent_runs(rows)
@@ -750,9 +814,9 @@ def _(spark, d):
     return sessions.children_of(rows, t(spark, d, "orders"), "o_orderkey", F.col("o_custkey") == 7).select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber")
 
 
-@register("q_owner_chain", "SELECT l_orderkey, l_linenumber, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND l_quantity > 45")
+@register("q_owner_chain", "SELECT l_orderkey, l_linenumber, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 def _(spark, d):
-    rows = t(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     orders = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     found = sessions.with_ancestors(rows, (orders, "o_orderkey"), (t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"))
     return found.filter("c_mktsegment = 'BUILDING'").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "c_name")
@@ -781,10 +845,10 @@ def _(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@register("q_text_by_source", "SELECT source, string_agg(left(text, 50), chr(10) || '---' || chr(10) ORDER BY doc_id) AS joined FROM documents GROUP BY source")
+@register("q_text_by_source", "SELECT source, doc_id // 100 AS part, string_agg(text, chr(10) || '---' || chr(10) ORDER BY doc_id) AS joined FROM documents GROUP BY ALL")
 def _(spark, d):
-    rows = t(spark, d, "documents").select("source", F.struct("doc_id", F.substring("text", 1, 50).alias("head")).alias("x"))
-    return rows.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["head"]), "\n---\n").alias("joined"))
+    rows = t(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("part"), F.struct("doc_id", "text").alias("x"))  # a stated list of documents, 100 at most
+    return rows.groupBy("source", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "\n---\n").alias("joined"))
 
 
 @register("q_upload_checks", "SELECT event_id, CASE WHEN size > 26214400 THEN 'too large' WHEN size = 0 THEN 'empty' WHEN ext = '.exe' THEN 'blocked extension' WHEN ext = '.x' THEN 'blocked type' END AS problem FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id * 10000 END AS size, ['.pdf', '.exe', '.x'][event_id % 3 + 1] AS ext FROM events)")
@@ -808,12 +872,10 @@ def _(spark, d):
     return t(spark, d, "events").filter((F.col("ts") >= first) & (F.col("ts") < following)).select("event_id")
 
 
-@register("q_search_terms", r"SELECT item_id, trim(left(text, 20)) || ' notes' AS text_part, 'pdf' AS file_type FROM benchmark WHERE left(text, 20) NOT LIKE '%  %' AND left(text, 20) NOT LIKE '%' || chr(10) || '%'")
+@register("q_search_terms", r"SELECT item_id, trim(regexp_replace(text || '  notes', '\s+', ' ', 'g')) AS text_part, 'pdf' AS file_type FROM benchmark")
 def _(spark, d):
-    head = F.substring("text", 1, 20)
-    rows = t(spark, d, "benchmark").filter(~head.contains("  ") & ~head.contains("\n"))
-    found = records.search_terms(F.concat(head, F.lit(" filetype:PDF notes")))
-    return rows.select("item_id", found["text"].alias("text_part"), found["file_type"].alias("file_type"))
+    found = records.search_terms(F.concat("text", F.lit(" filetype:PDF notes")))
+    return t(spark, d, "benchmark").select("item_id", found["text"].alias("text_part"), found["file_type"].alias("file_type"))
 
 
 @register("q_distinct_tools", "SELECT event_id, CASE event_type WHEN 'view' THEN 'rag' ELSE 'rag,' || event_type END AS tools FROM events")
@@ -828,10 +890,14 @@ def _(spark, d):
     return t(spark, d, "labels").join(names, "doc_id", "left").select("doc_id", records.named_or_id(F.col("name"), F.col("doc_id").cast("string")).alias("name"))
 
 
-@register("q_kth_equal", "SELECT a.event_id AS left_id, b.event_id AS right_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id = 1) a JOIN (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id = 2) b ON a.event_type = b.event_type AND a.k = b.k")
+SIDE = "(SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%d') AS v, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS k FROM events WHERE user_id % 2 = {})"
+
+
+@register("q_kth_equal", f"SELECT a.event_id AS left_id, b.event_id AS right_id FROM {SIDE.format(0)} a JOIN {SIDE.format(1)} b ON a.v = b.v AND a.k = b.k")
 def _(spark, d):
-    side = lambda user, name: t(spark, d, "events").filter(F.col("user_id") == user).select("event_type", F.col("event_id").alias(name))
-    return sessions.k_th_equal(side(1, "left_id"), side(2, "right_id"), "event_type", "left_id", "right_id").select("left_id", "right_id")
+    value = F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("v")
+    side = lambda odd, name: t(spark, d, "events").filter(F.col("user_id") % 2 == odd).select(value, F.col("event_id").alias(name))
+    return sessions.k_th_equal(side(0, "left_id"), side(1, "right_id"), "v", "left_id", "right_id").select("left_id", "right_id")
 
 
 @register("q_markdown_tables", "SELECT n_nationkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS md FROM nation")
@@ -864,4 +930,4 @@ def _(spark, d):
 
 @register("q_nul_free", "SELECT doc_id, text FROM documents")
 def _(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.without_nulls(F.concat(F.lit("\u0000"), F.col("text"))).alias("text"))
+    return t(spark, d, "documents").select("doc_id", text.without_nulls(F.concat(F.lit("\u0000"), F.regexp_replace("text", "e", "e\u0000"), F.lit("\u0000"))).alias("text"))
