@@ -92,6 +92,7 @@ class Forest:
         slot = np.concatenate([np.zeros(0, np.int64), *slots])
         order = np.argsort(slot)
         self.slot, self.node = slot[order], np.concatenate([np.zeros(0, np.int64), *nodes])[order]
+        self.visited = 0  # pairs of query and node that searches compared
 
     def near(self, query: np.ndarray, tree: np.ndarray, radius: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) within the radius, in portions of bounded size."""
@@ -103,6 +104,7 @@ class Forest:
             if len(q) > most:
                 todo += [(q[most:], node[most:]), (q[:most], node[:most])]
                 continue
+            self.visited += len(q)
             d = np.bitwise_count(query[q] ^ self.fps[node]).astype(np.int64)
             hit = d <= radius
             if hit.any():

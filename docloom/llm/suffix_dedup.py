@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .rounds import NO_ID, bucket_of, ids, mail, split_at, two_rounds
-from .textbytes import BYTE_VALUE, SECOND, U, cover, doc_blocks, least_of_equals, mix, runs, spans_hash, text_bytes, windows_hash
+from .textbytes import BYTE_VALUE, SECOND, U, doc_blocks, least_of_equals, mix, spans_hash, text_bytes, windows_hash
 
 SEED, WIDTH, BLOCK_SYMBOLS, PLACE_BITS, SLICE, VARIED, CROWD = 24, 50, 150_000, 28, 1_000_000, 16, 1_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
@@ -93,6 +93,16 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def merged_runs(starts: np.ndarray, width: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that windows at `starts` cover together, none across texts: first byte, end, text; memory by windows, not by bytes."""
+    starts = np.unique(starts)
+    cell = np.searchsorted(offsets, starts, side="right") - 1
+    fresh = np.ones(len(starts), dtype=bool)
+    fresh[1:] = (starts[1:] > starts[:-1] + width) | (cell[1:] != cell[:-1])
+    last = np.append(fresh[1:], True) if len(starts) else fresh
+    return starts[fresh], starts[last] + width, cell[fresh]
+
+
 class Shard:
     """The suffixes of some segments, sorted to `width` symbols, and the one and the two symbols before each (0 ends a segment, then it starts anew)."""
 
@@ -305,18 +315,15 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, as_text:
         drop |= np.repeat(doc[p.doc[at]] > doc[p.doc[source]][number], p.count[at])
         holder = lambda places: doc[np.searchsorted(p.offsets, places, side="right") - 1]
         on = before[place] | (holder(window) > holder(begin)[place])
-        gone = cover(np.concatenate([starts[drop], window[on]]), width, len(p.data))
-        first, end = runs(gone)
-        cell = np.searchsorted(p.offsets, first, side="right") - 1
-        upto = np.concatenate([[0], np.cumsum(gone)])
-        removed = upto[p.offsets[1:]] - upto[p.offsets[:-1]]
-        # a run that reaches from one document into the next is one in each
-        inner = p.offsets[1:-1][(p.offsets[1:-1] > 0) & (p.offsets[1:-1] < len(gone))]
-        extra = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
-        spans = np.bincount(cell, minlength=len(doc)) + np.bincount(np.searchsorted(p.offsets, extra, side="right") - 1, minlength=len(doc))
-        left = p.data[~gone].tobytes()
-        ends = (p.offsets - upto[p.offsets]).tolist()
-        kept = [left[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        first, end, cell = merged_runs(np.concatenate([starts[drop], window[on]]), width, p.offsets)
+        removed = np.bincount(cell, weights=end - first, minlength=len(doc)).astype(np.int64)
+        spans = np.bincount(cell, minlength=len(doc))
+        of_doc = np.searchsorted(cell, np.arange(len(doc) + 1)).tolist()
+        raw, kept = memoryview(p.data), []
+        for k, (low, high) in enumerate(zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True)):
+            runs_here = slice(of_doc[k], of_doc[k + 1])
+            edges = zip([low, *end[runs_here].tolist()], [*first[runs_here].tolist(), high], strict=True)
+            kept.append(b"".join(raw[x:y] for x, y in edges))
         texts = [x.decode(errors="ignore") for x in kept] if as_text else [None] * len(kept)
         return pa.Table.from_arrays(
             [table["doc_id"].cast(pa.int64()), pa.array(np.diff(p.offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],

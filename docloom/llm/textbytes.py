@@ -113,14 +113,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True."""
-    padded = np.zeros(len(flags) + 2, dtype=np.int8)
-    padded[1:-1] = flags
-    step = np.diff(padded)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
 def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n cells lie in a window [s, s + width)."""
     step = np.zeros(n + width + 1, dtype=np.int32)

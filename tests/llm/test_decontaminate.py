@@ -50,3 +50,16 @@ def test_against_brute_force(spark):
     none = decontaminate(d, b.limit(0)).collect()
     assert len(none) == len(docs) and not any(r.n_hit for r in none)
     assert decontaminate(d.limit(0), b).collect() == []
+
+
+def test_clashing_columns_long_texts_repeats_and_many_lengths(spark):
+    rng = random.Random(2)
+    long = [f"v{rng.randrange(50)}" for _ in range(20_000)]
+    items = [(k, " ".join(long[100 * k : 100 * k + n])) for k, n in enumerate((1, 2, 3, 5, 6, 9, 10, 11, 30))] + [(3, " ".join(long[300:305])), (None, "v1 v2")]
+    docs = [(1, " ".join(long)), (1, "nothing of it"), (1, " ".join(long[600:640])), (None, " ".join(long[795:850])), (None, "other"), (2, None), (3, " ".join(long[600:609]))]
+    frame = spark.createDataFrame([(*r, 7, 8, "mine") for r in docs], "doc_id long, text string, n_words int, n_hit int, item_ids string")
+    got = decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == ["doc_id", "text", "n_words", "n_hit", "item_ids"]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r.item_ids)) for r in got.collect()), key=key) == sorted(((d, n, h, sorted(w)) for d, n, h, w in brute(docs, items)), key=key)
+    assert decontaminate(frame, spark.createDataFrame([], "item_id long, text string")).filter("n_hit = 0").count() == len(docs)

@@ -103,3 +103,9 @@ def test_empty(spark):
     assert [r["taken"] for r in mix(spark.createDataFrame([(1, None, None, "a", "x", 1)], SCHEMA)).collect()] == [0]
 
 
+def test_very_long_text_and_one_huge_source(spark):
+    rows = [(i, "a b c d", "en", "hot") for i in range(500)] + [(900, "w " * 100_000, "en", "big"), (901, "x", "en", None)]
+    got = {r.doc_id: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[900].size == 100_000 and 0 < got[900].taken <= 300_000
+    assert abs(sum(r.taken for r in got.values() if r.source == "hot") - got[0].target) <= 4
+    assert sum(r.taken for r in got.values()) <= 102_001 + 5

@@ -67,3 +67,29 @@ def test_parts_and_chains(spark):
 def test_empty(spark):
     assert simhash(spark.createDataFrame([], SCHEMA)).collect() == []
     assert {tuple(r) for r in simhash(spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string")).select("doc_id", "component_id").collect()} == {(None, None)}
+
+
+def test_repeated_rows_long_texts_and_unlike_rows_of_one_doc_id(spark):
+    long = " ".join(f"w{i * i % 977}" for i in range(50_000))
+    rows = [(4, long), (5, long), (5, "entirely other words in this one"), (None, long), (None, ""), (9, None), (4, long)]
+    got = simhash(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7 and {r.component_id for r in got if r.doc_id == 4} == {4}
+    assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {9}
+    assert len({r.group_key for r in got}) == 3 and len({r.group_key for r in got if r.doc_id == 5}) == 2
+
+
+def test_trees_visit_few_nodes():
+    """Families of fingerprints about centres: a search sees its family and the way to it, not the whole tree."""
+    import numpy as np
+
+    from docloom.llm.simhash import Forest
+
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    fps = np.unique(np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) for _ in range(5)]))
+    tree = Forest(fps, np.zeros(len(fps), np.int64))
+    found = list(tree.near(fps, np.zeros(len(fps), np.int64), 2))
+    pairs = {(int(a), int(b)) for q, n in found for a, b in zip(q, n, strict=True)}
+    want = {(i, int(j)) for i, f in enumerate(fps) for j in np.flatnonzero(np.bitwise_count(fps ^ f) <= 2)}
+    assert pairs == want
+    assert tree.visited < 0.6 * len(fps) ** 2
