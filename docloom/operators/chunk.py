@@ -52,12 +52,13 @@ def chunk(docs: DataFrame, key: str = "doc_id", structured: Column | None = None
     tables = F.transform(structured_chunks(F.col("text")), lambda x: section(x["title"], x["text"]))
     headed = F.transform("headed", lambda x: section(x["title"], x["content"]))
     found = F.when(F.col("structured"), tables).when(F.col("headed").isNotNull(), headed).otherwise(F.array(section(F.lit(None), F.col("text"))))
-    rows = source.select(key, "structured", F.posexplode(found).alias("section", "s"))
+    # the outer forms: from the inner ones the optimizer infers filters on sizes that make all sentences anew, for each window
+    rows = source.select(key, "structured", F.posexplode_outer(found).alias("section", "s"))
     whole = F.when(F.col("structured"), F.array("s.content")).otherwise(paragraphs(F.col("s.content")))
-    rows = rows.select(key, "structured", "section", F.col("s.title").alias("title"), F.posexplode(whole).alias("paragraph", "p"))
+    rows = rows.select(key, "structured", "section", F.col("s.title").alias("title"), F.posexplode_outer(whole).alias("paragraph", "p"))
     rows = paragraph_chunks(rows, semantic)
     pieces = F.when(F.col("structured"), F.array("p")).otherwise(F.col("pieces"))
-    rows = rows.select(key, "structured", "title", "section", "paragraph", F.posexplode(pieces).alias("piece", "text"))
+    rows = rows.select(key, "structured", "title", "section", "paragraph", F.posexplode_outer(pieces).alias("piece", "text")).filter("text IS NOT NULL")
     rows = rows.select(key, "structured", F.struct("section", "paragraph", "piece").alias("pos"), "title", "text")
     rows = quality(rows, key, always=F.col("structured"))
     order = Window.partitionBy(key).orderBy("pos")

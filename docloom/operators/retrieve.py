@@ -9,34 +9,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import cosine, named_or_id, sigmoid
+from ..functions.records import dot, named_or_id, sigmoid
 from ..functions.text import lead_summary, token_count
 
-FINAL, MOST_PER_SOURCE, CUT, QUERIES_SENT = 10, 3, 50_000, 10_000
+FINAL, MOST_PER_SOURCE, CUT, BYTES_SENT = 10, 3, 50_000, 64_000_000
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, key: str = "vec_id") -> DataFrame:
-    """The k rows most like one query vector, most like first; the filter goes to the scan."""
+def top_k(vectors: DataFrame, query: DataFrame, k: int, where: Column | None = None, key: str = "vec_id") -> DataFrame:
+    """The k rows most like a query vector (one row, column query), most like first; the filter goes to the scan."""
     rows = vectors.filter(where) if where is not None else vectors
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("similarity", cosine(F.col("embedding"), asked)).orderBy(F.desc("similarity"), key).limit(max(1, k))
+    return compared(rows, query.select("query")).orderBy(F.desc("similarity"), key).limit(max(1, k)).drop("query")
 
 
-def top_k_of(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] | None = None, key: str = "vec_id", sent: int = QUERIES_SENT) -> DataFrame:
+def compared(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every vector beside every one of some broadcast queries, with similarity; each vector's own length is computed once."""
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    pairs = vectors.withColumn("own_length", length("embedding")).crossJoin(F.broadcast(queries.withColumn("query_length", length("query"))))
+    both = F.col("own_length") * F.col("query_length")
+    similarity = F.when(both > 0, dot(F.col("embedding"), F.col("query")) / both).otherwise(F.lit(0.0))
+    return pairs.withColumn("similarity", similarity).drop("own_length", "query_length")
+
+
+def top_k_of(queries: DataFrame, vectors: DataFrame, k: int, per: list[str] | None = None, key: str = "vec_id", sent: int = BYTES_SENT) -> DataFrame:
     """For each (query_id, query) the k most similar rows, or k of each group of `per`.
 
-    Queries are broadcast in blocks of about `sent` at most, dealt by hash of query_id; each task keeps only its best k of a
-    query before the shuffle (Spark limits a ranked window's groups early).
+    Queries are broadcast in blocks of about `sent` bytes at most, dealt by hash of query_id; each task keeps only its best k
+    of a query before the shuffle (Spark limits a ranked window's groups early).
     """
-    n = queries.count()
-    blocks = 1 if n <= sent else -(-2 * n // sent)  # half full on average, since a hash doesn't deal evenly
+    size = queries.agg(F.coalesce(F.sum(F.size("query").cast("long") * 8 + 32), F.lit(0))).first()[0]
+    blocks = 1 if size <= sent else -(-2 * size // sent)  # half full on average, since a hash doesn't deal evenly
     groups = ["query_id", *(per or [])]
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("similarity"), key))
     found = None
     for block in range(blocks):
         asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        pairs = vectors.crossJoin(F.broadcast(asked)).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
-        best = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("query")
+        best = compared(vectors, asked).withColumn("rank", rank).filter(F.col("rank") <= k).drop("query")
         found = best if found is None else found.unionByName(best)
     return found
 

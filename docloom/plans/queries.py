@@ -43,8 +43,9 @@ def r6(c):
 
 
 # ---- vectors ----------------------------------------------------------------------------------------------------------
-def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
-    return t(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"]
+def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> DataFrame:
+    """One row."""
+    return t(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("query"))
 
 
 SIM = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -56,17 +57,17 @@ def _(spark, d):
     return found.select("vec_id", "label", r6("similarity").alias("similarity"))
 
 
-@register("q_vector_topk_multi", f"SELECT query_id, vec_id, label, rank::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5) q WHERE e.label IN (1, 2)) WHERE rank <= 20")
+@register("q_vector_topk_multi", f"SELECT query_id, vec_id, label, rank::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q WHERE e.label IN (1, 2)) WHERE rank <= 20")
 def _(spark, d):
     v = t(spark, d, "embeddings")
-    asked = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieve.top_k_of(asked, v.filter(F.col("label").isin(1, 2)), 20).select("query_id", "vec_id", "label", "rank")
 
 
-@register("q_vector_topk_per_source", f"SELECT query_id, label, vec_id, rank::INT AS rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {SIM} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 3) q) WHERE rank <= 3")
+@register("q_vector_topk_per_source", f"SELECT query_id, label, vec_id, rank::INT AS rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {SIM} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 3")
 def _(spark, d):
     v = t(spark, d, "embeddings")
-    asked = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieve.top_k_of(asked, v, 3, per=["label"]).select("query_id", "label", "vec_id", "rank")
 
 
@@ -86,8 +87,8 @@ def _(spark, d):
 SELECT material_id, pos, score, place::INT AS place FROM k WHERE place <= 10""",
 )
 def _(spark, d):
-    q = F.array(*[F.lit(float(x)) for x in query_vector(spark, d)])
-    rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").alias("material_id"), r6(records.cosine(F.col("embedding"), q)).alias("score"))
+    found = retrieve.compared(t(spark, d, "embeddings"), query_vector(spark, d))
+    rows = found.select(F.col("vec_id").alias("pos"), F.col("label").alias("material_id"), r6(F.col("similarity")).alias("score"))
     return retrieve.balanced(rows).select("material_id", "pos", "score", "place")
 
 
