@@ -375,7 +375,7 @@ def test_queries_go_in_blocks(spark):
     v = spark.createDataFrame([(i, i % 3, [rng.random() for _ in range(6)]) for i in range(120)], "vec_id long, label int, embedding array<double>")
     asked = v.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     for per in (None, ["label"]):
-        at_once, blocks = (retrieve.top_k_of(asked, v, 5, per=per, sent=n).select("query_id", "label", "vec_id", "rank") for n in (30, 4))
+        at_once, blocks = (retrieve.top_k_of(asked, v, 5, per=per, sent=n).select("query_id", "label", "vec_id", "rank") for n in (30 * 80, 6 * 80))  # bytes: 80 a query
         assert sorted(at_once.collect()) == sorted(blocks.collect()) and at_once.count() == 30 * (15 if per else 5)
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") >= 8
