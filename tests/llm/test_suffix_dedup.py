@@ -77,7 +77,7 @@ def test_slices_of_a_long_text(spark, monkeypatch):
 
 
 def test_a_very_long_text(spark):
-    """30 MB in slices of the usual size; nothing else depends on a text's length (tried by hand with 300 MB)."""
+    """30 MB in slices of the usual size; nothing else depends on a text's length."""
     from pyspark.sql import functions as F
 
     block = "".join(random.Random(9).choices("abcdefghijklmnop ", k=3_000_000))
