@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docloom.llm.decontaminate import decontaminate
 from docloom.llm.language_id import identify, learn
 from docloom.llm.mixing import in_training_order, mix
+from docloom.llm.near_copies import near_groups, text_key
 from docloom.llm.pipeline_io import shared_folder
-from docloom.llm.simhash import simhash
 from docloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -31,13 +31,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the least doc_id (without one only if none has any), then the least hash of its text.
+    """One document of each group of near copies stays: that with the least doc_id (without one only if none has any), then the least hash of its text.
 
-    Groups are of texts, so that unlike rows of one doc_id stay both, and documents without doc_id are compared like others;
-    of rows that repeat both doc_id and text one stays. Texts without words, null ones too, are one group.
+    Near copies are proposed by SimHash and confirmed by a similarity of five-word shingles of 0.8 or more. Groups are of
+    texts, so that unlike rows of one doc_id stay both, and documents without doc_id are compared like others; of rows that
+    repeat both doc_id and text one stays. Texts without words, null ones too, are one group.
     """
-    marked = simhash(docs.select("doc_id", "text"))
-    first = marked.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")).alias("first"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    least = F.min(F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_hash"))).alias("first")
+    first = docs.groupBy(text_key().alias("id")).agg(least).join(near_groups(docs.select("text")), "id")
+    first = first.groupBy("group_key").agg(F.min("first").alias("first"))
     own = docs.withColumn("row_hash_of_first", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     # the join's only key comes first among those of dropDuplicates, which needs no second shuffle therefore
     kept = own.join(first.select(F.col("first.row_hash").alias("row_hash_of_first")), "row_hash_of_first", "left_semi")

@@ -1,0 +1,157 @@
+"""Near copies: SimHash fingerprints propose pairs, exact similarity of five-word shingles decides.
+
+One changed word changes five of a text's five-word shingles, but only three of its words and pairs of words. So texts of
+similarity 0.8 lie 8 or 9 bits apart by fingerprints of the former, and some 4 bits by fingerprints of the latter (each taken
+once), while unrelated texts stay far apart. The BK-trees of `simhash` therefore hold fingerprints of words and pairs of words, and
+each text lists its nearest texts within the radius. A listed pair is a link if the exact similarity is `least` or more;
+groups are what links connect.
+
+Lists begin short: a text whose group holds many others soon is in the group of its nearest, and pairs within one group are
+never listed again. A text whose list was full goes on beyond it in the next round, with a longer one, until no text has a
+pair left that is neither tested nor within a group. Nothing is cut off, and a large group of copies is never spelled out in pairs.
+
+Empty cases: words and shingles are those of `simhash`, lower-cased; a null text counts as empty; texts without words, null
+ones too, are one group; a text of under five words has one shingle, the whole of it; equal texts are one vertex; texts are
+read whole, however long; an empty table has no groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import components, cut
+from .simhash import LOWER, PART, Forest, dealt, majority, shingle_hashes, whole_trees
+from .textbytes import text_bytes
+
+WORDS, LEAST, RADIUS = 5, 0.8, 6
+FIRST_LIST, LONGER, HELD = 4, 16, 2_000_000
+BEFORE_ALL = -(1 << 63)
+
+
+def text_key(text: Column | str = "text") -> Column:
+    """The vertex of a text."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string"))
+
+
+def coarse_fingerprint(text: bytes) -> int:
+    """Of the text's words and pairs of words, each once."""
+    found = text.translate(LOWER).split()
+    if not found:
+        return 0
+    return majority(np.unique(np.concatenate([shingle_hashes(found, 1), shingle_hashes(found, 2)])))
+
+
+def similarity(left: np.ndarray, right: np.ndarray) -> float:
+    """Of two sets of shingles; two empty ones are equal."""
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common / (len(left) + len(right) - common) if len(left) or len(right) else 1.0
+
+
+def vertices(docs: DataFrame) -> DataFrame:
+    """(id, fp) of the distinct texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            raw = data.tobytes()
+            fps = [coarse_fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["id", "fp"])
+
+    return docs.select(text_key().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "id long, fp long").groupBy("id").agg(F.min("fp").alias("fp"))
+
+
+def shortest(q: np.ndarray, d: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each q the `most` entries least in (d, other)."""
+    order = np.lexsort((other, d, q))
+    q, d, other = q[order], d[order], other[order]
+    begins = np.flatnonzero(np.diff(q, prepend=-1) != 0)
+    place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    kept = place < most
+    return q[kept], d[kept], other[kept]
+
+
+def listed(state: DataFrame, most: int, radius: int = RADIUS, part: int = PART, held: int = HELD) -> DataFrame:
+    """(id, other, d): for each open text the `most` nearest within the radius that are of other groups and beyond what it listed before."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_trees(batches):
+            ids, tree, label, floor_d, floor_id = (table[c].to_numpy() for c in ("id", "tree", "label", "floor_d", "floor_id"))
+            fps = table["fp"].to_numpy().view(np.uint64)
+            ask = np.flatnonzero(table["open"].to_numpy(zero_copy_only=False))
+            # equal fingerprints of a tree are one node of it
+            order = np.flatnonzero(table["built"].to_numpy(zero_copy_only=False))
+            order = order[np.lexsort((fps[order], tree[order]))]
+            begins = np.flatnonzero(np.append(True, (np.diff(tree[order]) != 0) | (np.diff(fps[order].view(np.int64)) != 0))[: len(order)])
+            ends = np.append(begins[1:], len(order))
+            forest = Forest(fps[order[begins]], tree[order[begins]])
+            rows, waiting = [(np.zeros(0, np.int64),) * 3], 0
+            for query, node in forest.near(fps[ask], tree[ask], radius):
+                size = ends[node] - begins[node]
+                cuts = np.flatnonzero(np.diff(np.cumsum(size) // held)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)], strict=True):
+                    n = size[a:b]
+                    q = ask[np.repeat(query[a:b], n)]
+                    other = order[np.arange(int(n.sum())) + np.repeat(begins[node[a:b]] - (np.cumsum(n) - n), n)]
+                    d = np.bitwise_count(fps[q] ^ fps[other]).astype(np.int64)
+                    fresh = (label[q] != label[other]) & ((d > floor_d[q]) | ((d == floor_d[q]) & (ids[other] > floor_id[q])))
+                    rows.append((q[fresh], d[fresh], ids[other[fresh]]))
+                    waiting += len(rows[-1][0])
+                    if waiting > held:
+                        rows = [shortest(*(np.concatenate(x) for x in zip(*rows, strict=True)), most)]
+                        waiting = 0
+            q, d, other = shortest(*(np.concatenate(x) for x in zip(*rows, strict=True)), most)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other), pa.array(d)], names=["id", "other", "d"])
+
+    found = dealt(state, radius, part).mapInArrow(search, "id long, other long, d long").distinct()
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).filter(F.col("place") <= most)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingles are similar."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, good = (None, None), []
+            for i in range(batch.num_rows):
+                a, left, right = batch.column(0)[i].as_py(), batch.column(2)[i].as_buffer(), batch.column(3)[i].as_buffer()
+                if last[0] != a:
+                    last = (a, shingle_set(bytes(left), words))
+                good.append(similarity(last[1], shingle_set(bytes(right), words)) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = docs.select(text_key().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+    return both.select("a", "b", F.col("left").cast("binary").alias("left"), F.col("right").cast("binary").alias("right")).mapInArrow(each, "a long, b long")
+
+
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+    found = text.translate(LOWER).split()
+    return np.unique(shingle_hashes(found, words)) if found else np.zeros(0, np.uint64)
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST, radius: int = RADIUS, first_list: int = FIRST_LIST, part: int = PART) -> DataFrame:
+    """(id, group_key) of the distinct texts of docs, where id is `text_key` of the text."""
+    spark = docs.sparkSession
+    alone = cut(spark, vertices(docs))
+    state = alone.select("id", "fp", F.col("id").alias("label"), F.lit(-1).cast("long").alias("floor_d"), F.lit(BEFORE_ALL).alias("floor_id"), F.lit(True).alias("open"))
+    links, most = None, first_list
+    while True:
+        found = cut(spark, listed(state, most, radius, part))
+        if found.isEmpty():
+            return state.select("id", F.col("label").alias("group_key"))
+        pairs = found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        fresh = cut(spark, confirmed(pairs, docs, words, least))
+        links = fresh if links is None else cut(spark, links.union(fresh))
+        label = components(spark, links)
+        last = found.groupBy("id").agg(F.max(F.struct("d", "other")).alias("last"), F.count("*").alias("n"))
+        state = alone.join(label, "id", "left").join(last, "id", "left")
+        state = cut(spark, state.select("id", "fp", F.coalesce("label", "id").alias("label"), F.coalesce("last.d", F.lit(-1)).alias("floor_d"), F.coalesce("last.other", F.lit(BEFORE_ALL)).alias("floor_id"), F.coalesce(F.col("n") == most, F.lit(False)).alias("open")))
+        most *= LONGER

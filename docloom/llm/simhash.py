@@ -35,19 +35,26 @@ SHINGLE, RADIUS, PART, TASK_ROWS, PORTION = 4, 4, 2_000, 500_000, 200_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    found = text.translate(LOWER).split()
-    if not found:
-        return 0
+def shingle_hashes(found: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of one word or more; of the whole sequence if it is shorter."""
     line = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k, hashed = min(shingle, len(found)), xxhash.xxh64_intdigest
-    h = np.array([hashed(line[a:b], 42) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=">u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.array([hashed(line[a:b], 42) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    found = text.translate(LOWER).split()
+    return majority(shingle_hashes(found, shingle)) if found else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, row_hash): one row for each row of docs; fp is the fingerprint's 64 bits as a signed number."""
 
@@ -148,17 +155,23 @@ def whole_trees(batches: Iterator[pa.RecordBatch], portion: int = PORTION) -> It
         yield pa.Table.from_batches(held)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """Edges (a, b) between ids of (id, fp) that connect whatever a chain of links within the radius connects."""
+def dealt(vertices: DataFrame, radius: int, part: int) -> DataFrame:
+    """Rows (id, fp, ...) once for each tree that they are built into or search: with `tree` and `built`, in the order of `tree`."""
     masks = block_keys(radius)
-    keyed = distinct.select("id", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for k, m in masks])).alias("key")).select("id", "fp", "key.*")
+    keyed = vertices.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for k, m in masks])).alias("key")).select(*vertices.columns, "key.*")
     sizes = keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     # part i of a large tree is joined by itself and every later part
     parts = F.ceil(F.col("n") / part).cast("int")
     own: Column = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = keyed.join(sizes.select("k", "bits", parts.alias("parts")), ["k", "bits"]).withColumn("own", own)
-    sent = dealt.select("id", "fp", "k", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    sent = sent.select("id", "fp", F.xxhash64("k", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), (F.col("own") <= F.col("other")).alias("built"))
+    keyed = keyed.join(sizes.select("k", "bits", parts.alias("parts")), ["k", "bits"]).withColumn("own", own)
+    sent = keyed.select(*vertices.columns, "k", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sent = sent.select(*vertices.columns, F.xxhash64("k", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), (F.col("own") <= F.col("other")).alias("built"))
+    tasks = max(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), vertices.count() * len(masks) // TASK_ROWS)
+    return sent.repartition(tasks, "tree").sortWithinPartitions("tree")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """Edges (a, b) between ids of (id, fp) that connect whatever a chain of links within the radius connects."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_trees(batches):
@@ -172,8 +185,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFr
             a, b = spanning(((number[q], number[keep[node]]) for q, node in forest.near(fps, tree, radius)), len(distinct))
             yield pa.RecordBatch.from_arrays([pa.array(distinct[a]), pa.array(distinct[b])], names=["a", "b"])
 
-    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * len(masks) // TASK_ROWS)
-    return sent.repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(search, "a long, b long")
+    return dealt(distinct, radius, part).mapInArrow(search, "a long, b long")
 
 
 def simhash(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -1,0 +1,74 @@
+"""Groups of near copies against all pairs of a small table."""
+
+import random
+from itertools import combinations
+
+import pytest
+
+near = pytest.importorskip("docloom.llm.near_copies")
+
+
+def table():
+    rng = random.Random(5)
+    word = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \t", "one", "ONE", "one two three", "one two three four", "a b a b a b a b", "b a b a b a b a"]
+    for n in (30, 80, 80, 300):
+        base = rng.choices(word, k=n)
+        texts.append(" ".join(base))
+        for _ in range(12):  # copies with some words changed, and copies of copies
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, n // 40))):
+                copy[rng.randrange(n)] = rng.choice(word)
+            texts.append(" ".join(copy))
+            base = copy if rng.random() < 0.3 else base
+    texts += [texts[-1], texts[12]] + [" ".join(rng.choices(word, k=100)) for _ in range(10)]
+    texts.append(" ".join(rng.choices(word, k=60_000)))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def brute(rows):
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    low = {i: [w for w in "".join(c.lower() if c.isascii() else c for c in t or "").split()] for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in low.items()}
+    fps = {i: near.coarse_fingerprint((t or "").encode()) for i, t in rows}
+    tested = linked = 0
+    for (a, _), (b, _) in combinations(rows, 2):
+        x, y = sets[a], sets[b]
+        close = (fps[a] ^ fps[b]).bit_count() <= near.RADIUS
+        if close and (len(x & y) >= 0.8 * len(x | y)):
+            parent[root(a)] = root(b)
+            linked += 1
+        tested += close
+    assert tested > linked > 20  # there are pairs that only the exact test refuses
+    groups = {}
+    for i, _ in rows:
+        groups.setdefault(root(i), set()).add(i)
+    return sorted(sorted(g) for g in groups.values())
+
+
+@pytest.mark.parametrize(("first_list", "part"), [(4, 2_000), (1, 3)])
+def test_groups_are_those_of_all_pairs(spark, first_list, part):
+    rows = table()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.id: r.group_key for r in near.near_groups(docs, first_list=first_list, part=part).collect()}
+    groups = {}
+    for r in docs.select("doc_id", near.text_key().alias("id")).collect():
+        groups.setdefault(keys[r.id], set()).add(r.doc_id)
+    assert sorted(sorted(g) for g in groups.values()) == brute(rows)
+
+
+def test_empty_table_has_no_groups(spark):
+    assert near.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lists_are_cut_to_the_nearest():
+    import numpy as np
+
+    q, d, other = near.shortest(np.array([1, 0, 1, 1]), np.array([3, 2, 1, 1]), np.array([9, 9, 8, 7]), 2)
+    assert list(zip(q.tolist(), d.tolist(), other.tolist(), strict=True)) == [(0, 2, 9), (1, 1, 7), (1, 1, 8)]

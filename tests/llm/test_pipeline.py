@@ -11,7 +11,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_stages(spark, tmp_path):
     from docloom.llm.decontaminate import decontaminate
-    from docloom.llm.simhash import simhash
+    from docloom.llm.near_copies import near_groups, text_key
     from docloom.llm.suffix_dedup import suffix_dedup
 
     raw = spark.read.parquet(f"{SF}/documents.parquet")
@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
     everything = {r[0] for r in raw.select("doc_id").collect()}
     assert ids[0] == everything | {9004, None}
     groups = {}
-    for r in simhash(kept[0]).collect():
+    for r in kept[0].withColumn("id", text_key()).join(near_groups(kept[0]), "id").collect():
         groups.setdefault(r.group_key, []).append((r.doc_id is None, r.doc_id or 0))
     assert sorted(min(g) for g in groups.values()) == sorted((r.doc_id is None, r.doc_id or 0) for r in kept[1].collect())
     assert [r.text for r in kept[1].filter("doc_id = 9004").collect()] == ["Some words of their own here"]  # its other row is a copy
