@@ -12,6 +12,7 @@ from . import toxicity as tox
 from .decontaminate import decontaminate
 from .fill_middle import fill_middle, restored
 from .mixing import in_order, mix
+from .sharding import shard
 from .simhash import simhash
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -174,6 +175,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Without text_crc32, which DuckDB can't make; a slot's order by the slices that shards over 16 MB have.
+OP11_SQL = """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size, ('0x' || md5(coalesce(text, ''))[1:15])::BIGINT AS t, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS k FROM documents),
+     c AS (SELECT t, k, sum(size) AS s FROM d GROUP BY t, k),
+     r AS (SELECT t, k, sum(s) OVER (ORDER BY t, k) - s AS before, sum(s) OVER (ORDER BY t, k) AS upto, sum(s) OVER (ORDER BY t) AS text_upto FROM c),
+     aim AS (SELECT unnest(range(1, 40)) AS i, (SELECT sum(size) FROM d)::DOUBLE / 40 AS each),
+     texts AS (SELECT i, each, arg_min(b, (abs(b - each * i), b)) AS b FROM aim, (SELECT 0 AS b UNION SELECT text_upto FROM r) GROUP BY i, each),
+     near AS (SELECT i, arg_min(b, (abs(b - each * i), b)) AS b FROM aim, (SELECT 0 AS b UNION SELECT upto FROM r) GROUP BY i, each),
+     cut AS (SELECT i, CASE WHEN abs(texts.b - each * i) <= 0.01 * each THEN texts.b ELSE near.b END AS b FROM texts JOIN near USING (i)),
+     s AS (SELECT t, k, (SELECT count(*) FROM cut WHERE cut.b <= r.before)::INT AS shard FROM r),
+     p AS (SELECT d.*, shard, greatest(1, ceil(sum(size) OVER (PARTITION BY shard) / 16000000))::BIGINT AS slices FROM d JOIN s USING (t, k))
+SELECT doc_id, size, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY (t + k) % slices, t, k) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM p
+"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     again = F.sha2(restored(F.col("output"), F.col("form")), 256)
