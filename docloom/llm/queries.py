@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import html_extraction, language_id, lm_scoring
 from . import toxicity as tox
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .fill_middle import fill_middle, restored
 from .mixing import in_order, mix
@@ -195,6 +196,27 @@ SELECT doc_id, size, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY sha
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     p AS (SELECT lang, w, count(*) AS m FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d) WHERE len(w) > 0 GROUP BY ALL),
+     g AS (SELECT lang, k, w[i:i + k - 1] AS g, m FROM (SELECT lang, w, m, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+     f AS MATERIALIZED (SELECT lang, k, g, sum(m)::BIGINT AS f FROM g GROUP BY ALL HAVING sum(m) >= 100),
+     n AS (SELECT lang, sum(m * len(w))::BIGINT AS n FROM p GROUP BY lang),
+     cuts AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+     s AS (SELECT cuts.*, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+           FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = cuts.g[1:c] JOIN f r ON r.lang = cuts.lang AND r.g = cuts.g[c + 1:cuts.k] JOIN n ON n.lang = cuts.lang),
+     low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+     inside AS (SELECT lang, g[i:j] AS g, max(f) AS most FROM (SELECT lang, g, k, f, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT lang, g, k, f, unnest(range(1, k)) AS i FROM f WHERE k > 2)) WHERE j - i + 1 < k GROUP BY ALL),
+     kept AS (SELECT low.*, array_to_string(low.g, ' ') AS phrase FROM low LEFT JOIN inside USING (lang, g) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     again = F.sha2(restored(F.col("output"), F.col("form")), 256)
@@ -220,4 +242,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_vector_search": OP6_SQL, "op9_suffix_dedup": OP9_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_vector_search": OP6_SQL, "op9_suffix_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_fill_middle": OP13_SQL}
