@@ -36,10 +36,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_END, BLANK = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+"
 LEAST, MOST_WORDS, TOP, WHOLE_PERCENT = 100, 5, 2000, 100
 #: Words that a task gathers before it hands on their n-grams, and of a segment; bits of the bitmaps; bytes of text and memory of a bucket.
-BLOCK_WORDS, SEGMENT_WORDS, BITS, BUCKET_BYTES, BUCKET_MEMORY = 400_000, 200_000, 1 << 25, 16_000_000, "256MB"
+BLOCK_WORDS, SEGMENT_WORDS, BITS, BUCKET_BYTES, BUCKET_MEMORY = 800_000, 200_000, 1 << 25, 16_000_000, "256MB"
 SENDERS, SLICES = 256, 16
-GRAMS = "lang string, phrase string, mark long, n long"
-GRAMS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("mark", pa.int64()), ("n", pa.int64())])
+#: What is sent: lang and phrase as one key, parted by a line end, which no phrase holds. What is kept of it.
+SENT, KEPT = "key string, n long", "lang string, phrase string, mark long, n long"
+SENT_ARROW = pa.schema([("key", pa.string()), ("n", pa.int64())])
+KEPT_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("mark", pa.int64()), ("n", pa.int64())])
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 
@@ -51,12 +53,14 @@ def pieces(docs: DataFrame, most_words: int) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(low, PIECE_END)).alias("raw"))
-    clean = cut.select("lang", F.trim(F.regexp_replace("raw", BLANK, " ")).alias("piece")).filter("piece <> ''")
-    once = clean.groupBy("lang", "piece").agg(F.count("*").alias("n")).withColumn("words", F.split("piece", " "))
-    size, whole = F.size("words"), F.array(F.struct("piece", F.size("words").cast("long").alias("n_words")))
-    segment = lambda i: F.struct(F.array_join(F.slice("words", i + 1, F.lit(SEGMENT_WORDS + most_words - 1)), " ").alias("piece"), F.least(size - i, F.lit(SEGMENT_WORDS)).cast("long").alias("n_words"))
-    parts = F.when(size <= SEGMENT_WORDS, whole).otherwise(F.transform(F.sequence(F.lit(0), size - 1, F.lit(SEGMENT_WORDS)), segment))
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), low.alias("low"))
+    single = F.when(F.col("low").contains("  ") | F.col("low").contains("\t"), F.regexp_replace("low", BLANK, " ")).otherwise(F.col("low"))
+    cut = rows.withColumn("low", single).select("lang", F.explode(F.split("low", PIECE_END)).alias("raw"))
+    once = cut.select("lang", F.trim("raw").alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("n"))
+    once = once.withColumn("n_words", (F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1).cast("long"))
+    words, size = F.split("piece", " "), F.col("n_words").cast("int")
+    segment = lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.lit(SEGMENT_WORDS + most_words - 1)), " ").alias("piece"), F.least(size - i, F.lit(SEGMENT_WORDS)).cast("long").alias("n_words"))
+    parts = F.when(size <= SEGMENT_WORDS, F.array(F.struct("piece", "n_words"))).otherwise(F.transform(F.sequence(F.lit(0), size - 1, F.lit(SEGMENT_WORDS)), segment))
     return once.select("lang", "n", F.inline(parts))
 
 
@@ -80,8 +84,20 @@ def number_of(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return coded.indices.to_numpy().astype(np.int64), np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.to_pylist()], U)
 
 
+def marked(totals: np.ndarray) -> np.ndarray:
+    return mix(totals).view(np.int64)
+
+
+def mark_of(lang: str, phrase: str) -> int:
+    """The hash of one phrase before mixing, as grams_of makes it of many."""
+    total = xxhash.xxh64_intdigest(lang)
+    for word in phrase.split(" "):
+        total = (total * int(STEP) + xxhash.xxh64_intdigest(word)) & 0xFFFFFFFFFFFFFFFF
+    return total
+
+
 def grams_of(block: pa.Table, width: int, frequent: np.ndarray | None) -> pa.Table:
-    """(lang, phrase, mark, n): the block's distinct n-grams of `width` words whose parts of one word less are in the bitmap `frequent`."""
+    """(key, n): the block's distinct n-grams of `width` words whose parts of one word less are in the bitmap `frequent`."""
     lists = pc.split_pattern(block["piece"].combine_chunks(), " ")
     words = lists.flatten()
     lengths = np.diff(lists.offsets.to_numpy())
@@ -96,12 +112,12 @@ def grams_of(block: pa.Table, width: int, frequent: np.ndarray | None) -> pa.Tab
         total = lang_hash[lang_no[piece[at]]]
         for k in range(n):
             total = total * STEP + hashes[at + k]
-        return mix(total)
+        return marked(total)
 
     at = np.flatnonzero((left >= width) & own)
     if frequent is not None and len(at):
         part = np.flatnonzero(left >= width - 1)
-        bit = marks(part, width - 1) & U(BITS - 1)
+        bit = marks(part, width - 1).view(U) & U(BITS - 1)
         known = np.zeros(len(left) + 1, bool)
         known[part] = (frequent[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 == 1
         at = at[known[at] & known[at + 1]]
@@ -113,20 +129,19 @@ def grams_of(block: pa.Table, width: int, frequent: np.ndarray | None) -> pa.Tab
     edges = np.flatnonzero(np.diff(number[order], prepend=-1))
     first = at[order[edges]] if len(at) else at
     total = np.add.reduceat(block["n"].to_numpy()[piece[at[order]]], edges) if len(at) else np.zeros(0, np.int64)
-    parts = [words.take(pa.array(first + k)) for k in range(width)]
-    phrase = parts[0] if width == 1 else pc.binary_join_element_wise(*parts, " ")
-    lang = block["lang"].combine_chunks().take(pa.array(piece[first])) if len(first) else pa.array([], pa.string())
-    return pa.Table.from_arrays([lang, phrase, pa.array(marks(first, width).view(np.int64)), pa.array(total)], schema=GRAMS_ARROW)
+    langs = block["lang"].combine_chunks().take(pa.array(piece[first]))
+    phrase = pc.binary_join_element_wise(*[words.take(pa.array(first + k)) for k in range(width)], " ") if width > 1 else words.take(pa.array(first))
+    return pa.Table.from_arrays([pc.binary_join_element_wise(langs, phrase, "\n"), pa.array(total)], schema=SENT_ARROW)
 
 
 def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The sums of one hash bucket's n-grams, of those that reach `least`."""
     with tempfile.TemporaryDirectory(prefix="bucket-") as spill, duckdb.connect(config={"threads": 1, "memory_limit": BUCKET_MEMORY, "temp_directory": spill, "preserve_insertion_order": False}) as con:
-        reader = pa.RecordBatchReader.from_batches(GRAMS_ARROW, (pa.RecordBatch.from_arrays(b.columns, schema=GRAMS_ARROW) for b in batches))
-        con.register("sent", reader)
-        found = con.execute("SELECT lang, phrase, any_value(mark) AS mark, sum(n)::BIGINT AS n FROM sent GROUP BY lang, phrase HAVING sum(n) >= ?", [least]).to_arrow_reader(100_000)
-        for batch in found:
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, GRAMS_ARROW, strict=True)], schema=GRAMS_ARROW)
+        con.register("sent", pa.RecordBatchReader.from_batches(SENT_ARROW, (pa.RecordBatch.from_arrays(b.columns, schema=SENT_ARROW) for b in batches)))
+        for batch in con.execute("SELECT key, sum(n)::BIGINT AS n FROM sent GROUP BY key HAVING sum(n) >= ?", [least]).to_arrow_reader(100_000):
+            lang, phrase = zip(*(k.rsplit("\n", 1) for k in batch["key"].to_pylist()), strict=True)
+            mark = marked(np.array([mark_of(a, b) for a, b in zip(lang, phrase, strict=True)], U))
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(mark), batch["n"].cast(pa.int64())], schema=KEPT_ARROW)
 
 
 def bitmap_of(counts: DataFrame) -> np.ndarray:
@@ -152,10 +167,10 @@ def frequent_phrases(spark: SparkSession, distinct: DataFrame, folder: str, buck
 
         count = lambda batches: counted(batches, least)
         path = f"{folder}/phrases/width={width}"
-        distinct.select("lang", "piece", "n", "n_words").mapInArrow(emit, GRAMS).repartition(buckets, "lang", "phrase").mapInArrow(count, GRAMS).write.parquet(path)
+        distinct.select("lang", "piece", "n", "n_words").mapInArrow(emit, SENT).repartition(buckets, "key").mapInArrow(count, KEPT).write.parquet(path)
         if width < most_words:
-            bits = bitmap_of(spark.read.schema(GRAMS).parquet(path))
-    return spark.read.schema(f"{GRAMS}, width int").parquet(f"{folder}/phrases")
+            bits = bitmap_of(spark.read.schema(KEPT).parquet(path))
+    return spark.read.schema(f"{KEPT}, width int").parquet(f"{folder}/phrases")
 
 
 def scored(phrases: DataFrame, sizes: DataFrame) -> DataFrame:
