@@ -33,9 +33,10 @@ def recover(jobs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
     return jobs.withColumn("error", F.when(stuck, F.lit("recovered: no progress")).otherwise(F.col("error") if "error" in jobs.columns else F.lit(None).cast("string"))).withColumn("status", F.when(stuck, "pending").otherwise(F.col("status")))
 
 
-def latest(events: DataFrame, key: str, at: str) -> DataFrame:
-    """The last event of each key is its state."""
-    return events.withColumn("n_th", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter("n_th = 1").drop("n_th")
+def latest(events: DataFrame, key: str, at: str, tie: str | None = None) -> DataFrame:
+    """The last event of each key is its state; of several at one time the least by `tie`, then by a hash of the row."""
+    order = [F.desc(at), *([F.col(tie)] if tie else []), F.xxhash64(*[F.col(f"`{c}`") for c in events.columns])]
+    return events.withColumn("n_th", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("n_th = 1").drop("n_th")
 
 
 def use_once(tokens: DataFrame, presented: DataFrame) -> DataFrame:

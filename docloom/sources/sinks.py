@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import newest
 
-def upserted(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Stored rows with new ones; of a key on both sides the new row stays. Write the result as a whole, or not at all."""
-    return stored.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
+
+def upserted(stored: DataFrame, new: DataFrame, key: str = "id", order: list[Column] | None = None) -> DataFrame:
+    """Stored rows with new ones; of a key on both sides the new row stays, of several new ones the first by `order`.
+
+    The result is written as a whole, or not at all; `keyed.KeyedTable` changes a table in place.
+    """
+    return stored.join(new.select(key), key, "left_anti").unionByName(newest(new, key, order))
 
 
 def write_texts(texts: DataFrame, path: str, key: str = "material_id") -> None:

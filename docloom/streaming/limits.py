@@ -32,8 +32,8 @@ class Log:
         return True, self.limit - len(self.times), 0
 
 
-def _prepared(requests: DataFrame) -> DataFrame:
-    return requests.select(F.col("key").cast("string").alias("key"), "kind", F.col("request_id").cast("long").alias("request_id"), F.unix_micros(F.to_timestamp("ts")).alias("at")).filter(F.col("kind").isin(*LIMITS))
+def _prepared(requests: DataFrame, *more: str) -> DataFrame:
+    return requests.select(*more, F.col("key").cast("string").alias("key"), "kind", F.col("request_id").cast("long").alias("request_id"), F.unix_micros(F.to_timestamp("ts")).alias("at")).filter(F.col("kind").isin(*LIMITS))
 
 
 def limited(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
@@ -64,25 +64,41 @@ def limited(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
 
 
 class Limiter(StatefulProcessor):
-    """The same decisions on a stream: the log of each key is kept as a list of times."""
+    """The same decisions on a stream: the log of each key is kept as a list of times until no request can ask for it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("log", "at long")
+        self.handle, self.log = handle, handle.getListState("log", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable")
         log = Log(LIMITS[key[1]], [r[0] for r in self.log.get()] if self.log.exists() else [])
         batch[["allowed", "remaining", "retry_after"]] = [log.ask(t) for t in batch["at"]]
         self.log.put([(t,) for t in log.times])
+        self.expire_at(log.times[-1])
         yield batch[["key", "kind", "request_id", "at", "allowed", "remaining", "retry_after"]]
 
+    def expire_at(self, newest: int) -> None:
+        """The log is of no use once the watermark is a window past its newest time; an earlier timer gives way."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((newest + WINDOW_US) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.log.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def limited_stream(requests: DataFrame) -> DataFrame:
-    """ST01 on a streaming frame (needs the RocksDB state store)."""
-    return _prepared(requests).groupBy("key", "kind").transformWithStateInPandas(Limiter(), OUT, "Append", "None")
+def limited_stream(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """ST01 on a streaming frame (needs the RocksDB state store): the decisions of `limited`, each key's requests coming in order of time.
+
+    Requests later than `late` get no decision; in return a key without requests for that time and a window leaves the state.
+    """
+    timed = requests.withColumn("seen", F.to_timestamp("ts")).withWatermark("seen", late)
+    rows = _prepared(timed, "seen").groupBy("key", "kind")
+    return rows.transformWithStateInPandas(Limiter(), OUT, "Append", "EventTime")
 
 
 def first_of_stream(segments: DataFrame, keys: list[str], at: str, late: str = "10 minutes") -> DataFrame:
