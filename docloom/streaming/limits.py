@@ -96,7 +96,8 @@ def limited_stream(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     Requests later than `late` get no decision; in return a key without requests for that time and a window leaves the state.
     """
-    timed = requests.withColumn("seen", F.to_timestamp("ts")).withWatermark("seen", late)
+    # a watermark begins at the epoch and leaves out what isn't after it
+    timed = requests.withColumn("seen", F.greatest(F.to_timestamp("ts"), F.timestamp_millis(F.lit(1)))).withWatermark("seen", late)
     rows = _prepared(timed, "seen").groupBy("key", "kind")
     return rows.transformWithStateInPandas(Limiter(), OUT, "Append", "EventTime")
 
