@@ -114,14 +114,21 @@ def balanced(rows: DataFrame, by: str | None = None, source: str = "material_id"
     return few.withColumn("place", place).filter(F.col("place") <= final).drop("own_rank", "one")
 
 
-def within_budget(rows: DataFrame, budget: int, by: str, score: str = "score", order: str = "pos") -> DataFrame:
-    """Rows by falling score while their tokens together stay within the budget."""
-    upto = F.sum(token_count(F.col("text"))).over(Window.partitionBy(by).orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("tokens_so_far", upto).filter(F.col("tokens_so_far") <= budget)
+def within_budget(rows: DataFrame, budget: int, by: str, score: str = "score", order: str = "pos", count: Callable[[Column], Column] = token_count) -> DataFrame:
+    """Rows by falling score while their tokens, counted by `count`, together stay within the budget."""
+    rows = rows.withColumn("own_tokens", count(F.col("text")))
+    upto = F.sum("own_tokens").over(Window.partitionBy(by).orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("tokens_so_far", upto).filter(F.col("tokens_so_far") <= budget).drop("own_tokens")
 
 
-def budget_with_summaries(texts: Column, budget: int) -> Column:
-    """Texts in order; one that doesn't fit is shortened to four sentences, and where that doesn't fit either it ends."""
+def budget_with_summaries(texts: Column, budget: int, count_each: Callable[[Column], Column] | None = None) -> Column:
+    """Texts in order; one that doesn't fit is shortened to four sentences, and where that doesn't fit either it ends.
+
+    count_each: the tokens of each text of an array; a quarter of the characters if not given.
+    """
+    if count_each is not None:
+        short = F.transform(texts, lead_summary)
+        return _budgeted(F.arrays_zip(texts.alias("text"), short.alias("short"), count_each(texts).alias("whole_n"), count_each(short).alias("short_n")), budget)
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("open"))
 
     def step(s: Column, x: Column) -> Column:
@@ -136,6 +143,18 @@ def budget_with_summaries(texts: Column, budget: int) -> Column:
     return F.aggregate(texts, start, step, lambda s: s["kept"])
 
 
+def _budgeted(items: Column, budget: int) -> Column:
+    """The fold of budget_with_summaries over texts whose tokens have been counted."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits, shortened = s["open"] & (s["used"] + x["whole_n"] <= budget), s["open"] & (s["used"] + x["short_n"] <= budget)
+        kept = F.when(fits, F.concat(s["kept"], F.array(x["text"]))).when(shortened, F.concat(s["kept"], F.array(x["short"]))).otherwise(s["kept"])
+        return F.struct(kept.alias("kept"), (s["used"] + F.when(fits, x["whole_n"]).when(shortened, x["short_n"]).otherwise(F.lit(0))).alias("used"), (fits | shortened).alias("open"))
+
+    return F.aggregate(items, start, step, lambda s: s["kept"])
+
+
 def relevant(rows: DataFrame, least_score: float = 0.3, least_length: int = 150) -> DataFrame:
     """rows whose squashed score and length are large enough."""
     return rows.filter((sigmoid(F.col("score")) >= least_score) & (F.length("text") >= least_length))

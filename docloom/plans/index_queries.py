@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import jobs, retrieve
+from ..functions.tokens import Vocabulary
+from ..operators import cascade, jobs, retrieve
 from ..operators.vector_index import VectorIndex
 from ..sources.keyed import KeyedTable
 from ..streaming import limits, reorder, rollup
@@ -136,3 +137,43 @@ def _(spark, d):
     share = (F.unix_micros("ts") - F.lit(int(ends["a"].timestamp() * 1e6))) / F.lit(max(1.0, (ends["b"] - ends["a"]).total_seconds() * 1e6))
     stream = streamed(spark, rows, F.least(F.floor(share * 4), F.lit(3)), 4)
     return played(spark, limits.limited_stream(stream)).select("key", "kind", "request_id", "allowed", "remaining", "retry_after")
+
+
+# ---- deletes that go on -----------------------------------------------------------------------------------------------------
+@register(
+    "q_cascade_levels",
+    """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))))
+       AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)))""",
+)
+def _(spark, d):
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("line"))  # order and number repeat
+    tables = {n: t(spark, d, n) for n in ("region", "nation", "customer", "supplier", "orders")} | {"lineitem": lines}
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "line"}
+    links = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_suppkey", "supplier")]
+    first = {"region": tables["region"].filter("r_regionkey IN (1, 3)").select("r_regionkey")}
+    return cascade.cascaded(tables, keys, [cascade.Link(*x) for x in links], first, work_folder(spark))["lineitem"].select("l_orderkey", "l_linenumber")
+
+
+@register(
+    "q_cascade_tree",
+    """WITH RECURSIVE gone AS (SELECT event_id FROM events WHERE event_id IN (2, 17) UNION SELECT e.event_id FROM events e JOIN gone g ON e.event_id // 3 = g.event_id)
+       SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM gone)""",
+)
+def _(spark, d):
+    # each event stands under the one of a third of its number; 0 stands under itself
+    rows = t(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 3).alias("up"))
+    first = {"events": rows.filter("event_id IN (2, 17)").select("event_id")}
+    return cascade.cascaded({"events": rows}, {"events": "event_id"}, [cascade.Link("events", "up", "events")], first, work_folder(spark))["events"].select("event_id", "user_id")
+
+
+# ---- tokens -----------------------------------------------------------------------------------------------------------------
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@register("q_token_texts", "SELECT doc_id, md5(coalesce(text, '')) AS again, true AS counted FROM documents")
+def _(spark, d):
+    words = Vocabulary(spark, VOCABULARY)
+    rows = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", words.encoded(F.col("text")))
+    # no token is empty, and none is left out
+    counted = (words.count(F.col("text")) == F.size("tokens")) & (F.size("tokens") <= F.octet_length("text"))
+    return rows.select("doc_id", F.md5(words.decoded(F.col("tokens"))).alias("again"), counted.alias("counted"))
