@@ -184,22 +184,20 @@ def fixed_width_tables(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fixed_width(t or ""))
 
 
+def mail_text(raw: bytes) -> str:
+    mail = email.message_from_bytes(raw, policy=email.policy.default)
+    body = mail.get_body(("plain", "html"))
+    text = body.get_content() if body else ""
+    if body is not None and body.get_content_type() == "text/html":
+        text = " ".join(Outline(text).visible)
+    head = [f"{k}: {mail[k]}" for k in ("Subject", "From", "Date") if mail[k]]
+    return "\n".join([*head, "", text.strip()])
+
+
 @F.pandas_udf(T.StringType())
 def email_text(content: pd.Series) -> pd.Series:
     """Subject, sender and date lines, then the first plain part (or the HTML part without tags)."""
-
-    def read(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        mail = email.message_from_bytes(bytes(raw), policy=email.policy.default)
-        body = mail.get_body(("plain", "html"))
-        text = body.get_content() if body else ""
-        if body is not None and body.get_content_type() == "text/html":
-            text = " ".join(Outline(text).visible)
-        head = [f"{k}: {mail[k]}" for k in ("Subject", "From", "Date") if mail[k]]
-        return "\n".join([*head, "", text.strip()])
-
-    return content.map(read)
+    return content.map(lambda raw: None if raw is None else mail_text(bytes(raw)))
 
 
 def packs_of(parts: list[str], size: int, overlap: int) -> list[str]:

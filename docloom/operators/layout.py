@@ -30,13 +30,13 @@ def block_markdown(blocks: DataFrame, by: list[str]) -> DataFrame:
 
 def without_noise(docs: DataFrame, by: str, more_than: int = 5, longest: int = 60) -> DataFrame:
     """Texts without short lines seen more than so often in them, and without repeated blank lines."""
-    lines = docs.select(by, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("bare", stripped(F.col("line")))
+    lines = docs.select(by, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("bare", stripped(F.col("line")))
     times = F.count("*").over(Window.partitionBy(by, "bare"))
-    kept = lines.withColumn("times", times).filter((F.col("bare") == "") | (F.length("bare") > longest) | (F.col("times") <= more_than))
-    blank = F.lag("bare").over(Window.partitionBy(by).orderBy("pos"))
-    kept = kept.withColumn("before", blank).filter((F.col("bare") != "") | (F.coalesce("before", F.lit("")) != ""))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return docs.select(by).join(kept.groupBy(by).agg(text.alias("clean")), by, "left").withColumn("clean", F.coalesce("clean", F.lit("")))
+    stays = (F.col("bare") == "") | (F.length("bare") > longest) | (times <= more_than)
+    before = F.last(F.when(F.col("stays"), F.col("bare")), ignorenulls=True).over(Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    kept = lines.withColumn("stays", stays).withColumn("stays", F.col("stays") & ((F.col("bare") != "") | (F.coalesce(before, F.lit("")) != "")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("stays"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    return kept.groupBy(by).agg(F.coalesce(text, F.lit("")).alias("clean"))
 
 
 def confident(detections: DataFrame, by: list[str], least: float = LEAST_CONFIDENCE) -> DataFrame:

@@ -549,27 +549,32 @@ def pdf_runs(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(read, RUNS)
 
 
-def pdf_lines(runs: DataFrame) -> DataFrame:
-    """Lines of the pages: (path, page_num, line, text, x0, y0, x1, y1, font_size, font_name, is_bold), what block_markdown takes.
-
-    A run goes on with the line of the run before if it stands on its height and not left of it; a blank parts them if there
-    is room for one. Font sizes are the largest, the font is the first run's, bold if any is.
-    """
+def _lines(runs: DataFrame) -> DataFrame:
+    """Lines of pdf_lines, and rows without text for empty pages and unreadable files."""
     order = Window.partitionBy("path", "page_num").orderBy("run")
     before = lambda c: F.lag(c).over(order)
     size = F.greatest("font_size", before("font_size"))
     goes_on = (F.abs(F.col("y1") - before("y1")) <= 0.5 * size) & (F.col("x0") >= before("x0"))
-    rows = runs.filter("text IS NOT NULL").withColumns({"fresh": (~F.coalesce(goes_on, F.lit(False))).cast("int"), "room": F.coalesce(goes_on & (F.col("x0") - before("x1") > 0.15 * size), F.lit(False))})
+    rows = runs.withColumns({"fresh": (~F.coalesce(goes_on, F.lit(False))).cast("int"), "room": F.coalesce(goes_on & (F.col("x0") - before("x1") > 0.15 * size), F.lit(False))})
     rows = rows.withColumn("line", F.sum("fresh").over(order) - 1)
-    part = F.struct("run", F.when(F.col("room"), F.concat(F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"]), "")
+    part = F.when(F.col("text").isNotNull(), F.struct("run", F.when(F.col("room"), F.concat(F.lit(" "), "text")).otherwise(F.col("text")).alias("text")))
+    parts = F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"])
     found = rows.groupBy("path", "page_num", "line").agg(
-        F.trim(F.regexp_replace(joined, " +", " ")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.max("font_size").alias("font_size"), F.min_by("font_name", "run").alias("font_name"), F.bool_or("is_bold").alias("is_bold"),
+        F.when(F.count("text") > 0, F.trim(F.regexp_replace(F.array_join(parts, ""), " +", " "))).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.max("font_size").alias("font_size"), F.min_by("font_name", "run").alias("font_name"), F.bool_or("is_bold").alias("is_bold"), F.max("error").alias("error"),
     )
     return found.withColumn("line", F.col("line").cast("int"))
 
 
+def pdf_lines(runs: DataFrame) -> DataFrame:
+    """Lines of the pages: (path, page_num, line, text, x0, y0, x1, y1, font_size, font_name, is_bold), what block_markdown takes.
+
+    A run goes on with the line of the run before if it stands on its height and not left of it; a blank parts them if there
+    is room for one. Font sizes are the largest, the font is the first run's, bold if any is.
+    """
+    return _lines(runs).filter("text IS NOT NULL").drop("error")
+
+
 def sampled(pages: Column, n: Column) -> Column:
     """Whether a page is among those that tell whether a file is digital: first, last and those at the quarters."""
     return pages.isin(0) | (pages == F.floor(n / 4)) | (pages == F.floor(n / 2)) | (pages == F.floor(n * 3 / 4)) | (pages == n - 1)
@@ -581,22 +586,22 @@ def pdf(files: DataFrame, digital: int = DIGITAL, sparse: int = SPARSE) -> DataF
     A file whose sampled pages have `digital` characters or fewer on average goes to OCR whole, as does a page with under
     `sparse`; status is `failed` for files that can't be read. A path must not repeat.
     """
-    runs = pdf_runs(files)
-    lines = pdf_lines(runs)
-    chars = lines.groupBy("path", "page_num").agg(F.sum(F.length("text")).alias("chars"))
-    all_pages = runs.filter("page_num IS NOT NULL").select("path", "page_num").distinct().join(chars, ["path", "page_num"], "left").fillna(0, ["chars"])
-    counted = all_pages.withColumn("page_count", F.count("*").over(Window.partitionBy("path")).cast("int"))
-    share = F.avg(F.when(sampled(F.col("page_num"), F.col("page_count")), F.col("chars"))).over(Window.partitionBy("path"))
-    routed = counted.withColumn("ocr", (share <= digital) | (F.col("chars") < sparse))
-    marked = block_markdown(lines, ["path", "page_num"]).join(routed.filter("NOT ocr").select("path", "page_num"), ["path", "page_num"], "left_semi")
+    # one pass over the files: lines, then pages, then files
+    marked = block_markdown(_lines(pdf_runs(files)), ["path", "page_num"])
     order = Window.partitionBy("path", "page_num").orderBy("pos")
     apart = F.col("new_paragraph") | (F.col("kind") != "text") | (F.lag("kind").over(order) != "text")
     joint = F.when(F.col("pos") == 0, "").when(apart, "\n\n").otherwise("\n")
-    page = marked.withColumn("part", F.concat(joint, "markdown")).groupBy("path", "page_num").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda p: p["part"]), "").alias("page"))
-    text = page.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", "page"))), lambda p: p["page"]), "\n\n").alias("text"))
-    clean = without_noise(text, "path").withColumnRenamed("clean", "text")
-    whole = routed.groupBy("path").agg(F.first("page_count").alias("page_count"), F.sort_array(F.collect_list(F.when(F.col("ocr"), F.col("page_num")))).alias("ocr_pages"))
-    errors = runs.filter("error IS NOT NULL").select("path", "error")
-    found = whole.join(clean, "path", "left").join(errors, "path", "full")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda p: p["part"])
+    page = marked.withColumn("part", F.coalesce(F.concat(joint, "markdown"), F.lit(""))).groupBy("path", "page_num").agg(
+        F.array_join(parts, "").alias("page"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.max("error").alias("error")
+    )
+    whole = Window.partitionBy("path")
+    page = page.withColumns({"page_count": F.count("page_num").over(whole).cast("int"), "error": F.max("error").over(whole)})
+    share = F.avg(F.when(sampled(F.col("page_num"), F.col("page_count")), F.col("chars"))).over(whole)
+    page = page.withColumn("ocr", (share <= digital) | (F.col("chars") < sparse))
+    pages = F.transform(F.sort_array(F.collect_list(F.when(~F.col("ocr") & F.col("page_num").isNotNull(), F.struct("page_num", "page")))), lambda p: p["page"])
+    text = page.groupBy("path", "page_count", "error").agg(F.array_join(pages, "\n\n").alias("text"), F.sort_array(F.collect_list(F.when(F.col("ocr"), F.col("page_num")))).alias("ocr_pages"))
+    about = F.struct("path", "page_count", "error", "ocr_pages").alias("about")
+    clean = without_noise(text.select(about, "text"), "about").select("about.*", "clean")
     status = F.when(F.col("error").isNotNull(), "failed").otherwise("success")
-    return found.select("path", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).alias("text"), status.alias("status"), "error", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("ocr_pages", F.array().cast("array<int>")).alias("ocr_pages"))
+    return clean.select("path", F.when(F.col("error").isNull(), F.col("clean")).alias("text"), status.alias("status"), "error", "page_count", "ocr_pages")

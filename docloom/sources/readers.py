@@ -6,15 +6,23 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.markup import Outline, email_text, page_text
+from ..functions.markup import Outline, email_text, mail_text, page_text
 from ..functions.text import alpha_ratio, html_lang, html_title, meta_content, web_clean, word_count
+from .compound import msg_text
 from .kinds import detected
+from .ooxml import docx_text, pptx_text
+from .pdf import pdf
+from .rtf import rtf_text
 
 RESULT = "path string, text string, status string, error string"
 
@@ -58,47 +66,84 @@ def scrape_plan(status: Column, text_length: Column, least: int = 200) -> Column
     return F.when((status == 200) & (text_length >= least), "keep").when(status.isin(403, 429, 503) | (status == 200), "browser").otherwise("fail")
 
 
+def file_texts(files: DataFrame, read: dict[str, Callable[[bytes], str]], kind: Column | None = None) -> DataFrame:
+    """RESULT rows of (path, content): each file's text by the reader of its kind (or by the only one), in one pass over the files.
+
+    A reader's ValueError, a null content and an empty text are failures, as rows. A task holds an Arrow batch of files.
+    """
+    only = next(iter(read)) if kind is None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content, of in zip(batch["path"].to_pylist(), batch["content"], batch["kind"].to_pylist(), strict=True):
+                try:
+                    if of not in read:
+                        raise ValueError("unsupported type")
+                    text = read[of](content.as_py() or b"")
+                    rows.append((path, text, "success", None) if text else (path, None, "failed", "no text"))
+                except ValueError as error:
+                    rows.append((path, None, "failed", str(error)))
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "text", "status", "error"])
+
+    rows = files.select(F.col("path").cast("string").alias("path"), "content", (F.lit(only) if kind is None else kind).alias("kind"))
+    return rows.mapInArrow(run, RESULT)
+
+
 def emails(files: DataFrame) -> DataFrame:
     """S12 over rows of (path, content)."""
     return files.select("path", email_text("content").alias("text"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
-def zipped_text(files: DataFrame, inner: str) -> DataFrame:
-    """Text of the XML or HTML parts of zipped documents (docx, pptx, odt, odp, epub) whose names match `inner`, in order."""
+def plain_text(content: bytes) -> str:
+    """NUL removed; too few letters is a failure."""
+    text = content.decode(errors="replace").replace("\0", "")
+    if len(regex.findall(r"\p{L}", text)) < 0.05 * max(1, len(text)):
+        raise ValueError("too few letters")
+    return text
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = []
-                        for name in sorted((n for n in z.namelist() if re.search(inner, n)), key=number):
-                            raw = z.read(name)
-                            if name.endswith(("html", "htm")):
-                                found.append(" ".join(Outline(raw.decode(errors="replace")).visible))
-                            else:
-                                lines = ("".join(t.itertext()).strip() for t in ElementTree.fromstring(raw).iter() if t.tag.rpartition("}")[2] in ("p", "h"))
-                                found.append("\n".join(x for x in lines if x))
-                    text = "\n\n".join(x for x in found if x)
-                    out.append((path, text or None, "success" if text else "failed", None if text else "no text"))
-                except (zipfile.BadZipFile, ElementTree.ParseError, OSError) as e:
-                    out.append((path, None, "failed", str(e)))
-            yield pd.DataFrame(out, columns=["path", "text", "status", "error"])
-
-    return files.select("path", "content").mapInPandas(read, RESULT)
+
+def page_file(content: bytes) -> str:
+    """The visible text of a page that has letters enough."""
+    return " ".join(Outline(plain_text(content)).visible)
+
+
+def zipped_parts(content: bytes, inner: str) -> str:
+    """Text of the XML or HTML parts of a zipped document (odt, odp, epub) whose names match `inner`, in order."""
+    number = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            found = []
+            for name in sorted((n for n in z.namelist() if re.search(inner, n)), key=number):
+                raw = z.read(name)
+                if name.endswith(("html", "htm")):
+                    found.append(" ".join(Outline(raw.decode(errors="replace")).visible))
+                else:
+                    lines = ("".join(t.itertext()).strip() for t in ElementTree.fromstring(raw).iter() if t.tag.rpartition("}")[2] in ("p", "h"))
+                    found.append("\n".join(x for x in lines if x))
+    except (zipfile.BadZipFile, ElementTree.ParseError, OSError, RuntimeError) as error:  # RuntimeError: encrypted
+        raise ValueError(str(error)) from error
+    return "\n\n".join(x for x in found if x)
 
 
 # Which parts of zipped documents hold their text.
-PARTS = {"docx": r"^word/document\.xml$", "pptx": r"^ppt/slides/slide\d+\.xml$", "odt": r"^content\.xml$", "odp": r"^content\.xml$", "epub": r"\.x?html?$"}
+PARTS = {"odt": r"^content\.xml$", "odp": r"^content\.xml$", "epub": r"\.x?html?$"}
+#: Readers of a file's bytes by extension.
+READERS: dict[str, Callable[[bytes], str]] = {
+    **dict.fromkeys(("txt", "md", "csv"), plain_text), "html": page_file, "eml": mail_text, "msg": msg_text, "rtf": rtf_text, "docx": docx_text, "pptx": pptx_text,
+    **{ext: partial(zipped_parts, inner=inner) for ext, inner in PARTS.items()},
+}
+
+
+def zipped_text(files: DataFrame, inner: str) -> DataFrame:
+    """S11 over rows of (path, content)."""
+    return file_texts(files, {"zip": partial(zipped_parts, inner=inner)})
 
 
 def rtf(files: DataFrame) -> DataFrame:
-    """Text of RTF without its control words."""
-    raw = F.decode("content", "ISO-8859-1")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\\pard?\b ?", "\n"), r"\\'[0-9a-fA-F]{2}|\\[a-zA-Z]+-?\d* ?|[{}]", ""), r"\n{2,}", "\n")
-    return files.select("path", F.trim(text).alias("text"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    """S11 over rows of (path, content)."""
+    return file_texts(files, {"rtf": rtf_text})
 
 
 def sheets(spark: SparkSession, path: str, out: str) -> DataFrame:
@@ -134,14 +179,15 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 class Registry:
-    """Extractors by extension; models (OCR, speech, embedding, text) are functions that the user injects here."""
+    """Extractors by extension; models (OCR, speech, embedding, text) are functions that the user injects here.
+
+    `read` has readers of one file's bytes, which share one pass over all files; `by_ext` has functions of frames, each with a
+    pass of its own over the files of its kind, and comes first.
+    """
 
     def __init__(self) -> None:
-        self.by_ext: dict[str, Extractor] = {}
-        for ext in ("txt", "md", "csv"):
-            self.by_ext[ext] = as_text
-        self.by_ext |= {"eml": emails, "rtf": rtf} | {ext: (lambda f, p=p: zipped_text(f, p)) for ext, p in PARTS.items()}
-        self.by_ext["html"] = lambda f: as_text(f).select("path", page_text(F.coalesce("text", F.lit("")))["visible"].alias("text"), "status", "error")
+        self.read: dict[str, Callable[[bytes], str]] = dict(READERS)
+        self.by_ext: dict[str, Extractor] = {"pdf": lambda files: pdf(files).select("path", "text", "status", "error")}
 
     def register(self, *exts: str) -> Callable[[Extractor], Extractor]:
         def add(f: Extractor) -> Extractor:
@@ -152,12 +198,16 @@ class Registry:
 
     def extract(self, files: DataFrame) -> DataFrame:
         """Each file by its kind; kinds without an extractor are failures, as rows."""
-        kinds = files.withColumn("kind", detected(F.col("path"), F.col("content")))
-        known = [f(kinds.filter(F.col("kind") == ext)).select("path", "text", "status", "error") for ext, f in self.by_ext.items()]
-        rest = kinds.filter(~F.coalesce(F.col("kind").isin(*self.by_ext), F.lit(False))).select("path", F.lit(None).cast("string").alias("text"), F.lit("failed").alias("status"), F.lit("unsupported type").alias("error"))
-        for part in known:
-            rest = rest.unionByName(part)
-        return rest
+        kind = detected(F.col("path"), F.col("content"))
+        kinds = files.withColumn("kind", kind)
+        own = F.coalesce(F.col("kind").isin(*self.by_ext), F.lit(False)) if self.by_ext else F.lit(False)
+        found = file_texts(kinds.filter(~own), self.read, F.col("kind"))
+        groups: dict[Extractor, list[str]] = {}
+        for ext, f in self.by_ext.items():
+            groups.setdefault(f, []).append(ext)
+        for f, exts in groups.items():
+            found = found.unionByName(f(kinds.filter(F.col("kind").isin(*exts))).select("path", "text", "status", "error"))
+        return found
 
 
 def with_model(rows: DataFrame, name: str, kind: str, model: Callable[[pd.Series], pd.Series], column: str) -> DataFrame:
@@ -166,10 +216,18 @@ def with_model(rows: DataFrame, name: str, kind: str, model: Callable[[pd.Series
 
 
 def structured_call(rows: DataFrame, model: Callable[[pd.Series], pd.Series], prompt: str, parse: Callable[[Column], Column], attempts: int = 3) -> DataFrame:
-    """A model asked again, with a correction, where its answer doesn't parse; at most `attempts` times, as columns."""
-    ask = F.pandas_udf(model, "string")
-    rows = rows.withColumn("answer", ask(prompt)).withColumn("parsed", parse(F.col("answer")))
-    for _ in range(attempts - 1):
-        again = F.when(F.col("parsed").isNull(), ask(F.concat(F.col(prompt), F.lit("\nAnswer with valid JSON only.")))).otherwise(F.col("answer"))
-        rows = rows.withColumn("answer", again).withColumn("parsed", F.coalesce("parsed", parse(F.col("answer"))))
-    return rows
+    """`answer` and `parsed`, the model being asked again, with a correction, for the rows whose answer doesn't parse; at most `attempts` times.
+
+    Each round is kept until the caller's session ends, so that a row is asked no more often than it fails; what a lost
+    executor had kept is asked again.
+    """
+    ask, asked, open_ = F.pandas_udf(model, "string"), prompt, rows
+    done = None
+    for turn in range(attempts):
+        answered = open_.withColumn("answer", ask(asked)).withColumn("parsed", parse(F.col("answer"))).persist(StorageLevel.MEMORY_AND_DISK)
+        part = answered if turn == attempts - 1 else answered.filter("parsed IS NOT NULL")
+        part = part.select(*[F.col(f"`{c}`") for c in rows.columns], "answer", "parsed")
+        done = part if done is None else done.unionByName(part)
+        open_ = answered.filter("parsed IS NULL").drop("answer", "parsed")
+        open_, asked = (open_.withColumn("asked_again", F.concat(F.col(prompt), F.lit("\nAnswer with valid JSON only."))), "asked_again") if asked == prompt else (open_, asked)
+    return done
