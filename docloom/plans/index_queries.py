@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import Vocabulary
 from ..operators import cascade, jobs, retrieve
 from ..operators.vector_index import VectorIndex
+from ..sources import paged
 from ..sources.keyed import KeyedTable
 from ..streaming import limits, reorder, rollup
 from .file_queries import work_folder
@@ -177,3 +178,13 @@ def _(spark, d):
     # no token is empty, and none is left out
     counted = (words.count(F.col("text")) == F.size("tokens")) & (F.size("tokens") <= F.octet_length("text"))
     return rows.select("doc_id", F.md5(words.decoded(F.col("tokens"))).alias("again"), counted.alias("counted"))
+
+
+# ---- paged scan -------------------------------------------------------------------------------------------------------------
+@register("q_paged_scan", "SELECT doc_id, source, n_chars FROM documents UNION ALL SELECT doc_id, source, -n_chars FROM documents WHERE source = 'src3' AND doc_id >= 100")
+def _(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    store = paged.FolderStore.write(rows, f"{work_folder(spark)}/store", "doc_id", "source", 1000)
+    columns = "doc_id long, source string, n_chars long"
+    mine = paged.scan(spark, store, columns, "doc_id", "source", 200, pushdown=True).filter("source = 'src3' AND doc_id >= 100")
+    return paged.scan(spark, store, columns, "doc_id", "source", 200).unionByName(mine.withColumn("n_chars", -F.col("n_chars")))
