@@ -1,17 +1,18 @@
 """Main text of web pages, by boosted trees over DOM nodes and hierarchical decoding.
 
-Every block-level element is a node with features: kind of tag, tokens of its class, id and role, the same of what it lies
+Every block-level element is a node, and so are runs of text that stand in the body itself and inline elements whose tokens
+tell of an advert or a notice. Nodes have features: kind of tag, tokens of its class, id and role, the same of what it lies
 in, depth, text and link density of its subtree, sibling statistics. Boosted trees give each node log-odds of being part
 of the article. The decoding chooses for every node one of three states: around the article, in it, or cut out; going down
 a state may only stay or move on in this order, so that nothing is kept inside what was cut out. The best choice for the
-whole page is found bottom-up.
+whole page is found bottom-up. A page with prose of which nothing would be kept is read from its best subtree instead.
 
 The trees are fitted to pages that are generated here with their right answer (`training_pages`), a bounded set whose
 layouts vary in tags, class names, order and noise; no page of the input teaches anything.
 
 Elements whose content may be part of a sentence or stands for a picture (math, svg, object, canvas, audio, video) are
 read through like any inline element; only raw text that is no text of the page is passed over (scripts, styles, templates,
-the title, text fields). Elements nested deeper than `DEPTH` belong to the one at that depth. Reading a page takes time in
+the title, text fields), and so are the controls of forms; what stands in noscript is text like any other. Elements nested deeper than `DEPTH` belong to the one at that depth. Reading a page takes time in
 proportion to its length, whatever its markup.
 
 Empty cases: null or blank html gives an empty text; markup that never closes is closed where it must end, and a `<` that
@@ -21,6 +22,7 @@ columns other than page_id, url and html are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
 
-TRAINING_PAGES, SEED, DEPTH = 700, 11, 512
+TRAINING_PAGES, ROUNDS, SEED, DEPTH = 1100, 80, 11, 512
+#: Log-odds that it takes to cut a node without telling names out of an article.
+CUT = 1.5
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
@@ -45,10 +49,12 @@ INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del
 #: Fixed values of the MathML and SVG standards: elements within those.
 INLINE |= frozenset("annotation maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics circle clippath defs desc ellipse g line lineargradient mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title".split())
+RAW = frozenset("script style template iframe textarea title".split())
+#: Parts of forms that hold no text of their page wherever they stand; elements that a page without a found article isn't read from.
+CONTROLS, NEVER = frozenset("select option optgroup datalist button".split()), frozenset("nav footer aside header form menu".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
-KINDS = (("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th"), ("article",), ("main",), ("section",), ("div", "center"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "select"), ("figure", "figcaption"), ("body", "html"))
+KINDS = (("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th"), ("article",), ("main",), ("section",), ("div", "center"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "select"), ("figure", "figcaption"), ("body", "html"), ("#text",), ("#inline",), ("noscript",))
 #: Parts of class, id and role tokens, by what they usually mark.
 TOKENS = (
     ("ad", "ads", "advert", "advertisement", "adbox", "sponsor", "sponsored", "promo", "promoted", "banner", "adslot"),
@@ -62,6 +68,10 @@ TOKENS = (
     ("content", "article", "post", "entry", "story", "main", "text", "body", "page", "articlebody", "hentry", "blog"),
     ("search", "login", "signup", "form", "contact"),
 )
+#: Groups whose tokens make an inline element a node: adverts, notices.
+TELLING = 1 << 0 | 1 << 6
+#: Groups that mark what isn't an article, and those that mark content.
+PUSHED, CONTENT = 0b1011111111, 1 << 8
 TOKEN_KIND = {t: k for k, group in enumerate(TOKENS) for t in group}
 FEATURES = 2 * len(KINDS) + 2 * len(TOKENS) + 20
 END = re.compile(r"[.!?](?:\s|$)")
@@ -107,42 +117,70 @@ class Tags:
 
 
 class Page:
-    """Nodes of a page: tag, tokens, parent, and its blocks of text in order."""
+    """Nodes of a page: tag, tokens, parent; and its blocks of text in order, each as pieces of (node, text).
+
+    Text that stands in the root or the body itself is a node of its own for each block, and so is an inline element whose
+    tokens tell of an advert or a notice.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.kinds, self.parent, self.hidden = ["html"], [0], [-1], [False]
         self.block_node: list[int] = []
-        self.block: list[str] = []
+        self.block: list[list[tuple[int, str]]] = []
         self.block_link: list[int] = []
-        self._parts: list[str] = []
+        self._parts: list[tuple[int, str]] = []
         self._links = 0
+        self._inline: list[tuple[str, int, int]] = []  # open inline nodes: tag, depth of the stack, node
         self._parse(source)
 
+    def _node(self, tag: str, kinds: int, parent: int, hidden: bool = False) -> int:
+        self.tag.append(tag)
+        self.kinds.append(kinds)
+        self.parent.append(parent)
+        self.hidden.append(hidden)
+        return len(self.tag) - 1
+
     def _flush(self, node: int) -> None:
         if self._parts:
-            text = " ".join("".join(self._parts).split())
-            if text:
-                self.block_node.append(node)
-                self.block.append(text)
-                self.block_link.append(min(self._links, len(text)))
+            size = sum(len(" ".join(x.split())) for _, x in self._parts)
+            if size:
+                own = self._node("#text", 0, node) if self.tag[node] in ("html", "body") else node
+                self.block_node.append(own)
+                self.block.append([(own if at == node else at, x) for at, x in self._parts])
+                self.block_link.append(min(self._links, size))
             self._parts, self._links = [], 0
 
-    def _open(self, name: str, attributes: str, stack: list[int]) -> None:
+    @staticmethod
+    def _about(attributes: str) -> tuple[int, bool]:
+        """Groups of the tokens, and whether the element is hidden."""
         kinds, hidden = 0, False
-        if attributes:
-            for m in ATTRIBUTE.finditer(attributes):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                    hidden = True
-                elif key in ("class", "id", "role"):
-                    for t in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
-                        if t in TOKEN_KIND:
-                            kinds |= 1 << TOKEN_KIND[t]
-        self.tag.append(name)
-        self.kinds.append(kinds)
-        self.parent.append(stack[-1])
-        self.hidden.append(hidden)
-        stack.append(len(self.tag) - 1)
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
+                hidden = True
+            elif key in ("class", "id", "role"):
+                for t in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
+                    if t in TOKEN_KIND:
+                        kinds |= 1 << TOKEN_KIND[t]
+        return kinds, hidden
+
+    def _open(self, name: str, attributes: str, stack: list[int]) -> None:
+        kinds, hidden = self._about(attributes) if attributes else (0, False)
+        stack.append(self._node(name, kinds, self._inline[-1][2] if self._inline else stack[-1], hidden))
+
+    def _open_inline(self, name: str, attributes: str, stack: list[int]) -> None:
+        kinds, hidden = self._about(attributes)
+        if kinds & TELLING and len(self._inline) < DEPTH:
+            self._inline.append((name, len(stack), self._node("#inline", kinds, self._inline[-1][2] if self._inline else stack[-1], hidden)))
+
+    def _close_inline(self, name: str | None, depth: int) -> None:
+        """The inline nodes down to one of the name; without a name those that were opened below the depth."""
+        if name is None:
+            while self._inline and self._inline[-1][1] > depth:
+                self._inline.pop()
+        elif any(n == name and d == depth for n, d, _ in self._inline):
+            while self._inline.pop()[0] != name:
+                pass
 
     def _parse(self, source: str) -> None:
         stack, at, link, end = [0], 0, 0, len(source)
@@ -152,7 +190,7 @@ class Page:
         def text(piece: str) -> None:
             if piece:
                 piece = html.unescape(piece)
-                self._parts.append(piece)
+                self._parts.append((self._inline[-1][2] if self._inline else stack[-1], piece))
                 if link:
                     self._links += len(piece)
 
@@ -193,6 +231,10 @@ class Page:
                         endless.add(name)
                 continue
             if name in INLINE:
+                if closing:
+                    self._close_inline(name, len(stack))
+                elif attributes:
+                    self._open_inline(name, attributes, stack)
                 link = link + 1 if name == "a" and not closing else max(0, link - 1) if name == "a" else link
                 continue
             if name in VOID or name == "br":
@@ -201,6 +243,7 @@ class Page:
             if closing:
                 self._flush(stack[-1])
                 close({name}, {"td", "th"} if name not in ("table", "tr", "tbody", "thead", "td", "th", "body", "html") else set())
+                self._close_inline(None, len(stack))
                 link = 0
                 continue
             self._flush(stack[-1])
@@ -211,6 +254,7 @@ class Page:
                 close({"p"}, CLOSES_P - {"p"} | {"li", "td", "th", "body"})
             if name in ENDS_SAME:
                 close(ENDS_SAME[name], {"ul", "ol", "dl", "table", "select"} - ENDS_SAME[name])
+            self._close_inline(None, len(stack))
             if len(stack) < DEPTH:
                 self._open(name, attributes, stack)
                 nested[name] += 1
@@ -219,8 +263,13 @@ class Page:
     def features(self) -> np.ndarray:
         n = len(self.tag)
         own = np.zeros((n, 6))  # characters, links' characters, blocks, sentence ends, long blocks, commas
-        for node, text, link in zip(self.block_node, self.block, self.block_link, strict=True):
-            own[node] += (len(text), link, 1, len(END.findall(text)), len(text) > 80, text.count(","))
+        for node, pieces, link in zip(self.block_node, self.block, self.block_link, strict=True):
+            texts: dict[int, list[str]] = {node: []}
+            for at, x in pieces:
+                texts.setdefault(at, []).append(x)
+            for at, x in texts.items():
+                text = " ".join("".join(x).split())
+                own[at] += (len(text), link * (at == node), at == node, len(END.findall(text)), len(text) > 80, text.count(","))
         parent = np.array(self.parent)
         total, count = own.copy(), np.ones(n)
         paragraphs = np.array([t == "p" for t in self.tag], dtype=float)
@@ -280,16 +329,20 @@ class Page:
         )
         return np.hstack([tag[:, : len(KINDS)], up_tag[:, : len(KINDS)], token, up_token, extra])
 
-    def decode(self, odds: np.ndarray) -> list[bool]:
-        """Which nodes are in the article: states 0 around, 1 in, 2 cut out, that never go back on the way down."""
+    def decode(self, odds: np.ndarray, cut: float = 0.0) -> list[bool]:
+        """Which nodes are in the article: states 0 around, 1 in, 2 cut out, that never go back on the way down.
+
+        The best sum of odds, where a node without telling names is cut out of an article only for a gain of over `cut`.
+        """
         n = len(self.tag)
+        odds = np.where([t in CONTROLS for t in self.tag], -1e6, odds)
         own = np.stack([np.zeros(n), odds, np.zeros(n)], axis=1)
         best = own.copy()
         choice = np.zeros((n, 3), np.int64)
         for i in range(n - 1, 0, -1):
             options = best[i]
             c2 = 2
-            c1 = 1 if options[1] >= options[2] else 2
+            c1 = 1 if options[1] >= options[2] - cut * (not self.kinds[i] and self.tag[i] not in NEVER) else 2
             c0 = max((0, 1, 2), key=lambda s: (options[s], s == 0)) if options[0] < max(options[1], options[2]) else 0
             choice[i] = (c0, c1, c2)
             best[self.parent[i]] += (options[c0], options[c1], options[c2])
@@ -298,6 +351,36 @@ class Page:
             state[i] = choice[i, state[self.parent[i]]]
         return (state == 1).tolist()
 
+    def kept(self, odds: np.ndarray) -> list[bool]:
+        """decode's choice; if no text comes of it, the page is read from the node that is most like an article."""
+        keep = self.decode(odds, CUT)
+        if any(keep[at] and x.strip() for pieces in self.block for at, x in pieces) or (found := self.likeliest(odds)) is None:
+            return keep
+        top, out = found
+        keep = [False] * len(self.tag)
+        keep[top] = True
+        for i in range(top + 1, len(self.tag)):
+            keep[i] = keep[self.parent[i]] and not out[i]
+        return keep
+
+    def likeliest(self, odds: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """The node most like an article, and what is left out of it: one with prose (a sentence's end, few links), or all of a page without elements; None if there is none."""
+        n, bare = len(self.tag), set(self.tag) <= {"html", "#text"}
+        chars, links, ends, out = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+        for node, pieces, link in zip(self.block_node, self.block, self.block_link, strict=True):
+            text = " ".join("".join(x for _, x in pieces).split())
+            chars[node], links[node], ends[node] = chars[node] + len(text), links[node] + link, ends[node] + len(END.findall(text)) + (len(text) > 200 or bare)
+        for i in range(1, n):
+            out[i] = out[self.parent[i]] or (self.tag[i] in NEVER and self.tag[i] != "form") or self.tag[i] in CONTROLS or bool(self.kinds[i] & PUSHED and not self.kinds[i] & CONTENT)
+        for i in range(n - 1, 0, -1):
+            if not out[i]:
+                for x in (chars, links, ends):
+                    x[self.parent[i]] += x[i]
+        fit = ~out & (ends > 0) & (links < 0.5 * (chars + 1))
+        fit[0] = bare
+        value = np.where(fit, np.log1p(chars) * 4 + np.clip(odds, -8, 8), -np.inf)
+        return (int(value.argmax()), out) if fit.any() else None
+
 
 KIND_OF = {t: k for k, group in enumerate(KINDS) for t in group}
 
@@ -378,8 +461,13 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[str]:
                 pieces.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>")
             elif r < 0.95:
                 pieces.append(f"<pre>{words(3, 20)}</pre>")
-            else:
+            elif r < 0.97:
                 pieces.append(f'<p>{prose(1, 3)} <a href="/x">{words(1, 4)}</a> {prose(1, 2)}</p>')
+            elif r < 0.985:  # an advert or a choice in a sentence; words of a class that are the sentence's own
+                inside = rng.choice((f'<span class="{rng.choice(("ad", "sponsored", "promo text", "advert"))}" data-keep="0">{words(2, 9)}</span>', f'<span class="{rng.choice(("message", "notice-board", "alert-level"))}" data-keep="1">{words(1, 3)}</span>', f'<select data-keep="0"><option>{word()}<option>{word()}</select>'))
+                pieces.append(f"<p>{prose(1, 3)} {inside} {prose(1, 3)}</p>")
+            else:
+                pieces.append(f"<noscript><p>{prose(1, 3)}</p></noscript>")
         if not any("<p" in x for x in pieces):
             pieces.append(f"<p>{prose(1, 5)}</p>")
         for make, share in ((advert, 0.2), (notice, 0.07), (sidebar, 0.1), (form, 0.07), (menu, 0.1)):
@@ -393,16 +481,42 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[str]:
             pieces.append(out(f"<footer>{words(2, 9)}</footer>"))
         return pieces
 
+    def bare() -> str:
+        """An article without paragraphs of its own, or with one: lines between breaks, preformatted or running text."""
+        lines = [prose(1, 5) for _ in range(rng.choice((1, 2, 4, 9, 20)))]
+        return rng.choice((rng.choice(("<br>", "<br><br>", "<br/>\n<br/>")).join(lines), f"<pre>{chr(10).join(lines)}</pre>", f"<p>{lines[0]}</p>", f"<h1>{words(1, 7)}</h1>{'<br>'.join(lines)}", f"<p>{lines[0]}</p>{'<br>'.join(lines[1:])}", "".join(f"<div>{x}</div>" for x in lines)))
+
+    def stray() -> str:
+        """Names of a container that say little of what it holds."""
+        own = ("comment-free", "main", "header", "post-header", "no-sidebar", "with-ads", "has-menu", "nav-open", "footer-dark", "story", "content", "share-on", "wrap", "page", "meta-left", "more")
+        return f' class="{" ".join(rng.sample(own, rng.randrange(1, 4)))}"'
+
+    names = (("article", ""), ("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="content"'), ("div", ' class="entry-content"'), ("div", ' class="article-body"'), ("section", ' class="story"'), ("div", ' class="post"'))
     for _ in range(n):
-        tag, name = rng.choice((("article", ""), ("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="content"'), ("div", ' class="entry-content"'), ("div", ' class="article-body"'), ("section", ' class="story"'), ("div", ' class="post"')))
-        article = f'<{tag}{name} data-keep="1">' + "".join(body()) + f"</{tag}>"
-        if tag != "main" and rng.random() < 0.3:
-            article = f"<main{rng.choice(('', ' id=main'))}>{article}{rng.choice(('', '', comments(), sidebar()))}</main>"
+        kind = rng.random()
+        if kind < 0.03:  # text without any markup
+            yield "\n\n".join(prose(1, 6) for _ in range(rng.choice((1, 2, 5))))
+            continue
+        inner = bare() if rng.random() < 0.2 else "".join(body())
         before = [f() for f, share in ((head, 0.5), (menu, 0.7), (notice, 0.25), (advert, 0.4), (sidebar, 0.2), (form, 0.15)) if rng.random() < share]
         after = [f() for f, share in ((advert, 0.2), (comments, 0.35), (sidebar, 0.3), (form, 0.15), (menu, 0.15), (notice, 0.1), (foot, 0.8)) if rng.random() < share]
         rng.shuffle(before)
+        if rng.random() < 0.1:
+            before.append(f"<noscript>{prose(1, 2)}</noscript>")
         if rng.random() < 0.08:  # nothing but the article
             before, after = [], []
+        if kind < 0.06:  # no article at all
+            yield f'<html><body data-keep="0">{"".join([*before, *after]) or menu()}</body></html>'
+            continue
+        if kind < 0.2:  # the article stands in the body itself
+            yield f'<html><head><title>{words(1, 8)}</title></head><body data-keep="1">{"".join([*map(out, before), inner, *map(out, after)])}</body></html>'
+            continue
+        tag, name = rng.choice(names) if kind < 0.8 else ("div", "") if kind < 0.86 else ("div", stray()) if kind < 0.97 else ("td", "")
+        article = f'<{tag}{name} data-keep="1">{inner}</{tag}>'
+        if tag == "td":
+            article = f"<table><tr><td>{menu()}</td>{article}</tr></table>"
+        elif tag != "main" and rng.random() < 0.3:
+            article = f"<main{rng.choice(('', ' id=main'))}>{article}{rng.choice(('', '', comments(), sidebar()))}</main>"
         middle = "".join([*before, article, *after])
         if rng.random() < 0.3:
             middle = f"<div{rng.choice(('', ' id=page', ' class=wrapper', ' class=container'))}>{middle}</div>"
@@ -413,19 +527,33 @@ KEEP = re.compile(r'\bdata-keep="([01])"')
 
 
 class Marked(Page):
-    """A training page that remembers which nodes are part of the article."""
+    """A training page that remembers which nodes are part of the article; all are, if nothing is marked."""
+
+    def __init__(self, source: str) -> None:
+        self.keep = ["data-keep" not in source]
+        self._mark = None
+        super().__init__(source)
+
+    def _node(self, tag: str, kinds: int, parent: int, hidden: bool = False) -> int:
+        self.keep.append(self._mark[1] == "1" if self._mark else self.keep[parent])
+        self._mark = None
+        return super()._node(tag, kinds, parent, hidden)
 
     def _open(self, name: str, attributes: str, stack: list[int]) -> None:
+        self._mark = KEEP.search(attributes)
         super()._open(name, attributes, stack)
-        if len(self.tag) == 2:
-            self.keep = [False]
-        mark = KEEP.search(attributes)
-        self.keep.append(mark[1] == "1" if mark else self.keep[self.parent[-1]])
+
+    def _open_inline(self, name: str, attributes: str, stack: list[int]) -> None:
+        self._mark = KEEP.search(attributes)
+        super()._open_inline(name, attributes, stack)
+        self._mark = None
 
 
+@functools.lru_cache(maxsize=4)
 def learn(pages: int = TRAINING_PAGES, seed: int = SEED) -> Boosted:
+    """Fitted once in a session for each number of pages and seed."""
     found = [Marked(x) for x in training_pages(pages, seed)]
-    return boost(np.vstack([p.features() for p in found]), np.concatenate([np.array(p.keep, dtype=float) for p in found]))
+    return boost(np.vstack([p.features() for p in found]), np.concatenate([np.array(p.keep, dtype=float) for p in found]), rounds=ROUNDS)
 
 
 def main_texts(sources: list[str | None], model: Boosted) -> list[str]:
@@ -436,8 +564,9 @@ def main_texts(sources: list[str | None], model: Boosted) -> list[str]:
     odds = np.split(model.raw(np.vstack([p.features() for p in pages])), sizes[:-1])
     out = []
     for p, o in zip(pages, odds, strict=True):
-        keep = p.decode(o)
-        out.append(" ".join(t for t, node in zip(p.block, p.block_node, strict=True) if keep[node]))
+        keep = p.kept(o)
+        texts = (" ".join("".join(x for at, x in pieces if keep[at]).split()) for pieces in p.block)
+        out.append(" ".join(t for t in texts if t))
     return out
 
 
