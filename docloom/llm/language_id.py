@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of lower-cased 1- to 3-grams come from a sample of about `per_language` documents of each language (those with the
-least 64-bit hashes of doc_id); the matrix of log probabilities has a fixed number of columns and is broadcast. At most
-`most_languages` values of lang are learned, those with most documents, so that a column full of misspelt codes can
-neither fill the driver nor the broadcast. Scoring gathers and sums the matrix in numpy over whole texts.
+least 64-bit hashes of doc_id); the matrix of log probabilities has a fixed number of columns and is broadcast. Every value
+of lang is learned; if their matrix would be over MATRIX_BYTES (1,024 languages), learning stops with an error before
+anything is gathered, and `most_languages` must say how many, those with most documents, are meant. Scoring gathers and sums
+the matrix in numpy over whole texts.
 
 Empty cases: a null text, or one without a letter, is `und` with score 0, and so is every text when nothing can be learned;
 documents with null lang or text teach nothing; equal likelihoods go to the language first by code point; rows that repeat
@@ -13,18 +14,18 @@ columns named lang_pred or score are replaced, all others stay.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import U, mix
 
-ORDERS, BUCKETS, PER_LANGUAGE, MOST_LANGUAGES, SMOOTHING, PORTION = (1, 2, 3), 1 << 16, 4_000, 200, 0.5, 500_000
-LETTER = re.compile(r"[^\W\d_]")
+ORDERS, BUCKETS, PER_LANGUAGE, MATRIX_BYTES, SMOOTHING, PORTION = (1, 2, 3), 1 << 16, 4_000, 1 << 29, 0.5, 500_000
+LETTER = regex.compile(r"\p{L}")
 
 
 def portions(texts: list[str]) -> Iterator[list[str]]:
@@ -55,10 +56,14 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (mix(value[inside], n) % U(BUCKETS)).astype(np.int64), doc[: len(value)][inside]
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int | None = None) -> tuple[list[str], np.ndarray]:
     """The languages and their log probabilities (languages x BUCKETS) from (doc_id, text, lang)."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    sizes = usable.groupBy("lang").count()
+    if most_languages is not None:
+        sizes = sizes.orderBy(F.desc("count"), "lang").limit(most_languages)
+    if (n := sizes.count()) * BUCKETS * 8 > MATRIX_BYTES:
+        raise ValueError(f"{n} values of lang are too many for one matrix; say how many are meant by most_languages")
     # a language's documents with the least hashes: a bound on the hash, never none of them, however many there are
     bound = F.when(F.col("count") <= per_language, F.lit((1 << 63) - 1)).otherwise((F.lit(float(per_language)) / F.col("count") * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
     bounds = sizes.select("lang", bound.alias("bound"))
@@ -77,7 +82,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages:
     # coalesce: without doc_id, by text
     hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
     sample = usable.join(F.broadcast(bounds), "lang").filter(hashed <= F.col("bound")).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # most_languages x BUCKETS rows at most
+    counts = sample.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # what the sample holds, MATRIX_BYTES / 8 rows at most
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     table[np.searchsorted(langs, counts["lang"]), counts["feature"]] += counts["n"]
@@ -86,30 +91,28 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages:
 
 def identify(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
     """docs with lang_pred and score (the posterior of an even prior)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((langs, np.ascontiguousarray(log_p)))
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(log_p)))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(column: pa.Array) -> pa.Array:
         names, table = model.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pred, score = [], []
-            for some in portions([t or "" for t in texts]):
-                total = np.zeros((len(some), len(names)))
-                for feature, doc in grams(some):
-                    for k in range(len(names)):
-                        total[:, k] += np.bincount(doc, weights=table[k][feature], minlength=len(some))
-                if not names:
-                    pred, score = pred + ["und"] * len(some), score + [0.0] * len(some)
-                    continue
-                best = total.argmax(axis=1)
-                sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                for text, b, s in zip(some, best.tolist(), sure.tolist(), strict=True):
-                    letter = LETTER.search(text)
-                    pred.append(names[b] if letter else "und")
-                    score.append(s if letter else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(each, f"{fields}, lang_pred string, score double")
+        pred, score = [], []
+        for some in portions([t or "" for t in column.to_pylist()]):
+            total = np.zeros((len(some), len(names)))
+            for feature, doc in grams(some):
+                for k in range(len(names)):
+                    total[:, k] += np.bincount(doc, weights=table[k][feature], minlength=len(some))
+            if not names:
+                pred, score = pred + ["und"] * len(some), score + [0.0] * len(some)
+                continue
+            best = total.argmax(axis=1)
+            sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for text, b, s in zip(some, best.tolist(), sure.tolist(), strict=True):
+                letter = LETTER.search(text)
+                pred.append(names[b] if letter else "und")
+                score.append(s if letter else 0.0)
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    found = docs.select(*[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept)], predict(F.col("text").cast("string")).alias("found"))
+    return found.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept)], "found.lang_pred", "found.score")
