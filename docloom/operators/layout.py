@@ -66,13 +66,14 @@ def text_lines(detections: DataFrame, by: str = "page", least: float = LEAST_CON
 
 def line_paragraphs(lines: DataFrame, by: str = "page") -> DataFrame:
     """Lines with a flag for a new paragraph (the step down is over 1.5 times the upper median height) and headings marked."""
-    page, order = Window.partitionBy(by), Window.partitionBy(by).orderBy("line")
-    heights = F.sort_array(F.collect_list(F.col("bottom") - F.col("top")).over(page))
-    median = F.get(heights, F.floor(F.size(heights) / 2).cast("int"))
+    order, height = Window.partitionBy(by).orderBy("line"), F.col("bottom") - F.col("top")
+    # one sorted array a page, of which one number goes to its lines
+    medians = lines.groupBy(F.col(by).alias("median_of")).agg(F.get(F.sort_array(F.collect_list(height)), F.floor(F.count(height) / 2).cast("int")).alias("median"))
+    lines, median = lines.join(medians, F.col(by).eqNullSafe(F.col("median_of"))).drop("median_of"), F.col("median")
     capitals, all_letters = F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")), F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     words = F.regexp_count("text", F.lit(r"\S+"))
     heading = words.between(1, 7) & (F.length("text") < 80) & (all_letters > 0) & (capitals > all_letters * 0.7)
-    return lines.withColumns({"new_paragraph": F.coalesce(F.col("top") - F.lag("top").over(order) > 1.5 * median, F.lit(False)), "markdown": F.when(heading, F.concat(F.lit("### "), F.col("text"))).otherwise(F.col("text"))})
+    return lines.withColumns({"new_paragraph": F.coalesce(F.col("top") - F.lag("top").over(order) > 1.5 * median, F.lit(False)), "markdown": F.when(heading, F.concat(F.lit("### "), F.col("text"))).otherwise(F.col("text"))}).drop("median")
 
 
 def clean_lines(docs: DataFrame, by: str) -> DataFrame:

@@ -60,23 +60,41 @@ def describe(rows: DataFrame) -> DataFrame:
     return out
 
 
+def sliced(counts: DataFrame, by: list[str], v: Column, slices: int, slot: str) -> DataFrame:
+    """counts with the slice of each row's v between the least and greatest of its group, a row of `by`."""
+    ends = counts.groupBy(*by).agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    share = (v - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * slices
+    return counts.join(F.broadcast(ends), by).withColumn(slot, F.least(F.floor(share), F.lit(slices - 1)).cast("int")).drop("low", "high")
+
+
 def ranked_quartiles(counts: DataFrame, slices: int = 1024) -> DataFrame:
     """column, stat, value: exact quartiles, between ranks in proportion, of (column, v, times).
 
-    Values fall into slices between each column's least and greatest; only the slices are summed over a column, and only the
-    slices that hold a wanted rank are ordered value by value.
+    Values fall into slices of equal width on a logarithmic scale, so that single far values, infinite ones too, don't push all
+    others into one slice; slices that hold a wanted rank are cut again, evenly between their own ends. Only sums of slices go
+    over a column, and only the small slices that hold a wanted rank are ordered value by value.
     """
-    ends = counts.groupBy("column").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("times").alias("n"))
-    slot = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * slices), F.lit(slices - 1)).cast("int")
-    dealt = counts.join(F.broadcast(ends), "column").withColumn("slot", slot)  # a row for each column
-    sums = dealt.groupBy("column", "slot", "n").agg(F.sum("times").alias("held"))
-    upto = F.sum("held").over(Window.partitionBy("column").orderBy("slot"))  # `slices` rows
-    asked = F.explode(F.array(*[F.struct(F.lit(f"{int(q * 100)}%").alias("stat"), F.lit(q).alias("q"), F.lit(up).alias("up")) for q in QUARTERS for up in (0, 1)]))
-    rank = lambda: F.least(F.floor(F.col("a.q") * (F.col("n") - 1)) + F.col("a.up"), F.col("n") - 1)
-    sums = sums.withColumn("upto", upto).withColumn("a", asked).withColumn("rank", rank()).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("held")))
-    place = F.sum("times").over(Window.partitionBy("column", "slot", "stat", "up").orderBy("v"))
-    found = dealt.select("column", "slot", "v", "times").join(F.broadcast(sums.select("column", "slot", "n", "rank", F.col("upto") - F.col("held"), "a.*").toDF("column", "slot", "n", "rank", "before", "stat", "q", "up")), ["column", "slot"])
-    found = found.withColumn("end", F.col("before") + place).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("times")))
+    flat = F.signum("v") * F.least(F.log1p(F.abs("v")), F.lit(1000.0))
+    n = counts.groupBy("column").agg(F.sum("times").alias("n"))  # a row for each column
+    rank = F.explode(F.array(*[F.struct(F.lit(f"{int(q * 100)}%").alias("stat"), F.lit(q).alias("q"), F.lit(up).alias("up")) for q in QUARTERS for up in (0, 1)]))
+    wanted = n.withColumn("a", rank).select("column", "n", "a.*").withColumn("rank", F.least(F.floor(F.col("q") * (F.col("n") - 1)) + F.col("up"), F.col("n") - 1))
+
+    def holding(dealt: DataFrame, asked: DataFrame, slot: str, inside: list[str]) -> DataFrame:
+        """The wanted ranks with the slice that holds each; rank counts from the slice on."""
+        sums = dealt.groupBy("column", *inside, slot).agg(F.sum("times").alias("held"))
+        upto = F.sum("held").over(Window.partitionBy("column", *inside).orderBy(slot))  # `slices` rows
+        sums = sums.withColumn("before", upto - F.col("held"))
+        found = sums.join(F.broadcast(asked), ["column", *inside]).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("held")))
+        return found.withColumn("rank", F.col("rank") - F.col("before")).drop("before", "held")
+
+    dealt = sliced(counts, ["column"], flat, slices, "slot")
+    coarse = holding(dealt, wanted, "slot", [])
+    within = dealt.join(F.broadcast(coarse.select("column", "slot").distinct()), ["column", "slot"], "left_semi")
+    within = sliced(within, ["column", "slot"], flat, slices, "fine")
+    fine = holding(within, coarse, "fine", ["slot"])
+    found = within.join(F.broadcast(fine), ["column", "slot", "fine"])
+    place = F.sum("times").over(Window.partitionBy("column", "slot", "fine", "stat", "up").orderBy("v"))
+    found = found.withColumn("end", place).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("times")))
     both = found.groupBy("column", "stat", "q", "n").agg(F.min_by("v", "up").alias("a"), F.max_by("v", "up").alias("b"))
     part = F.col("q") * (F.col("n") - 1) - F.floor(F.col("q") * (F.col("n") - 1))
     return both.select("column", "stat", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part).cast("string").alias("value"))

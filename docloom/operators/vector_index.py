@@ -16,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import dot
+from .matrices import best, matrix, places
 
 #: Rows of the sample and of a part, most lists, queries of a block, and products held at once.
 SAMPLE, PART_ROWS, MOST_LISTS, BLOCK_QUERIES, HELD = 100_000, 50_000, 16_384, 50_000, 4_000_000
@@ -36,28 +36,6 @@ def unit(c: Column) -> Column:
     return F.when(sound, F.transform(wide, lambda x: x / length))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one width as rows."""
-    chunks = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
-    return np.concatenate(chunks).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def places(column: pa.ChunkedArray) -> np.ndarray:
-    """The place of each value among the sorted ones."""
-    order = pc.sort_indices(column).to_numpy()
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order))
-    return out
-
-
-def best(products: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of products the places of its k greatest, greatest first, equal ones by key."""
-    least = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] > k else np.full(len(products), -np.inf)
-    for i, row in enumerate(products):
-        at = np.flatnonzero(row >= least[i])
-        yield i, at[np.lexsort((keys[at], -row[at]))[:k]]
-
-
 def ddl(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 

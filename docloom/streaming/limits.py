@@ -39,14 +39,14 @@ def _prepared(requests: DataFrame, *more: str) -> DataFrame:
 def limited(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """ST01, ST02 in batch: (key, kind, request_id, ts) with the decision on each request.
 
-    A log is empty after a pause of a whole window, so a key's requests are cut there, and no run knows of another. Spark
-    sorts each task's runs by time, and the task reads them batch by batch; it keeps one log, of `limit` times at most.
-    Pauses are found by Spark's spilling window, so a key with very many requests costs time but no memory.
+    A log is empty after a pause of a whole window, so a key's requests are cut there, and no run knows of another: runs are
+    dealt to tasks, however many one key has. Spark sorts each task's runs by time, and the task reads them batch by batch; it
+    keeps one log, of `limit` times at most. Pauses are found by Spark's spilling window over a key.
     """
     order = Window.partitionBy("key", "kind").orderBy("at", "request_id")
     rows = _prepared(requests).withColumn("pause", (F.col("at") - F.lag("at").over(order) >= WINDOW_US).cast("long"))
     rows = rows.withColumn("run", F.coalesce(F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    dealt = rows.drop("pause").sortWithinPartitions("key", "kind", "at", "request_id")  # the window has dealt them by key already
+    dealt = rows.drop("pause").repartition("key", "kind", "run").sortWithinPartitions("key", "kind", "run", "at", "request_id")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, now = Log(0), None

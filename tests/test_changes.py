@@ -173,3 +173,37 @@ def test_limiter_forgets_quiet_keys(spark, tmp_path, state_store):
     progress = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) >= 7
     assert spark.read.format("statestore").option("stateVarName", "log").load(f"{tmp_path}/limited").count() <= 1
+
+
+def test_quartiles_of_heavy_tails(spark):
+    import numpy as np
+
+    from docloom.operators import profile
+
+    rng = np.random.default_rng(1)
+    columns = {
+        "tail": [*rng.normal(size=3000), 1e300, -1e200],
+        "infinite": [*rng.normal(size=3000), float("inf"), float("-inf")],
+        "cluster": [*(1e6 + rng.normal(size=3000) / 1000), 1e12, 0.0],
+        "same": [7.0] * 3002,
+        "two": [0.0, 1.0] * 1501,
+    }
+    rows = spark.createDataFrame([tuple(float(x) for x in r) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns))
+    got = {(r["column"], r["stat"]): float(r["value"]) for r in profile.describe(rows).filter("stat LIKE '%\\%'").collect()}
+    for c, values in columns.items():
+        for q in (25, 50, 75):
+            assert got[c, f"{q}%"] == pytest.approx(float(np.quantile(values, q / 100)), rel=1e-12), (c, q)
+
+
+def test_one_keys_runs_are_dealt(spark):
+    from docloom.streaming.limits import limited
+
+    rows = [("only", "chat", i, 100_000 * (i // 5) + i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "key string, kind string, request_id long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = limited(frame)
+        parts = found.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 1 and found.filter("NOT allowed").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
