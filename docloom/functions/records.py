@@ -269,3 +269,32 @@ def distinct_tools(steps: Column, used: Column) -> Column:
 def suggestions(found: Column, most: int = 5) -> Column:
     """The first different suggestions, stripped, without empty ones."""
     return F.slice(F.array_distinct(F.filter(F.transform(found, stripped), lambda x: F.coalesce(x, F.lit("")) != "")), 1, most)
+
+
+# Voices of host and guest by language.
+VOICES = {
+    "en": ("en-US-GuyNeural", "en-US-JennyNeural"),
+    "hi": ("hi-IN-MadhurNeural", "hi-IN-SwaraNeural"),
+    "gu": ("gu-IN-NiranjanNeural", "gu-IN-DhwaniNeural"),
+    "es": ("es-ES-AlvaroNeural", "es-ES-ElviraNeural"),
+    "ar": ("ar-SA-HamedNeural", "ar-SA-ZariyahNeural"),
+    "fr": ("fr-FR-HenriNeural", "fr-FR-DeniseNeural"),
+    "de": ("de-DE-ConradNeural", "de-DE-KatjaNeural"),
+    "ja": ("ja-JP-KeitaNeural", "ja-JP-NanamiNeural"),
+    "zh": ("zh-CN-YunxiNeural", "zh-CN-XiaoxiaoNeural"),
+    "pt": ("pt-BR-AntonioNeural", "pt-BR-FranciscaNeural"),
+}
+# Names of the languages.
+LANGUAGES = {"en": "English", "hi": "Hindi", "gu": "Gujarati", "es": "Spanish", "ar": "Arabic", "fr": "French", "de": "German", "ja": "Japanese", "zh": "Chinese", "pt": "Portuguese"}
+
+
+def voice(language: Column, speaker: Column) -> Column:
+    """The voice of a language's host, or of its guest for any other speaker; unknown languages speak English."""
+    host, guest = ({k: v[i] for k, v in VOICES.items()} for i in (0, 1))
+    spoken = F.when(language.isin(*VOICES), language).otherwise("en")
+    return F.when(F.lower(speaker) == "host", lookup(spoken, host)).otherwise(lookup(spoken, guest))
+
+
+def language_name(language: Column) -> Column:
+    """A language's name; unknown ones keep their code."""
+    return F.coalesce(lookup(language, LANGUAGES), language)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TARGET, LIMIT, OVERLAP, LEAST_CHARS, LEAST_ALPHA = 2000, 3200, 600, 100, 0.10
 SENTENCE_GAP = r"""(?U)(?<=[.!?])\s+(?=[A-Z"'])"""
@@ -21,10 +22,35 @@ def is_filled(c: Column) -> Column:
 
 
 def without_nulls(c: Column) -> Column:
-    """NUL characters removed; for arrays and maps use `transform` with it."""
+    """NUL characters removed."""
     return F.translate(c, "\u0000", "")
 
 
+def without_nulls_in(c: Column, kind: T.DataType) -> Column:
+    """NUL characters removed from every string in a value of any nesting: arrays, maps (their values) and structs."""
+    if isinstance(kind, T.StringType):
+        return without_nulls(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: without_nulls_in(x, kind.elementType)) if holds_text(kind) else c
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: without_nulls_in(x, kind.valueType)) if holds_text(kind.valueType) else c
+    if isinstance(kind, T.StructType) and holds_text(kind):
+        return F.when(c.isNotNull(), F.struct(*[without_nulls_in(c.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_text(f.dataType) for f in kind)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+    return isinstance(kind, T.StringType) or (inner is not None and holds_text(inner))
+
+
+def nul_free(rows: DataFrame) -> DataFrame:
+    """a frame without NUL characters, whatever its columns hold."""
+    return rows.select(*[without_nulls_in(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema])
+
+
 def letters(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
 

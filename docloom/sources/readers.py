@@ -23,6 +23,7 @@ from .kinds import detected
 from .ooxml import docx_text, pptx_text
 from .pdf import pdf
 from .rtf import rtf_text
+from .sheets import workbook_texts
 
 RESULT = "path string, text string, status string, error string"
 
@@ -146,16 +147,6 @@ def rtf(files: DataFrame) -> DataFrame:
     return file_texts(files, {"rtf": rtf_text})
 
 
-def sheets(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Every sheet of a workbook as a Parquet side-car under `out`; one row for each. Needs pandas' engine for the format."""
-    rows = []
-    for name, frame in pd.read_excel(path, sheet_name=None).items():  # a workbook has a bounded number of rows
-        table = spark.createDataFrame(frame.astype(str) if frame.empty else frame)
-        table.write.mode("overwrite").parquet(f"{out}/{re.sub(r'[^A-Za-z0-9_]', '_', str(name))}")
-        rows.append((str(name), len(frame), len(frame.columns)))
-    return spark.createDataFrame(rows, "sheet string, n_rows long, n_columns int")
-
-
 def pdf_route(blocks: DataFrame, by: str, digital: int = 150, least: int = 50, sample: int = 5) -> DataFrame:
     """Each page read as digital text or by OCR, from characters on the page; the first pages say whether a file is digital at all."""
     chars = blocks.groupBy(by, "page_num").agg(F.sum(F.length("text")).alias("chars"))
@@ -187,7 +178,7 @@ class Registry:
 
     def __init__(self) -> None:
         self.read: dict[str, Callable[[bytes], str]] = dict(READERS)
-        self.by_ext: dict[str, Extractor] = {"pdf": lambda files: pdf(files).select("path", "text", "status", "error")}
+        self.by_ext: dict[str, Extractor] = {"pdf": lambda files: pdf(files).select("path", "text", "status", "error"), "xlsx": workbook_texts, "ods": workbook_texts}
 
     def register(self, *exts: str) -> Callable[[Extractor], Extractor]:
         def add(f: Extractor) -> Extractor:
