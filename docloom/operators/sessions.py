@@ -27,9 +27,9 @@ def exists_in(rows: DataFrame, keys: DataFrame, on: list[str], name: str) -> Dat
     return rows.join(keys.select(*on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def in_order_of(rows: DataFrame, wanted: DataFrame, ids: str, key: str) -> DataFrame:
-    """rows in the order of an id list (column `ids` of one row); repeats in the list stay."""
-    return wanted.select(F.posexplode(ids).alias("pos", key)).join(rows, key).orderBy("pos")
+def in_order_of(rows: DataFrame, wanted: DataFrame, ids: str, key: str, *by: str) -> DataFrame:
+    """rows in the order of an id list (column `ids` of one row, or of one for each of `by`); repeats in the list stay."""
+    return wanted.select(*by, F.posexplode(ids).alias("pos", key)).join(rows, key).orderBy(*by, "pos")
 
 
 def as_of(points: DataFrame, starts: DataFrame, by: str, at: str, start: str, value: str, floor_first: bool = False) -> DataFrame:

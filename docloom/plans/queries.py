@@ -213,9 +213,10 @@ def _(spark, d):
     return usage.health(t(spark, d, "events").withColumn("state", F.when(F.col("event_type") == "error", "slow").otherwise("ok")))
 
 
-@register("q_health_of_clicks", "SELECT CASE WHEN bool_and(s = 'ok') THEN 'ok' WHEN bool_or(s = 'error') THEN 'error' ELSE 'degraded' END AS status FROM (SELECT 'ok' AS s FROM events WHERE event_type = 'click')")
+@register("q_health_of_clicks", "SELECT CASE WHEN bool_and(s = 'ok') THEN 'ok' WHEN bool_or(s = 'error') THEN 'error' ELSE 'degraded' END AS status FROM (SELECT CASE WHEN value IS NULL THEN 'error' WHEN value > 5 THEN 'slow' ELSE 'ok' END AS s FROM events)")
 def _(spark, d):
-    return usage.health(t(spark, d, "events").filter("event_type = 'click'").withColumn("state", F.lit("ok")))
+    state = F.when(F.col("value").isNull(), "error").when(F.col("value") > 5, "slow").otherwise("ok")
+    return usage.health(t(spark, d, "events").withColumn("state", state))
 
 
 @register("q_connections", "SELECT count(*)::BIGINT AS connections, count(DISTINCT user_id)::BIGINT AS users FROM events")
@@ -564,10 +565,12 @@ def _(spark, d):
     return sinks.upserted(t(spark, d, "documents").select("doc_id", F.lit("old").alias("state")), t(spark, d, "labels").select("doc_id", F.lit("new").alias("state")), "doc_id")
 
 
-@register("q_completed_in_order", "SELECT pos::INT AS pos, doc_id FROM (SELECT unnest([9, 3, 27, 3, 12, 25, 52, 28]) AS doc_id, unnest(range(8)) AS pos) JOIN labels USING (doc_id) WHERE quality = 1 ORDER BY pos")
+@register("q_completed_in_order", "SELECT conv_id, pos::INT AS pos, doc_id FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS pos, (conv_id * 7 + turn * 3) % 500 AS doc_id FROM conversations) JOIN labels USING (doc_id) WHERE quality = 1")
 def _(spark, d):
-    wanted = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in (9, 3, 27, 3, 12, 25, 52, 28)]).alias("ids"))
-    return sessions.in_order_of(t(spark, d, "labels").filter("quality = 1"), wanted, "ids", "doc_id").select("pos", "doc_id")
+    # each conversation wants some documents, the last turn's first
+    wanted = t(spark, d, "conversations").select("conv_id", F.struct((-F.col("turn")).alias("o"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 500).alias("id")).alias("x"))
+    wanted = wanted.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"]).alias("ids"))
+    return sessions.in_order_of(t(spark, d, "labels").filter("quality = 1"), wanted, "ids", "doc_id", "conv_id").select("conv_id", "pos", "doc_id")
 
 
 @register("q_flagged", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS flagged FROM documents")
@@ -792,10 +795,10 @@ def _(spark, d):
     return t(spark, d, "documents").select("doc_id", text.human_size(F.col("n_chars")).alias("size"))
 
 
-@register("q_new_materials", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS place FROM documents WHERE lang IS NOT NULL AND source = 'src1'")
+@register("q_new_materials", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS place FROM documents WHERE lang IS NOT NULL")
 def _(spark, d):
-    rows = t(spark, d, "documents").filter("lang IS NOT NULL AND source = 'src1'")
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
+    rows = t(spark, d, "documents").filter("lang IS NOT NULL")
+    return rows.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
 
 
 @register("q_template", "SELECT item_id, 'Q: ' || text || ' (' || item_id || ')' AS prompt FROM benchmark")

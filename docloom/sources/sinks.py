@@ -36,6 +36,19 @@ def records_with_header(rows: DataFrame, name: str, order: str) -> DataFrame:
     return rows.agg(F.to_json(F.struct(F.struct(F.lit(name).alias("collection"), F.count("*").alias("count")).alias("meta"), F.transform(F.sort_array(F.collect_list(F.struct(order, each.alias("r")))), lambda x: x["r"]).alias("records"))).alias("json"))
 
 
+def write_export(rows: DataFrame, path: str, name: str, order: str, per_document: int = 5000) -> None:
+    """Documents with header and records, as files of some `per_document` records each, dealt by hash; no task gathers more.
+
+    Each is a document of its own, as records_with_header makes it, with its number among them in `meta`.
+    """
+    parts = max(1, -(-rows.count() // per_document))
+    each = rows.select(F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("part"), F.struct(F.col(f"`{order}`").alias("o"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("r")).alias("x"))
+    records = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"])
+    meta = F.struct(F.lit(name).alias("collection"), F.count("*").alias("count"), F.col("part"), F.lit(parts).alias("parts")).alias("meta")
+    documents = each.groupBy("part").agg(meta, records.alias("records")).select("part", F.to_json(F.struct("meta", "records")).alias("json"))
+    documents.repartition(parts, "part").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """A Parquet side-car."""
     writer = rows.write.mode("overwrite")
