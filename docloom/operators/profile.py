@@ -117,12 +117,22 @@ def head_and_tail(rows: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     return first.unionByName(last)
 
 
-def summary_text(spark: SparkSession, rows: DataFrame, label: str, order: list[str], n: int = 5) -> DataFrame:
-    """One text with the table's label, shape, columns, types and first rows."""
-    sample = rows.orderBy(*order).limit(n).select(F.struct(*order).alias("o"), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]).alias("line"))
-    lines = sample.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+def summary_text(spark: SparkSession, rows: DataFrame, label: str, order: list[str], n: int = 5, full: bool = False) -> DataFrame:
+    """One text with the table's label, shape, columns, types and first rows; `full` adds the statistics of describe and the last rows."""
+    shown = F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]).alias("line")
+    joined = lambda found, key: found.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    sample = lambda by: joined(rows.orderBy(*by).limit(n).select(F.struct(*order).alias("o"), shown), "o")
+    lines = sample(order)
     head = F.concat(F.lit(f"{label}\nShape: "), F.col("rows").cast("string"), F.lit(f" rows x {len(rows.columns)} columns\nColumns: {', '.join(rows.columns)}\nTypes: {', '.join(f'{a}={b}' for a, b in rows.dtypes)}\n\n"))
-    return shape(rows).crossJoin(lines).select(F.concat(head, F.coalesce("lines", F.lit(""))).alias("summary"))  # one row each
+    text = F.concat(head, F.coalesce("lines", F.lit("")))
+    whole = shape(rows).crossJoin(lines)  # one row each
+    if full:
+        place = F.array_position(F.array(*map(F.lit, rows.columns)), F.col("column"))
+        stats = describe(rows).select(F.struct(place.alias("p"), "stat").alias("o"), F.concat("column", F.lit(" "), "stat", F.lit(": "), F.coalesce("value", F.lit(""))).alias("line"))  # some rows a column
+        last = sample([F.desc(c) for c in order]).withColumnRenamed("lines", "last")
+        whole = whole.crossJoin(joined(stats, "o").withColumnRenamed("lines", "stats")).crossJoin(last)
+        text = F.concat(head, F.lit("Statistics:\n"), F.coalesce("stats", F.lit("")), F.lit(f"\n\nSample (first {n} rows):\n"), F.coalesce("lines", F.lit("")), F.lit(f"\n\nSample (last {n} rows):\n"), F.coalesce("last", F.lit("")))
+    return whole.select(text.alias("summary"))
 
 
 def cell_statistics(tables: DataFrame, cells: str = "rows") -> DataFrame:

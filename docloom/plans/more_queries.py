@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, records
 from ..functions.text import nul_free
-from ..operators import chunk, retrieve, tools
+from ..operators import chunk, layout, profile, retrieve, tools
 from ..sources import readers, sheets
 from .office_files import made, relations, zipped
 from .queries import SIM, register, t
@@ -186,3 +190,63 @@ def _(spark, d):
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     near = retrieve.top_k_of(asked, v, 31).filter("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 30")
     return retrieve.mmr(near, 8).select("query_id", "pick", "vec_id")
+
+
+@register("q_csv_tables", "SELECT s_suppkey, s_name, s_nationkey::VARCHAR AS nation FROM supplier")
+def _(spark, d):
+    rows = t(spark, d, "supplier").select(F.concat(F.col("s_nationkey").cast("string"), F.when(F.col("s_nationkey") % 2 == 0, ".csv").otherwise(".tsv")).alias("path"), "s_suppkey", "s_name")
+    separator = F.when(F.col("path").endswith(".csv"), ";").otherwise("\t")
+    line = F.concat(F.col("s_suppkey").cast("string"), separator, F.lit('"'), "s_name", F.lit('"'))
+    texts = rows.withColumn("line", line).groupBy("path").agg(F.concat(F.lit("key"), F.first(separator), F.lit("name\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("text"))
+    found = sheets.sheet_rows(texts.select("path", F.encode("text", "UTF-8").alias("content"))).filter("row > 1")
+    return found.select(F.col("cells")[0].cast("long").alias("s_suppkey"), F.col("cells")[1].alias("s_name"), F.substring_index("path", ".", 1).alias("nation"))
+
+
+@register(
+    "q_dataset_summary",
+    """SELECT 'nation' || chr(10) || 'Shape: ' || count(*) || ' rows x 2 columns' || chr(10) || 'Columns: n_name, n_regionkey' || chr(10) || 'Types: n_name=string, n_regionkey=int' || chr(10) || chr(10)
+       || 'Statistics:' || chr(10) || 'n_name count: ' || count(n_name) || chr(10) || 'n_name freq: 1' || chr(10) || 'n_name top: ' || min(n_name) || chr(10) || 'n_name unique: ' || count(DISTINCT n_name) AS head,
+       (SELECT string_agg(n_name || ' | ' || n_regionkey, chr(10) ORDER BY n_name) FROM (SELECT * FROM nation ORDER BY n_name LIMIT 5)) AS first, (SELECT string_agg(n_name || ' | ' || n_regionkey, chr(10) ORDER BY n_name) FROM (SELECT * FROM nation ORDER BY n_name DESC LIMIT 5)) AS last FROM nation""",
+)
+def _(spark, d):
+    text = profile.summary_text(spark, t(spark, d, "nation").select("n_name", "n_regionkey"), "nation", ["n_name"], full=True).select("summary")
+    parts = F.split("summary", r"\n\nSample \((?:first|last) 5 rows\):\n")
+    return text.select(F.split(parts[0], "\nn_regionkey ")[0].alias("head"), parts[1].alias("first"), parts[2].alias("last"))
+
+
+@register("q_youtube_ids", "SELECT page_id, CASE page_id % 5 WHEN 4 THEN NULL ELSE substr(md5(url), 1, 10) || '_' END AS video FROM pages")
+def _(spark, d):
+    p = t(spark, d, "pages").select("page_id", F.concat(F.substring(F.md5("url"), 1, 10), F.lit("_")).alias("id"))
+    forms = ("https://www.youtube.com/watch?list=x&v=", "https://youtu.be/", "https://youtube.com/embed/", "https://m.youtube.com/shorts/", "https://example.org/")
+    url = F.concat(F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % 5 + 1).cast("int")), "id", F.lit("?t=3"))
+    return p.select("page_id", records.youtube_id(url).alias("video"))
+
+
+# ---- injected models: stubs that Spark runs where a user's models would run --------------------------------------------------
+@register(
+    "q_ocr_pages",
+    r"""SELECT conv_id, turn, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (k % 10 <> 9), '') AS text, round(avg(CASE WHEN k % 10 <> 9 THEN 0.5 + (k % 5) / 10 END) * 100, 6) AS confidence
+        FROM (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^\x00-\x20\x7F-\xA0]+') AS w FROM conversations)) GROUP BY conv_id, turn""",
+)
+def _(spark, d):
+    def detector(texts: pd.Series) -> pd.Series:  # a stub: words of an image's caption side by side on one line, every tenth unsure
+        return texts.map(lambda x: json.dumps([{"y": 0, "x": k, "bottom": 9, "text": w, "conf": 0.1 if k % 10 == 9 else 0.5 + k % 5 / 10} for k, w in enumerate(re.findall(r"[^\x00-\x20\x7f-\xa0]+", x or ""))]))
+
+    images = t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("page"), "text")
+    found = readers.with_model(images, "found", "string", detector, "text")
+    boxes = found.select("page", F.lit(100).alias("page_height"), F.inline(F.from_json("found", "array<struct<y:int,x:int,bottom:int,text:string,conf:double>>")))
+    lines = layout.text_lines(boxes).select("page", "text")
+    sure = layout.confident(boxes, ["page"])
+    at = F.split("page", "-")
+    return lines.join(sure, "page").select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "text", F.round("confidence", 6).alias("confidence"))
+
+
+@register("q_embedded_search", "SELECT query_id, doc_id, rank::INT AS rank FROM (SELECT q.doc_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY list_cosine_similarity(d.e, q.e) DESC, d.doc_id) AS rank FROM (SELECT doc_id, [length(text), len(string_split(text, 'e')) * 7, len(string_split(text, ' ')) * 3, 1 + doc_id % 13]::DOUBLE[] AS e FROM documents) d, (SELECT doc_id, [length(text), len(string_split(text, 'e')) * 7, len(string_split(text, ' ')) * 3, 1 + doc_id % 13]::DOUBLE[] AS e FROM documents WHERE doc_id % 20 = 0) q) WHERE rank <= 5")
+def _(spark, d):
+    def embed(texts: pd.Series) -> pd.Series:  # a stub that counts characters, letters e, blanks, and the number before the text
+        return texts.map(lambda x: [float(len(x) - x.index(":") - 1), 7.0 * (x.count("e") + 1), 3.0 * (x.count(" ") + 1), 1.0 + int(x[: x.index(":")]) % 13])
+
+    named = t(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").alias("named"))
+    rows = readers.with_model(named, "embedding", "array<double>", embed, "named").select("doc_id", "embedding")
+    asked = rows.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieve.top_k_of(asked, rows, 5, key="doc_id").select("query_id", "doc_id", "rank")

@@ -346,7 +346,17 @@ def _(spark, d):
     return t(spark, d, "pages").select("page_id", text.html_strip(F.col("html")).alias("plain"))
 
 
-@register("q_page_text")
+#: Markup and white space cleaned as a reader sees it; the article of the table's pages: its title, then its paragraphs, the first of which isn't closed.
+PAGE_CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))"""
+PAGE_PARTS = f"""SELECT page_id, url, html, {PAGE_CLEAN.format("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")} AS h, {PAGE_CLEAN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+    list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda x: {PAGE_CLEAN.format("x")}), lambda x: x <> '') AS parts FROM pages"""
+
+
+@register(
+    "q_page_text",
+    f"""SELECT url, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, '' AS description, '' AS keywords, '' AS author, regexp_extract(html, 'lang="([^"]*)"', 1) AS lang,
+        '# ' || h || chr(10) || array_to_string(parts, chr(10)) AS text, 'success' AS status, len(regexp_extract_all('# ' || h || ' ' || array_to_string(parts, ' '), '[^ ]+'))::BIGINT AS word_count FROM ({PAGE_PARTS})""",
+)
 def _(spark, d):
     from ..sources.readers import pages
 
@@ -373,7 +383,7 @@ def _(spark, d):
     return t(spark, d, "pages").select("page_id", F.posexplode(markdown_blocks(page_text("html")["structured"])).alias("pos", "block"))
 
 
-@register("q_sections")
+@register("q_sections", f"SELECT page_id, 0 AS pos, h AS title, 1 AS level, array_to_string(parts, chr(10)) AS content FROM ({PAGE_PARTS})")
 def _(spark, d):
     return t(spark, d, "pages").select("page_id", F.posexplode(heading_sections(page_text("html")["structured"])).alias("pos", "s")).select("page_id", "pos", "s.*")
 
@@ -727,7 +737,12 @@ def _(spark, d):
     return profile.head_and_tail(t(spark, d, "part"), ["p_partkey"]).select("p_partkey", "end")
 
 
-@register("q_summary_text")
+@register(
+    "q_summary_text",
+    """SELECT 'part' || chr(10) || 'Shape: ' || count(*) || ' rows x 6 columns' || chr(10) || 'Columns: p_partkey, p_name, p_brand, p_type, p_size, p_retailprice' || chr(10)
+       || 'Types: p_partkey=bigint, p_name=string, p_brand=string, p_type=string, p_size=int, p_retailprice=double' || chr(10) || chr(10)
+       || (SELECT string_agg(p_partkey || ' | ' || p_name || ' | ' || p_brand || ' | ' || p_type || ' | ' || p_size || ' | ' || p_retailprice, chr(10) ORDER BY p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 5)) AS summary FROM part""",
+)
 def _(spark, d):
     return profile.summary_text(spark, t(spark, d, "part"), "part", ["p_partkey"])
 

@@ -132,7 +132,7 @@ def zipped_parts(content: bytes, inner: str) -> str:
 PARTS = {"odt": r"^content\.xml$", "odp": r"^content\.xml$", "epub": r"\.x?html?$"}
 #: Readers of a file's bytes by extension.
 READERS: dict[str, Callable[[bytes], str]] = {
-    **dict.fromkeys(("txt", "md", "csv"), plain_text), "html": page_file, "eml": mail_text, "msg": msg_text, "rtf": rtf_text, "docx": docx_text, "pptx": pptx_text,
+    **dict.fromkeys(("txt", "md"), plain_text), "html": page_file, "eml": mail_text, "msg": msg_text, "rtf": rtf_text, "docx": docx_text, "pptx": pptx_text,
     **{ext: partial(zipped_parts, inner=inner) for ext, inner in PARTS.items()},
 }
 
@@ -178,7 +178,7 @@ class Registry:
 
     def __init__(self) -> None:
         self.read: dict[str, Callable[[bytes], str]] = dict(READERS)
-        self.by_ext: dict[str, Extractor] = {"pdf": lambda files: pdf(files).select("path", "text", "status", "error"), "xlsx": workbook_texts, "ods": workbook_texts}
+        self.by_ext: dict[str, Extractor] = {"pdf": lambda files: pdf(files).select("path", "text", "status", "error"), "csv": workbook_texts, "tsv": workbook_texts, "xlsx": workbook_texts, "ods": workbook_texts}
 
     def register(self, *exts: str) -> Callable[[Extractor], Extractor]:
         def add(f: Extractor) -> Extractor:

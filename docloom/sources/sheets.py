@@ -1,9 +1,11 @@
-"""Workbooks (S06): rows of every sheet of XLSX and ODS files, read on executors, with side-cars and summaries by Spark."""
+"""Tables in files (S04-S06): rows of CSV and TSV files and of every sheet of XLSX and ODS files, read on executors, with side-cars and summaries by Spark."""
 
 from __future__ import annotations
 
+import csv
 import datetime
 import io
+import posixpath
 import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -115,10 +117,35 @@ def ods_rows(package: Package) -> Iterator[tuple[str, int, int, list[str | None]
             at += times
 
 
+def text_rows(path: str, content: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
+    """The rows of a file of separated values as a sheet named like the file: tabs in a .tsv, else what its first line has most of."""
+    text = content.decode("utf-8-sig", "replace").replace("\0", "")
+    first = text.partition("\n")[0]
+    separator = "\t" if path.lower().endswith(".tsv") else max(",;\t|", key=first.count)
+    name = posixpath.basename(path)
+    for k, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=separator), 1):
+        if any(row):
+            yield name, 0, k, [x if x else None for x in row[:MOST_COLUMNS]]
+
+
+def rows_in(path: str, content: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
+    if path.lower().endswith((".csv", ".tsv")):
+        yield from text_rows(path, content)
+        return
+    package = Package(content)
+    if "content.xml" in package.names:
+        yield from ods_rows(package)
+    elif any(n.startswith("xl/") for n in package.names):
+        yield from xlsx_rows(package)
+    else:
+        raise ValueError("no workbook")
+
+
 def sheet_rows(files: DataFrame) -> DataFrame:
     """ROWS of (path, content): every row of every sheet; a file that can't be read is one row with an error.
 
-    A task holds one file's bytes and its shared strings, and hands rows on as it reads them.
+    A task holds one file's bytes and its shared strings, and hands rows on as it reads them. Large files of separated values
+    are better read by `readers.csv`, which splits them.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +153,12 @@ def sheet_rows(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 try:
-                    package = Package(content.as_py() or b"")
-                    if "content.xml" not in package.names and not any(n.startswith("xl/") for n in package.names):
-                        raise ValueError("no workbook")
-                    for row in ods_rows(package) if "content.xml" in package.names else xlsx_rows(package):
+                    for row in rows_in(path or "", content.as_py() or b""):
                         held.append((path, *row, None))
                         if len(held) == BATCH_ROWS:
                             yield pa.RecordBatch.from_pylist([dict(zip(ROWS_ARROW.names, r, strict=True)) for r in held], schema=ROWS_ARROW)
                             held = []
-                except (ValueError, ElementTree.ParseError, OSError, EOFError, RuntimeError, OverflowError) as error:
+                except (ValueError, csv.Error, ElementTree.ParseError, OSError, EOFError, RuntimeError, OverflowError) as error:
                     held.append((path, None, None, None, None, f"{type(error).__name__}: {error}"))
         yield pa.RecordBatch.from_pylist([dict(zip(ROWS_ARROW.names, r, strict=True)) for r in held], schema=ROWS_ARROW)
 
