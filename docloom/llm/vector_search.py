@@ -5,8 +5,9 @@
 query's k-th nearest scout bounds how far it has to look, and it is sent only to shards whose balls come that near. Each
 shard is a tree whose nodes halve their vectors by the distance from a vantage point; a half is skipped when the triangle
 inequality puts all of it further away than the k-th best so far divided by `factor`: factor 1 gives exact results, larger
-factors skip more. Queries meet a shard in blocks of about `QUERY_ROWS`, and each query's best of all shards are ranked at
-the end.
+factors skip more. Shards are cut into parts of about `SHARD_ROWS` by their counted sizes, however alike their vectors are; a
+part's tree is built once, and the queries sent to its shard stream through it, `QUERY_ROWS` at a time. Each query's best of
+all parts are ranked at the end.
 
 Empty cases: vectors that are null, zero, empty, or hold null or non-finite components take no part, nor does a null
 vec_id; only vectors of the same length are compared; rows with the query's own vec_id are not its candidates; rows that
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS, SCOUTS, LEAF, K = 20_000, 5_000, 1_000, 256, 10
+SHARD_ROWS, QUERY_ROWS, TURN_ROWS, SCOUTS, LEAF, K = 20_000, 5_000, 200_000, 1_000, 256, 10
+SENT = "dim int, shard int, part int, turn int, asks boolean, vec_id long, embedding array<double>, within double"
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,9 +161,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
 
     spark, points = vectors.sparkSession, usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-    n, blocks = points.count(), -(-asked.count() // QUERY_ROWS) or 1
-    shards = max(1, min(SCOUTS, -(-n // SHARD_ROWS)))
-    parts = -(-n // (shards * SHARD_ROWS)) or 1  # of a shard, where there are more vectors than SCOUTS shards hold
+    shards = max(1, min(SCOUTS, -(-points.count() // SHARD_ROWS)))
     first = points.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SCOUTS).toArrow()
     scouts = Scouts(list(zip(first["vec_id"].to_pylist(), first["embedding"].to_pylist(), strict=True)), shards)
     sent = spark.sparkContext.broadcast(scouts)
@@ -175,8 +175,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(far)], names=["vec_id", "embedding", "dim", "shard", "far"])
 
     dealt = points.mapInArrow(homes, "vec_id long, embedding array<double>, dim int, shard int, far double")
-    radii = dealt.groupBy("dim", "shard").agg(F.max("far").alias("far")).filter("far < double('inf')")
-    scouts.radius = {(r[0], r[1]): r[2] * (1 + 1e-9) for r in radii.collect()}  # SCOUTS rows for each length of vector that scouts have
+    balls = dealt.groupBy("dim", "shard").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # SCOUTS rows for each length of vector that scouts have
+    scouts.radius = {(r["dim"], r["shard"]): r["far"] * (1 + 1e-9) for r in balls if r["far"] < float("inf")}
     sent_with_radii = spark.sparkContext.broadcast(scouts)
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +190,55 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
                     [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(shard.astype(np.int32)), pa.array(within[q])], names=["vec_id", "embedding", "dim", "shard", "within"]
                 )
 
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
-    points = dealt.drop("far").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.select("vec_id", "embedding", "dim").mapInArrow(routes, "vec_id long, embedding array<double>, dim int, shard int, within double")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if table.num_rows and wanted.num_rows:
-            side = lambda t: (t["vec_id"].to_numpy(), np.array(t["embedding"].combine_chunks().flatten()).reshape(t.num_rows, -1))
-            (names, rows), (own, q) = side(table), side(wanted)
-            order = np.argsort(names, kind="stable")
-            name, d = Tree(rows[order], names[order]).search(q, own, k, factor, wanted["within"].to_numpy() * (1 + 1e-9))
-            full = np.isfinite(d)
-            out = {"query_id": np.broadcast_to(own[:, None], d.shape)[full], "vec_id": name[full], "score": d[full]}
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    by = ["dim", "shard", "part", "block"]
-    found = points.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    # parts of a shard by its vectors; turns by its queries: only beyond TURN_ROWS queries does a part's tree stand in several tasks
+    wanted = {(r["dim"], r["shard"]): r["count"] for r in asked.groupBy("dim", "shard").count().collect()}  # as many rows
+    parts = {(r["dim"], r["shard"]): -(-r["n"] // SHARD_ROWS) for r in balls}
+    plan = spark.createDataFrame([(d, s, p, -(-wanted.get((d, s), 1) // TURN_ROWS)) for (d, s), p in parts.items()], "dim int, shard int, parts int, turns int")
+    plan = F.broadcast(plan)
+    of = lambda c, n: F.pmod(F.xxhash64(c, F.lit(1)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    built = dealt.join(plan, ["dim", "shard"]).withColumn("part", of("vec_id", "parts")).withColumn("turn", each("turns")).withColumns({"asks": F.lit(False), "within": F.lit(None).cast("double")})
+    asking = asked.join(plan, ["dim", "shard"]).withColumn("part", each("parts")).withColumn("turn", of("vec_id", "turns")).withColumn("asks", F.lit(True))
+    names = [c.split()[0] for c in SENT.split(", ")]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(parts.values()))
+    by = ["dim", "shard", "part", "turn"]
+    met = built.select(names).unionByName(asking.select(names)).repartition(tasks, *by).sortWithinPartitions(*by, "asks")
+    found = met.mapInArrow(lambda batches: answered(batches, k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """Consecutive rows of one tree, vectors apart from queries: (dim, shard, part, turn), whether they ask, rows."""
+    for batch in batches:
+        key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                yield tuple(int(x[a]) for x in key[:4]), bool(key[4][a]), batch.slice(a, b - a)
+
+
+def answered(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """What the trees of a task answer: a tree's vectors come first, then its queries, which are searched as they come."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    now, held, tree = None, [], None
+    for key, asks, rows in runs(batches):
+        if key != now:
+            now, held, tree = key, [], None
+        names, points = rows.column(5).to_numpy(), matrix(rows.column(6), np.arange(rows.num_rows))
+        if not asks:
+            held.append((names, points))
+            continue
+        if not held:
+            continue
+        if tree is None:
+            names_, points_ = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            order = np.argsort(names_, kind="stable")
+            tree = Tree(points_[order], names_[order])
+        within = rows.column(7).to_numpy(zero_copy_only=False) * (1 + 1e-9)
+        for a in range(0, len(names), QUERY_ROWS):
+            own = names[a : a + QUERY_ROWS]
+            name, d = tree.search(points[a : a + QUERY_ROWS], own, k, factor, within[a : a + QUERY_ROWS])
+            full = np.isfinite(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], d.shape)[full]), pa.array(name[full]), pa.array(d[full])], schema=schema)
