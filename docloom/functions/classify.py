@@ -75,6 +75,7 @@ CONTENT_TOOLS = (
     ("flashcard_tool", ("flashcard", "flash card", "cards")),
     ("ppt_tool", ("presentation", "ppt", "slides", "slide")),
 )
+# Words by kind of file, in the order in which they are tried.
 FILE_KINDS = (
     ("chart", ("chart", "graph", "plot", "diagram", "visuali")),
     ("word", ("word", "docx", "document", "report")),
@@ -82,6 +83,7 @@ FILE_KINDS = (
     ("pdf", ("pdf",)),
     ("csv", ("csv",)),
 )
+# Words that ask for a change.
 EDIT_WORDS = ("add", "update", "fix", "modify", "change", "edit", "replace", "append", "delete", "remove")
 # Phrases of contentment with their confidence, and phrases that ask for more, by language.
 SATISFIED = {
@@ -108,6 +110,7 @@ ASKING = {
     "pt": ("mas", "por que", "como", "explique mais", "outra pergunta"),
     "ar": ("لكن", "لماذا", "كيف", "اشرح أكثر", "سؤال آخر"),
 }
+# Marks of a question.
 QUESTION_MARKS = ("?", "¿", "？", "吗", "か")
 # What submitted code must not contain.
 FORBIDDEN_CODE = (

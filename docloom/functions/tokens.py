@@ -12,7 +12,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re as plain_re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -68,14 +70,14 @@ class _Coder:
             _coders[key] = _Coder({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x.strip())}, pattern)
         return _coders[key]
 
-    def tokens(self, text: str) -> list[int]:
+    def tokens(self, text: str) -> np.ndarray:
         if not self.long.search(text):
-            return self.fast.encode_ordinary(text)
+            return self.fast.encode_to_numpy(text, disallowed_special=()).view(np.int32)
         out = []
         for word in self.words.findall(text):
             raw = word.encode("utf-8", "replace")
             out += merged(raw, self.ranks) if len(raw) > LONG else self.fast.encode_ordinary(word)
-        return out
+        return np.array(out, np.int32)
 
     def text(self, tokens: list[int]) -> str:
         return self.fast.decode(tokens)
@@ -92,35 +94,41 @@ class Vocabulary:
         _Coder.of(self.lines, pattern)  # an unfit file fails here
         self.shared = spark.sparkContext.broadcast(self.lines)
 
-    def _function(self, kind: str, of: pa.DataType, do):
+    def _function(self, kind: str, do: Callable[[_Coder, pa.Array], pa.Array]) -> Callable[[Column], Column]:
+        """A function of a column, batch by batch."""
         shared, pattern = self.shared, self.pattern
 
         @F.arrow_udf(kind)
-        def run(texts: pa.Array) -> pa.Array:
-            coder = _Coder.of(shared.value, pattern)
-            return pa.array([None if not x.is_valid else do(coder, x.as_py()) for x in texts], of)
+        def run(column: pa.Array) -> pa.Array:
+            return do(_Coder.of(shared.value, pattern), column)
 
         return run
 
     def encoded(self, c: Column) -> Column:
-        return self._function("array<int>", pa.list_(pa.int32()), lambda coder, x: coder.tokens(x))(c)
+        def lists(coder: _Coder, texts: pa.Array) -> pa.Array:
+            parts = [coder.tokens(x) if x is not None else None for x in texts.to_pylist()]
+            sizes = np.array([0 if x is None else len(x) for x in parts], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *[x for x in parts if x is not None]])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in parts]))
+
+        return self._function("array<int>", lists)(c)
 
     def decoded(self, c: Column) -> Column:
-        return self._function("string", pa.string(), lambda coder, x: coder.text(x))(c)
+        return self._function("string", lambda coder, lists: pa.array([None if x is None else coder.text(x) for x in lists.to_pylist()], pa.string()))(c)
 
     def count(self, c: Column) -> Column:
         """The number of tokens; none of a null text."""
-        return F.coalesce(self._function("bigint", pa.int64(), lambda coder, x: len(coder.tokens(x)))(c), F.lit(0).cast("long"))
+        return F.coalesce(self._function("bigint", lambda coder, texts: pa.array([None if x is None else len(coder.tokens(x)) for x in texts.to_pylist()], pa.int64()))(c), F.lit(0).cast("long"))
 
     def count_each(self, c: Column) -> Column:
         """The numbers of tokens of the texts of an array."""
-        return self._function("array<bigint>", pa.list_(pa.int64()), lambda coder, x: [len(coder.tokens(t or "")) for t in x])(c)
+        return self._function("array<bigint>", lambda coder, lists: pa.array([None if x is None else [len(coder.tokens(t or "")) for t in x] for x in lists.to_pylist()], pa.list_(pa.int64())))(c)
 
     def cut(self, c: Column, most: int) -> Column:
         """The text's longest beginning of at most `most` tokens that ends between characters."""
 
         def beginning(coder: _Coder, text: str) -> str:
-            raw = b"".join(coder.fast.decode_tokens_bytes(coder.tokens(text)[:most]))
-            return raw.decode("utf-8", "ignore")
+            return b"".join(coder.fast.decode_tokens_bytes(coder.tokens(text)[:most].tolist())).decode("utf-8", "ignore")
 
-        return self._function("string", pa.string(), beginning)(c)
+        return self._function("string", lambda coder, texts: pa.array([None if x is None else beginning(coder, x) for x in texts.to_pylist()], pa.string()))(c)

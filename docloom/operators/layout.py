@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +48,30 @@ def confident(detections: DataFrame, by: list[str], least: float = LEAST_CONFIDE
 
 
 def text_lines(detections: DataFrame, by: str = "page", least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Lines of a page. A detection starts a new line when it is too far below the line's first one: a fold over the page."""
-    rows = detections.filter(F.col("conf") >= least)
-    item = F.struct("y", "x", "bottom", "text")
-    start = F.struct(F.array().cast("array<struct<line:int,y:double,x:double,bottom:double,text:string>>").alias("out"), F.lit(-1).alias("line"), F.lit(None).cast("double").alias("anchor"))
-
-    def step(s: Column, d: Column) -> Column:
-        apart = s["anchor"].isNull() | (F.abs(d["y"] - s["anchor"]) > d["tolerance"])
-        line = s["line"] + apart.cast("int")
-        placed = F.struct(line.alias("line"), d["y"].alias("y"), d["x"].alias("x"), d["bottom"].alias("bottom"), d["text"].alias("text"))
-        return F.struct(F.concat(s["out"], F.array(placed)).alias("out"), line.alias("line"), F.when(apart, d["y"]).otherwise(s["anchor"]).alias("anchor"))
-
-    tolerance = F.greatest(F.lit(8), F.floor(F.max("page_height") * 0.025)).cast("double")
-    found = rows.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("items"), tolerance.alias("tolerance"))
-    found = found.select(by, F.transform("items", lambda d: F.struct(d["y"].cast("double").alias("y"), d["x"].cast("double").alias("x"), d["bottom"].cast("double").alias("bottom"), d["text"].alias("text"), F.col("tolerance").alias("tolerance"))).alias("items"))
-    placed = found.select(by, F.explode(F.aggregate("items", start, step)["out"]).alias("d")).select(by, "d.*")
+    """Lines of a page. A detection starts a new line when it is too far below the line's first one.
+
+    Spark sorts each page's detections from the top down, and one pass over them remembers the line's first: a page of any
+    length costs no memory.
+    """
+    kind = detections.schema[by].dataType.simpleString()
+    tolerance = F.greatest(F.lit(8), F.floor(F.max("page_height").over(Window.partitionBy(by)) * 0.025)).cast("double")
+    rows = detections.filter(F.col("conf") >= least).select(F.col(by).alias("of"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("bottom").cast("double").alias("bottom"), "text", tolerance.alias("tolerance"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, anchor, line = object(), None, -1
+        for batch in batches:
+            lines = []
+            for of, y, apart in zip(batch["of"].to_pylist(), batch["y"].to_pylist(), batch["tolerance"].to_pylist(), strict=True):
+                if of != page:
+                    page, anchor, line = of, None, -1
+                if anchor is None or abs(y - anchor) > apart:
+                    anchor, line = y, line + 1
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("of", "x", "y", "bottom", "text")), pa.array(lines, pa.int32())], names=["of", "x", "y", "bottom", "text", "line"])
+
+    found = rows.sortWithinPartitions("of", "y", "x", "bottom", "text").mapInArrow(placed, f"of {kind}, x double, y double, bottom double, text string, line int")
     words = F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda d: d["text"])
-    return placed.groupBy(by, "line").agg(F.array_join(words, " ").alias("text"), F.min("y").alias("top"), F.max("bottom").alias("bottom"))
+    return found.groupBy(F.col("of").alias(by), "line").agg(F.array_join(words, " ").alias("text"), F.min("y").alias("top"), F.max("bottom").alias("bottom"))
 
 
 def line_paragraphs(lines: DataFrame, by: str = "page") -> DataFrame:

@@ -61,6 +61,7 @@ MEDIA = {
 }
 # Extensions that have another canonical form.
 ALIASES = {"htm": "html", "jpeg": "jpg", "tif": "tiff", "mpg": "mpeg"}
+# Extensions of images, sound and films.
 IMAGES = ("jpg", "png", "gif", "bmp", "tiff", "webp", "svg")
 AUDIO = ("mp3", "wav", "m4a", "aac", "ogg", "flac")
 VIDEO = ("mp4", "avi", "mov", "mkv", "webm", "wmv", "mpeg", "3gp")
