@@ -103,10 +103,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a stage's folder, wherever it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
+    """The last stage's rows; what the stages before it wrote is deleted once the next has read it."""
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            dropped(spark, before)
+        before = path
     return docs
