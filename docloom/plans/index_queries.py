@@ -109,16 +109,17 @@ def _(spark, d):
 
 @register(
     "q_progressive_segments",
-    """SELECT conv_id, turn, row_number() OVER w - 1 AS place, turn <> coalesce(lag(turn) OVER w, -1) + 1 AS after_gap, length(text) AS n_chars
-       FROM conversations WHERE (conv_id + turn) % 11 <> 5 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    """WITH s AS (SELECT conv_id, turn + turn // 2 * (conv_id % 2) AS segment, length(text) AS n_chars FROM conversations)
+       SELECT conv_id, segment, row_number() OVER w - 1 AS place, segment <> coalesce(lag(segment) OVER w, -1) + 1 AS after_gap, n_chars FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY segment)""",
 )
 def _(spark, d):
-    # segments come in the order of a hash, some never; the last batch only says that hours have passed
-    rows = t(spark, d, "conversations").filter("(conv_id + turn) % 11 <> 5").select("conv_id", "turn", "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
-    clock = spark.range(2).select((-F.col("id") - 1).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("text"), F.lit("2024-01-01 05:00:00").cast("timestamp").alias("at"))
-    slot = F.when(F.col("conv_id") >= 0, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))).otherwise(F.lit(2) - F.col("conv_id"))
-    found = played(spark, reorder.in_order(streamed(spark, rows.unionByName(clock), slot, 5), "conv_id", "turn"))
-    return found.filter("conv_id >= 0").select("conv_id", "turn", "place", "after_gap", F.length("row.text").alias("n_chars"))
+    # segments come in the order of a hash, those of every second session with numbers left out; the last batch only says that hours have passed
+    number = F.col("turn") + F.floor(F.col("turn") / 2) * (F.col("conv_id") % 2)
+    rows = t(spark, d, "conversations").select("conv_id", number.cast("long").alias("segment"), "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    clock = spark.range(2).select((-F.col("id") - 1).alias("conv_id"), F.lit(0).cast("long").alias("segment"), F.lit("").alias("text"), F.lit("2024-01-01 05:00:00").cast("timestamp").alias("at"))
+    slot = F.when(F.col("conv_id") >= 0, F.pmod(F.xxhash64("conv_id", "segment"), F.lit(3))).otherwise(F.lit(2) - F.col("conv_id"))
+    found = played(spark, reorder.in_order(streamed(spark, rows.unionByName(clock), slot, 5), "conv_id", "segment"))
+    return found.filter("conv_id >= 0").select("conv_id", "segment", "place", "after_gap", F.length("row.text").alias("n_chars"))
 
 
 @register("q_limited_stream", """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, CASE event_type WHEN 'signup' THEN 'auth' WHEN 'purchase' THEN 'generation' ELSE 'chat' END AS kind, event_id, epoch_us(ts) // 600 AS tick FROM events),

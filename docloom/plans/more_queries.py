@@ -128,12 +128,12 @@ def _(spark, d):
 
 @register(
     "q_structured_chunks",
-    """WITH d AS (SELECT doc_id, length(text) AS n, regexp_replace(text, '[=\\n\\r]', ' ', 'g') AS x FROM documents WHERE length(text) >= 60),
+    """WITH d AS (SELECT doc_id, length(text) AS n, regexp_replace(text, '[=\\n\\r]', ' ', 'g') AS x FROM documents),
      p AS (SELECT doc_id, unnest([0, 1, 2]) AS k, n, x FROM d)
 SELECT doc_id, k::INT AS part, CASE k WHEN 0 THEN 'Columns: a, b' ELSE 'Part ' || k || ' of the table' END AS title, md5(CASE k WHEN 0 THEN 'Columns: a, b' || chr(10) || 'of document number ' || doc_id || '.' ELSE 'Columns: a, b' || chr(10) || chr(10) || 'Part ' || k || ' of the table' || chr(10) || 'row ' || k || ' has so many characters: ' || n END) AS text_md5 FROM p""",
 )
 def _(spark, d):
-    rows = t(spark, d, "documents").filter("length(text) >= 60")
+    rows = t(spark, d, "documents")
     part = lambda k: F.concat(F.lit(f"\n=====\nPart {k} of the table\nrow {k} has so many characters: "), F.length("text").cast("string"), F.lit("\n"))
     text = F.concat(F.lit("\nColumns: a, b\nof document number "), F.col("doc_id").cast("string"), F.lit("."), part(1), part(2), F.lit("===\nshort"))
     return rows.select("doc_id", F.posexplode(chunk.structured_chunks(text)).alias("part", "c")).select("doc_id", "part", "c.title", F.md5("c.text").alias("text_md5"))

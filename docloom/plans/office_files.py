@@ -189,12 +189,12 @@ def _(spark, d):
 
 @register(
     "q_docx_headings",
-    f"SELECT doc_id, count(*)::INT AS n_sections FROM ({LINE_ROWS}) WHERE k % 8 = 0 AND k < 800 GROUP BY doc_id",
+    f"SELECT doc_id, count(*)::INT AS n_sections FROM ({LINE_ROWS}) WHERE k % 8 = 0 GROUP BY doc_id",
 )
 def _(spark, d):
     # the Markdown is split again by the splitter that chunks texts
-    lines = clean_lines(t(spark, d, "documents")).withColumn("lines", F.slice("lines", 1, 800)).filter(F.size("lines") > 0)
-    found = readers.file_texts(made(lines, docx_of, "lines"), {"docx": readers.READERS["docx"]})
+    files = made(clean_lines(t(spark, d, "documents")), docx_of, "lines")
+    found = readers.file_texts(files, {"docx": readers.READERS["docx"]}).filter("status = 'success'")
     heads = F.filter(heading_sections(F.col("text")), lambda s: F.coalesce(s["title"], F.lit("")) != "")
     return found.select(F.col("path").cast("long").alias("doc_id"), F.size(heads).alias("n_sections"))
 

@@ -23,18 +23,24 @@ class Buffer(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "position long", "at_ms long, body string")
         self.due = handle.getValueState("due", "position long, place long")
 
-    def released(self, key: tuple, due: int, place: int, after_gap: bool) -> Iterator[pd.DataFrame]:
-        """What can go out from `due` on; then the timer stands for the gap behind it, if segments wait there."""
+    def released(self, key: tuple, due: int, place: int, after_gap: bool) -> list[tuple]:
+        """What can go out from `due` on."""
         rows = []
         while self.waiting.containsKey((due,)):
             rows.append((key[0], due, place, after_gap and not rows, self.waiting.getValue((due,))[1]))
             self.waiting.removeKey((due,))
             due, place = due + 1, place + 1
         self.due.update((due, place))
+        return rows
+
+    def oldest(self) -> int | None:
+        return min((at for at, _ in self.waiting.values()), default=None)
+
+    def sent(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The rows; the timer stands for the gap behind them, if segments wait there."""
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        oldest = min((at for at, _ in self.waiting.values()), default=None)
-        if oldest is not None:
+        if (oldest := self.oldest()) is not None:
             self.handle.registerTimer(oldest + self.patience_ms)
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
@@ -46,14 +52,15 @@ class Buffer(StatefulProcessor):
                 # one that comes again, or after it was given up, goes nowhere; the first of equals counts
                 if position >= due and not self.waiting.containsKey((int(position),)):
                     self.waiting.updateValue((int(position),), (int(at_ms), body))
-        yield from self.released(key, due, place, False)
+        yield from self.sent(self.released(key, due, place, False))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The gap is given up: the next segment that waits is due."""
-        place = self.due.get()[1] if self.due.exists() else 0
-        ahead = [k[0] for k in self.waiting.keys()]
-        if ahead:
-            yield from self.released(key, min(ahead), place, True)
+        """Gaps are given up as long as what waits behind them has waited long enough: the next segment is due."""
+        rows, now = [], max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        while (oldest := self.oldest()) is not None and oldest + self.patience_ms <= now:
+            place = self.due.get()[1] if self.due.exists() else 0
+            rows += self.released(key, min(k[0] for k in self.waiting.keys()), place, True)
+        yield from self.sent(rows)
 
     def close(self) -> None:
         pass
