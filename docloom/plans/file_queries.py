@@ -172,3 +172,11 @@ def _(spark, d):
     docs = t(spark, d, "documents")
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") + 199) / 200).cast("int") - 1), lambda k: F.substring("text", k * 200 + 1, F.lit(200)))
     return sinks.block_rows(docs, F.when(F.length("text") > 0, parts).otherwise(F.array().cast("array<string>")), "doc_id")
+
+
+@register("q_parquet_preview", """SELECT 'p_partkey' AS "column", 'bigint' AS type, 0 AS pos, string_agg(p_partkey::VARCHAR, '|' ORDER BY p_partkey) AS samples FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 5)
+UNION ALL SELECT 'p_name', 'string', 1, string_agg(p_name, '|' ORDER BY p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 5) UNION ALL SELECT 'p_size', 'int', 2, string_agg(p_size::VARCHAR, '|' ORDER BY p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 5)""")
+def _(spark, d):
+    path = work_folder(spark)
+    t(spark, d, "part").select("p_partkey", "p_name", "p_size").orderBy("p_partkey").write.parquet(path)
+    return readers.parquet_preview(spark, path).select("column", "type", "pos", F.array_join("samples", "|").alias("samples"))

@@ -34,6 +34,18 @@ def csv(spark: SparkSession, path: str, separator: str = ",", schema: str | None
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def parquet_preview(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """Column, type, pos, samples (as text) of a Parquet table: its schema from a footer, and the first rows of its first file; nothing else is read."""
+    rows = spark.read.parquet(path)
+    schema, some = rows.schema, rows.limit(n)  # a limit without an order reads from the first file on
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(schema)])
+    placed = some.withColumn("place_of_row", F.monotonically_increasing_id()).select("place_of_row", F.inline(cells))
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("place_of_row", "value"))), lambda x: x["value"])
+    found = placed.groupBy("pos").agg(samples.alias("samples"))
+    names = spark.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(schema)], "column string, type string, pos int")
+    return names.join(found, "pos", "left").select("column", "type", "pos", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
 def whole_texts(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
     """Whole files as text, NUL removed; too few letters is a failure. Failures are rows."""
     return as_text(spark.read.format("binaryFile").load(path), charset)

@@ -70,3 +70,13 @@ def test_bounds_without_pushdown(spark, store, tmp_path):
     want = rows.filter("id BETWEEN 150 AND 420 AND user_id IN ('u5', 'u9')")
     assert sorted(map(repr, both.collect())) == sorted(map(repr, want.filter("user_id = 'u5'").unionByName(want).collect()))
     assert {p[:2] for p in asked(tmp_path / "asked")} <= {(150, 199), (200, 299)}
+
+
+def test_preview_of_a_parquet_table(spark, tmp_path):
+    from docloom.sources.readers import parquet_preview
+
+    spark.range(100).selectExpr("id", "cast(id AS string) AS `a.b`").coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = sorted(map(tuple, parquet_preview(spark, f"{tmp_path}/t", 3).collect()))
+    assert got == [("a.b", "string", 1, ["0", "1", "2"]), ("id", "bigint", 0, ["0", "1", "2"])]
+    spark.range(0).write.parquet(f"{tmp_path}/e")
+    assert [tuple(r) for r in parquet_preview(spark, f"{tmp_path}/e").collect()] == [("id", "bigint", 0, [])]
