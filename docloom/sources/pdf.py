@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ TOKEN = re.compile(
 )
 REFERENCE = re.compile(rb"[" + SPACE + rb"]+(\d+)[" + SPACE + rb"]+R(?=[" + END + rb"]|$)")
 ESCAPED = re.compile(rb"\\([0-7]{1,3}|\r\n|.)|([()])", re.S)
+KNOWN = {b"true": True, b"false": False, b"null": None}
 # Names of control characters after a backslash
 CONTROLS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 
@@ -82,12 +84,14 @@ def value_at(data: bytes, at: int, depth: int = 0) -> tuple[object, int]:
         return None, len(data)
     at, kind = m.end(), m.lastgroup
     token = m[kind]
+    if kind == "word":
+        return (KNOWN[token] if token in KNOWN else Word(token)), at
     if kind == "number":
         if token.isdigit() and (r := REFERENCE.match(data, at)):
             return Ref(int(token)), r.end()
         return (float(token) if b"." in token else int(token)), at
     if kind == "name":
-        return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x[1].decode()), token).decode("latin-1")), at
+        return Name((re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x[1].decode()), token) if b"#" in token else token).decode("latin-1")), at
     if kind == "hex":
         digits = re.sub(rb"[" + SPACE + rb"]", b"", token).decode()
         return bytes.fromhex(digits + "0" * (len(digits) % 2)), at
@@ -95,14 +99,13 @@ def value_at(data: bytes, at: int, depth: int = 0) -> tuple[object, int]:
         return string_at(data, at)
     if token in (b"[", b"<<"):
         close, items = {b"[": b"]", b"<<": b">>"}[token], []
-        while (item := value_at(data, at, depth + 1))[0] != Word(close):
-            if item[1] >= len(data):
+        while True:
+            item, at = value_at(data, at, depth + 1)
+            if (type(item) is Word and item == close) or at >= len(data):
                 break
-            items.append(item[0])
-            at = item[1]
-        return (items if token == b"[" else dict(zip(items[::2], items[1::2], strict=False))), item[1]
-    known = {b"true": True, b"false": False, b"null": None}
-    return (known[token] if token in known else Word(token)), at
+            items.append(item)
+        return (items if token == b"[" else dict(zip(items[::2], items[1::2], strict=False))), at
+    return Word(token), at
 
 
 def unpredicted(data: bytes, parms: dict) -> bytes:
@@ -362,6 +365,7 @@ class Font:
         stream = get(head.get("ToUnicode"))
         self.map = code_map(objects.bytes_of(stream)) if isinstance(stream, Stream) else {}
         self.widths: dict[int, float] = {}
+        self.known: dict[int, tuple[str, float]] = {}
         if self.wide:
             below = get((get(head.get("DescendantFonts")) or [{}])[0]) or {}
             self.other, items = get(below.get("DW", 1000)), [get(x) for x in get(below.get("W")) or []]
@@ -384,16 +388,22 @@ class Font:
                 place, old = (x, -1) if isinstance(x, int) else (place + 1, place)
                 if 0 <= old < 256:
                     self.chars[old] = glyph(x)
+            for code, text in self.map.items():
+                if len(code) == 1:
+                    self.chars[code[0]] = text
+            self.sizes = [self.widths.get(i, self.other) / 1000 for i in range(256)]
 
-    def shown(self, codes: bytes) -> Iterator[tuple[str, float, bool]]:
-        """(characters, width in text space, whether it is the one-byte space) of each code."""
-        step = 2 if self.wide else 1
-        for i in range(0, len(codes) - step + 1, step):
-            code = codes[i : i + step]
-            n = int.from_bytes(code)
-            known = self.map.get(code)
-            text = known if known is not None else "" if self.wide else self.chars[n]
-            yield text, self.widths.get(n, self.other) / 1000, step == 1 and n == 32
+    def measured(self, codes: bytes) -> tuple[str, float, int, int]:
+        """Characters and width in text space of a string, its number of codes, and of those that are the one-byte space."""
+        if self.wide:
+            n = len(codes) // 2
+            found = [self.known.get(c) or self.learned(c) for c in struct.unpack(f">{n}H", codes[: 2 * n])]
+            return "".join([x for x, _ in found]), sum([w for _, w in found]), n, 0
+        return "".join(map(self.chars.__getitem__, codes)), sum(map(self.sizes.__getitem__, codes)), len(codes), codes.count(b" ")
+
+    def learned(self, code: int) -> tuple[str, float]:
+        found = self.known[code] = self.map.get(code.to_bytes(2), ""), self.widths.get(code, self.other) / 1000
+        return found
 
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -427,16 +437,17 @@ class Shown:
             font, size, wide = state["font"], state["size"], state["Tz"] / 100
             if font is None:
                 return
-            out, start = [], text
+            out, start, along = [], text, 0.0
             for item in items:
                 if isinstance(item, (int, float)):
-                    text = times((1, 0, 0, 1, -item / 1000 * size * wide, 0), text)
+                    along -= item / 1000 * size * wide
                     if item < -200 and out and not out[-1].endswith(" "):
                         out.append(" ")
                 elif isinstance(item, bytes):
-                    for chars, width, blank in font.shown(item):
-                        out.append(chars)
-                        text = times((1, 0, 0, 1, (width * size + state["Tc"] + state["Tw"] * blank) * wide, 0), text)
+                    chars, width, n, blanks = font.measured(item)
+                    out.append(chars)
+                    along += (width * size + n * state["Tc"] + blanks * state["Tw"]) * wide
+            text = (*start[:4], start[4] + along * start[0], start[5] + along * start[1])
             shape = times((size, 0, 0, size, 0, state["Ts"]), times(start, state["ctm"]))
             end = times(text, state["ctm"])
             tall = math.hypot(shape[2], shape[3])
@@ -529,6 +540,11 @@ def file_rows(path: str, content: bytes | None) -> Iterator[tuple]:
         yield (path, None, None, *[None] * 8, f"damaged: {type(error).__name__}")
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(RUNS_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUNS_ARROW, strict=True)], schema=RUNS_ARROW)
+
+
 def pdf_runs(files: DataFrame) -> DataFrame:
     """Rows of (path, content) as RUNS: in the order of the page's content, coordinates from the page's upper left corner.
 
@@ -542,9 +558,9 @@ def pdf_runs(files: DataFrame) -> DataFrame:
                 for row in file_rows(path.as_py(), content.as_py()):
                     rows.append(row)
                     if len(rows) == BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist([dict(zip(RUNS_ARROW.names, r, strict=True)) for r in rows], schema=RUNS_ARROW)
+                        yield batch_of(rows)
                         rows = []
-        yield pa.RecordBatch.from_pylist([dict(zip(RUNS_ARROW.names, r, strict=True)) for r in rows], schema=RUNS_ARROW)
+        yield batch_of(rows)
 
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(read, RUNS)
 
