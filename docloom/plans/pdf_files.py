@@ -125,7 +125,7 @@ def files(documents: DataFrame) -> DataFrame:
             made = [pdf_bytes(lines.as_py(), STYLES[i.as_py() % len(STYLES)]) for i, lines in zip(batch["doc_id"], batch["lines"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return text_lines(documents).mapInArrow(make, "path string, content binary")
+    return text_lines(documents).repartition("doc_id").mapInArrow(make, "path string, content binary")
 
 
 LINES = rf"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, line FROM (
