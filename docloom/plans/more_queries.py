@@ -29,8 +29,12 @@ def column_name(k: int) -> str:
     return out
 
 
+class Number(int):
+    """A whole number that is no date, however large."""
+
+
 def xlsx_bytes(book: list[tuple[str, list[list[str | float | None]]]]) -> bytes:
-    """A workbook of (sheet, rows): texts shared or inline by turns, numbers plain, whole numbers of over 40,000 as dates; empty cells aren't there."""
+    """A workbook of (sheet, rows): texts shared or inline by turns, numbers plain, whole numbers of over 40,000 as dates unless each is a Number; empty cells aren't there."""
     from xml.sax.saxutils import escape, quoteattr
 
     strings: dict[str, int] = {}
@@ -46,7 +50,7 @@ def xlsx_bytes(book: list[tuple[str, list[list[str | float | None]]]]) -> bytes:
                 elif isinstance(x, str):
                     cells.append(f'<c {ref} t="inlineStr"><is><t xml:space="preserve">{escape(x)}</t></is></c>')
                 elif x is not None:
-                    cells.append(f'<c {ref} s="{int(isinstance(x, int) and x > 40_000)}"><v>{x!r}</v></c>')
+                    cells.append(f'<c {ref} s="{int(isinstance(x, int) and not isinstance(x, Number) and x > 40_000)}"><v>{x!r}</v></c>')
             lines.append(f'<row r="{r}">{"".join(cells)}</row>')
         parts[f"xl/worksheets/sheet{i + 1}.xml"] = f"<worksheet {SHEET}><sheetData>{''.join(lines)}</sheetData></worksheet>"
     shared = "".join(f'<si><r><t xml:space="preserve">{escape(x[:2])}</t></r><r><t xml:space="preserve">{escape(x[2:])}</t></r><rPh><t>not said</t></rPh></si>' for x in strings)
@@ -66,7 +70,7 @@ def workbooks(spark, d) -> DataFrame:
     grouped = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal"))).alias("rows"))
 
     def make(found: list[dict]) -> bytes:
-        names = [["key", "name", "balance"], *([r["s_suppkey"], r["s_name"], r["s_acctbal"]] for r in found)]
+        names = [["key", "name", "balance"], *([Number(r["s_suppkey"]), r["s_name"], r["s_acctbal"]] for r in found)]
         days = [["name", None, "day"], *([r["s_name"], None, 41_000 + r["s_suppkey"] % 4_000] for r in found)]
         return xlsx_bytes([("Suppliers", names), ("Days & more", days)])
 

@@ -76,3 +76,17 @@ def test_voices(spark):
     rows = spark.createDataFrame([("ja", "Host"), ("ja", "guest"), ("xx", "host"), (None, None)], "lang string, who string")
     got = [tuple(r) for r in rows.select(records.voice(F.col("lang"), F.col("who")), records.language_name(F.col("lang"))).collect()]
     assert got == [("ja-JP-KeitaNeural", "Japanese"), ("ja-JP-NanamiNeural", "Japanese"), ("en-US-GuyNeural", "xx"), ("en-US-JennyNeural", None)]
+
+
+def test_large_keys_are_no_dates(spark):
+    from docloom.plans.more_queries import Number
+
+    book = [("S", [["key", "day"], [Number(41_000), 41_000]])]
+    assert rows_of(spark, xlsx_bytes(book))[1] == ("S", 2, ["41000", "2012-04-01"], None)
+
+
+def test_sheets_of_suppliers_with_large_keys(spark, tmp_path):
+    from docloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(40_597, "Supplier", 3, 1.5)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r["cells"] for r in QUERIES["q_sheets"](spark, str(tmp_path)).filter("sheet = 'Suppliers'").collect()} == {"key|name|balance", "40597|Supplier|1.5"}
