@@ -35,12 +35,24 @@ def csv(spark: SparkSession, path: str, separator: str = ",", schema: str | None
 
 
 def parquet_preview(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
-    """Column, type, pos, samples (as text) of a Parquet table: its schema from a footer, and the first rows of its first file; nothing else is read."""
+    """Column, type, pos, samples (as text) of a Parquet table: its schema from a footer, and the first rows of its files in the order of their names.
+
+    Only the first file is read, and further ones as long as there are fewer than n rows. Spark's own order of files is by size.
+    """
     rows = spark.read.parquet(path)
-    schema, some = rows.schema, rows.limit(n)  # a limit without an order reads from the first file on
+    schema = rows.schema
+    bare = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9]+):/+", "$1:/")  # noqa: E731  file:/ and file:///
+    chosen, have = [], 0
+    for name in sorted(rows.inputFiles()):
+        if have >= n:
+            break
+        chosen.append(re.sub("^([a-zA-Z0-9]+):/+", r"\1:/", name))
+        have += rows.filter(bare(F.col("_metadata.file_path")) == chosen[-1]).limit(n).count()
+    head = rows.withColumns({"file_of_row": bare(F.col("_metadata.file_path")), "index_of_row": F.col("_metadata.row_index")})
+    some = head.filter(F.col("file_of_row").isin(chosen) & (F.col("index_of_row") < n)).orderBy("file_of_row", "index_of_row").limit(n)
     cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(schema)])
-    placed = some.withColumn("place_of_row", F.monotonically_increasing_id()).select("place_of_row", F.inline(cells))
-    samples = F.transform(F.sort_array(F.collect_list(F.struct("place_of_row", "value"))), lambda x: x["value"])
+    placed = some.select("file_of_row", "index_of_row", F.inline(cells))
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("file_of_row", "index_of_row", "value"))), lambda x: x["value"])
     found = placed.groupBy("pos").agg(samples.alias("samples"))
     names = spark.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(schema)], "column string, type string, pos int")
     return names.join(found, "pos", "left").select("column", "type", "pos", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

@@ -80,3 +80,12 @@ def test_preview_of_a_parquet_table(spark, tmp_path):
     assert got == [("a.b", "string", 1, ["0", "1", "2"]), ("id", "bigint", 0, ["0", "1", "2"])]
     spark.range(0).write.parquet(f"{tmp_path}/e")
     assert [tuple(r) for r in parquet_preview(spark, f"{tmp_path}/e").collect()] == [("id", "bigint", 0, [])]
+
+
+def test_preview_begins_with_the_first_file_not_the_largest(spark, tmp_path):
+    from docloom.sources.readers import parquet_preview
+
+    spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/p/k=1")
+    spark.range(10, 5000).coalesce(1).write.parquet(f"{tmp_path}/p/k=2")
+    got = {r["column"]: r["samples"] for r in parquet_preview(spark, f"{tmp_path}/p", 4).collect()}
+    assert got == {"id": ["0", "1", "10", "11"], "k": ["1", "1", "2", "2"]}
