@@ -75,9 +75,9 @@ def as_text(files: DataFrame, charset: str = "UTF-8") -> DataFrame:
     return rows.select("path", F.when(~few, F.col("text")).alias("text"), F.when(few, "failed").otherwise("success").alias("status"), F.when(few, "too few letters").alias("error"))
 
 
-def pages(frame: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Fetched pages with title, metadata and light Markdown."""
-    text = page_text(html)
+def pages(frame: DataFrame, url: str = "url", html: str = "html", ended: bool = False) -> DataFrame:
+    """Fetched pages with title, metadata and light Markdown; `ended` as in page_text."""
+    text = page_text(html, ended)
     h = F.col(html)
     rows = frame.withColumn("page_text", text)
     return rows.select(

@@ -395,3 +395,9 @@ def test_mmr_asks_for_every_20th_vector(spark):
     assert got.keys() == near.keys() and len(near) == len(ids) / 20
     for q, picks in got.items():
         assert picks[0] == q and len(set(picks)) == 8 and set(picks) <= near[q]
+
+
+def test_references_without_a_semicolon(spark):
+    html = "<html><body><article><h1>a &amp;&amp</h1><p>x &copy 1 &lt;b&gt; &AMP; &#65; &nosuch; & y&amp<p>z</article></body></html>"
+    r = spark.createDataFrame([(html,)], "h string").select(page_text("h", ended=True)["structured"].alias("ended"), page_text("h")["structured"].alias("all")).first()
+    assert r["ended"] == "\n# a &&amp\n\nx &copy 1 <b> & A &nosuch; & y&amp\nz" and r["all"] == "\n# a &&\n\nx © 1 <b> & A &nosuch; & y&\nz"
