@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import stripped, word_count
+from .text import stripped, two_decimals, word_count
 
 MARK = r"\[SOURCE\s+(\d+)\]"
 WORDS_FOR_ONE, WORDS_FOR_DENSITY, WORDS_PER_CITATION = 20, 50, 100
@@ -68,7 +68,7 @@ def problem_message(checked: Column) -> Column:
         .when(checked["problem"] == "none", F.lit("No citations found: add [SOURCE n] after each claim."))
         .when(checked["problem"] == "invalid", F.concat(F.lit("Citations out of range: "), F.array_join(checked["invalid_sources"].cast("array<string>"), ", ")))
         .when(checked["problem"] == "few", F.lit("Too few sources cited."))
-        .otherwise(F.format_string("Citation density %.2f per 100 words is too low.", checked["citation_density"]))
+        .otherwise(F.concat(F.lit("Citation density "), two_decimals(checked["citation_density"]), F.lit(" per 100 words is too low.")))
     )
 
 

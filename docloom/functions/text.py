@@ -176,6 +176,18 @@ def human_size(c: Column) -> Column:
     )
 
 
+def two_decimals(c: Column) -> Column:
+    """A number with two decimals, rounded from its exact value with halves to even, as printf and Python do (Java goes by its shortest decimals, halves up)."""
+    size = F.abs(c)
+    part = ((size - F.floor(size)) * float(1 << 60)).cast("long").cast("decimal(20,0)") * 100  # exact: what 60 bits lack is below half a hundredth
+    one = F.lit(1 << 60).cast("decimal(20,0)")
+    down = F.call_function("div", part, one)
+    rest = part - down * one
+    cents = F.floor(size) * 100 + down + ((2 * rest > one) | ((2 * rest == one) & (down % 2 == 1))).cast("long")
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(size < 1e15, text).otherwise(F.format_string("%.2f", c))
+
+
 def filled_template(template: str, values: dict[str, Column]) -> Column:
     """Placeholders {{name}} replaced literally, in the order given."""
     out = F.lit(template)

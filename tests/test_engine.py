@@ -401,3 +401,12 @@ def test_references_without_a_semicolon(spark):
     html = "<html><body><article><h1>a &amp;&amp</h1><p>x &copy 1 &lt;b&gt; &AMP; &#65; &nosuch; & y&amp<p>z</article></body></html>"
     r = spark.createDataFrame([(html,)], "h string").select(page_text("h", ended=True)["structured"].alias("ended"), page_text("h")["structured"].alias("all")).first()
     assert r["ended"] == "\n# a &&amp\n\nx &copy 1 <b> & A &nosuch; & y&amp\nz" and r["all"] == "\n# a &&\n\nx © 1 <b> & A &nosuch; & y&\nz"
+
+
+def test_two_decimals_are_those_of_printf(spark):
+    values = [0.625, 0.375, 0.125, 0.295, 0.285, 1.005, 2.675, 0.0, 99.995, 0.999, 1e-9, 7.0, -0.375, -2.5, 123456789.125, 1e20]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(text.two_decimals(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{v:.2f}" for v in values]
+    words = "w " * 158 + "[SOURCE 1]"
+    message = citations.problem_message(citations.validated(F.lit(words), F.lit(3)))
+    assert one(spark, message) == "Citation density 0.62 per 100 words is too low."
