@@ -192,7 +192,7 @@ def _(spark, d):
     # without the query's own vector, beside which all others would be alike
     v = t(spark, d, "embeddings")
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    near = retrieve.top_k_of(asked, v, 31).filter("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 30")
+    near = retrieve.top_k_of(asked, v, 31, whole=True).filter("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 30")
     return retrieve.mmr(near, 8).select("query_id", "pick", "vec_id")
 
 

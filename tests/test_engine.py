@@ -410,3 +410,37 @@ def test_two_decimals_are_those_of_printf(spark):
     words = "w " * 158 + "[SOURCE 1]"
     message = citations.problem_message(citations.validated(F.lit(words), F.lit(3)))
     assert one(spark, message) == "Citation density 0.62 per 100 words is too low."
+
+
+def test_near_ties_and_copies_go_as_in_sql(spark):
+    # similarities above 1 by rounding count as 1, so that equal ones go by key; copies give equal sums wherever they stand
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 9, size=(6, 4)).astype(float)
+    rows = [(i, [float(x) for x in base[i % 6] * (1 + i // 6)], i % 3) for i in range(120)] + [(200, None, 0), (201, [0.0] * 4, 1), (202, [float("nan")] * 4, 2), (203, [1.0, None, 1.0, 1.0], 0), (204, [1.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    asked = v.filter("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+    def alike(a, b):
+        if a is None or None in a or len(a) != 4 or any(x != x for x in a) or not any(a):
+            return 0.0
+        total = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return max(-1.0, min(1.0, total(a, b) / np.sqrt(total(a, a) * total(b, b))))
+
+    for per in (None, ["label"]):
+        want = set()
+        for q in range(6):
+            for group in ({0, 1, 2},) if per is None else ({0}, {1}, {2}):
+                order = sorted((-alike(e, base[q]), i) for i, e, label in rows if label in group)
+                want |= {(q, i, rank, -s) for rank, (s, i) in enumerate(order[:25], 1)}
+        found = retrieve.top_k_of(asked, v, 25, per=per, whole=True)
+        assert {(r.query_id, r.vec_id, r["rank"], r.similarity) for r in found.collect()} == want and "embedding" in found.columns
+
+
+def test_few_rows_of_a_query_are_shuffled(spark):
+    # each task hands on its k best, so vectors of no query's best stay where they are
+    from docloom.operators.matrices import nearest
+
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(50, 8)), 40, axis=0)
+    who, at, _ = nearest(v[:3], v, np.arange(len(v)), np.zeros(len(v), np.int64), 5, 64)
+    assert len(who) == 15 and [list(at[who == q]) for q in range(3)] == [[0, 1, 2, 3, 4]] * 3
