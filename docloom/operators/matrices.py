@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,14 +21,6 @@ def places(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def best(products: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of products the places of its k greatest, greatest first, equal ones by key."""
-    least = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] > k else np.full(len(products), -np.inf)
-    for i, row in enumerate(products):
-        at = np.flatnonzero(row >= least[i])
-        yield i, at[np.lexsort((keys[at], -row[at]))[:k]]
-
-
 def totals(products: np.ndarray) -> np.ndarray:
     """Each row's sum, added up in the order of its components, so that equal rows give equal sums wherever they stand."""
     return np.cumsum(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))

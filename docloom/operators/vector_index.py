@@ -3,16 +3,17 @@
 Centroids are k-means of a sample; every vector is written to the list of its nearest centroid, lists being the partition
 column of a table. A search compares queries with centroids, and a semi-join on the partition column lets Spark read only
 the lists that some query probes (dynamic partition pruning); filters on owners go to the same scan. Queries and the
-vectors of their lists meet in one group for each part of a list, as matrix products; only the best k of a query leave it.
+vectors of their lists meet in cells, as matrix products; a query goes once to each cell that has lists of its, with their
+numbers, and only its best k leave a cell.
 
 Lists are cut into parts of about PART_ROWS rows by their measured size, so that a list of any size, equal vectors
-included, is no larger group; queries come in blocks of BLOCK_QUERIES. Centroids, and the lists' radii and sizes, are
-bounded by MOST_LISTS rows and are broadcast.
+included, is no larger group; parts are dealt to cells of about as many rows in turn. Queries come in blocks of
+BLOCK_QUERIES. Centroids, and the lists' radii and sizes, are bounded by MOST_LISTS rows and are broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import dot
-from .matrices import best, matrix, places
+from .matrices import firsts, matrix, nearest, places
 
 #: Rows of the sample and of a part, most lists, queries of a block, and products held at once.
 SAMPLE, PART_ROWS, MOST_LISTS, BLOCK_QUERIES, HELD = 100_000, 50_000, 16_384, 50_000, 4_000_000
@@ -54,6 +55,24 @@ def assigned(rows: DataFrame, centers: np.ndarray, numbers: list[int]) -> DataFr
     return rows.withColumn("found", nearest("unit")).withColumns({"list": F.col("found.list"), "distance": F.col("found.distance")}).drop("found")
 
 
+def chooser(centers: np.ndarray, radii: np.ndarray, numbers: list[int], n: int) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    """For each query of a batch the places of the n lists nearest to it, and of all that can hold a vector within its reach."""
+    order = np.array(numbers)
+
+    def choose(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        asking, reach = matrix(pa.chunked_array([batch["query"]])), batch["reach"].to_numpy(zero_copy_only=False)
+        for i in range(len(asking)):
+            if not len(order):
+                yield np.zeros(0, np.int64)
+                continue
+            near = np.sqrt(np.maximum(0, 2 - 2 * (centers @ asking[i])))
+            chosen = near - radii <= reach[i] + 1e-9  # a margin for rounding
+            chosen[np.lexsort((order, near))[:n]] = True
+            yield np.flatnonzero(chosen)
+
+    return choose
+
+
 class VectorIndex:
     """The index at a path that all executors reach: `centroids` (list, centroid, radius, parts) and `lists`, partitioned by list."""
 
@@ -109,20 +128,36 @@ class VectorIndex:
     def probes(self, queries: DataFrame, n: int) -> DataFrame:
         """(query_id, query, list, parts) of the n lists nearest to each query (query_id, query, reach), and of all that can hold a vector within its reach."""
         kind = queries.schema["query_id"].dataType.simpleString()
-        centers, numbers, parts, radii = self.centers, np.array(self.numbers, np.int32), np.array(self.parts, np.int32), self.radii
+        choose, numbers, parts = chooser(self.centers, self.radii, self.numbers, n), np.array(self.numbers, np.int32), np.array(self.parts, np.int32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = list(choose(batch))
+                lengths = np.array([len(x) for x in at], np.int64)
+                ends, flat = pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), np.concatenate([*at, np.zeros(0, np.int64)])
+                pairs = pa.StructArray.from_arrays([pa.array(numbers[flat]), pa.array(parts[flat])], names=["list", "parts"])
+                yield pa.RecordBatch.from_arrays([batch["query_id"], batch["query"], pa.ListArray.from_arrays(ends, pairs)], names=["query_id", "query", "lists"])
+
+        found = queries.select("query_id", "query", "reach").mapInArrow(run, f"query_id {kind}, query array<double>, lists array<struct<list:int,parts:int>>")
+        return found.select("query_id", "query", F.inline("lists"))
+
+    def dealt(self, queries: DataFrame, n: int, cells: int) -> DataFrame:
+        """(query_id, query, cell, lists): each query once for each cell that holds parts of its lists, with those lists."""
+        kind = queries.schema["query_id"].dataType.simpleString()
+        choose, numbers, parts = chooser(self.centers, self.radii, self.numbers, n), np.array(self.numbers, np.int64), np.array(self.parts, np.int64)
 
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                asking, reach = matrix(pa.chunked_array([batch["query"]])), batch["reach"].to_numpy(zero_copy_only=False)
-                for i in range(len(asking) if len(numbers) else 0):
-                    near = np.sqrt(np.maximum(0, 2 - 2 * (centers @ asking[i])))
-                    chosen = near - radii <= reach[i] + 1e-9  # a margin for rounding
-                    chosen[np.lexsort((numbers, near))[:n]] = True
-                    at = np.flatnonzero(chosen)
-                    same = pa.array(np.full(len(at), i))
-                    yield pa.RecordBatch.from_arrays([batch["query_id"].take(same), batch["query"].take(same), pa.array(numbers[at]), pa.array(parts[at])], names=["query_id", "query", "list", "parts"])
+                for i, at in enumerate(choose(batch)):
+                    wanted = np.repeat(numbers[at], parts[at])
+                    part = np.arange(len(wanted)) - np.repeat(np.cumsum(parts[at]) - parts[at], parts[at])
+                    pairs = np.unique(np.stack([(wanted + part) % cells, wanted], axis=1), axis=0)
+                    cell, starts = np.unique(pairs[:, 0], return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)), pa.int32()), pa.array(pairs[:, 1], pa.int32()))
+                    same = pa.array(np.full(len(cell), i))
+                    yield pa.RecordBatch.from_arrays([batch["query_id"].take(same), batch["query"].take(same), pa.array(cell, pa.int32()), lists], names=["query_id", "query", "cell", "lists"])
 
-        return queries.select("query_id", "query", "reach").mapInArrow(choose, f"query_id {kind}, query array<double>, list int, parts int")
+        return queries.select("query_id", "query", "reach").mapInArrow(run, f"query_id {kind}, query array<double>, cell int, lists array<int>")
 
     def probed(self, probes: DataFrame, where: Column | None = None) -> DataFrame:
         """The rows of the lists that some query probes, and that meet a filter."""
@@ -130,47 +165,63 @@ class VectorIndex:
         rows = self.lists.filter(where) if where is not None else self.lists
         return rows.join(wanted, "list", "left_semi")
 
-    def compared(self, probes: DataFrame, k: int, where: Column | None, blocks: int) -> DataFrame:
-        """Each query's k best of every part of the lists it probes."""
+    def compared(self, asked: DataFrame, probes: int, k: int, where: Column | None, blocks: int, cells: int, columns: list[str] | None) -> DataFrame:
+        """Each query's k best of every cell of the lists it probes."""
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-        asked = probes.select("query_id", "query", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        rows = self.probed(probes, where).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
-        kept = [f for f in self.lists.schema if f.name not in ("unit", "list", "part")]
+        dealt = self.dealt(asked, probes, cells).withColumn("block", block)
+        rows = self.probed(self.probes(asked, probes), where).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
+        kept = [f for f in self.lists.schema if f.name not in ("unit", "list", "part") and (columns is None or f.name in (*columns, self.key))]
         names = [f"kept_{i}" for i in range(len(kept))]  # whatever the columns are called
-        rows = rows.select("list", "part", "block", "unit", *[F.col(f"`{f.name}`").alias(name) for f, name in zip(kept, names, strict=True)])
+        cell = F.pmod(F.col("list") + F.col("part"), F.lit(cells)).cast("int")
+        rows = rows.select(cell.alias("cell"), "block", "list", "unit", *[F.col(f"`{f.name}`").alias(name) for f, name in zip(kept, names, strict=True)])
         key = names[[f.name for f in kept].index(self.key)]
-        schema = ", ".join([f"query_id {probes.schema['query_id'].dataType.simpleString()}", *(f"{name} {f.dataType.simpleString()}" for f, name in zip(kept, names, strict=True)), "similarity double"])
+        schema = ", ".join([f"query_id {asked.schema['query_id'].dataType.simpleString()}", *(f"{name} {f.dataType.simpleString()}" for f, name in zip(kept, names, strict=True)), "similarity double"])
 
         def meet(_: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
             units, asking, order = matrix(vectors["unit"]), matrix(queries["query"]), places(vectors[key])
-            chosen, whose, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            step = max(1, HELD // max(1, len(units)))
-            for a in range(0, len(asking) if len(units) else 0, step):
-                products = asking[a : a + step] @ units.T
-                for i, at in best(products, order, k):
-                    chosen.append(at)
-                    whose.append(np.full(len(at), a + i))
-                    values.append(products[i, at])
-            ids = queries["query_id"].take(pa.array(np.concatenate(whose)))
-            found = vectors.select(names).take(pa.array(np.concatenate(chosen)))
-            return pa.Table.from_arrays([ids, *found.columns, pa.array(np.concatenate(values))], names=["query_id", *names, "similarity"])
-
-        met = rows.groupBy("list", "part", "block").cogroup(asked.groupBy("list", "part", "block")).applyInArrow(meet, schema)
+            of = vectors["list"].to_numpy()
+            lists = pa.chunked_array(queries["lists"].chunks, pa.list_(pa.int32()))
+            wanted = np.concatenate([*(x.flatten().to_numpy(zero_copy_only=False) for x in lists.chunks), np.zeros(0, np.int32)])
+            whose = np.repeat(np.arange(len(queries)), np.concatenate([*(x.value_lengths().to_numpy(zero_copy_only=False) for x in lists.chunks), np.zeros(0, np.int32)]))
+            by_row, by_query = np.argsort(of, kind="stable"), np.argsort(wanted, kind="stable")
+            rows_of, queries_of, n_held = of[by_row], wanted[by_query], 0
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+            def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                who, at, similarity = (np.concatenate(x) for x in zip(*held, strict=True))
+                first = firsts(k, order[at], -similarity, who)
+                return who[first], at[first], similarity[first]
+
+            for number in np.unique(of):
+                mine = by_row[np.searchsorted(rows_of, number) : np.searchsorted(rows_of, number, "right")]
+                asks = whose[by_query[np.searchsorted(queries_of, number) : np.searchsorted(queries_of, number, "right")]]
+                who, at, similarity = nearest(asking[asks], units[mine], order[mine], np.zeros(len(mine), np.int64), k, HELD)
+                held.append((asks[who], mine[at], similarity))
+                n_held += len(who)
+                if n_held > HELD // 2:  # the best so far, so that what is held doesn't grow with the lists
+                    held, n_held = [merged()], 0
+            who, at, similarity = merged()
+            found = vectors.select(names).take(pa.array(at))
+            return pa.Table.from_arrays([queries["query_id"].take(pa.array(who)), *found.columns, pa.array(similarity)], names=["query_id", *names, "similarity"])
+
+        met = rows.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(meet, schema)
         return met.select("query_id", *[F.col(name).alias(f.name) for f, name in zip(kept, names, strict=True)], "similarity")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, where: Column | None = None, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = 8, where: Column | None = None, exact: bool = False, columns: list[str] | None = None) -> DataFrame:
         """The k rows most like each query (query_id, query): columns of the indexed rows, similarity (cosine) and rank.
 
         `probes` lists are read for each query. exact: then those too that can hold a row as near as the k-th best found, so
-        that none is missed. Queries without a direction find nothing; equal similarities go by key.
+        that none is missed. Queries without a direction find nothing; equal similarities go by key. `columns`: those of the
+        rows that are wanted beside the key, all if not given; each query's finds carry them through a shuffle.
         """
         asked = queries.select("query_id", unit(F.col("query")).alias("query"), F.lit(-1.0).alias("reach")).filter("query IS NOT NULL")
         blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+        cells = max(1, -(-self.lists.count() // PART_ROWS), min(self.spark.sparkContext.defaultParallelism, sum(self.parts)))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), self.key))
         if exact:
-            seen = self.compared(self.probes(asked, probes), k, where, blocks).withColumn("rank", rank).filter(F.col("rank") == k)
+            seen = self.compared(asked, probes, k, where, blocks, cells, []).withColumn("rank", rank).filter(F.col("rank") == k)
             reach = seen.select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("found"))
             # a query that found fewer than k reaches every list
             asked = asked.join(reach, "query_id", "left").select("query_id", "query", F.coalesce("found", F.lit(9.0)).alias("reach"))
-        found = self.compared(self.probes(asked, probes), k, where, blocks)
+        found = self.compared(asked, probes, k, where, blocks, cells, columns)
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)

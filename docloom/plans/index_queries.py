@@ -22,7 +22,7 @@ def asked_of(vectors):
 def _(spark, d):
     v = t(spark, d, "embeddings")
     index = VectorIndex.build(v, f"{work_folder(spark)}/index", owner=["label"])
-    found = index.search(asked_of(v), 10, where=F.col("label").isin(1, 2, 3), exact=True)
+    found = index.search(asked_of(v), 10, where=F.col("label").isin(1, 2, 3), exact=True, columns=["label"])
     return found.select("query_id", "vec_id", "label", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -33,7 +33,7 @@ def _(spark, d):
     index, asked = VectorIndex.build(v, f"{work_folder(spark)}/index"), asked_of(v)
     probes = -(-65 * len(index.numbers) // 100)
     truth = retrieve.top_k_of(asked, v, 10).select("query_id", "vec_id")
-    hits = truth.join(index.search(asked, 10, probes).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    hits = truth.join(index.search(asked, 10, probes, columns=[]).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     sizes = index.lists.groupBy("list").agg(F.count("*").alias("size"))
     turned = asked.select("query_id", "query", F.lit(-1.0).alias("reach")).withColumn("query", F.col("query").cast("array<double>"))
     compared = index.probes(turned, probes).join(sizes, "list").agg(F.sum("size").alias("compared"))

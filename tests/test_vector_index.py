@@ -114,3 +114,18 @@ def test_nothing_to_index(spark, tmp_path):
     index = VectorIndex.build(spark.createDataFrame([(1, None, 0, "y")], SCHEMA), f"{tmp_path}/index")
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query array<float>")
     assert index.search(asked, 3).collect() == [] and index.search(asked, 3, exact=True).collect() == []
+
+
+def test_a_query_goes_once_to_each_cell(built):
+    rows, index, queries, asked = built
+    ready = asked.select("query_id", vector_index.unit(F.col("query")).alias("query"), F.lit(-1.0).alias("reach"))
+    dealt = index.dealt(ready, 12, 3).collect()
+    assert len(dealt) <= 3 * len(queries) and len({(r["query_id"], r["cell"]) for r in dealt}) == len(dealt)
+    pairs = {(r["query_id"], r["list"]) for r in index.probes(ready, 12).collect()}
+    assert {(r["query_id"], x) for r in dealt for x in r["lists"]} == pairs and len(pairs) == 12 * len(queries)
+
+
+def test_only_wanted_columns_are_found(built):
+    rows, index, queries, asked = built
+    found = index.search(asked, 10, probes=1, exact=True, columns=["label"])
+    assert found.columns == ["query_id", "vec_id", "label", "similarity", "rank"] and answers(found) == brute(rows, queries, 10)
