@@ -34,7 +34,8 @@ def unit(c: Column) -> Column:
     wide = c.cast("array<double>")
     length = F.sqrt(dot(wide, wide))
     sound = F.coalesce((length > 0) & (length < float("inf")), F.lit(False)) & ~F.exists(wide, lambda x: x.isNull() | F.isnan(x))
-    return F.when(sound, F.transform(wide, lambda x: x / length))
+    # the length is a lambda's variable, else it would be computed again for each number
+    return F.when(sound, F.element_at(F.transform(F.array(length), lambda one: F.transform(wide, lambda x: x / one)), 1))
 
 
 def ddl(rows: DataFrame) -> str:

@@ -129,3 +129,9 @@ def test_only_wanted_columns_are_found(built):
     rows, index, queries, asked = built
     found = index.search(asked, 10, probes=1, exact=True, columns=["label"])
     assert found.columns == ["query_id", "vec_id", "label", "similarity", "rank"] and answers(found) == brute(rows, queries, 10)
+
+
+def test_a_length_is_computed_once_for_a_vector(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0, None],), ([1.0, float("inf")],)], "v array<double>").select(vector_index.unit(F.col("v")).alias("u"))
+    assert [r.u for r in rows.collect()] == [[0.6, 0.8], None, None, None, None]
+    assert "/ SQRT" not in rows._jdf.queryExecution().analyzed().toString()
