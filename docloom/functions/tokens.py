@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re as plain_re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +83,11 @@ class _Coder:
         return self.fast.decode(tokens)
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values of a column one by one, so that no batch stands whole as Python objects."""
+    return (x.as_py() for x in column)
+
+
 class Vocabulary:
     """Functions of columns that count and cut texts by its tokens. Null texts have null tokens and no count."""
 
@@ -106,7 +111,7 @@ class Vocabulary:
 
     def encoded(self, c: Column) -> Column:
         def lists(coder: _Coder, texts: pa.Array) -> pa.Array:
-            parts = [coder.tokens(x) if x is not None else None for x in texts.to_pylist()]
+            parts = [coder.tokens(x) if x is not None else None for x in each(texts)]
             sizes = np.array([0 if x is None else len(x) for x in parts], np.int64)
             flat = np.concatenate([np.zeros(0, np.int32), *[x for x in parts if x is not None]])
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -115,15 +120,15 @@ class Vocabulary:
         return self._function("array<int>", lists)(c)
 
     def decoded(self, c: Column) -> Column:
-        return self._function("string", lambda coder, lists: pa.array([None if x is None else coder.text(x) for x in lists.to_pylist()], pa.string()))(c)
+        return self._function("string", lambda coder, lists: pa.array([None if x is None else coder.text(x) for x in each(lists)], pa.string()))(c)
 
     def count(self, c: Column) -> Column:
         """The number of tokens; none of a null text."""
-        return F.coalesce(self._function("bigint", lambda coder, texts: pa.array([None if x is None else len(coder.tokens(x)) for x in texts.to_pylist()], pa.int64()))(c), F.lit(0).cast("long"))
+        return F.coalesce(self._function("bigint", lambda coder, texts: pa.array([None if x is None else len(coder.tokens(x)) for x in each(texts)], pa.int64()))(c), F.lit(0).cast("long"))
 
     def count_each(self, c: Column) -> Column:
         """The numbers of tokens of the texts of an array."""
-        return self._function("array<bigint>", lambda coder, lists: pa.array([None if x is None else [len(coder.tokens(t or "")) for t in x] for x in lists.to_pylist()], pa.list_(pa.int64())))(c)
+        return self._function("array<bigint>", lambda coder, lists: pa.array([None if x is None else [len(coder.tokens(t or "")) for t in x] for x in each(lists)], pa.list_(pa.int64())))(c)
 
     def cut(self, c: Column, most: int) -> Column:
         """The text's longest beginning of at most `most` tokens that ends between characters."""
@@ -131,4 +136,4 @@ class Vocabulary:
         def beginning(coder: _Coder, text: str) -> str:
             return b"".join(coder.fast.decode_tokens_bytes(coder.tokens(text)[:most].tolist())).decode("utf-8", "ignore")
 
-        return self._function("string", lambda coder, texts: pa.array([None if x is None else beginning(coder, x) for x in texts.to_pylist()], pa.string()))(c)
+        return self._function("string", lambda coder, texts: pa.array([None if x is None else beginning(coder, x) for x in each(texts)], pa.string()))(c)

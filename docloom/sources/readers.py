@@ -25,6 +25,8 @@ from .pdf import pdf
 from .rtf import rtf_text
 from .sheets import workbook_texts
 
+#: Files whose results are held at once.
+FILES_AT_ONCE = 64
 RESULT = "path string, text string, status string, error string"
 
 
@@ -91,15 +93,23 @@ def scrape_plan(status: Column, text_length: Column, least: int = 200) -> Column
     return F.when((status == 200) & (text_length >= least), "keep").when(status.isin(403, 429, 503) | (status == 200), "browser").otherwise("fail")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = FILES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `most`, so that what is made of them doesn't pile up; an empty batch stays."""
+    for batch in batches:
+        for i in range(0, max(1, len(batch)), most):
+            yield batch.slice(i, most)
+
+
 def file_texts(files: DataFrame, read: dict[str, Callable[[bytes], str]], kind: Column | None = None) -> DataFrame:
     """RESULT rows of (path, content): each file's text by the reader of its kind (or by the only one), in one pass over the files.
 
-    A reader's ValueError, a null content and an empty text are failures, as rows. A task holds an Arrow batch of files.
+    A reader's ValueError, a null content and an empty text are failures, as rows. A task holds an Arrow batch of files, and the
+    texts of FILES_AT_ONCE.
     """
     only = next(iter(read)) if kind is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for path, content, of in zip(batch["path"].to_pylist(), batch["content"], batch["kind"].to_pylist(), strict=True):
                 try:

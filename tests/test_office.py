@@ -143,3 +143,20 @@ def test_structured_call_asks_only_again_what_failed(spark):
     assert len(got) == 200 and {r["parsed"] for r in got} == {'{"ok":1}'} and calls.value == 220
     never = readers.structured_call(rows, lambda s: s.map(lambda p: "no"), "prompt", records.robust_json).collect()
     assert len(never) == 200 and all(r["parsed"] is None and r["answer"] == "no" for r in never)
+
+
+def test_files_are_read_a_few_at_once(spark):
+    import pyarrow as pa
+
+    from docloom.sources import readers
+
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(200)]})
+    parts = list(readers.sliced(iter([batch, batch.slice(0, 0)])))
+    assert max(len(x) for x in parts) == readers.FILES_AT_ONCE and [p for x in parts for p in x["path"].to_pylist()] == batch["path"].to_pylist() and len(parts[-1]) == 0
+
+
+def test_docx_sections_reads_each_file_once(spark):
+    from docloom.plans.queries import QUERIES
+
+    plan = QUERIES["q_docx_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan  # files are made, then read
