@@ -78,8 +78,13 @@ def sentences(c: Column) -> Column:
 
 def sentence_windows(parts: Column, window: int = 3, step: int = 2) -> Column:
     """Windows of `window` sentences, `step` apart."""
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, window), " "))
+
+    def windows(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, window), " "))
+
+    # the sentences are a lambda's variable, else they would be split again for each window
+    return F.element_at(F.transform(F.array(parts), windows), 1)
 
 
 def paragraphs(c: Column) -> Column:

@@ -444,3 +444,9 @@ def test_few_rows_of_a_query_are_shuffled(spark):
     v = np.repeat(rng.normal(size=(50, 8)), 40, axis=0)
     who, at, _ = nearest(v[:3], v, np.arange(len(v)), np.zeros(len(v), np.int64), 5, 64)
     assert len(who) == 15 and [list(at[who == q]) for q in range(3)] == [[0, 1, 2, 3, 4]] * 3
+
+
+def test_sentences_are_split_once_for_all_windows(spark):
+    rows = spark.createDataFrame([("A. B. C. D.",), ("",), (None,)], "t string").select(text.sentence_windows(F.split("t", text.SENTENCE_GAP, -1)).alias("w"))
+    assert [r.w for r in rows.collect()] == [["A. B. C.", "C. D."], [""], []]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
