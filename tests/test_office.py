@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.plans import office_files
 from docloom.functions import records
 from docloom.plans.office_files import DRAW, WORD, docx_bytes, msg_bytes, pptx_bytes, relations, zipped
 from docloom.sources import readers
@@ -160,3 +161,12 @@ def test_docx_sections_reads_each_file_once(spark):
 
     plan = QUERIES["q_docx_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Join" not in plan  # files are made, then read
+
+
+def test_styles_are_looked_up_once(monkeypatch):
+    from docloom.sources import ooxml
+
+    asked, chain = [], ooxml.Styles.chain
+    monkeypatch.setattr(ooxml.Styles, "chain", lambda self, style: asked.append(style) or chain(self, style))
+    text = ooxml.docx_text(office_files.docx_of([f"line {k}" for k in range(800)]))
+    assert text.startswith("# line 0\n\nline 1") and len(asked) <= 2 * 5  # for levels and for lists: three headings, bullets, no style
