@@ -170,3 +170,9 @@ def test_styles_are_looked_up_once(monkeypatch):
     monkeypatch.setattr(ooxml.Styles, "chain", lambda self, style: asked.append(style) or chain(self, style))
     text = ooxml.docx_text(office_files.docx_of([f"line {k}" for k in range(800)]))
     assert text.startswith("# line 0\n\nline 1") and len(asked) <= 2 * 5  # for levels and for lists: three headings, bullets, no style
+
+
+def test_registry_reads_stored_files(spark):
+    from docloom.plans.queries import QUERIES
+
+    assert not [f for f in QUERIES["q_registry"](spark, "/root/testdata/sf0.001").inputFiles() if "documents" in f]
