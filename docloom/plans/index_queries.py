@@ -75,12 +75,21 @@ def _(spark, d):
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------------
+FILE_ROWS = 100_000
+
+
 def streamed(spark, rows, order, batches=4):
-    """The rows as a stream of files, one to a batch: the first has those whose `order` is 0, the next those of 1."""
+    """The rows as a stream of files, as many to each batch: the first batch has those whose `order` is 0, the next those of 1.
+
+    A file for each FILE_ROWS rows of the smallest batch, so that a batch is written by more tasks the larger it is.
+    """
     folder = f"{work_folder(spark)}/in"
+    sizes = {r["k"]: r["count"] for r in rows.groupBy(F.pmod(order, F.lit(batches)).alias("k")).count().collect()}  # `batches` rows
+    files = 1 + min(sizes.get(k, 0) for k in range(batches)) // FILE_ROWS
     for k in range(batches):
-        rows.filter(F.pmod(order, F.lit(batches)) == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part = rows.filter(F.pmod(order, F.lit(batches)) == k)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def played(spark, frame):

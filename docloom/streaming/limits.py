@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Requests a minute by kind of endpoint.
 LIMITS, WINDOW_US = {"chat": 30, "generation": 5, "auth": 10}, 60_000_000
 OUT = "key string, kind string, request_id long, at long, allowed boolean, remaining int, retry_after int"
+ANSWER = Row(*(x.split()[0] for x in OUT.split(", ")))
 
 
 class Log:
@@ -64,27 +64,34 @@ def limited(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
 
 
 class Limiter(StatefulProcessor):
-    """The same decisions on a stream: the log of each key is kept as a list of times until no request can ask for it."""
+    """The same decisions on a stream: the log of each key is kept as one value until no request can ask for it.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.log = handle, handle.getListState("log", "at long")
+    Each call to the state store costs far more than a decision, so a batch of a key makes two, and a key has one timer.
+    """
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable")
-        log = Log(LIMITS[key[1]], [r[0] for r in self.log.get()] if self.log.exists() else [])
-        batch[["allowed", "remaining", "retry_after"]] = [log.ask(t) for t in batch["at"]]
-        self.log.put([(t,) for t in log.times])
-        self.expire_at(log.times[-1])
-        yield batch[["key", "kind", "request_id", "at", "allowed", "remaining", "retry_after"]]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.log = handle, handle.getValueState("log", "times array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        asked = sorted(((r["at"], r["request_id"]) for r in rows), key=lambda x: (x[0], x[1] is None, x[1] or 0))
+        kept = self.log.get()
+        log = Log(LIMITS[key[1]], kept[0] if kept is not None else [])
+        said = [ANSWER(key[0], key[1], request, at, *log.ask(at)) for at, request in asked]
+        self.log.update((list(log.times),))
+        if kept is None:
+            self.expire_at(log.times[-1])
+        return iter(said)
 
     def expire_at(self, newest: int) -> None:
-        """The log is of no use once the watermark is a window past its newest time; an earlier timer gives way."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        """The log is of no use once the watermark is a window past its newest time."""
         self.handle.registerTimer((newest + WINDOW_US) // 1000 + 1)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.log.clear()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        newest = self.log.get()[0][-1]
+        if (newest + WINDOW_US) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():  # requests have come since
+            self.expire_at(newest)
+        else:
+            self.log.clear()
         return iter(())
 
     def close(self) -> None:
@@ -99,7 +106,7 @@ def limited_stream(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     # a watermark begins at the epoch and leaves out what isn't after it
     timed = requests.withColumn("seen", F.greatest(F.to_timestamp("ts"), F.timestamp_millis(F.lit(1)))).withWatermark("seen", late)
     rows = _prepared(timed, "seen").groupBy("key", "kind")
-    return rows.transformWithStateInPandas(Limiter(), OUT, "Append", "EventTime")
+    return rows.transformWithState(Limiter(), OUT, "Append", "EventTime")
 
 
 def first_of_stream(segments: DataFrame, keys: list[str], at: str, late: str = "10 minutes") -> DataFrame:

@@ -207,3 +207,23 @@ def test_one_keys_runs_are_dealt(spark):
         assert parts > 1 and found.filter("NOT allowed").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_key_of_the_limiter_makes_few_calls_to_its_state():
+    """One value, and one timer that goes on as long as requests come."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    value, timers = [None], []
+    state = SimpleNamespace(get=lambda: value[0], update=lambda x: value.__setitem__(0, x), clear=lambda: value.__setitem__(0, None))
+    limiter = limits.Limiter()
+    limiter.init(SimpleNamespace(getValueState=lambda name, kind: state, registerTimer=timers.append))
+    for at in (5_000_000, 50_000_000):
+        said = list(limiter.handleInputRows(("a", "auth"), iter([Row(at=at + 1, request_id=2), Row(at=at, request_id=1)]), None))
+        assert [r["request_id"] for r in said] == [1, 2]
+    assert timers == [65_001]
+    list(limiter.handleExpiredTimer(("a", "auth"), None, SimpleNamespace(getExpiryTimeInMs=lambda: 65_001)))
+    assert timers == [65_001, 110_001] and value[0] is not None
+    list(limiter.handleExpiredTimer(("a", "auth"), None, SimpleNamespace(getExpiryTimeInMs=lambda: 110_001)))
+    assert len(timers) == 2 and value[0] is None
