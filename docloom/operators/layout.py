@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import no_adjacent_repeats, stripped
 
 LEAST_CONFIDENCE = 0.35
+ROWS_A_TASK = 1_000_000
+MOST_TASKS = 200  # beyond so many a shuffle holds the rows that it writes in memory, not in a file for each task
 
 
 def block_markdown(blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -47,31 +49,57 @@ def confident(detections: DataFrame, by: list[str], least: float = LEAST_CONFIDE
     return detections.filter(F.col("conf") >= least).groupBy(*by).agg((F.avg("conf") * 100).alias("confidence"), F.count("*").alias("n"))
 
 
-def text_lines(detections: DataFrame, by: str = "page", least: float = LEAST_CONFIDENCE) -> DataFrame:
+def tasks_of(rows: DataFrame, each: int = ROWS_A_TASK) -> int:
+    """To how many tasks rows are dealt: `each` rows to one, more only where there are over `MOST_TASKS` times as many."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, -(-rows.count() // each)))
+
+
+def text_lines(detections: DataFrame, by: str = "page", least: float = LEAST_CONFIDENCE, tasks: int | None = None) -> DataFrame:
     """Lines of a page. A detection starts a new line when it is too far below the line's first one.
 
-    Spark sorts each page's detections from the top down, and one pass over them remembers the line's first: a page of any
-    length costs no memory.
+    Spark sorts each page's detections from the top down, once, and one pass over them remembers the line's first and gathers
+    the line: a page of any length costs no memory but that of a line. Pages are dealt to so many `tasks` (`tasks_of`), so that
+    one task's sort stays small; without a number Spark deals them by the settings of its shuffles.
     """
     kind = detections.schema[by].dataType.simpleString()
-    tolerance = F.greatest(F.lit(8), F.floor(F.max("page_height").over(Window.partitionBy(by)) * 0.025)).cast("double")
-    rows = detections.filter(F.col("conf") >= least).select(F.col(by).alias("of"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("bottom").cast("double").alias("bottom"), "text", tolerance.alias("tolerance"))
+    number = {c: F.col(c).cast("double").alias(c) for c in ("y", "x", "bottom")}
+    rows = detections.filter(F.col("conf") >= least).select(F.col(by).alias("of"), *number.values(), "text", F.col("page_height").alias("height"))
+    dealt = rows.repartition(tasks, "of") if tasks else rows
+    down = ("y", "x", "bottom", "text")
+    page = Window.partitionBy("of").orderBy(*down).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of the pass, which needs no other sort
+    tolerance = F.greatest(F.lit(8), F.floor(F.max("height").over(page) * 0.025)).cast("double")
+
+    def lines(batches: list[pa.RecordBatch], starts: list[int], numbers: list[int]) -> pa.RecordBatch:
+        rows = pa.concat_batches(batches).slice(0, starts[-1])
+        words = pa.StructArray.from_arrays([rows[c] for c in ("x", "text", "bottom")], names=["x", "text", "bottom"])
+        first = pa.array(starts[:-1], pa.int32())
+        return pa.RecordBatch.from_arrays([rows["of"].take(first), pa.array(numbers, pa.int32()), rows["y"].take(first), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words)], names=["of", "line", "top", "words"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, anchor, line = object(), None, -1
-        for batch in batches:
-            lines = []
-            for of, y, apart in zip(batch["of"].to_pylist(), batch["y"].to_pylist(), batch["tolerance"].to_pylist(), strict=True):
-                if of != page:
+        held, n_held = [], 0  # rows of the line that isn't ended
+        for batch in filter(len, batches):
+            starts, numbers = ([0], [line]) if held else ([], [])
+            for k, (of, y, apart) in enumerate(zip(batch["of"].to_pylist(), batch["y"].to_pylist(), batch["tolerance"].to_pylist(), strict=True), n_held):
+                if of != page and (of == of or page == page):  # NaN is a page
                     page, anchor, line = of, None, -1
                 if anchor is None or abs(y - anchor) > apart:
                     anchor, line = y, line + 1
-                lines.append(line)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("of", "x", "y", "bottom", "text")), pa.array(lines, pa.int32())], names=["of", "x", "y", "bottom", "text", "line"])
-
-    found = rows.sortWithinPartitions("of", "y", "x", "bottom", "text").mapInArrow(placed, f"of {kind}, x double, y double, bottom double, text string, line int")
-    words = F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda d: d["text"])
-    return found.groupBy(F.col("of").alias(by), "line").agg(F.array_join(words, " ").alias("text"), F.min("y").alias("top"), F.max("bottom").alias("bottom"))
+                    starts.append(k)
+                    numbers.append(line)
+            held.append(batch)
+            n_held += len(batch)
+            if len(starts) > 1:
+                yield lines(held, starts, numbers[:-1])
+                held = [batch.slice(len(batch) - (n_held - starts[-1]))]
+                n_held = len(held[0])
+        if held:
+            yield lines(held, [0, n_held], [line])
+
+    ordered = dealt.withColumn("tolerance", tolerance).drop("height").sortWithinPartitions("of", *down)
+    found = ordered.mapInArrow(placed, f"of {kind}, line int, top double, words array<struct<x:double,text:string,bottom:double>>")
+    text = F.array_join(F.transform(F.sort_array("words"), lambda d: d["text"]), " ")
+    return found.select(F.col("of").alias(by), "line", text.alias("text"), "top", F.array_max(F.transform("words", lambda d: d["bottom"])).alias("bottom"))
 
 
 def line_paragraphs(lines: DataFrame, by: str = "page") -> DataFrame:

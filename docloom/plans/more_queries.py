@@ -239,7 +239,7 @@ def _(spark, d):
     images = t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("page"), "text")
     found = readers.with_model(images, "found", "string", detector, "text")
     boxes = found.select("page", F.lit(100).alias("page_height"), F.inline(F.from_json("found", "array<struct<y:int,x:int,bottom:int,text:string,conf:double>>")))
-    lines = layout.text_lines(boxes).select("page", "text")
+    lines = layout.text_lines(boxes, tasks=layout.tasks_of(images, 10_000)).select("page", "text")  # an image has some 85 words
     sure = layout.confident(boxes, ["page"])
     at = F.split("page", "-")
     return lines.join(sure, "page").select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "text", F.round("confidence", 6).alias("confidence"))

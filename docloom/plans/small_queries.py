@@ -276,7 +276,7 @@ SELECT l_orderkey, line, string_agg(text, ' ' ORDER BY x, text) AS text FROM s G
 def _(spark, d):
     y = F.floor("l_quantity").cast("double")
     rows = t(spark, d, "lineitem").select("l_orderkey", F.lit(1000).alias("page_height"), y.alias("y"), F.col("l_linenumber").cast("double").alias("x"), (y + 9).alias("bottom"), F.concat(F.lit("w"), F.col("l_linenumber").cast("string")).alias("text"), F.lit(0.9).alias("conf"))
-    return layout.text_lines(rows, "l_orderkey").select("l_orderkey", "line", "text")
+    return layout.text_lines(rows, "l_orderkey", tasks=layout.tasks_of(rows)).select("l_orderkey", "line", "text")
 
 
 @register(
